@@ -34,9 +34,9 @@ def phrases(items: DataFrame, size: int = 10) -> tuple[DataFrame, DataFrame]:
     """Distinct windows (wid, words, len) of the items, and (wid, item_id). An item of fewer words is one window."""
     w = items.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
-    one = w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, size))).alias("words"))
-    one = one.withColumn("wid", F.sha2(F.array_join("words", " "), 256)).distinct()
-    return one.groupBy("wid").agg(F.first("words").alias("words")).withColumn("len", F.size("words")), one.select("wid", "item_id").distinct()
+    one = w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, size))).alias("words")).withColumn("phrase", F.array_join("words", " ")).distinct()
+    windows = stored(one.groupBy("phrase").agg(F.first("words").alias("words")).select(F.monotonically_increasing_id().alias("wid"), "phrase", "words", F.size("words").alias("len")), "windows")
+    return windows.drop("phrase"), stored(one.join(windows.select("wid", "phrase"), "phrase").select("wid", "item_id").distinct(), "owners")
 
 
 def build_index(docs: DataFrame, terms: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -55,15 +55,19 @@ def probe_terms(windows: DataFrame, index: DataFrame, probes: int) -> DataFrame:
     return ranked.where("all").select("wid", F.posexplode(F.slice("t", 1, probes)).alias("slot", "t")).select("wid", "slot", "t.term", "t.off", "t.n")
 
 
-def exact_matches(docs: DataFrame, windows: DataFrame, index: DataFrame, probes: int = 3, broadcast_rows: int = 2_000_000) -> DataFrame:
+def exact_matches(docs: DataFrame, windows: DataFrame, index: DataFrame, probes: int = 2, broadcast_rows: int = 2_000_000) -> DataFrame:
     """(doc_id, wid, start, len): all places where a window occurs word for word."""
     probe = stored(probe_terms(windows, index, probes), "probes")
     hint = lambda df, n: F.broadcast(df) if fits(df, n) else df
-    used = probe.select("term", "wid", "slot", "off")
-    starts = index.join(hint(used, broadcast_rows), "term").select("wid", "doc_id", (F.col("pos") - F.col("off")).alias("start"), "slot").where("start >= 0")
-    need = probe.groupBy("wid").agg(F.count(F.lit(1)).alias("need"))
-    both = starts.groupBy("wid", "doc_id", "start").agg(F.count_distinct("slot").alias("got")) if probes > 1 else starts.withColumn("got", F.lit(1))
-    found = both.join(hint(need, broadcast_rows), "wid").where("got = need").select("wid", "doc_id", "start")
+    at = lambda k: probe.where(F.col("slot") == k).select("wid", "term", "off")
+    rarest = hint(at(0), broadcast_rows)
+    found = index.join(rarest, "term").select("wid", "doc_id", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
+    for k in range(1, probes):
+        # Each further list holds every term once, however many windows probe it; windows with fewer terms pass.
+        asked = found.join(hint(at(k), broadcast_rows), "wid", "left").withColumn("pos", F.col("start") + F.col("off"))
+        lists = index.join(hint(at(k).select("term").distinct(), broadcast_rows), "term", "left_semi")
+        through = asked.where("term is not null").join(lists, ["doc_id", "pos", "term"], "left_semi")
+        found = stored(through.select("wid", "doc_id", "start").unionByName(asked.where("term is null").select("wid", "doc_id", "start")), "shifted")
     found = stored(found.join(hint(windows, broadcast_rows // 10), "wid").select("doc_id", "wid", "start", "len", "words"), "candidates")
     # The phrase is compared whole: the few documents that are left are read once more.
     ids = found.select("doc_id").distinct()
@@ -84,9 +88,9 @@ def proximity_matches(index: DataFrame, windows: DataFrame, slop: int = 5, probe
     return near.groupBy("wid", "doc_id", "start").agg(F.count_distinct("slot").alias("got")).join(need, "wid").where("got = need").select("doc_id", "wid", "start")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, probes: int = 3) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, probes: int = 2) -> DataFrame:
     """Every row of docs with n_words, n_hit, n_items, items (sorted ids as text) and contaminated."""
-    windows, owners = (stored(x, "windows") for x in phrases(items, size))
+    windows, owners = phrases(items, size)
     terms = stored(windows.select(F.explode("words").alias("term")).distinct(), "terms")
     index = build_index(docs, terms)
     found = stored(exact_matches(docs, windows, index, probes), "matches")
