@@ -50,5 +50,55 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op7_decontamination, op8_simhash)}
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.pii import find_pii
+
+    return find_pii(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.lm import lm_scores
+
+    return lm_scores(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corpusloom.llm.rans import read_ids, write_ids
+
+    return read_ids(write_ids(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.language import identify
+
+    return identify(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.warc import index_runs, merge_index, write_archives
+
+    history = merge_index(index_runs(write_archives(_read(spark, sf_dir, "pages"))))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corpusloom.llm.pieces import encode_documents
+
+    return encode_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.repeats import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pii, op2_lm_scores, op3_token_files, op4_quality_rules, op5_language, op6_warc, op7_decontamination, op8_simhash, op9_sentencepiece, op10_repeats)
+}
 ORACLE = {"op7_decontamination": OP7_SQL}
