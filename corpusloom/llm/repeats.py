@@ -3,17 +3,19 @@
 Every byte covered by a string of `length` bytes that also starts anywhere else goes. Sorting all suffixes of a corpus
 would move many times its size, so the buckets are chosen first:
 
-1. Each possible start is owned by an anchor, the GRAM bytes of smallest hash within its string, so equal strings
+1. Each possible start is owned by an anchor, the bytes of smallest hash within its string, so equal strings
    have equal anchors. Starts of one anchor form a run, whose context is all the bytes of its strings.
 2. Runs are counted by anchor and by context. Equal contexts settle their runs; an anchor seen in one context only
    settles it too. What is left are anchors in several contexts, mostly at the edges of copied passages, and only one
    run for each different context needs its bytes looked at.
-3. These contexts meet by anchor. A worker concatenates them; their initial q-gram buckets are refined by sorting on
-   the bucket numbers of later offsets, whose updates are used again at twice the depth, until buckets hold equal
-   strings of the full length. Only members of buckets with company are sorted again.
-4. An anchor in more than `hot` contexts is split: its strings are dealt by their own 128-bit hash and counted.
-
-Steps 1 and 2 tell contexts apart by 128 bits of hash, step 3 by bytes. Null texts are empty; texts shorter than
+3. These contexts alone are cut again by anchors of more bytes (GRAMS), which leaves out what is unique and splits
+   anchors that very many contexts share, and settled in the same way; at the full length an anchor is the string.
+4. As soon as at most `hot` contexts share an anchor, they meet in one place. A worker concatenates them; their
+   initial q-gram buckets are refined by sorting on the bucket numbers of later offsets, whose updates are used again
+   at twice the depth, until buckets hold equal strings of the full length. Only members of buckets with company are
+   sorted again.
+
+Steps 1 to 3 tell contexts apart by 128 bits of hash, step 4 by bytes. Null texts are empty; texts shorter than
 `length` lose nothing. Of repeated rows each repeats the other, so all their strings go. A row is known by doc_id and
 a hash of its text, so rows that share a doc_id, or have none, are told apart.
 """
@@ -33,7 +35,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from corpusloom.llm.common import bounded_batches, stored, text_slices, whole
 
 LENGTH = 200
-GRAM = 40
+#: Bytes of anchors: of documents, then of what is left.
+GRAMS = (40, 160, 190)
 FIRST = 8
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -77,7 +80,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def runs_of(raws: list[bytes], length: int, hashers: tuple[Hasher, Hasher]) -> tuple[np.ndarray, ...]:
+def runs_of(raws: list[bytes], length: int, gram: int, hashers: tuple[Hasher, Hasher]) -> tuple[np.ndarray, ...]:
     """(document, first start, starts, anchor hash, context hash) of all runs of a slice of documents."""
     sizes = np.array([len(r) for r in raws])
     bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -86,9 +89,9 @@ def runs_of(raws: list[bytes], length: int, hashers: tuple[Hasher, Hasher]) -> t
         return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
     for h in hashers:
         h.read(data)
-    grams = hashers[0].grams(GRAM)
+    grams = hashers[0].grams(gram)
     packed = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
-    anchor = (sliding_min(packed, length - GRAM + 1) & _POSITION).astype(np.int64)
+    anchor = (sliding_min(packed, length - gram + 1) & _POSITION).astype(np.int64)
     doc = np.repeat(np.arange(len(raws)), sizes)[: len(anchor)]
     start = np.arange(len(anchor))
     # Strings that would reach into the next document are none.
@@ -120,7 +123,9 @@ def refine(data: np.ndarray, length: int) -> np.ndarray:
         step = min(depth, length - depth)
         later = active + step
         ahead = np.where(later < n, bucket[np.minimum(later, n - 1)], -1 - later)
-        order = np.lexsort((ahead, bucket[active]))
+        # One number for both: buckets come first, what follows decides.
+        both = bucket[active] * (2 * n + length) + (ahead + n + length)
+        order = np.argsort(both)
         members, a, b = active[order], bucket[active][order], ahead[order]
         # Members keep the room of their bucket: sub-buckets are numbered by their first place in it.
         place = np.arange(len(members))
@@ -154,9 +159,11 @@ def covered(n: int, starts: list[tuple[int, int]], length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-_RUN = T.StructType().add("id", "long").add("th", "long").add("lo", "integer").add("k", "integer").add("anchor", "long").add("ctx", "long")
-_FLAG = T.StructType().add("lo", "integer").add("k", "integer").add("anchor", "long").add("ctx", "long").add("full", "boolean").add("rep", "boolean").add("hot", "boolean")
+_ID = T.StructType().add("id", "long").add("th", "long")
+_RUN = T.StructType([*_ID.fields]).add("of", "integer").add("lo", "integer").add("k", "integer").add("anchor", "long").add("ctx", "long").add("full", "boolean")
 _SPAN = T.StructType().add("lo", "integer").add("k", "integer")
+_CONTEXT = T.StructType([*_ID.fields, *_SPAN.fields]).add("anchor", "long").add("full", "boolean").add("hot", "boolean").add("raw", "binary")
+_FOUND = T.StructType([*_ID.fields, *_SPAN.fields])
 _DONE = T.StructType().add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
 
 
@@ -169,68 +176,76 @@ def _result(raw: bytes, starts: list[tuple[int, int]], length: int) -> dict:
     return {"n_bytes": len(raw), "n_removed": int(gone.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()}
 
 
-def _runs(rows: DataFrame, length: int) -> DataFrame:
+def _runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Runs of rows (id, th, lo, full, raw), as places in the document; `of` is the row's own lo."""
     schema = to_arrow_schema(_RUN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers = Hasher(1), Hasher(2)
         for b in batches:
-            ids, ths, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
-            for i, j in text_slices(texts, 1 << 20):
-                owner, lo, k, anchor, ctx = runs_of([t.encode() for t in texts[i:j]], length, hashers)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i + owner]), pa.array(ths[i + owner]), pa.array(lo.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(anchor), pa.array(ctx)], schema=schema)
+            ids, ths, los, full, raws = (b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy(False), b.column(4).to_pylist())
+            for i, j in text_slices(raws, 1 << 20):
+                owner, lo, k, anchor, ctx = runs_of(raws[i:j], length, gram, hashers)
+                owner = i + owner
+                yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(ths[owner]), pa.array(los[owner].astype(np.int32)), pa.array((los[owner] + lo).astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(anchor), pa.array(ctx), pa.array(full[owner].astype(bool))], schema=schema)
+
+    return rows.select("id", "th", "lo", "full", "raw").mapInArrow(run, _RUN)
+
+
+def _settled(runs: DataFrame, hot: int) -> DataFrame:
+    """Runs that are not unique, with `full` (their context occurs again), many (their anchor has other contexts), rep
+    (they show the context's bytes, for one run or few) and hot (more than `hot` contexts)."""
+    by_context = runs.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.max("full").alias("was"), F.min("id").alias("rep"))
+    by_anchor = by_context.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("total")).where("total > 1")
+    repeated = stored(by_context.join(by_anchor, "anchor").select("anchor", "ctx", (F.col("was") | (F.col("n") > 1)).alias("twice"), F.col("rep").alias("first"), "contexts"), "repeats-contexts")
+    many = F.col("contexts") > 1
+    return runs.join(repeated, ["anchor", "ctx"]).select("id", "th", "of", "lo", "k", "anchor", F.col("full").alias("was"), F.col("twice").alias("full"), many.alias("many"), (many & (F.col("first") == F.col("id"))).alias("rep"), (F.col("contexts") > hot).alias("hot")).where(F.col("full") | F.col("many"))
+
 
-    return rows.select("id", "th", "text").mapInArrow(run, _RUN)
+def _marks(settled: DataFrame, *keys: str) -> DataFrame:
+    return settled.groupBy(*keys).agg(F.collect_list(F.struct("lo", "k", "anchor", "full", "rep", "hot")).alias("marks"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select("doc_id", whole(F.col("text")).alias("text")).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("th"), "text")
-    runs = _runs(rows, length)
-    # Contexts that occur twice, and anchors with several contexts; the smallest run of a context shows its bytes.
-    by_context = runs.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"))
-    by_anchor = by_context.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("total")).where("total > 1")
-    repeated = stored(by_context.join(by_anchor, "anchor").select("anchor", "ctx", (F.col("n") > 1).alias("full"), "rep", "contexts"), "repeats-contexts")
-    flags = runs.join(repeated, ["anchor", "ctx"]).select(
-        "id", "th", F.struct("lo", "k", "anchor", "ctx", "full", ((F.col("contexts") > 1) & (F.col("rep") == F.col("id"))).alias("rep"), (F.col("contexts") > hot).alias("hot")).alias("f"), (F.col("contexts") > 1).alias("many")
-    )
-    by_doc = flags.where(F.col("f.full") | F.col("many")).groupBy("id", "th").agg(F.collect_list("f").alias("flags"))
-    first = rows.join(by_doc, ["id", "th"], "left")
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(whole(F.col("text"))).alias("th"), F.lit(0).alias("lo"), F.lit(False).alias("full"), whole(F.col("text")).cast("binary").alias("raw"))
+    marks = _marks(_settled(_runs(rows, length, GRAMS[0]), hot), "id", "th")
+    first = rows.join(marks, ["id", "th"], "left")
 
     kind = docs.schema["doc_id"].dataType
-    pending = T.StructType().add("id", "long").add("th", "long").add("text", "string").add("starts", T.ArrayType(_SPAN))
-    context = T.StructType().add("id", "long").add("th", "long").add("lo", "integer").add("k", "integer").add("anchor", "long").add("full", "boolean").add("hot", "boolean").add("raw", "binary")
-    mixed = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("doc_id", kind), T.StructField("done", _DONE), T.StructField("pending", pending), T.StructField("context", context)])
+    pending = T.StructType([*_ID.fields]).add("raw", "binary").add("starts", T.ArrayType(_SPAN))
+    mixed = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("doc_id", kind), T.StructField("done", _DONE), T.StructField("pending", pending), T.StructField("context", _CONTEXT)])
     mixed_arrow = to_arrow_schema(mixed)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, size = [], 0
             for r in b.to_pylist():
-                raw, marks = r["text"].encode(), r["flags"] or []
-                starts = [(f["lo"], f["k"]) for f in marks if f["full"]]
-                if all(f["full"] for f in marks):
+                raw, found = r["raw"], r["marks"] or []
+                starts = [(f["lo"], f["k"]) for f in found if f["full"]]
+                if len(starts) == len(found):
                     out.append({"kind": 0, "doc_id": r["doc_id"], "done": _result(raw, starts, length)})
                 else:
-                    out.append({"kind": 1, "doc_id": r["doc_id"], "pending": {"id": r["id"], "th": r["th"], "text": r["text"], "starts": [{"lo": s, "k": k} for s, k in starts]}})
+                    out.append({"kind": 1, "doc_id": r["doc_id"], "pending": {"id": r["id"], "th": r["th"], "raw": raw, "starts": [{"lo": s, "k": k} for s, k in starts]}})
                     size += len(raw)
-                for f in marks:
-                    if f["rep"]:
-                        piece = raw[f["lo"] : f["lo"] + f["k"] - 1 + length]
-                        out.append({"kind": 2, "context": {"id": r["id"], "th": r["th"], "lo": f["lo"], "k": f["k"], "anchor": f["anchor"], "full": f["full"], "hot": f["hot"], "raw": piece}})
-                        size += len(piece)
+                out += [{"kind": 2, "context": c} for c in _cut(r, 0, length)]
+                size += sum(len(x["context"]["raw"]) for x in out[-len(found) :] if x["kind"] == 2) if found else 0
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_pylist(out, schema=mixed_arrow)
                     out, size = [], 0
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=mixed_arrow)
 
-    parts = stored(first.select("doc_id", "id", "th", "text", "flags").mapInArrow(settle, mixed), "repeats-parts")
-    contexts = parts.where("kind = 2").select("context.*")
-    found = T.StructType().add("id", "long").add("th", "long").add("lo", "integer").add("k", "integer")
-    found_arrow = to_arrow_schema(found)
+    parts = stored(first.select("doc_id", "id", "th", "raw", "marks").mapInArrow(settle, mixed), "repeats-parts")
+    contexts, found = parts.where("kind = 2").select("context.*"), None
+    context_arrow, found_arrow = to_arrow_schema(_CONTEXT), to_arrow_schema(_FOUND)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if out := [c for r in b.to_pylist() for c in _cut(r, r["of"], length)]:
+                yield pa.RecordBatch.from_pylist(out, schema=context_arrow)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
@@ -245,26 +260,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = 512) -> Dat
         if held:
             yield _compared(held, length, found_arrow)
 
-    cool = contexts.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, found)
-
-    window = T.StructType().add("id", "long").add("th", "long").add("start", "integer").add("full", "boolean").add("a", "long").add("b", "long")
-    window_arrow = to_arrow_schema(window)
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashers = Hasher(3), Hasher(4)
-        for b in batches:
-            for r in b.to_pylist():
-                data = np.frombuffer(r["raw"], dtype=np.uint8)
-                for h in hashers:
-                    h.read(data)
-                x, y = (h.grams(length).view(np.int64) for h in hashers)
-                n = len(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["id"])), pa.array(np.full(n, r["th"])), pa.array(np.arange(r["lo"], r["lo"] + n, dtype=np.int32)), pa.array([r["full"]] * n, pa.bool_()), pa.array(x), pa.array(y)], schema=window_arrow)
-
-    dealt = contexts.where("hot").mapInArrow(strings, window)
-    twice = dealt.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
-    warm = dealt.where("not full").join(twice, ["a", "b"], "left_semi").select("id", "th", F.col("start").alias("lo"), F.lit(1).alias("k"))
-    more = cool.unionByName(warm).groupBy("id", "th").agg(F.collect_list(F.struct("lo", "k")).alias("more"))
+    for gram in (*GRAMS[1:], length):
+        settled = _settled(_runs(contexts, length, gram), hot)
+        here = settled.where("full and not was").select(*_FOUND.fieldNames())
+        if gram < length:
+            again = contexts.withColumnRenamed("lo", "of").join(_marks(settled.where("many"), "id", "th", "of"), ["id", "th", "of"])
+            nearer = stored(again.select("id", "th", "of", "raw", "marks").mapInArrow(cut, _CONTEXT), "repeats-nearer")
+            here = here.unionByName(nearer.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, _FOUND))
+            contexts = nearer.where("hot")
+        here = stored(here, "repeats-found")
+        found = here if found is None else found.unionByName(here)
+        if gram < length and contexts.isEmpty():
+            break
+    more = found.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "k")).alias("more"))
     waiting = parts.where("kind = 1").select("doc_id", "pending.*").join(more, ["id", "th"], "left")
     last_schema = T.StructType([T.StructField("doc_id", kind), *_DONE.fields])
     last_arrow = to_arrow_schema(last_schema)
@@ -274,13 +282,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = 512) -> Dat
             out = []
             for r in b.to_pylist():
                 starts = [(s["lo"], s["k"]) for s in (r["starts"] or []) + (r["more"] or [])]
-                out.append({"doc_id": r["doc_id"]} | _result(r["text"].encode(), starts, length))
+                out.append({"doc_id": r["doc_id"]} | _result(r["raw"], starts, length))
             yield pa.RecordBatch.from_pylist(out, schema=last_arrow)
 
-    late = waiting.select("doc_id", "text", "starts", "more").mapInArrow(finish, last_schema)
+    late = waiting.select("doc_id", "raw", "starts", "more").mapInArrow(finish, last_schema)
     return parts.where("kind = 0").select("doc_id", "done.*").unionByName(late)
 
 
+def _cut(row: dict, of: int, length: int) -> list[dict]:
+    """The contexts that a row shows, cut out of its bytes, which start at place `of` of the document."""
+    shown = (f for f in row["marks"] or [] if f["rep"])
+    return [{"id": row["id"], "th": row["th"], "lo": f["lo"], "k": f["k"], "anchor": f["anchor"], "full": f["full"], "hot": f["hot"], "raw": row["raw"][f["lo"] - of : f["lo"] - of + f["k"] - 1 + length]} for f in shown]
+
+
 def _compared(held: list[dict], length: int, schema: pa.Schema) -> pa.RecordBatch:
     """The starts of single contexts whose strings share a bucket with another, as (id, th, first, count)."""
     raws = [r["raw"] for r in held]
