@@ -104,7 +104,7 @@ def _vectors(t) -> DataFrame:
 
 def _bm25_scores(t) -> DataFrame:
     r = _records(t)
-    return lexical.bm25(lexical.index(r.select("id", "content")), _questions(t)).withColumn("score", F.round("score", 9))
+    return lexical.bm25(lexical.index(r.select("id", "content")), _questions(t)).withColumn("raw", F.col("score")).withColumn("score", F.round("score", 9))
 
 
 def _bm25_hits(t, k: int) -> DataFrame:
@@ -287,9 +287,9 @@ def bm25_idf(t):
     return lexical.index(_records(t).select("id", "content")).idf.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
-@query(f"WITH {_BM25} SELECT item_id AS qid, doc_id, round(round(score, 9), 6) AS score, rank FROM bmr WHERE rank <= 10")
+@query(f"WITH {_BM25} SELECT item_id AS qid, doc_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 10")
 def bm25_topk(t):
-    return _bm25_hits(t, 10).select("qid", F.col("index").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return _bm25_hits(t, 10).select("qid", F.col("index").alias("doc_id"), F.round("raw", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 # ---- hybrid
