@@ -12,7 +12,9 @@ order beside each other; a null doc_id comes first.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +28,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from corpusloom.llm.common import bounded_batches, stored, text_slices, whole
 
 BITS = 16
-LANES = 2048
+LANES = 4096
 EVERY = 32
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 19
 SEGMENT_IDS = 1 << 22
 
 
@@ -106,32 +108,42 @@ def tables(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(freq)[:-1]]), np.repeat(np.arange(len(freq)), freq)
 
 
+BLANK_RUN = re.compile(r" \s")
+
+
 class Encoder:
     """A tokenizer with a bounded memory of what it has encoded.
 
     A place before a blank that is followed by another character than white space always separates pre-tokens of
-    byte-level BPE, so texts are cut there and each different piece is encoded once."""
+    byte-level BPE, so texts are cut there and each different piece is encoded once. Memory has two generations of at
+    most `most` pieces: what was not met while one filled up is forgotten."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.seen, self.most = Tokenizer.from_file(path), {}, most
+        self.tok, self.new, self.old, self.most = Tokenizer.from_file(path), {}, {}, most
+        self.model = self.tok.model
         added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.special, (self.mark, self.mark_id) = list(added), next(iter(added.items()))
-
-    def pieces(self, text: str) -> list[str]:
+        # Byte-level BPE writes each byte as a letter: printable ones as they are, the others from 256 on.
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(plain))}
+        self.blank = self.letters[32]
+
+    def keys(self, text: str) -> list[str]:
+        """The pieces of a text in order, by their keys (see _key)."""
+        if not text:
+            return []
         first, *rest = text.split(" ")
-        if not rest:
-            return [first] if first else []
-        if "" not in rest and not any(map(str.isspace, map(_head, rest))):
-            return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+        if first and not (rest and (not rest[-1] or BLANK_RUN.search(text))):
+            return [" " + first, *rest]
         out = [first]
         for x in rest:
             if not x or x[0].isspace():
                 out[-1] += " " + x
             else:
                 out.append(" " + x)
-        return [x for x in out if x]
+        return [_key(x) for x in out if x]
 
     @staticmethod
     def subpieces(piece: str) -> list[str]:
@@ -150,30 +162,86 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        seen = self.seen
-        whole_ = [t for t in texts if any(s in t for s in self.special)]
-        own = {t: np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype="<u4") for t in whole_}
-        cut = [[] if t in own else self.pieces(t) for t in texts]
-        if len(seen) > self.most:
-            seen.clear()
-        cuts = {p: self.subpieces(p) for c in cut for p in c if p not in seen}
-        missing = list({q for x in cuts.values() for q in x if q not in seen})
-        for i in range(0, len(missing), 20_000):
+        """Ids of every text."""
+        own = {i: np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype="<u2") for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        get, cut, have, holes = self.new.get, [], [], []
+        for i, t in enumerate(texts):
+            keys = [] if i in own else self.keys(t)
+            found = list(map(get, keys))
+            cut.append(keys)
+            have.append(found)
+            if None in found:
+                holes += [(i, k) for k, v in enumerate(found) if v is None]
+        self._learn({cut[i][k] for i, k in holes})
+        for i, k in holes:
+            have[i][k] = get(cut[i][k])
+        return [own[i] if i in own else np.frombuffer(b"".join(f), dtype="<u2") for i, f in enumerate(have)]
+
+    def _word(self, letters: str) -> bytes:
+        word = letters if letters.isascii() else "".join(map(self.letters.__getitem__, letters.encode()))
+        return array("H", [t.id for t in self.model.tokenize(self.blank + word)]).tobytes()
+
+    def _learn(self, missing: set[str]) -> None:
+        """Remember the ids of new pieces."""
+        new, old, late, together = self.new, self.old, [], []
+        for key in missing:
+            if (known := old.get(key)) is not None:
+                new[key] = known
+                continue
+            if key.isalpha():
+                # Letters after a blank: one pre-token, which the model takes as it is.
+                new[key] = self._word(key)
+                continue
+            if key[-1] in ".,;:!?" and key[:-1].isalpha():
+                end = " " + key[-1]
+                if not new.get(end):
+                    new[end] = array("H", self.tok.encode(key[-1], add_special_tokens=False).ids).tobytes()
+                if (known := new.get(key[:-1]) or old.get(key[:-1])) is None:
+                    known = self._word(key[:-1])
+                new[key[:-1]], new[key] = known, known + new[end]
+                continue
+            sub = self.subpieces(key[1:] if key[0] == " " else " " + key)
+            subkeys = [_key(q) for q in sub]
+            if len(sub) > 1:
+                late.append((key, subkeys))
+            for k, q in zip(subkeys, sub, strict=True):
+                if k in new:
+                    continue
+                if (known := old.get(k)) is not None:
+                    new[k] = known
+                elif k.isalpha():
+                    new[k] = self._word(k)
+                else:
+                    new[k] = b""
+                    together.append(q)
+        for i in range(0, len(together), 20_000):
             # A special token between the pieces keeps them apart, and marks where each one's ids end.
-            part = missing[i : i + 20_000]
-            ids = np.array(self.tok.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            part = together[i : i + 20_000]
+            ids = np.array(self.tok.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype="<u2")
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
             raw, at = ids.tobytes(), 0
-            for p, end in zip(part, (4 * ends).tolist(), strict=True):
-                seen[p], at = raw[at:end], end + 4
-        for p, x in cuts.items():
-            if len(x) > 1:
-                seen[p] = b"".join(map(seen.__getitem__, x))
-        return [own[t] if t in own else np.frombuffer(b"".join(map(seen.__getitem__, c)), dtype="<u4") for t, c in zip(texts, cut, strict=True)]
+            for q, end in zip(part, (2 * ends).tolist(), strict=True):
+                new[_key(q)], at = raw[at:end], end + 2
+        for key, subkeys in late:
+            new[key] = b"".join(map(new.__getitem__, subkeys))
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder, which keeps its memory from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
-def _head(x: str) -> str:
-    return x[0]
+def _key(piece: str) -> str:
+    """A piece's name in the memory: without its blank if it has exactly one, which most have, else behind a blank."""
+    return piece[1:] if len(piece) > 1 and piece[0] == " " and piece[1] != " " else " " + piece
 
 
 BLOCK = T.StructType().add("part", "integer").add("seg", "integer").add("block", "integer").add("n_ids", "long").add("doc_ids", T.ArrayType(T.LongType())).add("lengths", T.ArrayType(T.IntegerType())).add("words", "binary").add("checkpoints", "binary").add("crc", "long").add("table", "binary")
@@ -190,7 +258,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, range_bytes: int
     schema = to_arrow_schema(BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seg = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, seg = encoder(tokenizer), TaskContext.get().partitionId(), 0
         held: list[tuple[int, np.ndarray]] = []
         total = 0
 
@@ -221,7 +289,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, range_bytes: int
 
         for b in batches:
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in text_slices(texts):
+            for i, j in text_slices(texts, 1 << 20):
                 for d, ids in zip(names[i:j], enc.encode(texts[i:j]), strict=True):
                     held.append((d, np.append(ids, np.uint32(end_id)).astype(np.uint32)))
                     total += len(held[-1][1])
