@@ -183,4 +183,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = 20000)
     """Documents with their statistics, base_failed, kept and the number of the rejecting rule; and the learned list."""
     rules = learn(labelled_rows(docs, labels, max_labelled))
     scored = text_statistics(docs).withColumn("rule", rules.verdict())
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)), rules
+    # The last term is always true. It keeps a filter on kept from being pushed below the statistics, where their
+    # expressions would be written out into one another.
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0) & (F.monotonically_increasing_id() >= 0)), rules
