@@ -21,6 +21,8 @@ from corpusloom.llm.common import BLANKS, stored, whole
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("f_words", "f_word_len", "f_symbols", "f_dup_lines", "f_repeat", "f_upper", "f_bang", "f_distinct", "f_line_words")
 
+ADDED = (*FEATURES, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule", "_t", "_w", "_h", "_s", "_p", "_l", "_n_lines")
+
 
 def _count(text: Column, chars: str) -> Column:
     """Occurrences of the given characters, one replace each: no regular expression and no copy where none occurs."""
@@ -30,8 +32,8 @@ def _count(text: Column, chars: str) -> Column:
 
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the base columns and the learner's features. Columns of docs that clash with an added name are replaced."""
-    keep = [c for c in docs.columns]
-    df = docs.withColumn("_t", whole(F.col(text)))
+    keep = [c for c in docs.columns if c not in ADDED]
+    df = docs.select(*keep).withColumn("_t", whole(F.col(text)))
     df = df.withColumn("_w", F.filter(F.split("_t", BLANKS), lambda w: w != ""))
     n = F.size("_w")
     # Windows are told apart by a 64-bit hash of their three words.
