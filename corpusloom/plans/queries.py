@@ -369,10 +369,10 @@ v AS (SELECT strategy, qid, min(CASE WHEN gold AND contains(content, p) THEN ran
 vs AS (SELECT strategy, qid, CASE WHEN first_relevant = 1 AND answer_ok THEN 2 WHEN first_relevant IS NOT NULL THEN 1 ELSE 0 END AS score, first_relevant, doc_hit, coverage, answer_ok FROM v)"""
 
 
-@query(f"{_VERDICTS} SELECT strategy, qid, CAST(score AS BIGINT) AS score, first_relevant, doc_hit, CAST(coverage AS DOUBLE) AS coverage, answer_ok FROM vs")
+@query(f"{_VERDICTS} SELECT strategy, qid, CAST(score AS BIGINT) AS score, CAST(coalesce(first_relevant, 0) AS BIGINT) AS first_relevant, doc_hit, CAST(coverage AS DOUBLE) AS coverage, answer_ok FROM vs")
 def eval_verdicts(t):
     v = _verdicts(t)
-    return v.withColumns({"score": F.col("score").cast("long"), "first_relevant": F.col("first_relevant").cast("long"), "coverage": F.col("coverage").cast("double")})
+    return v.withColumns({"score": F.col("score").cast("long"), "first_relevant": F.coalesce("first_relevant", F.lit(0)).cast("long"), "coverage": F.col("coverage").cast("double")})
 
 
 @query(f"{_VERDICTS} SELECT strategy, CAST(sum(score) AS BIGINT) AS score, CAST(count_if(doc_hit) AS BIGINT) AS doc_hits, count(first_relevant) AS relevant, round(avg(coalesce(1.0 / first_relevant, 0)), 9) AS mrr, CAST(count_if(answer_ok) AS BIGINT) AS answers_ok FROM vs GROUP BY strategy")
