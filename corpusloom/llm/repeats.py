@@ -8,14 +8,14 @@ would move many times its size, so the buckets are chosen first:
 2. Runs are counted by anchor and by context. Equal contexts settle their runs; an anchor seen in one context only
    settles it too. What is left are anchors in several contexts, mostly at the edges of copied passages, and only one
    run for each different context needs its bytes looked at.
-3. These contexts alone are cut again by anchors of more bytes (GRAMS), which leaves out what is unique and splits
-   anchors that very many contexts share, and settled in the same way; at the full length an anchor is the string.
-4. As soon as at most `hot` contexts share an anchor, they meet in one place. A worker concatenates them; their
-   initial q-gram buckets are refined by sorting on the bucket numbers of later offsets, whose updates are used again
-   at twice the depth, until buckets hold equal strings of the full length. Only members of buckets with company are
-   sorted again.
-
-Steps 1 to 3 tell contexts apart by 128 bits of hash, step 4 by bytes. Null texts are empty; texts shorter than
+3. These contexts meet by anchor in one place. A worker concatenates them; their initial q-gram buckets are refined by
+   sorting on the bucket numbers of later offsets, whose updates are used again at twice the depth, until buckets hold
+   equal strings of the full length. Only members of buckets with company are sorted again.
+4. An anchor that more than `hot` contexts share would crowd one place. Its contexts are first cut again by anchors of
+   more bytes (GRAMS), settled as in step 2, and meet as in step 3 once few enough share an anchor; at the full length
+   an anchor is the string itself.
+
+Steps 1, 2 and 4 tell contexts apart by 128 bits of hash, step 3 by bytes. Null texts are empty; texts shorter than
 `length` lose nothing. Of repeated rows each repeats the other, so all their strings go. A row is known by doc_id and
 a hash of its text, so rows that share a doc_id, or have none, are told apart.
 """
@@ -115,7 +115,7 @@ def refine(data: np.ndarray, length: int) -> np.ndarray:
     for i in range(FIRST):
         key = (key << np.uint64(8)) | codes[i : i + n]
     bucket = np.empty(n, dtype=np.int64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     _number(bucket, order, key[order][1:] != key[order][:-1], np.zeros(n, dtype=np.int64))
     depth = FIRST
     active = _company(bucket, np.arange(n))
@@ -239,7 +239,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = 512) -> Dat
                 yield pa.RecordBatch.from_pylist(out, schema=mixed_arrow)
 
     parts = stored(first.select("doc_id", "id", "th", "raw", "marks").mapInArrow(settle, mixed), "repeats-parts")
-    contexts, found = parts.where("kind = 2").select("context.*"), None
+    contexts = parts.where("kind = 2").select("context.*")
     context_arrow, found_arrow = to_arrow_schema(_CONTEXT), to_arrow_schema(_FOUND)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,18 +260,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = 512) -> Dat
         if held:
             yield _compared(held, length, found_arrow)
 
+    def met(some: DataFrame) -> DataFrame:
+        return some.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, _FOUND)
+
+    found, contexts = stored(met(contexts), "repeats-found"), contexts.where("hot")
     for gram in (*GRAMS[1:], length):
+        if contexts.isEmpty():
+            break
         settled = _settled(_runs(contexts, length, gram), hot)
         here = settled.where("full and not was").select(*_FOUND.fieldNames())
         if gram < length:
             again = contexts.withColumnRenamed("lo", "of").join(_marks(settled.where("many"), "id", "th", "of"), ["id", "th", "of"])
             nearer = stored(again.select("id", "th", "of", "raw", "marks").mapInArrow(cut, _CONTEXT), "repeats-nearer")
-            here = here.unionByName(nearer.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, _FOUND))
-            contexts = nearer.where("hot")
-        here = stored(here, "repeats-found")
-        found = here if found is None else found.unionByName(here)
-        if gram < length and contexts.isEmpty():
-            break
+            here, contexts = here.unionByName(met(nearer)), nearer.where("hot")
+        found = found.unionByName(stored(here, "repeats-found"))
     more = found.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "k")).alias("more"))
     waiting = parts.where("kind = 1").select("doc_id", "pending.*").join(more, ["id", "th"], "left")
     last_schema = T.StructType([T.StructField("doc_id", kind), *_DONE.fields])
@@ -302,8 +304,8 @@ def _compared(held: list[dict], length: int, schema: pa.Schema) -> pa.RecordBatc
     bucket = refine(np.frombuffer(b"".join(raws), dtype=np.uint8), length)
     starts = np.concatenate([np.arange(s, s + r["k"]) for s, r in zip(bounds, held, strict=False)])
     owner = np.repeat(np.arange(len(held)), [r["k"] for r in held])
-    kinds, inverse, counts = np.unique(bucket[starts], return_inverse=True, return_counts=True)
-    hit = (counts[inverse] > 1) & ~np.array([r["full"] for r in held])[owner]
+    own = bucket[starts]
+    hit = (np.bincount(own)[own] > 1) & ~np.array([r["full"] for r in held])[owner]
     at, who = starts[hit], owner[hit]
     new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(who) != 0)])) if len(at) else np.zeros(0, dtype=np.int64)
     size = np.diff(np.append(new, len(at)))
