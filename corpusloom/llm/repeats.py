@@ -15,7 +15,7 @@ would move many times its size, so the buckets are chosen first:
    more bytes (GRAMS), settled as in step 2, and meet as in step 3 once few enough share an anchor; at the full length
    an anchor is the string itself.
 
-Steps 1, 2 and 4 tell contexts apart by 128 bits of hash, step 3 by bytes. Null texts are empty; texts shorter than
+Steps 1, 2 and 4 tell contexts apart by 128 bits of hash, step 3 the initial q-grams of a batch by 64. Null texts are empty; texts shorter than
 `length` lose nothing. Of repeated rows each repeats the other, so all their strings go. A row is known by doc_id and
 a hash of its text, so rows that share a doc_id, or have none, are told apart.
 """
@@ -37,7 +37,8 @@ from corpusloom.llm.common import bounded_batches, stored, text_slices, whole
 LENGTH = 200
 #: Bytes of anchors: of documents, then of what is left.
 GRAMS = (40, 160, 190)
-FIRST = 8
+#: Bytes of the initial q-grams, which are told apart by 64 bits of hash.
+FIRST = 50
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _POSITION = np.uint64((1 << 30) - 1)
@@ -49,18 +50,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_POWERS: list[np.ndarray] = [np.ones(0, dtype=np.uint64)] * 2
+
+
 class Hasher:
     """64-bit hashes of any ranges of a byte array, from one pass of prefix sums."""
 
     def __init__(self, seed: int):
         self.codes = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)
-        self.up = self.down = np.ones(0, dtype=np.uint64)
 
     def read(self, data: np.ndarray) -> None:
-        if len(data) >= len(self.up):
+        if len(data) >= len(_POWERS[0]):
+            # Powers are shared by all hashers of a worker.
             n = max(1 << 20, 2 * len(data)) + 1
-            one = lambda f: np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, f, dtype=np.uint64), dtype=np.uint64)])
-            self.up, self.down = one(_ODD), one(_INVERSE)
+            _POWERS[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, f, dtype=np.uint64), dtype=np.uint64)]) for f in (_ODD, _INVERSE)]
+        self.up, self.down = _POWERS
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(self.codes[data] * self.up[: len(data)], dtype=np.uint64)])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -109,15 +113,14 @@ def runs_of(raws: list[bytes], length: int, gram: int, hashers: tuple[Hasher, Ha
 def refine(data: np.ndarray, length: int) -> np.ndarray:
     """Bucket numbers of all positions: two are equal if and only if `length` bytes from there are (the data is padded
     by distinct endings, so a string that runs over the end is like no other)."""
-    n = len(data)
-    codes = np.concatenate([data.astype(np.uint64), np.zeros(FIRST, dtype=np.uint64)])
-    key = np.zeros(n, dtype=np.uint64)
-    for i in range(FIRST):
-        key = (key << np.uint64(8)) | codes[i : i + n]
+    n, depth = len(data), min(FIRST, length)
+    hasher = Hasher(5)
+    hasher.read(data)
+    # The last few places have no q-gram; each gets a number of its own.
+    key = np.concatenate([hasher.grams(depth), np.arange(min(n, depth - 1), dtype=np.uint64)])
     bucket = np.empty(n, dtype=np.int64)
     order = np.argsort(key)
     _number(bucket, order, key[order][1:] != key[order][:-1], np.zeros(n, dtype=np.int64))
-    depth = FIRST
     active = _company(bucket, np.arange(n))
     while depth < length and len(active):
         step = min(depth, length - depth)
