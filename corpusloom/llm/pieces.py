@@ -140,7 +140,7 @@ class Model:
 class Matcher:
     """Encodes batches of texts; remembers at most `most` different parts."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 250_000):
         self.m, self.most, self.seen, self.units, self.memo, self.runs = model, most, {}, {}, {}, {}
         self.kind = "H" if len(model.out) <= 65536 else "I"
         self.table = np.zeros(max(map(ord, model.chars)) + 2, dtype=np.int64)
@@ -172,7 +172,7 @@ class Matcher:
             self.seen.clear()
         if len(self.units) > self.most:
             self.units.clear()
-        if len(self.memo) > 1_000_000:
+        if len(self.memo) > 500_000:
             self.memo.clear()
         seen = self.seen
         parts = [self._parts(t) for t in texts]
@@ -281,16 +281,18 @@ class Matcher:
         for s in (np.flatnonzero(codes[:n] == 0) + 1).tolist():
             last[s] = -2
         memo, apart = self.memo, m.apart
-        for s, e, k in zip(starts[by_end].tolist(), ends[by_end].tolist(), kinds[by_end].tolist(), strict=True):
-            if last[e] >= 0 or (p := last[s]) == -1:
-                continue
-            if p >= 0:
-                ok = memo.get(key_ := (p << 20) | k)
-                if ok is None:
-                    ok = memo[key_] = apart(p, k)
-                if not ok:
+        for at in range(0, len(by_end), 1 << 16):
+            part = by_end[at : at + (1 << 16)]
+            for s, e, k in zip(starts[part].tolist(), ends[part].tolist(), kinds[part].tolist(), strict=True):
+                if last[e] >= 0 or (p := last[s]) == -1:
                     continue
-            last[e] = k
+                if p >= 0:
+                    ok = memo.get(key_ := (p << 20) | k)
+                    if ok is None:
+                        ok = memo[key_] = apart(p, k)
+                    if not ok:
+                        continue
+                last[e] = k
         sizes, ids = [len(t) for t in m.texts], m.ids.tolist()
         at = 0
         for u in names:
@@ -346,7 +348,7 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
         matcher = Matcher(shared.value)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            for i, j in text_slices(texts, 8 << 20):
+            for i, j in text_slices(texts, 2 << 20):
                 ids = matcher.encode(texts[i:j])
                 back = [matcher.decode(x) for x in ids]
                 columns = [b.column(c)[i:j] for c in keep]
