@@ -205,8 +205,12 @@ class Matcher:
         at = 0
         for p, n in zip(missing, runs, strict=True):
             ids: list[int] = []
-            while (u := names[at]) != "\0":
+            # A part ends by its length: its own text may hold the separator.
+            left = len(p) - max(n - 1, 0)
+            while left:
+                u = names[at]
                 ids += units[u] if u[0] in known else [self.m.byte_ids[b] for b in u.encode("utf-8", "surrogatepass")]
+                left -= len(u)
                 at += 1
             at += 1
             if n > 1:

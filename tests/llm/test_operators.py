@@ -332,6 +332,16 @@ def test_pieces_match_the_library(docs, rows, empty):
     assert pieces.encode_documents(empty, path).count() == 0
 
 
+def test_pieces_with_nul_match_the_library():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, r = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(6)
+    texts = ["a\0b c", "\0", "\0\0 x", "x  \0", "c", "   \0  b"] + ["".join(r.choice("ab\0  e▁é漢") for _ in range(r.randint(1, 40))) for _ in range(400)]
+    # The library reads a str up to its whole length; \0 falls back to its byte.
+    assert [x.tolist() for x in pieces.Matcher(pieces.Model.load(path)).encode(texts)] == sp.encode(texts)
+
+
 def test_shared_folder(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert list(common.text_slices(["aa", None, "bbbb", "c"], 3)) == [(0, 2), (2, 3), (3, 4)]
