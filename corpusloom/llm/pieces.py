@@ -333,19 +333,19 @@ class Matcher:
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
-RESULT = T.StructType().add("n_ids", "long").add("ids_crc32", "long").add("round_trip", "boolean").add("decoded_chars", "long")
+RESULT = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string").add("n_ids", "long").add("ids_crc32", "long").add("round_trip", "boolean").add("decoded_chars", "long")
 
 
-def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
-    """All columns of docs but text, with n_ids, ids_crc32 (of the ids as little-endian unsigned 32-bit integers),
-    round_trip (decoding gives the text back; blank marks in the text itself decode to blanks) and decoded_chars;
-    ids too if asked for. Columns of these names in docs are replaced."""
+def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
+    """All columns of docs but text, with ids, decoded (the text of the ids), n_ids, ids_crc32 (of the ids as
+    little-endian unsigned 32-bit integers), round_trip (decoding gives the text back; blank marks in the text itself
+    decode to blanks) and decoded_chars. Columns of these names in docs are replaced."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Model.load(model_path))
     bounded_batches(spark)
-    added = RESULT.fieldNames() + ["ids"]
+    added = RESULT.fieldNames()
     keep = [c for c in docs.columns if c != "text" and c not in added]
-    schema = T.StructType([docs.schema[c] for c in keep] + RESULT.fields + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []))
+    schema = T.StructType([docs.schema[c] for c in keep] + RESULT.fields)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,13 +357,13 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
                 back = [matcher.decode(x) for x in ids]
                 columns = [b.column(c)[i:j] for c in keep]
                 columns += [
+                    pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())),
+                    pa.array(back, pa.string()),
                     pa.array([len(x) for x in ids], pa.int64()),
                     pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
                     pa.array([x == t.replace(BLANK, " ") for x, t in zip(back, texts[i:j], strict=True)], pa.bool_()),
                     pa.array([len(x) for x in back], pa.int64()),
                 ]
-                if with_ids:
-                    columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
 
     return docs.select(*keep, "text").mapInArrow(run, schema)

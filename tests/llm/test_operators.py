@@ -342,6 +342,18 @@ def test_pieces_with_nul_match_the_library():
     assert [x.tolist() for x in pieces.Matcher(pieces.Model.load(path)).encode(texts)] == sp.encode(texts)
 
 
+def test_pieces_return_ids_and_texts(docs, rows):
+    import sentencepiece
+
+    from corpusloom.llm import queries
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    out = pieces.encode_documents(docs.select("doc_id", "text"), path)
+    assert got(out, "doc_id", "ids", "decoded") == expected(rows, lambda i, t, _: (i, sp.encode(t or ""), t or ""))
+    assert {"ids", "decoded"} <= set(queries.op9_sentencepiece(docs.sparkSession, "/root/testdata/sf0.001").columns)
+
+
 def test_shared_folder(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert list(common.text_slices(["aa", None, "bbbb", "c"], 3)) == [(0, 2), (2, 3), (3, 4)]
