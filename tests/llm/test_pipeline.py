@@ -27,3 +27,51 @@ def test_pipeline_by_brute_force(spark, sf_dir):
     assert set(texts["personal_data"]) == set(texts["decontamination"])
     assert not any("@" in t and ".example.com" in t for t in texts["personal_data"].values())
     assert docs.count() == len(texts["personal_data"]) and docs.where("not round_trip").isEmpty()
+
+
+def test_near_duplicates_by_brute_force(spark):
+    import random
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    rows, common = [], " ".join(word() for _ in range(30))
+    for g in range(25):
+        base = [word() for _ in range(r.choice([3, 5, 6, 12, 60, 200]))]
+        rows.append((10 * g, " ".join(base)))
+        for k in range(1, 6):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(w) // 25))):
+                w[r.randrange(len(w))] = word()
+            rows.append((10 * g + k, " ".join(w).upper() if k == 5 else " ".join(w)))
+    rows += [(900 + i, " ".join(word() for _ in range(20)) + " " + common) for i in range(8)]
+    # The same doc_id with other texts and with the same, no doc_id, blank texts.
+    rows += [(0, rows[7][1] + " own end of it"), (0, "an other text of few words here"), rows[3], rows[3], (None, rows[0][1]), (950, None), (951, " "), (952, "")]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    named = sorted({(i, t) for i, t in rows if i is not None}, key=repr)
+    sets, parent = [shingles(t) for _, t in named], list(range(len(named)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(named)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    groups = {}
+    for i, row in enumerate(named):
+        groups.setdefault(root(i), []).append(row)
+    docs = spark.createDataFrame([(*x, "en") for x in rows], "doc_id long, text string, lang string").repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = [(x["doc_id"], x["text"]) for x in out.collect()]
+    assert (None, rows[0][1]) in kept
+    kept = [x for x in kept if x[0] is not None]
+    assert len(groups) < len(named) - 40 and len(kept) == len(groups)
+    assert all(sum(x in kept and x[0] == min(y[0] for y in g) for x in g) == 1 for g in groups.values())
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
