@@ -1,13 +1,18 @@
-"""Language-model scores by a weighted backoff automaton.
+"""Language-model scores by weighted backoff.
 
-Counts of all training words are kept in full, in a stored table. Words with at least `word_share` of all training
-tokens are frequent: there are at most 1 / word_share of them, so they and the automaton fit on every executor
-whatever the corpus size. N-grams of up to three frequent words with at least `gram_share` of the tokens become states
-(at most 1 / gram_share for each order): an arc carries the discounted log10 probability, a failure arc the log10
-backoff weight, and the start state's arcs are the smoothed word probabilities, which sum to one over all known words
-and the unknown one. One traversal from left to right scores a text. Words that are not frequent always fail back to
-the start state; their counts are joined in afterwards, on keys that no single word can dominate, so the base score
-and the model's score are exact for every word of the corpus.
+Counts of all training words are kept in full, in a stored table, and so are all pairs and triples that training has
+`min_count` times or more: the model grows with the corpus. Probabilities are discounted by a constant; what the
+followers of a context leave over goes to the shorter context by its backoff weight, and words alone are smoothed so
+that they sum to one over all known words and the unknown one.
+
+Backing off is additive in logarithms. A text's score is its base score, plus the backoff weight of each word that is
+followed by something, plus one weight for each pair and triple that the model has: the probability of its last word
+less what the shorter contexts have given it already, and its own backoff weight. So one lookup of each gram of a text
+scores it. Grams are known by 64-bit hashes and travel in blocks, one for each bucket of hashes; the number of buckets
+follows the number of tokens.
+
+Words with at least `word_share` of all training tokens (at most 1 / word_share of them) have their own values on every
+executor; the counts of all others are joined in on the words, so that base scores are exact for every word.
 
 Null and blank texts consist of the end token alone. Repeated rows are scored one by one. With no training text every
 word is unknown and has probability one.
@@ -21,8 +26,9 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,40 +104,201 @@ class Automaton:
         return score, rare
 
 
-def gram_counts(docs: DataFrame, words: dict[bytes, int]) -> DataFrame:
-    """(gram, c): counts of pairs and triples of frequent words; a gram is its ids in base 2^21, plus one each."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(words)
-    bounded_batches(docs.sparkSession)
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, seen = shared.value, Counter()
 
-        def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["gram", "c"])
-            seen.clear()
-            return got
+def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of grams: of a pair from the hashes of its words, of a triple from the keys of its two pairs."""
+    x = (a ^ (a >> np.uint64(31))) * _A + (b ^ (b >> np.uint64(29))) * _B
+    x = (x ^ (x >> np.uint64(32))) * _C
+    return x ^ (x >> np.uint64(29))
 
-        for b in batches:
-            texts = b.column(0).to_pylist()
+
+class Hasher:
+    """Hashes of the tokens of texts, the same as Spark's xxhash64; remembers at most `most` words."""
+
+    def __init__(self, most: int = 500_000):
+        self.most, self.known = most, {}
+
+    def __call__(self, toks: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of each token, number of its text)."""
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        flat = list(itertools.chain.from_iterable(toks))
+        for w in set(flat):
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w, 42)
+        return np.fromiter(map(known.__getitem__, flat), dtype=np.uint64, count=len(flat)), np.repeat(np.arange(len(toks)), list(map(len, toks)))
+
+
+def blocks_of(buckets: int, keys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(order, [(bucket, from, to)]) that puts keys into buckets and keeps their order within each."""
+    bucket = (keys >> np.uint64(20)) % np.uint64(buckets)
+    order = np.argsort(bucket.astype(np.uint16 if buckets <= 65536 else np.uint32), kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
+    return order, [(k, i, j) for k, (i, j) in enumerate(itertools.pairwise(cuts)) if j > i]
+
+
+def _joined(column: list, kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, dtype=kind) for x in column]) if column else np.empty(0, dtype=kind)
+
+
+def gram_counts(docs: DataFrame, least: float, buckets: int) -> DataFrame:
+    """(size, k, a, b, c): all pairs and triples with a count c of `least` or more; k is the key, a and b are the keys
+    it is made of."""
+    bounded_batches(docs.sparkSession)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, held, n = Hasher(), {2: [], 3: []}, 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for size, parts in held.items():
+                a, b = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+                parts.clear()
+                k = combined(a, b)
+                order = np.argsort(k)
+                k = k[order]
+                first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, dtype=np.int64)
+                c = np.diff(np.append(first, len(k))).astype(np.uint32)
+                k, a, b = k[first], a[order][first], b[order][first]
+                order, cuts = blocks_of(buckets, k)
+                a, b, c = a[order], b[order], c[order]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x for x, *_ in cuts], pa.int32()), pa.array([size] * len(cuts), pa.int32())] + [pa.array([v[i:j].tobytes() for _, i, j in cuts], pa.binary()) for v in (a, b, c)],
+                    names=["bucket", "size", "a", "b", "c"],
+                )
+
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
             for i, j in text_slices(texts):
-                for t in texts[i:j]:
-                    g = [ids.get(x, -1) + 1 for x in tokens(t)]
-                    two = [(x << 21) | y if x and y else 0 for x, y in zip(g, g[1:], strict=False)]
-                    seen.update(two)
-                    seen.update((p << 21) | z if p and z else 0 for p, z in zip(two, g[2:], strict=False))
-                del seen[0]
-                if len(seen) > 400_000:
-                    yield out()
-        del seen[0]
-        if seen:
-            yield out()
+                h, doc = hasher([tokens(t) for t in texts[i:j]])
+                two, three = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
+                k = combined(h[:-1], h[1:])
+                held[2].append((h[:-1][two], h[1:][two]))
+                held[3].append((k[:-1][three], k[1:][three]))
+                n += len(h)
+                if n > 1_200_000:
+                    yield from out()
+                    n = 0
+        if n:
+            yield from out()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = {2: ([], [], []), 3: ([], [], [])}
+        for batch in batches:
+            sizes = batch.column(1).to_pylist()
+            for c in range(3):
+                for size, x in zip(sizes, batch.column(c + 2).to_pylist(), strict=True):
+                    got[size][c].append(x)
+        for size, (a, b, c) in got.items():
+            a, b, c = _joined(a, np.uint64), _joined(b, np.uint64), _joined(c, np.uint32)
+            if not len(a):
+                continue
+            k = combined(a, b)
+            order = np.argsort(k)
+            k = k[order]
+            first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            total = np.add.reduceat(c[order].astype(np.int64), first)
+            keep = total >= least
+            at = order[first[keep]]
+            k, a, b, total = (x.view(np.int64) for x in (k[first[keep]], a[at], b[at], total[keep]))
+            for i in range(0, len(k), 100_000):
+                part = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[part]), size, dtype=np.int32)), *(pa.array(x[part]) for x in (k, a, b, total))], names=["size", "k", "a", "b", "c"])
+
+    blocks = docs.select("text").mapInArrow(emit, "bucket int, size int, a binary, b binary, c binary")
+    return blocks.repartition(buckets, "bucket").mapInArrow(count, "size int, k long, a long, b long, c long")
+
+
+def gram_weights(grams: DataFrame, vocab: DataFrame, scale: float) -> tuple[DataFrame, DataFrame]:
+    """((k, weight) of all kept pairs and triples, (k, weight) of all words with followers), both stored."""
+    words = vocab.select(F.xxhash64("word").alias("h"), F.col("c").alias("cw"))
+    rest = lambda given, low: F.log10(F.greatest(1 - F.sum(given), F.lit(1e-12)) / F.greatest(1 - F.sum(low), F.lit(1e-12)))
+    two = grams.where("size = 2").select("k", "a", "b", "c")
+    two = two.join(words.select(F.col("h").alias("a"), F.col("cw").alias("seen")), "a").join(words.select(F.col("h").alias("b"), ((F.col("cw") + 0.5) / scale).alias("low")), "b")
+    two = stored(two.select("k", "a", "c", ((F.col("c") - DISCOUNT) / F.col("seen")).alias("p"), "low"), "lm-pairs")
+    after_one = stored(two.groupBy("a").agg(rest("p", "low").alias("weight")).select(F.col("a").alias("k"), "weight"), "lm-after-word")
+    three = grams.where("size = 3").select("k", "a", "b", "c")
+    three = three.join(two.select(F.col("k").alias("a"), F.col("c").alias("seen")), "a").join(two.select(F.col("k").alias("b"), F.col("p").alias("low")), "b")
+    three = stored(three.select("k", "a", ((F.col("c") - DISCOUNT) / F.col("seen")).alias("p"), "low"), "lm-triples")
+    after_two = stored(three.groupBy("a").agg(rest("p", "low").alias("weight")).select(F.col("a").alias("k"), "weight"), "lm-after-pair")
+    own = F.log10("p") - F.log10("low")
+    w2 = two.join(after_one.select(F.col("k").alias("a"), F.col("weight").alias("less")), "a").join(after_two.withColumnRenamed("weight", "more"), "k", "left")
+    w3 = three.join(after_two.select(F.col("k").alias("a"), F.col("weight").alias("less")), "a")
+    weights = w2.select("k", (own - F.col("less") + F.coalesce("more", F.lit(0.0))).alias("weight")).unionByName(w3.select("k", (own - F.col("less")).alias("weight")))
+    return stored(weights, "lm-weights"), after_one
+
+
+def gram_sums(docs: DataFrame, weights: DataFrame, frequent: list[bytes], buckets: int) -> DataFrame:
+    """(uid, extra): sums over texts (uid, text) of the weights (k, weight) of their pairs, triples and words that are
+    not frequent, in parts of a text."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    often = spark.sparkContext.broadcast(np.sort(np.array([xxhash.xxh64_intdigest(w, 42) for w in frequent] or [0], dtype=np.uint64)))
 
-    return docs.select("text").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, common = Hasher(), often.value
+        for batch in batches:
+            uids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for i, j in text_slices(texts):
+                h, doc = hasher([tokens(t) for t in texts[i:j]])
+                two, three = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
+                k = combined(h[:-1], h[1:])
+                rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
+                keys, of = np.concatenate([k[two], combined(k[:-1], k[1:])[three], h[rare]]), np.concatenate([doc[1:][two], doc[2:][three], doc[rare]])
+                if not len(keys):
+                    continue
+                by_doc = np.argsort(of, kind="stable")
+                keys, of = keys[by_doc], of[by_doc]
+                order, cuts = blocks_of(buckets, keys)
+                keys, of = keys[order], of[order]
+                who, sizes = [], []
+                for _, x, y in cuts:
+                    first = np.flatnonzero(np.append(True, of[x + 1 : y] != of[x : y - 1]))
+                    who.append(uids[i:j][of[x:y][first]].astype(np.int64).tobytes())
+                    sizes.append(np.diff(np.append(first, y - x)).astype(np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, *_ in cuts], pa.int32()), pa.array([keys[x:y].tobytes() for _, x, y in cuts], pa.binary()), pa.array(who, pa.binary()), pa.array(sizes, pa.binary()), pa.nulls(len(cuts), pa.binary())], names=names)
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, weight = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            order, cuts = blocks_of(buckets, keys)
+            keys, weight = keys[order], weight[order]
+            none = pa.nulls(len(cuts), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, *_ in cuts], pa.int32()), pa.array([keys[x:y].tobytes() for _, x, y in cuts], pa.binary()), none, none, pa.array([weight[x:y].tobytes() for _, x, y in cuts], pa.binary())], names=names)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, known, weight = [], [], []
+        for batch in batches:
+            for k, who, sizes, w in zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True):
+                if w is None:
+                    asked.append((k, who, sizes))
+                else:
+                    known.append(k)
+                    weight.append(w)
+        known, weight = _joined(known, np.uint64), _joined(weight, np.float64)
+        if not len(known) or not asked:
+            return
+        order = np.argsort(known)
+        known, weight = known[order], weight[order]
+        for at in range(0, len(asked), 32):
+            part = asked[at : at + 32]
+            k, who, sizes = _joined([x[0] for x in part], np.uint64), _joined([x[1] for x in part], np.int64), _joined([x[2] for x in part], np.uint32)
+            found = np.minimum(np.searchsorted(known, k), len(known) - 1)
+            got = np.where(known[found] == k, weight[found], 0.0)
+            sums = np.add.reduceat(got, np.append(0, np.cumsum(sizes.astype(np.int64))[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(sums)], names=["uid", "extra"])
+
+    names = ["bucket", "keys", "who", "sizes", "weight"]
+    kind = "bucket int, keys binary, who binary, sizes binary, weight binary"
+    blocks = docs.select("uid", "text").mapInArrow(ask, kind).unionByName(weights.mapInArrow(give, kind))
+    return blocks.repartition(buckets, "bucket").mapInArrow(answer, "uid long, extra double").groupBy("uid").agg(F.sum("extra").alias("extra"))
 
 
 def build(word_c: dict[bytes, int], grams: dict[int, int], n: int, v: int) -> Automaton:
-    """The automaton over frequent words; absolute discounting, so that probabilities after each state sum to one."""
+    """The same model as an automaton in memory, for small inputs; absolute discounting, so that probabilities after
+    each state sum to one. A gram is its word numbers in base 2^21, plus one each."""
     scale = n + 0.5 * (v + 1)
     names = list(word_c)
     words = {w: i for i, w in enumerate(names)}
@@ -175,48 +342,59 @@ def build(word_c: dict[bytes, int], grams: dict[int, int], n: int, v: int) -> Au
     return Automaton(words, arcs, fail, scale)
 
 
-def lm_scores(docs: DataFrame, held_out_mod: tuple[int, int] = (5, 1), word_share: float = 1e-6, gram_share: float = 1e-5) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text)."""
+def lm_scores(docs: DataFrame, held_out_mod: tuple[int, int] = (5, 1), word_share: float = 1e-6, gram_share: float = 0.0, min_count: int = 2, tokens_per_bucket: int = 1_000_000) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text).
+
+    The model has all pairs and triples with a count of min_count or more; a gram_share above 0 also asks for that share
+    of all tokens."""
     spark = docs.sparkSession
     mod, rest = held_out_mod
     out_of = F.coalesce(crc_mod(F.col("doc_id"), mod) == rest, F.lit(False))
+    docs = stored(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("uid")), "lm-docs")
     train = docs.where(~out_of)
     vocab = word_counts(train)
     n, v = (x or 0 for x in vocab.agg(F.sum("c"), F.count(F.lit(1))).first())
-    # Bounded by the shares: at most 1 / word_share words and 2 / gram_share grams reach the driver.
-    frequent = {bytes(r["word"]): r["c"] for r in vocab.where(F.col("c") >= word_share * n).orderBy("word").collect()} if n else {}
-    ids = {w: i for i, w in enumerate(frequent)}
-    least = max(2.0, gram_share * n)
-    grams = {r["gram"]: r["c"] for r in gram_counts(train, ids).where(F.col("c") >= least).collect()} if frequent else {}
-    model = build(frequent, grams, n, v)
-    scale = model.scale
-    base = {w: math.log10((c + 0.5) / scale) for w, c in frequent.items()}
-    shared = spark.sparkContext.broadcast((model, base))
+    scale = n + 0.5 * (v + 1)
+    buckets = max(32, n // tokens_per_bucket)
+    grams = stored(gram_counts(train, max(min_count, gram_share * n), buckets), "lm-grams")
+    weights, after = gram_weights(grams, vocab, scale)
+    # Bounded by the share: at most 1 / word_share words reach the driver.
+    often = vocab.where(F.col("c") >= word_share * n) if n else vocab
+    named = often.join(after, F.xxhash64("word") == F.col("k"), "left").select("word", "c", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    base = {bytes(r["word"]): (math.log10((r["c"] + 0.5) / scale), r["weight"]) for r in named.collect()}
+    extra = gram_sums(docs, weights.unionByName(after), list(base), buckets)
+    shared = spark.sparkContext.broadcast(base)
     bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (model, base), part, row, zeros = shared.value, TaskContext.get().partitionId() << 40, 0, itertools.repeat(0.0)
+        base = shared.value
         for b in batches:
-            ids_, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids_, row_ids, texts = (b.column(c).to_pylist() for c in range(3))
             for i, j in text_slices(texts):
                 uids, word, tf, heads = [], [], [], []
                 for k in range(i, j):
-                    toks = tokens(texts[k])
-                    score, rare = model.traverse(toks)
-                    uid, row = part + row, row + 1
-                    found = Counter(rare)
+                    count = Counter(tokens(texts[k]))
+                    low = high = 0.0
+                    size, rare = 0, []
+                    for w, x in count.items():
+                        size += x
+                        if (own := base.get(w)) is None:
+                            rare.append(w)
+                        else:
+                            low += x * own[0]
+                            high += x * own[1]
+                    left = [count[w] for w in rare]
                     # The text's own row has a word that none can equal; only this row has numbers.
-                    heads += [None] * len(found) + [{"doc_id": ids_[k], "n_tokens": len(toks), "known": len(toks) - len(rare), "low": sum(map(base.get, toks, zeros)), "high": score}]
-                    found[b" %d" % uid] = 0
-                    uids += [uid] * len(found)
-                    word += found
-                    tf += found.values()
+                    heads += [None] * len(rare) + [{"doc_id": ids_[k], "n_tokens": size, "known": size - sum(left), "low": low, "high": low + high}]
+                    uids += [row_ids[k]] * (len(rare) + 1)
+                    word += [*rare, b" %d" % row_ids[k]]
+                    tf += [*left, 0]
                 yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(word, pa.binary()), pa.array(tf, pa.int32()), pa.array(heads, head)], names=["uid", "word", "tf", "d"])
 
     kind = docs.schema["doc_id"].dataType
     fields = T.StructType().add("doc_id", kind).add("n_tokens", "long").add("known", "long").add("low", "double").add("high", "double")
     head = to_arrow_type(fields)
-    parts = docs.select("doc_id", "text").mapInArrow(run, T.StructType().add("uid", "long").add("word", "binary").add("tf", "integer").add("d", fields))
+    parts = docs.select("doc_id", "uid", "text").mapInArrow(run, T.StructType().add("uid", "long").add("word", "binary").add("tf", "integer").add("d", fields))
     rare = vocab.where(F.col("c") < word_share * n) if n else vocab
     joined = parts.join(rare, "word", "left")
     # A word that training never saw has c = 0.
@@ -228,4 +406,5 @@ def lm_scores(docs: DataFrame, held_out_mod: tuple[int, int] = (5, 1), word_shar
         (F.sum("d.low") + F.sum(mass)).alias("base_score"),
         (F.sum("d.high") + F.sum(mass)).alias("score"),
     )
-    return sums.select("doc_id", out_of.alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
+    score = F.col("score") + F.coalesce("extra", F.lit(0.0))
+    return sums.join(extra, "uid", "left").select("doc_id", out_of.alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", score.alias("score"))

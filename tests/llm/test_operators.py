@@ -247,6 +247,51 @@ def test_lm_probabilities_sum_to_one():
         assert math.isclose(total, 1.0, rel_tol=1e-9)
 
 
+def test_lm_scores_by_brute_force(spark, docs, rows):
+    def score(all_rows):
+        held = {i for i, *_ in all_rows if i is not None and zlib.crc32(str(i).encode()) % 5 == 1}
+        toks = [lm.tokens(t) for _, t, _ in all_rows]
+        train = [w for (i, *_), w in zip(all_rows, toks, strict=True) if i not in held]
+        one, two, three = (Counter(tuple(w[k : k + m]) for w in train for k in range(len(w) - m + 1)) for m in (1, 2, 3))
+        two, three = ({g: c for g, c in x.items() if c >= 2} for x in (two, three))
+        scale = sum(one.values()) + 0.5 * (len(one) + 1)
+        after = defaultdict(list)
+        for g in [*two, *three]:
+            after[g[:-1]].append(g[-1])
+        seen = {**one, **two}
+
+        def given(ctx, w):
+            return (({2: two, 3: three}[len(ctx) + 1])[(*ctx, w)] - 0.5) / seen[ctx]
+
+        left = {}
+
+        def p(ctx, w):
+            if not ctx:
+                return (one[(w,)] + 0.5) / scale
+            if w in after.get(ctx, ()):
+                return given(ctx, w)
+            if ctx not in after:
+                return p(ctx[1:], w)
+            if ctx not in left:
+                left[ctx] = max(1 - sum(given(ctx, x) for x in after[ctx]), 1e-12) / max(1 - sum(p(ctx[1:], x) for x in after[ctx]), 1e-12)
+            return left[ctx] * p(ctx[1:], w)
+
+        return sorted(((i, len(w), sum(math.log10(p(tuple(w[max(0, k - 2) : k]), x)) for k, x in enumerate(w))) for (i, *_), w in zip(all_rows, toks, strict=True)), key=repr)
+
+    def same(df, want, **kw):
+        have = got(lm.lm_scores(df, **kw), "doc_id", "n_tokens", "score")
+        assert [x[:2] for x in have] == [x[:2] for x in want]
+        assert all(math.isclose(x[2], y[2], rel_tol=1e-9, abs_tol=1e-6) for x, y in zip(have, want, strict=True))
+
+    want = score(rows)
+    same(docs, want)
+    same(docs, want, word_share=0.01)
+    # Pairs that are a far smaller share of all tokens than 1e-5 count as well.
+    a, b, c, d = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5 != 1][:4]
+    many = [(a, "x " * 500_000, "en"), (b, "rare pair here", "en"), (c, "rare pair here", "en"), (d, "a rare pair", "en")]
+    same(spark.createDataFrame(many, "doc_id long, text string, lang string"), score(many))
+
+
 def test_token_files(docs, rows, empty):
     from tokenizers import Tokenizer
 
