@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import bounded_batches, stored
+from corpusloom.llm.common import bounded_batches, dropped, stored
 
 RADIUS = 2
 
@@ -85,23 +85,30 @@ def links(classes: DataFrame, hot: int = 64) -> DataFrame:
     return pairs.unionByName(star).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over edges (a, b).
 
-    Labels spread over the links and then jump to the label of their label, so paths halve each round. Links per
-    node are bounded by links(), joins on a popular label are plain sort-merge joins that skew handling can split,
-    and every round is a written table."""
-    edges = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), "cc-edges")
-    labels = stored(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("label")), "cc-labels")
-    for _ in range(rounds):
-        heard = edges.join(labels.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("label").alias("heard")).withColumnRenamed("u", "id")
-        spread = labels.join(heard, "id").select("id", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("over"))
-        new = stored(spread.join(jump, "label").select("id", F.least("label", "over").alias("label"), (F.least("label", "over") != F.col("was")).alias("changed")), "cc-labels")
-        labels = new.select("id", "label")
-        if new.where("changed").limit(1).count() == 0:
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    Stars are made by turns: each node hands its smallest neighbour, or itself if smaller, to its larger neighbours,
+    then to its smaller ones. Edges never become more, a path halves with each turn, and once a turn changes nothing
+    every component is one star around its smallest id. A node with very many neighbours meets one row of the other side
+    in a sort-merge join, which skew handling can split; every turn is a written table."""
+    pair = lambda u, v: [F.col(u).alias("u"), F.col(v).alias("v")]
+    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc-edges")
+    before = None
+    while True:
+        facts = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if facts == before:
+            break
+        before = facts
+        least = now.unionByName(now.select(*pair("v", "u"))).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = now.select(*pair("v", "u")).join(least, "u").select(*pair("v", "m")).distinct()
+        large = stored(large, "cc-large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(*pair("v", "m")).unionByName(least.select(*pair("u", "m"))).distinct()
+        last, now = now, stored(small, "cc-small")
+        dropped(now.sparkSession, last, large)
+    star = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return star.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
 def simhash_components(docs: DataFrame, hot: int = 64) -> DataFrame:
