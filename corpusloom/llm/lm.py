@@ -1,410 +1,313 @@
-"""Language-model scores by weighted backoff.
-
-Counts of all training words are kept in full, in a stored table, and so are all pairs and triples that training has
-`min_count` times or more: the model grows with the corpus. Probabilities are discounted by a constant; what the
-followers of a context leave over goes to the shorter context by its backoff weight, and words alone are smoothed so
-that they sum to one over all known words and the unknown one.
-
-Backing off is additive in logarithms. A text's score is its base score, plus the backoff weight of each word that is
-followed by something, plus one weight for each pair and triple that the model has: the probability of its last word
-less what the shorter contexts have given it already, and its own backoff weight. So one lookup of each gram of a text
-scores it. Grams are known by 64-bit hashes and travel in blocks, one for each bucket of hashes; the number of buckets
-follows the number of tokens.
-
-Words with at least `word_share` of all training tokens (at most 1 / word_share of them) have their own values on every
-executor; the counts of all others are joined in on the words, so that base scores are exact for every word.
-
-Null and blank texts consist of the end token alone. Repeated rows are scored one by one. With no training text every
-word is unknown and has probability one.
+"""Language-model scores by a weighted backoff automaton.
+
+Every word and every pair of neighbouring words of the training texts is a state. From a state with count c, a word
+that followed it n times has an arc of weight log10((n + MASS * p) / (c + MASS)), where p is the word's probability in
+the state's shorter context; for every other word a failure arc of weight log10(MASS / (c + MASS)) leads to that shorter
+context. The start state has an arc for every word, known or not, of the weight that the base score gives it. So the
+probabilities that leave a state sum to one. Nothing is left out: all words, pairs and triples of training are counted,
+and the model grows with the corpus.
+
+Counts meet texts without a table of the model that one machine must hold. Texts are stored as slices of token numbers.
+A slice asks for the counts of its distinct words, pairs and triples in blocks, one for each bucket of hashes, and says
+how often training has them in the slice; a bucket adds up and answers every block; a slice's part of the automaton is
+then complete, and one pass from left to right scores its texts. Buckets and slices follow the number of tokens; a word
+of any frequency is asked for once a slice. Words are known by 64 bits of hash, pairs and triples by 56.
+
+Null and blank texts consist of the end token alone. Repeated rows are scored one by one. A null doc_id is not held out.
+With no training text every word is unknown and has probability one. A text longer than a slice is a slice of its own,
+and is scored in windows that carry the state. Other columns of docs are not read.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from corpusloom.llm.common import arrow_slices, bounded_batches, crc_mod, dropped, stored
 
-from corpusloom.llm.common import bounded_batches, crc_mod, stored, text_slices
+#: The end token is a byte that no text in UTF-8 has.
+END = b"\xff"
+#: Observations that the shorter context is worth.
+MASS = 4.0
 
-#: The end token holds a blank, so that no word equals it.
-END = b" end"
-DISCOUNT = 0.5
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
 def tokens(text: str | None) -> list[bytes]:
     """Words of a whole text, A-Z lower-cased, and the end token."""
-    out = (text or "").encode().lower().split()
-    out.append(END)
-    return out
+    return [*(text or "").encode().lower().split(), END]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): stored counts of all tokens of docs; each slice of texts is summed before the shuffle."""
-    bounded_batches(docs.sparkSession)
+def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of grams: of a pair from the hashes of its words, of a triple from the keys of its two pairs."""
+    x = (a ^ (a >> np.uint64(31))) * _A + (b ^ (b >> np.uint64(29))) * _B
+    x = (x ^ (x >> np.uint64(32))) * _C
+    return x ^ (x >> np.uint64(29))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+def packed(x: np.ndarray) -> bytes:
+    """Numbers in the fewest whole bytes that hold them all, first bytes first, which compresses well."""
+    size = next(s for s in (1, 2, 4, 8) if s == 8 or not len(x) or int(x.max()) < 1 << 8 * s)
+    return x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes()
 
-        def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-            seen.clear()
-            return got
 
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for i, j in text_slices(texts):
-                for t in texts[i:j]:
-                    seen.update(tokens(t))
-                if len(seen) > 400_000:
-                    yield out()
-        if seen:
-            yield out()
-
-    return stored(docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
-
-
-@dataclass
-class Automaton:
-    """States are numbered; arcs[state][word id] is (log10 weight, next state); fail[state] is (log10 weight, state).
-
-    State 0 is the start state; its arcs exist for frequent words only and weigh what the word's count gives."""
-
-    words: dict[bytes, int]
-    arcs: list[dict[int, tuple[float, int]]]
-    fail: list[tuple[float, int]]
-    scale: float
-
-    def traverse(self, toks: list[bytes]) -> tuple[float, list[bytes]]:
-        """(score without rare words' own probabilities, rare words): one pass that carries the state."""
-        ids, arcs, fail = self.words, self.arcs, self.fail
-        state, score, rare = 0, 0.0, []
-        for t in toks:
-            w = ids.get(t)
-            if w is None:
-                while state:
-                    weight, state = fail[state]
-                    score += weight
-                rare.append(t)
-                continue
-            while (arc := arcs[state].get(w)) is None:
-                weight, state = fail[state]
-                score += weight
-            score += arc[0]
-            state = arc[1]
-        return score, rare
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    size = len(raw) // n if n else 1
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, n).T).view(f"<u{size}").ravel()
 
 
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+def keys_packed(k: np.ndarray, size: int) -> bytes:
+    """The low `size` bytes of sorted keys, first bytes first."""
+    return k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
 
 
-def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Keys of grams: of a pair from the hashes of its words, of a triple from the keys of its two pairs."""
-    x = (a ^ (a >> np.uint64(31))) * _A + (b ^ (b >> np.uint64(29))) * _B
-    x = (x ^ (x >> np.uint64(32))) * _C
-    return x ^ (x >> np.uint64(29))
+def keys_unpacked(raw: bytes, size: int) -> np.ndarray:
+    n = len(raw) // size
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :size] = np.frombuffer(raw, dtype=np.uint8).reshape(size, n).T
+    return out.view("<u8").ravel()
 
 
-class Hasher:
-    """Hashes of the tokens of texts, the same as Spark's xxhash64; remembers at most `most` words."""
-
-    def __init__(self, most: int = 500_000):
-        self.most, self.known = most, {}
-
-    def __call__(self, toks: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of each token, number of its text)."""
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        flat = list(itertools.chain.from_iterable(toks))
-        for w in set(flat):
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w, 42)
-        return np.fromiter(map(known.__getitem__, flat), dtype=np.uint64, count=len(flat)), np.repeat(np.arange(len(toks)), list(map(len, toks)))
-
-
-def blocks_of(buckets: int, keys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """(order, [(bucket, from, to)]) that puts keys into buckets and keeps their order within each."""
-    bucket = (keys >> np.uint64(20)) % np.uint64(buckets)
-    order = np.argsort(bucket.astype(np.uint16 if buckets <= 65536 else np.uint32), kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
-    return order, [(k, i, j) for k, (i, j) in enumerate(itertools.pairwise(cuts)) if j > i]
-
-
-def _joined(column: list, kind: type) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, dtype=kind) for x in column]) if column else np.empty(0, dtype=kind)
-
-
-def gram_counts(docs: DataFrame, least: float, buckets: int) -> DataFrame:
-    """(size, k, a, b, c): all pairs and triples with a count c of `least` or more; k is the key, a and b are the keys
-    it is made of."""
-    bounded_batches(docs.sparkSession)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, n = Hasher(), {2: [], 3: []}, 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for size, parts in held.items():
-                a, b = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
-                parts.clear()
-                k = combined(a, b)
-                order = np.argsort(k)
-                k = k[order]
-                first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, dtype=np.int64)
-                c = np.diff(np.append(first, len(k))).astype(np.uint32)
-                k, a, b = k[first], a[order][first], b[order][first]
-                order, cuts = blocks_of(buckets, k)
-                a, b, c = a[order], b[order], c[order]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for x, *_ in cuts], pa.int32()), pa.array([size] * len(cuts), pa.int32())] + [pa.array([v[i:j].tobytes() for _, i, j in cuts], pa.binary()) for v in (a, b, c)],
-                    names=["bucket", "size", "a", "b", "c"],
-                )
-
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i, j in text_slices(texts):
-                h, doc = hasher([tokens(t) for t in texts[i:j]])
-                two, three = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
-                k = combined(h[:-1], h[1:])
-                held[2].append((h[:-1][two], h[1:][two]))
-                held[3].append((k[:-1][three], k[1:][three]))
-                n += len(h)
-                if n > 1_200_000:
-                    yield from out()
-                    n = 0
-        if n:
-            yield from out()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = {2: ([], [], []), 3: ([], [], [])}
-        for batch in batches:
-            sizes = batch.column(1).to_pylist()
-            for c in range(3):
-                for size, x in zip(sizes, batch.column(c + 2).to_pylist(), strict=True):
-                    got[size][c].append(x)
-        for size, (a, b, c) in got.items():
-            a, b, c = _joined(a, np.uint64), _joined(b, np.uint64), _joined(c, np.uint32)
-            if not len(a):
-                continue
-            k = combined(a, b)
-            order = np.argsort(k)
-            k = k[order]
-            first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            total = np.add.reduceat(c[order].astype(np.int64), first)
-            keep = total >= least
-            at = order[first[keep]]
-            k, a, b, total = (x.view(np.int64) for x in (k[first[keep]], a[at], b[at], total[keep]))
-            for i in range(0, len(k), 100_000):
-                part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[part]), size, dtype=np.int32)), *(pa.array(x[part]) for x in (k, a, b, total))], names=["size", "k", "a", "b", "c"])
-
-    blocks = docs.select("text").mapInArrow(emit, "bucket int, size int, a binary, b binary, c binary")
-    return blocks.repartition(buckets, "bucket").mapInArrow(count, "size int, k long, a long, b long, c long")
-
-
-def gram_weights(grams: DataFrame, vocab: DataFrame, scale: float) -> tuple[DataFrame, DataFrame]:
-    """((k, weight) of all kept pairs and triples, (k, weight) of all words with followers), both stored."""
-    words = vocab.select(F.xxhash64("word").alias("h"), F.col("c").alias("cw"))
-    rest = lambda given, low: F.log10(F.greatest(1 - F.sum(given), F.lit(1e-12)) / F.greatest(1 - F.sum(low), F.lit(1e-12)))
-    two = grams.where("size = 2").select("k", "a", "b", "c")
-    two = two.join(words.select(F.col("h").alias("a"), F.col("cw").alias("seen")), "a").join(words.select(F.col("h").alias("b"), ((F.col("cw") + 0.5) / scale).alias("low")), "b")
-    two = stored(two.select("k", "a", "c", ((F.col("c") - DISCOUNT) / F.col("seen")).alias("p"), "low"), "lm-pairs")
-    after_one = stored(two.groupBy("a").agg(rest("p", "low").alias("weight")).select(F.col("a").alias("k"), "weight"), "lm-after-word")
-    three = grams.where("size = 3").select("k", "a", "b", "c")
-    three = three.join(two.select(F.col("k").alias("a"), F.col("c").alias("seen")), "a").join(two.select(F.col("k").alias("b"), F.col("p").alias("low")), "b")
-    three = stored(three.select("k", "a", ((F.col("c") - DISCOUNT) / F.col("seen")).alias("p"), "low"), "lm-triples")
-    after_two = stored(three.groupBy("a").agg(rest("p", "low").alias("weight")).select(F.col("a").alias("k"), "weight"), "lm-after-pair")
-    own = F.log10("p") - F.log10("low")
-    w2 = two.join(after_one.select(F.col("k").alias("a"), F.col("weight").alias("less")), "a").join(after_two.withColumnRenamed("weight", "more"), "k", "left")
-    w3 = three.join(after_two.select(F.col("k").alias("a"), F.col("weight").alias("less")), "a")
-    weights = w2.select("k", (own - F.col("less") + F.coalesce("more", F.lit(0.0))).alias("weight")).unionByName(w3.select("k", (own - F.col("less")).alias("weight")))
-    return stored(weights, "lm-weights"), after_one
-
-
-def gram_sums(docs: DataFrame, weights: DataFrame, frequent: list[bytes], buckets: int) -> DataFrame:
-    """(uid, extra): sums over texts (uid, text) of the weights (k, weight) of their pairs, triples and words that are
-    not frequent, in parts of a text."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    often = spark.sparkContext.broadcast(np.sort(np.array([xxhash.xxh64_intdigest(w, 42) for w in frequent] or [0], dtype=np.uint64)))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, common = Hasher(), often.value
-        for batch in batches:
-            uids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for i, j in text_slices(texts):
-                h, doc = hasher([tokens(t) for t in texts[i:j]])
-                two, three = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
-                k = combined(h[:-1], h[1:])
-                rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
-                keys, of = np.concatenate([k[two], combined(k[:-1], k[1:])[three], h[rare]]), np.concatenate([doc[1:][two], doc[2:][three], doc[rare]])
-                if not len(keys):
-                    continue
-                by_doc = np.argsort(of, kind="stable")
-                keys, of = keys[by_doc], of[by_doc]
-                order, cuts = blocks_of(buckets, keys)
-                keys, of = keys[order], of[order]
-                who, sizes = [], []
-                for _, x, y in cuts:
-                    first = np.flatnonzero(np.append(True, of[x + 1 : y] != of[x : y - 1]))
-                    who.append(uids[i:j][of[x:y][first]].astype(np.int64).tobytes())
-                    sizes.append(np.diff(np.append(first, y - x)).astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, *_ in cuts], pa.int32()), pa.array([keys[x:y].tobytes() for _, x, y in cuts], pa.binary()), pa.array(who, pa.binary()), pa.array(sizes, pa.binary()), pa.nulls(len(cuts), pa.binary())], names=names)
-
-    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, weight = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            order, cuts = blocks_of(buckets, keys)
-            keys, weight = keys[order], weight[order]
-            none = pa.nulls(len(cuts), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, *_ in cuts], pa.int32()), pa.array([keys[x:y].tobytes() for _, x, y in cuts], pa.binary()), none, none, pa.array([weight[x:y].tobytes() for _, x, y in cuts], pa.binary())], names=names)
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, known, weight = [], [], []
-        for batch in batches:
-            for k, who, sizes, w in zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True):
-                if w is None:
-                    asked.append((k, who, sizes))
-                else:
-                    known.append(k)
-                    weight.append(w)
-        known, weight = _joined(known, np.uint64), _joined(weight, np.float64)
-        if not len(known) or not asked:
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of each text, hash of each different word, word number of each token) of a column of texts."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    coded = lists.flatten().dictionary_encode()
+    words, which = coded.dictionary, coded.indices.to_numpy()
+    of = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False)[which] > 0 if len(which) else np.zeros(0, dtype=bool)
+    which, sizes = which[real], np.bincount(of[real], minlength=len(texts))
+    # The last number is the end token's.
+    which = np.insert(which, np.cumsum(sizes), len(words))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in [*words.cast(pa.binary()).to_pylist(), END]), dtype=np.uint64)
+    # Frequent words get small numbers.
+    order = np.argsort(-np.bincount(which, minlength=len(hashes)), kind="stable")
+    number = np.empty(len(order), dtype=np.uint32)
+    number[order] = np.arange(len(order), dtype=np.uint32)
+    used = len(np.flatnonzero(np.bincount(which, minlength=len(hashes))))
+    return sizes + 1, hashes[order][:used], number[which]
+
+
+_SLICE = T.StructType().add("slice", "long").add("lengths", T.ArrayType(T.IntegerType())).add("words", "binary").add("numbers", "binary")
+_BLOCK = T.StructType().add("bucket", "integer").add("slice", "long").add("window", "integer").add("words", "binary").add("word_counts", "binary").add("grams", "binary").add("gram_counts", "binary")
+_ANSWER = T.StructType().add("slice", "long").add("window", "integer").add("bucket", "integer").add("n_words", "integer").add("word_counts", "binary").add("n_grams", "integer").add("gram_counts", "binary").add("tokens", "long").add("different", "long")
+
+
+def slices(docs: DataFrame, out_of: Column, slice_bytes: int) -> DataFrame:
+    """The stored slices: doc_ids, held and token numbers of runs of texts."""
+    bounded_batches(docs.sparkSession, 10_000)
+    kind = docs.schema["doc_id"].dataType
+    full = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("held", T.ArrayType(T.BooleanType())), *_SLICE.fields])
+    schema = to_arrow_schema(full)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for i, j in arrow_slices(b.column(2), slice_bytes):
+                lengths, words, numbers = numbered(b.column(2)[i:j])
+                row = {"ids": b.column(0)[i:j].to_pylist(), "held": b.column(1)[i:j].to_pylist(), "slice": number, "lengths": lengths, "words": words.astype("<u8").tobytes(), "numbers": packed(numbers)}
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+                number += 1
+
+    return stored(docs.select("doc_id", out_of.alias("held"), "text").mapInArrow(run, full), "lm-slices", compression="zstd")
+
+
+class Window:
+    """A run of a slice's tokens, with the two before it, and the sorted keys of its words, pairs and triples."""
+
+    def __init__(self, hashes: np.ndarray, numbers: np.ndarray, text: np.ndarray, start: int, stop: int):
+        low = max(0, start - 2)
+        self.start, self.low, self.stop = start, low, stop
+        self.numbers, self.text = numbers[low:stop], text[low:stop]
+        present = np.flatnonzero(np.bincount(self.numbers, minlength=len(hashes)))
+        order = np.argsort(hashes[present])
+        self.present = present[order]
+        self.words = hashes[self.present]
+        h = hashes[self.numbers]
+        pairs = combined(h[:-1], h[1:])
+        # Where the last word of each pair and triple stands; grams do not cross texts.
+        self.at2 = np.flatnonzero(self.text[1:] == self.text[:-1]) + 1
+        self.at3 = np.flatnonzero(self.text[2:] == self.text[:-2]) + 2
+        keys = np.concatenate([pairs[self.at2 - 1], combined(pairs[self.at3 - 2], pairs[self.at3 - 1])]) >> np.uint64(8)
+        self.order = np.argsort(keys)
+        ranked = keys[self.order]
+        self.first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, dtype=np.int64)
+        self.grams = ranked[self.first]
+
+    def training(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often training has each word and each gram here, given which texts are training."""
+        flag = train[self.text]
+        flag[: self.start - self.low] = False
+        words = np.bincount(self.numbers[flag], minlength=int(self.present.max()) + 1)[self.present]
+        flags = np.concatenate([flag[self.at2], flag[self.at3]])[self.order].astype(np.int64)
+        return words, np.add.reduceat(flags, self.first) if len(flags) else flags
+
+    def blocks(self, train: np.ndarray, buckets: int) -> Iterator[tuple]:
+        """(bucket, word keys, word counts, gram keys, gram counts); keys are in order within and across buckets."""
+        words, grams = self.training(train)
+        cuts = [np.searchsorted((k >> np.uint64(s)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64)).tolist() for k, s in ((self.words, 32), (self.grams, 24))]
+        for k in range(buckets):
+            (a, b), (c, d) = cuts[0][k : k + 2], cuts[1][k : k + 2]
+            if b > a or d > c:
+                yield k, keys_packed(self.words[a:b], 8), packed(words[a:b]), keys_packed(self.grams[c:d], 7), packed(grams[c:d])
+
+    def scores(self, word_counts: np.ndarray, gram_counts: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known, base, score) of each token from `start` on: the arcs that the traversal takes.
+
+        The state before a token is the longest known run of up to two words before it. Failure arcs are taken, and
+        their weights added, until the state has an arc for the token; the arc's target is the next token's state."""
+        by_number = np.zeros(int(self.present.max()) + 1, dtype=np.float64)
+        by_number[self.present] = word_counts
+        one = by_number[self.numbers]
+        sizes = np.diff(np.append(self.first, len(self.order)))
+        found = np.empty(len(self.order), dtype=np.float64)
+        found[self.order] = np.repeat(gram_counts, sizes)
+        two, three = np.zeros(len(one)), np.zeros(len(one))
+        two[self.at2], three[self.at3] = found[: len(self.at2)], found[len(self.at2) :]
+        start = np.log10((one + 0.5) / scale)
+        inside = np.zeros(len(one), dtype=bool)
+        inside[self.at2] = True
+        before = np.where(inside, np.append(0.0, one[:-1]), 0.0)
+        pair_before = np.where(inside, np.append(0.0, two[:-1]), 0.0)
+        # 2: a pair's state, 1: a word's, 0: the start state.
+        state = np.where(pair_before > 0, 2, np.where(before > 0, 1, 0))
+        low = (one + 0.5) / scale
+        middle = (two + MASS * low) / (before + MASS)
+        from_word = np.where(two > 0, np.log10(middle), np.log10(MASS / (before + MASS)) + start)
+        from_word = np.where(state >= 1, from_word, start)
+        top = (three + MASS * middle) / (pair_before + MASS)
+        from_pair = np.where(three > 0, np.log10(top), np.log10(MASS / (pair_before + MASS)) + from_word)
+        skip = self.start - self.low
+        return (one > 0)[skip:], start[skip:], np.where(state == 2, from_pair, from_word)[skip:]
+
+
+def _opened(words: bytes, numbers: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of words, word number of each token, text number of each token) of a stored slice."""
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    return np.frombuffer(words, dtype="<u8").astype(np.uint64), unpacked(numbers, len(text)).astype(np.int64), text
+
+
+def asked(parts: DataFrame, buckets: int, window: int) -> DataFrame:
+    """Blocks of keys and training counts, one for each window of a slice and bucket."""
+    schema = to_arrow_schema(_BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, held, lengths, words, numbers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                hashes, numbers, text = _opened(words, numbers, np.array(lengths))
+                train = ~np.array(held, dtype=bool)
+                for w, at in enumerate(range(0, len(numbers), window)):
+                    got = [*Window(hashes, numbers, text, at, min(at + window, len(numbers))).blocks(train, buckets)]
+                    columns = list(zip(*got, strict=True))
+                    n = len(got)
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([number] * n, pa.int64()), pa.array([w] * n, pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], schema=schema)
+
+    bounded_batches(parts.sparkSession, 8)
+    return parts.select("slice", "held", "lengths", "words", "numbers").mapInArrow(run, _BLOCK)
+
+
+def answered(blocks: DataFrame, buckets: int) -> DataFrame:
+    """The stored answers: for every block the training counts of its keys in the whole corpus; the first row of a task
+    has the number of tokens and of different words of its buckets, others 0."""
+    schema = to_arrow_schema(_ANSWER)
+
+    def total(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        k, c = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(k)
+        k = k[order]
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, dtype=np.int64)
+        sums = np.add.reduceat(c[order].astype(np.int64), first) if len(k) else np.zeros(0, dtype=np.int64)
+        out = np.empty(len(k), dtype=np.int64)
+        out[order] = np.repeat(sums, np.diff(np.append(first, len(k))))
+        return np.split(out, np.cumsum([len(x) for x in keys])[:-1]), sums
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, keys, counts = [], ([], []), ([], [])
+        for b in batches:
+            names += list(zip(*(b.column(c).to_pylist() for c in (1, 2, 0)), strict=True))
+            for which, (size, k, c) in enumerate(((8, 3, 4), (7, 5, 6))):
+                for x, y in zip(b.column(k).to_pylist(), b.column(c).to_pylist(), strict=True):
+                    x = keys_unpacked(x, size)
+                    keys[which].append(x)
+                    counts[which].append(unpacked(y, len(x)))
+        if not names:
             return
-        order = np.argsort(known)
-        known, weight = known[order], weight[order]
-        for at in range(0, len(asked), 32):
-            part = asked[at : at + 32]
-            k, who, sizes = _joined([x[0] for x in part], np.uint64), _joined([x[1] for x in part], np.int64), _joined([x[2] for x in part], np.uint32)
-            found = np.minimum(np.searchsorted(known, k), len(known) - 1)
-            got = np.where(known[found] == k, weight[found], 0.0)
-            sums = np.add.reduceat(got, np.append(0, np.cumsum(sizes.astype(np.int64))[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(sums)], names=["uid", "extra"])
-
-    names = ["bucket", "keys", "who", "sizes", "weight"]
-    kind = "bucket int, keys binary, who binary, sizes binary, weight binary"
-    blocks = docs.select("uid", "text").mapInArrow(ask, kind).unionByName(weights.mapInArrow(give, kind))
-    return blocks.repartition(buckets, "bucket").mapInArrow(answer, "uid long, extra double").groupBy("uid").agg(F.sum("extra").alias("extra"))
-
-
-def build(word_c: dict[bytes, int], grams: dict[int, int], n: int, v: int) -> Automaton:
-    """The same model as an automaton in memory, for small inputs; absolute discounting, so that probabilities after
-    each state sum to one. A gram is its word numbers in base 2^21, plus one each."""
-    scale = n + 0.5 * (v + 1)
-    names = list(word_c)
-    words = {w: i for i, w in enumerate(names)}
-    uni = [math.log10((word_c[w] + 0.5) / scale) for w in names]
-    mask = (1 << 21) - 1
-    follow: dict[tuple[int, ...], dict[int, int]] = {}
-    for g, c in grams.items():
-        key = ((g >> 42) - 1, ((g >> 21) & mask) - 1, (g & mask) - 1)
-        follow.setdefault(key[1:2] if key[0] < 0 else key[:2], {})[key[2]] = c
-    # A context needs the shorter context as a state to fail to.
-    contexts = [()] + sorted(k for k in follow if len(k) == 1) + sorted(k for k in follow if len(k) == 2 and (k[1],) in follow)
-    number = {k: i for i, k in enumerate(contexts)}
-    pair_c = {k + (w,): c for k, f in follow.items() if len(k) == 1 for w, c in f.items()}
-    arcs: list[dict[int, tuple[float, int]]] = []
-    fail = [(0.0, 0)]
-
-    def p_of(ctx: tuple[int, ...], w: int) -> float:
-        total = 0.0
-        while ctx:
-            s = number[ctx]
-            if (a := arcs[s].get(w)) is not None:
-                return 10 ** (total + a[0])
-            total += fail[s][0]
-            ctx = ctx[1:]
-        return 10 ** (total + uni[w])
-
-    def after(ctx: tuple[int, ...], w: int) -> int:
-        full = (*ctx[-1:], w)
-        return number[full] if full in number else number.get((w,), 0)
-
-    arcs.append({w: (uni[w], after((), w)) for w in range(len(names))})
-    for ctx in contexts[1:]:
-        f = follow[ctx]
-        seen = word_c[names[ctx[0]]] if len(ctx) == 1 else pair_c.get(ctx, sum(f.values()))
-        seen = max(seen, sum(f.values()))
-        given = {w: (c - DISCOUNT) / seen for w, c in f.items()}
-        low = sum(p_of(ctx[1:], w) for w in f)
-        left = max(1.0 - sum(given.values()), 1e-12)
-        fail.append((math.log10(left / max(1.0 - low, 1e-12)), number[ctx[1:]]))
-        arcs.append({w: (math.log10(p), after(ctx, w)) for w, p in given.items()})
-    return Automaton(words, arcs, fail, scale)
-
-
-def lm_scores(docs: DataFrame, held_out_mod: tuple[int, int] = (5, 1), word_share: float = 1e-6, gram_share: float = 0.0, min_count: int = 2, tokens_per_bucket: int = 1_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text).
-
-    The model has all pairs and triples with a count of min_count or more; a gram_share above 0 also asks for that share
-    of all tokens."""
+        words, known = total(keys[0], counts[0])
+        keys[0].clear()
+        grams, _ = total(keys[1], counts[1])
+        keys[1].clear()
+        stats = [(int(known.sum()), int((known > 0).sum()))] + [(0, 0)] * (len(names) - 1)
+        for i in range(0, len(names), 64):
+            some = [{"slice": s, "window": w, "bucket": k, "n_words": len(x), "word_counts": packed(x), "n_grams": len(y), "gram_counts": packed(y), "tokens": t, "different": d} for (s, w, k), x, y, (t, d) in zip(names[i : i + 64], words[i : i + 64], grams[i : i + 64], stats[i : i + 64], strict=True)]
+            yield pa.RecordBatch.from_pylist(some, schema=schema)
+
+    bounded_batches(blocks.sparkSession, 1000)
+    return stored(blocks.repartition(buckets, "bucket").mapInArrow(run, _ANSWER), "lm-answers", compression="zstd")
+
+
+def lm_scores(docs: DataFrame, held_out_mod: tuple[int, int] = (5, 1), tokens_per_bucket: int = 700_000, slice_bytes: int = 3 << 20, window: int = 1 << 19) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     mod, rest = held_out_mod
     out_of = F.coalesce(crc_mod(F.col("doc_id"), mod) == rest, F.lit(False))
-    docs = stored(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("uid")), "lm-docs")
-    train = docs.where(~out_of)
-    vocab = word_counts(train)
-    n, v = (x or 0 for x in vocab.agg(F.sum("c"), F.count(F.lit(1))).first())
+    parts = slices(docs, out_of, slice_bytes)
+    size = parts.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    buckets = max(32, size // tokens_per_bucket)
+    answers = answered(asked(parts, buckets, window), buckets)
+    n, v = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("different")).first())
     scale = n + 0.5 * (v + 1)
-    buckets = max(32, n // tokens_per_bucket)
-    grams = stored(gram_counts(train, max(min_count, gram_share * n), buckets), "lm-grams")
-    weights, after = gram_weights(grams, vocab, scale)
-    # Bounded by the share: at most 1 / word_share words reach the driver.
-    often = vocab.where(F.col("c") >= word_share * n) if n else vocab
-    named = often.join(after, F.xxhash64("word") == F.col("k"), "left").select("word", "c", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    base = {bytes(r["word"]): (math.log10((r["c"] + 0.5) / scale), r["weight"]) for r in named.collect()}
-    extra = gram_sums(docs, weights.unionByName(after), list(base), buckets)
-    shared = spark.sparkContext.broadcast(base)
-    bounded_batches(spark)
+    out = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = shared.value
-        for b in batches:
-            ids_, row_ids, texts = (b.column(c).to_pylist() for c in range(3))
-            for i, j in text_slices(texts):
-                uids, word, tf, heads = [], [], [], []
-                for k in range(i, j):
-                    count = Counter(tokens(texts[k]))
-                    low = high = 0.0
-                    size, rare = 0, []
-                    for w, x in count.items():
-                        size += x
-                        if (own := base.get(w)) is None:
-                            rare.append(w)
-                        else:
-                            low += x * own[0]
-                            high += x * own[1]
-                    left = [count[w] for w in rare]
-                    # The text's own row has a word that none can equal; only this row has numbers.
-                    heads += [None] * len(rare) + [{"doc_id": ids_[k], "n_tokens": size, "known": size - sum(left), "low": low, "high": low + high}]
-                    uids += [row_ids[k]] * (len(rare) + 1)
-                    word += [*rare, b" %d" % row_ids[k]]
-                    tf += [*left, 0]
-                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(word, pa.binary()), pa.array(tf, pa.int32()), pa.array(heads, head)], names=["uid", "word", "tf", "d"])
+        now: dict = {}
+
+        def close() -> None:
+            """Score the window whose answers are complete."""
+            if now.get("words"):
+                at = now["window"] * window
+                w = Window(now["hashes"], now["numbers"], now["text"], at, min(at + window, len(now["numbers"])))
+                known, base, score = w.scores(np.concatenate(now["words"]), np.concatenate(now["grams"]), scale)
+                for name, x in (("known", known), ("base", base), ("score", score)):
+                    now[name] += np.bincount(now["text"][w.start : w.stop], x, len(now["ids"]))
+            now.update(words=[], grams=[])
+
+        def done() -> pa.RecordBatch:
+            lengths = now["lengths"]
+            return pa.RecordBatch.from_arrays([pa.array(now["ids"], schema.field(0).type), pa.array(now["held"], pa.bool_()), pa.array(lengths), pa.array(now["known"].astype(np.int64)), pa.array(np.full(len(lengths), n, dtype=np.int64)), pa.array(now["base"]), pa.array(now["score"])], schema=schema)
 
-    kind = docs.schema["doc_id"].dataType
-    fields = T.StructType().add("doc_id", kind).add("n_tokens", "long").add("known", "long").add("low", "double").add("high", "double")
-    head = to_arrow_type(fields)
-    parts = docs.select("doc_id", "uid", "text").mapInArrow(run, T.StructType().add("uid", "long").add("word", "binary").add("tf", "integer").add("d", fields))
-    rare = vocab.where(F.col("c") < word_share * n) if n else vocab
-    joined = parts.join(rare, "word", "left")
-    # A word that training never saw has c = 0.
-    mass = F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(scale))
-    sums = joined.groupBy("uid").agg(
-        F.max("d.doc_id").alias("doc_id"),
-        F.sum("d.n_tokens").alias("n_tokens"),
-        (F.sum("d.known") + F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0))).alias("n_known"),
-        (F.sum("d.low") + F.sum(mass)).alias("base_score"),
-        (F.sum("d.high") + F.sum(mass)).alias("score"),
-    )
-    score = F.col("score") + F.coalesce("extra", F.lit(0.0))
-    return sums.join(extra, "uid", "left").select("doc_id", out_of.alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", score.alias("score"))
+        for b in batches:
+            for r in b.to_pylist():
+                if r["window"] < 0:
+                    if now:
+                        close()
+                        yield done()
+                    lengths = np.array(r["own"], dtype=np.int64)
+                    hashes, numbers, text = _opened(r["word_counts"], r["gram_counts"], lengths)
+                    now = {"ids": r["ids"], "held": r["held"], "lengths": lengths, "hashes": hashes, "numbers": numbers, "text": text, "window": 0, "words": [], "grams": []} | {k: np.zeros(len(lengths)) for k in ("known", "base", "score")}
+                    continue
+                if r["window"] != now["window"]:
+                    close()
+                    now["window"] = r["window"]
+                now["words"].append(unpacked(r["word_counts"], r["n_words"]).astype(np.float64))
+                now["grams"].append(unpacked(r["gram_counts"], r["n_grams"]).astype(np.float64))
+        if now:
+            close()
+            yield done()
+
+    # A slice's own row comes first, then its windows in order, each with its buckets in the order of keys.
+    none = F.lit(0).cast("int")
+    first = parts.select("slice", F.lit(-1).alias("window"), none.alias("bucket"), none.alias("n_words"), F.col("words").alias("word_counts"), none.alias("n_grams"), F.col("numbers").alias("gram_counts"), "ids", "held", F.col("lengths").alias("own"))
+    both = first.unionByName(answers.drop("tokens", "different"), allowMissingColumns=True)
+    bounded_batches(spark, 256)
+    scored = stored(both.repartition("slice").sortWithinPartitions("slice", "window", "bucket").mapInArrow(run, out), "lm-scores")
+    dropped(spark, parts, answers)
+    return scored

@@ -139,6 +139,21 @@ def test_simhash_components(spark, hot):
     assert {i: have.get(i, i) for i in parent} == {i: root(i) for i in parent}
 
 
+def test_components_of_long_chains(spark):
+    r = random.Random(12)
+    edges, want = [], {}
+    for start, n in ((0, 1000), (5000, 300), (9000, 2)):
+        ids = [start + k for k in range(n)]
+        r.shuffle(ids)
+        edges += list(zip(ids, ids[1:], strict=False))
+        want |= dict.fromkeys(ids, start)
+    edges += [(20_000, 20_000 + k) for k in range(1, 400)] + [(30_000 + k, 30_999) for k in range(400)]
+    want |= {20_000 + k: 20_000 for k in range(400)} | {30_000 + k: 30_000 for k in (*range(400), 999)}
+    out = hashing.components(spark.createDataFrame(edges + edges[:5], "a long, b long"))
+    assert {r["id"]: r["component"] for r in out.collect()} == want and out.count() == len(want)
+    assert hashing.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_fingerprints(docs, rows, empty):
     def one(i, t, _):
         w = (t or "").encode().lower().split()
@@ -212,84 +227,62 @@ def test_pii_field_generalises(spark):
     assert pii.added_spans(field, ["call (743) 555-3824 now", "clean text"], [[], []]) == [[("phone", 5, 19)], []]
 
 
-def test_lm(docs, rows, empty):
-    held = {i for i, *_ in rows if i is not None and zlib.crc32(str(i).encode()) % 5 == 1}
-    toks = [(t or "").encode().lower().split() + [b"\0end"] for _, t, _ in rows]
-    c = Counter(x for (i, *_), w in zip(rows, toks, strict=True) if i not in held for x in w)
-    n, v = sum(c.values()), len(c)
-    for share in (1e-6, 0.01):
-        out = {(r["doc_id"], r["n_tokens"]): r for r in lm.lm_scores(docs, word_share=share, gram_share=0.001).collect()}
-        for (i, *_), w in zip(rows, toks, strict=True):
-            r = out[i, len(w)]
-            assert (r["held_out"], r["n_known"], r["train_tokens"]) == (i in held, sum(x in c for x in w), n)
-            assert math.isclose(r["base_score"], sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
-            assert -1e6 < r["score"] < 0
-    assert lm.lm_scores(empty).count() == 0
+def lm_by_brute_force(all_rows):
+    """(probability of a word after a context, known words, training counts, results of every row) by plain recursion."""
+    held = {i for i, *_ in all_rows if i is not None and zlib.crc32(str(i).encode()) % 5 == 1}
+    toks = [lm.tokens(t) for _, t, _ in all_rows]
+    train = [w for (i, *_), w in zip(all_rows, toks, strict=True) if i not in held]
+    seen = {m: Counter(tuple(w[k : k + m]) for w in train for k in range(len(w) - m + 1)) for m in (1, 2, 3)}
+    n, scale = sum(seen[1].values()), sum(seen[1].values()) + 0.5 * (len(seen[1]) + 1)
+
+    def p(ctx, w):
+        if not ctx:
+            return (seen[1][(w,)] + 0.5) / scale
+        c = seen[len(ctx)][ctx]
+        return (seen[len(ctx) + 1][(*ctx, w)] + lm.MASS * p(ctx[1:], w)) / (c + lm.MASS) if c else p(ctx[1:], w)
+
+    out = []
+    for (i, *_), w in zip(all_rows, toks, strict=True):
+        base = sum(math.log10(p((), x)) for x in w)
+        out.append((i, i in held, len(w), sum((x,) in seen[1] for x in w), n, base, sum(math.log10(p(tuple(w[max(0, k - 2) : k]), x)) for k, x in enumerate(w))))
+    return p, seen, sorted(out, key=repr)
+
+
+def test_lm_probabilities_sum_to_one(rows):
+    p, seen, _ = lm_by_brute_force(rows[60:])
+    words = [w for (w,) in seen[1]]
+    for ctx in [(), *list(seen[1])[:20], *list(seen[2])[:40], (b"never", words[0])]:
+        if ctx[-1:] != (lm.END,):
+            assert math.isclose(sum(p(ctx, w) for w in [*words, b"unseen"]), 1.0, rel_tol=1e-9)
 
 
-def test_lm_probabilities_sum_to_one():
-    text = [lm.tokens(x) for x in ["a b a b c", "a b c", "b a b a d"]]
-    counts = dict(sorted(Counter(x for t in text for x in t).items()))
-    ids, grams = {w: i for i, w in enumerate(counts)}, Counter()
-    for t in text:
-        g = [ids[x] + 1 for x in t]
-        grams.update((x << 21) | y for x, y in zip(g, g[1:], strict=False))
-        grams.update((((x << 21) | y) << 21) | z for x, y, z in zip(g, g[1:], g[2:], strict=False))
-    model = lm.build(counts, {k: c for k, c in grams.items() if c >= 2}, sum(counts.values()), len(counts))
-    assert len(model.arcs) > 3
-    for state in range(len(model.arcs)):
-        total = 0.0
-        for w in [*range(len(counts)), None]:
-            s, score = state, 0.0
-            while s and (w is None or w not in model.arcs[s]):
-                score, s = score + model.fail[s][0], model.fail[s][1]
-            total += 10 ** (score + (model.arcs[s][w][0] if w is not None else math.log10(0.5 / model.scale)))
-        assert math.isclose(total, 1.0, rel_tol=1e-9)
-
-
-def test_lm_scores_by_brute_force(spark, docs, rows):
-    def score(all_rows):
-        held = {i for i, *_ in all_rows if i is not None and zlib.crc32(str(i).encode()) % 5 == 1}
-        toks = [lm.tokens(t) for _, t, _ in all_rows]
-        train = [w for (i, *_), w in zip(all_rows, toks, strict=True) if i not in held]
-        one, two, three = (Counter(tuple(w[k : k + m]) for w in train for k in range(len(w) - m + 1)) for m in (1, 2, 3))
-        two, three = ({g: c for g, c in x.items() if c >= 2} for x in (two, three))
-        scale = sum(one.values()) + 0.5 * (len(one) + 1)
-        after = defaultdict(list)
-        for g in [*two, *three]:
-            after[g[:-1]].append(g[-1])
-        seen = {**one, **two}
-
-        def given(ctx, w):
-            return (({2: two, 3: three}[len(ctx) + 1])[(*ctx, w)] - 0.5) / seen[ctx]
-
-        left = {}
-
-        def p(ctx, w):
-            if not ctx:
-                return (one[(w,)] + 0.5) / scale
-            if w in after.get(ctx, ()):
-                return given(ctx, w)
-            if ctx not in after:
-                return p(ctx[1:], w)
-            if ctx not in left:
-                left[ctx] = max(1 - sum(given(ctx, x) for x in after[ctx]), 1e-12) / max(1 - sum(p(ctx[1:], x) for x in after[ctx]), 1e-12)
-            return left[ctx] * p(ctx[1:], w)
-
-        return sorted(((i, len(w), sum(math.log10(p(tuple(w[max(0, k - 2) : k]), x)) for k, x in enumerate(w))) for (i, *_), w in zip(all_rows, toks, strict=True)), key=repr)
-
-    def same(df, want, **kw):
-        have = got(lm.lm_scores(df, **kw), "doc_id", "n_tokens", "score")
-        assert [x[:2] for x in have] == [x[:2] for x in want]
-        assert all(math.isclose(x[2], y[2], rel_tol=1e-9, abs_tol=1e-6) for x, y in zip(have, want, strict=True))
-
-    want = score(rows)
-    same(docs, want)
-    same(docs, want, word_share=0.01)
+@pytest.mark.parametrize("sizes", [{}, {"slice_bytes": 2000, "window": 70}, {"slice_bytes": 1, "window": 3}])
+def test_lm_scores_by_brute_force(docs, rows, sizes):
+    some = [r for r in rows if sizes.get("window", 9) > 5 or len(r[1] or "") < 1000]
+    df = docs if len(some) == len(rows) else docs.where("length(coalesce(text, '')) < 1000")
+    have = got(lm.lm_scores(df, **sizes), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    _, _, want = lm_by_brute_force(some)
+    assert [x[:5] for x in have] == [x[:5] for x in want]
+    for x, y in zip(have, want, strict=True):
+        assert math.isclose(x[5], y[5], rel_tol=1e-9) and math.isclose(x[6], y[6], rel_tol=1e-9)
+
+
+def test_lm_rare_grams_count(spark, empty):
     # Pairs that are a far smaller share of all tokens than 1e-5 count as well.
     a, b, c, d = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5 != 1][:4]
     many = [(a, "x " * 500_000, "en"), (b, "rare pair here", "en"), (c, "rare pair here", "en"), (d, "a rare pair", "en")]
-    same(spark.createDataFrame(many, "doc_id long, text string, lang string"), score(many))
+    have = got(lm.lm_scores(spark.createDataFrame(many, "doc_id long, text string, lang string")), "doc_id", "score")
+    assert all(x[0] == y[0] and math.isclose(x[1], y[-1], rel_tol=1e-9) for x, y in zip(have, lm_by_brute_force(many)[2], strict=True))
+    assert lm.lm_scores(empty).count() == 0
+
+
+def test_lm_numbers_survive_packing():
+    r = np.random.default_rng(3)
+    for top in (2, 300, 70_000, 1 << 40):
+        x = r.integers(0, top, 1000)
+        assert np.array_equal(lm.unpacked(lm.packed(x), 1000), x)
+    k = np.sort(r.integers(0, 1 << 56, 1000, dtype=np.uint64))
+    assert np.array_equal(lm.keys_unpacked(lm.keys_packed(k, 7), 7), k)
 
 
 def test_token_files(docs, rows, empty):
