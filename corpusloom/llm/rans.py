@@ -12,20 +12,22 @@ order beside each other; a null doc_id comes first.
 
 from __future__ import annotations
 
-import re
+import itertools
+import json
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpusloom.llm.common import bounded_batches, stored, text_slices, whole
+from corpusloom.llm.common import arrow_slices, bounded_batches, stored, whole
+from corpusloom.llm.idtable import IdTable
 
 BITS = 16
 LANES = 4096
@@ -108,35 +110,53 @@ def tables(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(freq)[:-1]]), np.repeat(np.arange(len(freq)), freq)
 
 
-BLANK_RUN = re.compile(r" \s")
+PUNCTUATION = ".,;:!?"
 
 
 class Encoder:
-    """A tokenizer with a bounded memory of what it has encoded.
+    """A tokenizer of the library with a bounded memory of what it has encoded.
 
     A place before a blank that is followed by another character than white space always separates pre-tokens of
-    byte-level BPE, so texts are cut there and each different piece is encoded once. Memory has two generations of at
-    most `most` pieces: what was not met while one filled up is forgotten."""
-
-    def __init__(self, path: str, most: int = 300_000):
-        from tokenizers import Tokenizer
-
-        self.tok, self.new, self.old, self.most = Tokenizer.from_file(path), {}, {}, most
-        self.model = self.tok.model
+    byte-level BPE, so texts are cut there and each different piece is encoded once. The memory is one array of ids and
+    a table of where each piece's ids lie in it; beyond `most` pieces it starts anew. Pieces that are one run of
+    letters, with or without a final mark, are whole pre-tokens: these go to the library's model in one call for many,
+    all others through the whole tokenizer."""
+
+    def __init__(self, path: str, most: int = 400_000):
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        self.tok, self.most = Tokenizer.from_file(path), most
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        # The same model behind a splitter at blanks, without its own memory.
+        self.words = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.special, (self.mark, self.mark_id) = list(added), next(iter(added.items()))
         # Byte-level BPE writes each byte as a letter: printable ones as they are, the others from 256 on.
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(plain))}
-        self.blank = self.letters[32]
+        letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(plain))}
+        self.blank = letters[32]
+        # Units of a line are parted by \0, which no run of letters holds.
+        self.mapped = letters | {0: " "}
+        vocab = self.tok.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.opens[[i for t, i in vocab.items() if t.startswith(self.blank)]] = True
+        self.alone = vocab[self.blank]
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the memory anew. rows gives each piece's row in the table; -1 stands for no piece."""
+        self.rows: dict[str, int] = {"": -1}
+        self.table = IdTable()
 
-    def keys(self, text: str) -> list[str]:
-        """The pieces of a text in order, by their keys (see _key)."""
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """The keys (see _key) of the pieces of any text, in order."""
         if not text:
             return []
         first, *rest = text.split(" ")
-        if first and not (rest and (not rest[-1] or BLANK_RUN.search(text))):
-            return [" " + first, *rest]
         out = [first]
         for x in rest:
             if not x or x[0].isspace():
@@ -155,7 +175,7 @@ class Encoder:
         for k, x in enumerate(lines):
             if k:
                 out.append("\n")
-            if len(x) > 2 and x[-1] in ".,;:!?" and x[1:-1].isalpha():
+            if len(x) > 2 and x[-1] in PUNCTUATION and x[1:-1].isalpha():
                 out += [x[:-1], x[-1]]
             else:
                 out.append(x)
@@ -163,69 +183,103 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text."""
-        own = {i: np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype="<u2") for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-        get, cut, have, holes = self.new.get, [], [], []
-        for i, t in enumerate(texts):
-            keys = [] if i in own else self.keys(t)
-            found = list(map(get, keys))
-            cut.append(keys)
-            have.append(found)
-            if None in found:
-                holes += [(i, k) for k, v in enumerate(found) if v is None]
-        self._learn({cut[i][k] for i, k in holes})
-        for i, k in holes:
-            have[i][k] = get(cut[i][k])
-        return [own[i] if i in own else np.frombuffer(b"".join(f), dtype="<u2") for i, f in enumerate(have)]
-
-    def _word(self, letters: str) -> bytes:
-        word = letters if letters.isascii() else "".join(map(self.letters.__getitem__, letters.encode()))
-        return array("H", [t.id for t in self.model.tokenize(self.blank + word)]).tobytes()
-
-    def _learn(self, missing: set[str]) -> None:
-        """Remember the ids of new pieces."""
-        new, old, late, together = self.new, self.old, [], []
-        for key in missing:
-            if (known := old.get(key)) is not None:
-                new[key] = known
+        ids, sizes = self.column(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(sizes)[:-1]) if texts else []
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a column one after the other, number of ids of each)."""
+        if self.table.rows > self.most:
+            self.forget()
+        texts = texts.fill_null("")
+        if not len(texts):
+            return np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
+        # A line end after a character that is no white space parts pre-tokens as well.
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        bounds = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+        coded = lists.flatten().dictionary_encode()
+        words, get = [w if w[:1] != "\n" else " " + w if len(w) > 1 else "" for w in coded.dictionary.to_pylist()], self.rows.get
+        firsts = [" " + x for x in pc.list_element(lists, 0).to_pylist()]
+        odd = np.zeros(len(texts), dtype=bool)
+        for s in self.special:
+            odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        # Texts with other white space than single blanks and line ends between words are odd, too: see cut().
+        new = {w for w, r in zip(words, map(get, words), strict=True) if r is None and not (w[0].isspace() and (w[0] != " " or len(w) < 3 or w[2].isspace()))}
+        new.update(x for x in firsts if len(x) > 1 and x not in self.rows and not x[1].isspace())
+        if odd.any():
+            new = {w for w in new if not any(s in w for s in self.special)}
+        self.learn([w for w in new if not w[-1].isspace()])
+        rows = np.fromiter(map(get, words, itertools.repeat(-1)), dtype=np.int64, count=len(words))[coded.indices.to_numpy()]
+        rows[bounds[:-1]] = [get(x, -1) for x in firsts]
+        odd |= np.logical_or.reduceat(rows < 0, bounds[:-1])
+        if odd.any():
+            rows, bounds = self._mixed(texts, rows, bounds, odd)
+        return self.table.joined(rows, np.diff(bounds))
+
+    def _mixed(self, texts: pa.Array, rows: np.ndarray, bounds: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and bounds with those of odd texts put right."""
+        parts = []
+        for i, strange in enumerate(odd.tolist()):
+            if not strange:
+                parts.append(rows[bounds[i] : bounds[i + 1]])
                 continue
-            if key.isalpha():
-                # Letters after a blank: one pre-token, which the model takes as it is.
-                new[key] = self._word(key)
+            text = texts[i].as_py()
+            if any(s in text for s in self.special):
+                # The ids of a whole text; nothing else asks for this row.
+                ids = self.tok.encode(text, add_special_tokens=False).ids
+                parts.append(np.array(self.table.append(np.array(ids, dtype=np.uint32), np.array([len(ids)]))))
                 continue
-            if key[-1] in ".,;:!?" and key[:-1].isalpha():
-                end = " " + key[-1]
-                if not new.get(end):
-                    new[end] = array("H", self.tok.encode(key[-1], add_special_tokens=False).ids).tobytes()
-                if (known := new.get(key[:-1]) or old.get(key[:-1])) is None:
-                    known = self._word(key[:-1])
-                new[key[:-1]], new[key] = known, known + new[end]
-                continue
-            sub = self.subpieces(key[1:] if key[0] == " " else " " + key)
-            subkeys = [_key(q) for q in sub]
-            if len(sub) > 1:
-                late.append((key, subkeys))
-            for k, q in zip(subkeys, sub, strict=True):
-                if k in new:
-                    continue
-                if (known := old.get(k)) is not None:
-                    new[k] = known
-                elif k.isalpha():
-                    new[k] = self._word(k)
+            keys = self.cut(text)
+            self.learn(list({k for k in keys if k not in self.rows}))
+            parts.append(np.array([self.rows[k] for k in keys], dtype=np.int64))
+        return np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
+
+    def _remember(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.rows.update(zip(keys, self.table.append(ids, sizes), strict=True))
+
+    def _letters(self, keys: list[str], lines: list[str], bare: bool) -> None:
+        """Learn pieces of letters from their units. Ids that open with a blank mark where the next one begins; where
+        pieces have none (bare), a blank alone stands behind each."""
+        for i in range(0, len(keys), 500):
+            line = "".join(lines[i : i + 500])
+            line = line.replace(" ", self.blank).replace("\0", " ") if line.isascii() else line.encode().decode("latin-1").translate(self.mapped)
+            ids = np.array(self.words.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            if bare:
+                ends = np.flatnonzero(ids == self.alone)
+                ids, sizes = np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+            else:
+                sizes = np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
+            self._remember(keys[i : i + 500], ids, sizes)
+
+    def learn(self, keys: list[str]) -> None:
+        """Remember the ids of new, different pieces."""
+        opening, bare, cuts, whole = [[], []], [], [], []
+        for key in keys:
+            if key.isalpha() or key[-1] in PUNCTUATION and key[:-1].isalpha():
+                opening[key.isascii()].append(key)
+            elif key[0] == " " and key[1:].isalpha():
+                bare.append(key)
+            elif key[:2] == " \n" and len(key) > 2 and not key[2].isspace():
+                cuts.append((key, [" \n", " " + key[2:]]))
+            else:
+                piece = _piece(key)
+                sub = self.subpieces(piece)
+                if len(sub) > 1:
+                    cuts.append((key, [_key(x) for x in sub]))
                 else:
-                    new[k] = b""
-                    together.append(q)
-        for i in range(0, len(together), 20_000):
+                    whole.append(piece)
+        for some in opening:
+            self._letters(some, [f"\0 {k}" if k.isalpha() else f"\0 {k[:-1]}\0{k[-1]}" for k in some], False)
+        self._letters(bare, [f"\0{k[1:]}\0 " for k in bare], True)
+        for i in range(0, len(whole), 2000):
             # A special token between the pieces keeps them apart, and marks where each one's ids end.
-            part = together[i : i + 20_000]
-            ids = np.array(self.tok.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype="<u2")
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            raw, at = ids.tobytes(), 0
-            for q, end in zip(part, (2 * ends).tolist(), strict=True):
-                new[_key(q)], at = raw[at:end], end + 2
-        for key, subkeys in late:
-            new[key] = b"".join(map(new.__getitem__, subkeys))
+            part = whole[i : i + 2000]
+            ids = np.array(self.tok.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = np.flatnonzero(ids == self.mark_id)
+            self._remember([_key(q) for q in part], np.delete(ids, ends), np.diff(np.append(ends, len(ids)), prepend=-1) - 1)
+        if cuts:
+            self.learn(list({k for _, sub in cuts for k in sub if k not in self.rows}))
+            rows = np.array([self.rows[k] for _, sub in cuts for k in sub], dtype=np.int64)
+            self._remember([k for k, _ in cuts], *self.table.joined(rows, np.array([len(sub) for _, sub in cuts])))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -244,6 +298,10 @@ def _key(piece: str) -> str:
     return piece[1:] if len(piece) > 1 and piece[0] == " " and piece[1] != " " else " " + piece
 
 
+def _piece(key: str) -> str:
+    return key[1:] if key[0] == " " else " " + key
+
+
 BLOCK = T.StructType().add("part", "integer").add("seg", "integer").add("block", "integer").add("n_ids", "long").add("doc_ids", T.ArrayType(T.LongType())).add("lengths", T.ArrayType(T.IntegerType())).add("words", "binary").add("checkpoints", "binary").add("crc", "long").add("table", "binary")
 
 
@@ -252,47 +310,40 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, range_bytes: int
 
     The first block of a segment holds the table that the segment's blocks share (compressed), others a null."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 4500)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = docs.select("doc_id", whole(F.col("text")).alias("text")).repartitionByRange(max(1, -(-size // range_bytes)), "doc_id").sortWithinPartitions("doc_id")
     schema = to_arrow_schema(BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seg = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        held: list[tuple[int, np.ndarray]] = []
+        held: list[tuple[list, np.ndarray, np.ndarray]] = []
         total = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal seg, total
-            counts = np.zeros(1, dtype=np.int64)
-            for _, ids in held:
-                c = np.bincount(ids)
-                c[: len(counts)] += counts[: len(c)] if len(counts) <= len(c) else 0
-                if len(counts) > len(c):
-                    counts[: len(c)] += c
-                else:
-                    counts = c
-            freq = quantised(counts)
+            names = [d for part in held for d in part[0]]
+            ids, sizes = (np.concatenate([part[k] for part in held]) for k in (1, 2))
+            held.clear()
+            freq = quantised(np.bincount(ids))
             start, _ = tables(freq)
             packed, block, i = zlib.compress(freq.astype("<u4").tobytes(), 1), 0, 0
-            while i < len(held):
-                j, n = i, 0
-                while j < len(held) and (j == i or n + len(held[j][1]) <= BLOCK_IDS):
-                    n += len(held[j][1])
-                    j += 1
-                ids = np.concatenate([x for _, x in held[i:j]])
-                words, marks = encode_block(ids, freq, start)
-                yield pa.RecordBatch.from_pylist([{"part": part, "seg": seg, "block": block, "n_ids": n, "doc_ids": [d for d, _ in held[i:j]], "lengths": [len(x) for _, x in held[i:j]], "words": words, "checkpoints": marks, "crc": zlib.crc32(ids.astype("<u4").tobytes()), "table": packed if block == 0 else None}], schema=schema)
+            ends = np.append(0, np.cumsum(sizes))
+            while i < len(names):
+                # A block holds as many whole documents as fit, and one at least.
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK_IDS, "right")) - 1)
+                some = ids[ends[i] : ends[j]]
+                words, marks = encode_block(some, freq, start)
+                yield pa.RecordBatch.from_pylist([{"part": part, "seg": seg, "block": block, "n_ids": len(some), "doc_ids": names[i:j], "lengths": sizes[i:j], "words": words, "checkpoints": marks, "crc": zlib.crc32(some.astype("<u4").tobytes()), "table": packed if block == 0 else None}], schema=schema)
                 i, block = j, block + 1
-            held.clear()
             seg, total = seg + 1, 0
 
         for b in batches:
-            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in text_slices(texts, 1 << 20):
-                for d, ids in zip(names[i:j], enc.encode(texts[i:j]), strict=True):
-                    held.append((d, np.append(ids, np.uint32(end_id)).astype(np.uint32)))
-                    total += len(held[-1][1])
+            for i, j in arrow_slices(b.column(1), 12 << 20):
+                ids, sizes = enc.column(b.column(1)[i:j])
+                ids = np.insert(ids, np.cumsum(sizes), end_id)
+                held.append((b.column(0)[i:j].to_pylist(), ids.astype(np.uint32), sizes + 1))
+                total += len(ids)
                 if total >= SEGMENT_IDS:
                     yield from flush()
         if held:
