@@ -56,25 +56,26 @@ def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def packed(x: np.ndarray) -> bytes:
     """Numbers in the fewest whole bytes that hold them all, first bytes first, which compresses well."""
-    size = next(s for s in (1, 2, 4, 8) if s == 8 or not len(x) or int(x.max()) < 1 << 8 * s)
-    return x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes()
+    size = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
 
 
 def unpacked(raw: bytes, n: int) -> np.ndarray:
-    size = len(raw) // n if n else 1
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, n).T).view(f"<u{size}").ravel()
+    out = np.zeros((n, 8), dtype=np.uint8)
+    size = len(raw) // n if n else 0
+    out[:, :size] = np.frombuffer(raw, dtype=np.uint8).reshape(size, n).T
+    return out.view("<u8").ravel()
 
 
-def keys_packed(k: np.ndarray, size: int) -> bytes:
-    """The low `size` bytes of sorted keys, first bytes first."""
-    return k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+def keys_packed(k: np.ndarray) -> bytes:
+    """Sorted keys: the first one, then the steps from each to the next in the fewest whole bytes, first bytes first."""
+    return k[:1].astype("<u8").tobytes() + packed(np.diff(k)) if len(k) else b""
 
 
-def keys_unpacked(raw: bytes, size: int) -> np.ndarray:
-    n = len(raw) // size
-    out = np.zeros((n, 8), dtype=np.uint8)
-    out[:, :size] = np.frombuffer(raw, dtype=np.uint8).reshape(size, n).T
-    return out.view("<u8").ravel()
+def keys_unpacked(raw: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, dtype=np.uint64)
+    return np.cumsum(np.append(np.frombuffer(raw[:8], dtype="<u8"), unpacked(raw[8:], n - 1).astype(np.uint64)), dtype=np.uint64)
 
 
 def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +98,7 @@ def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _SLICE = T.StructType().add("slice", "long").add("lengths", T.ArrayType(T.IntegerType())).add("words", "binary").add("numbers", "binary")
-_BLOCK = T.StructType().add("bucket", "integer").add("slice", "long").add("window", "integer").add("words", "binary").add("word_counts", "binary").add("grams", "binary").add("gram_counts", "binary")
+_BLOCK = T.StructType().add("bucket", "integer").add("slice", "long").add("window", "integer").add("n_words", "integer").add("n_grams", "integer").add("words", "binary").add("word_counts", "binary").add("grams", "binary").add("gram_counts", "binary")
 _ANSWER = T.StructType().add("slice", "long").add("window", "integer").add("bucket", "integer").add("n_words", "integer").add("word_counts", "binary").add("n_grams", "integer").add("gram_counts", "binary").add("tokens", "long").add("different", "long")
 
 
@@ -151,13 +152,14 @@ class Window:
         return words, np.add.reduceat(flags, self.first) if len(flags) else flags
 
     def blocks(self, train: np.ndarray, buckets: int) -> Iterator[tuple]:
-        """(bucket, word keys, word counts, gram keys, gram counts); keys are in order within and across buckets."""
+        """(bucket, number of words and of grams, word keys and counts, gram keys and counts); keys are in order within and
+        across buckets."""
         words, grams = self.training(train)
         cuts = [np.searchsorted((k >> np.uint64(s)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64)).tolist() for k, s in ((self.words, 32), (self.grams, 24))]
         for k in range(buckets):
             (a, b), (c, d) = cuts[0][k : k + 2], cuts[1][k : k + 2]
             if b > a or d > c:
-                yield k, keys_packed(self.words[a:b], 8), packed(words[a:b]), keys_packed(self.grams[c:d], 7), packed(grams[c:d])
+                yield k, b - a, d - c, keys_packed(self.words[a:b]), packed(words[a:b]), keys_packed(self.grams[c:d]), packed(grams[c:d])
 
     def scores(self, word_counts: np.ndarray, gram_counts: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known, base, score) of each token from `start` on: the arcs that the traversal takes.
@@ -208,7 +210,7 @@ def asked(parts: DataFrame, buckets: int, window: int) -> DataFrame:
                     got = [*Window(hashes, numbers, text, at, min(at + window, len(numbers))).blocks(train, buckets)]
                     columns = list(zip(*got, strict=True))
                     n = len(got)
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([number] * n, pa.int64()), pa.array([w] * n, pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([number] * n, pa.int64()), pa.array([w] * n, pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[3:])], schema=schema)
 
     bounded_batches(parts.sparkSession, 8)
     return parts.select("slice", "held", "lengths", "words", "numbers").mapInArrow(run, _BLOCK)
@@ -233,11 +235,10 @@ def answered(blocks: DataFrame, buckets: int) -> DataFrame:
         names, keys, counts = [], ([], []), ([], [])
         for b in batches:
             names += list(zip(*(b.column(c).to_pylist() for c in (1, 2, 0)), strict=True))
-            for which, (size, k, c) in enumerate(((8, 3, 4), (7, 5, 6))):
-                for x, y in zip(b.column(k).to_pylist(), b.column(c).to_pylist(), strict=True):
-                    x = keys_unpacked(x, size)
-                    keys[which].append(x)
-                    counts[which].append(unpacked(y, len(x)))
+            for which in (0, 1):
+                for n, x, y in zip(*(b.column(c).to_pylist() for c in (3 + which, 5 + 2 * which, 6 + 2 * which)), strict=True):
+                    keys[which].append(keys_unpacked(x, n))
+                    counts[which].append(unpacked(y, n).astype(np.uint32))
         if not names:
             return
         words, known = total(keys[0], counts[0])
@@ -253,7 +254,7 @@ def answered(blocks: DataFrame, buckets: int) -> DataFrame:
     return stored(blocks.repartition(buckets, "bucket").mapInArrow(run, _ANSWER), "lm-answers", compression="zstd")
 
 
-def lm_scores(docs: DataFrame, held_out_mod: tuple[int, int] = (5, 1), tokens_per_bucket: int = 700_000, slice_bytes: int = 3 << 20, window: int = 1 << 19) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out_mod: tuple[int, int] = (5, 1), tokens_per_bucket: int = 700_000, slice_bytes: int = 5 << 20, window: int = 1 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     mod, rest = held_out_mod
