@@ -14,20 +14,22 @@ Null texts are empty and have no ids. Whole texts are encoded, of any length; re
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpusloom.llm.common import bounded_batches, text_slices
+from corpusloom.llm.common import arrow_slices, bounded_batches
+from corpusloom.llm.idtable import IdTable
 
 BLANK = "▁"
 #: Kinds of pieces in a model file.
@@ -138,11 +140,10 @@ class Model:
 
 
 class Matcher:
-    """Encodes batches of texts; remembers at most `most` different parts."""
+    """Encodes columns of texts; remembers the ids of at most `most` different parts, and then starts anew."""
 
     def __init__(self, model: Model, most: int = 250_000):
-        self.m, self.most, self.seen, self.units, self.memo, self.runs = model, most, {}, {}, {}, {}
-        self.kind = "H" if len(model.out) <= 65536 else "I"
+        self.m, self.most, self.runs = model, most, {}
         self.table = np.zeros(max(map(ord, model.chars)) + 2, dtype=np.int64)
         for c, k in model.chars.items():
             self.table[ord(c)] = k + 1
@@ -160,6 +161,20 @@ class Matcher:
         top = np.where(np.arange(LONGEST) < self.lengths[:, None], codes, (1 << CHAR_BITS) - 1)
         self.low, self.high = self._keys(codes), self._keys(top)
         self.searched = np.array(model.searched)
+        self.sizes = np.array([len(t) for t in model.texts])
+        # What each id decodes to, in one array.
+        self.out_sizes = np.array([len(x) for x in model.out], dtype=np.int64)
+        self.out_starts = np.cumsum(self.out_sizes) - self.out_sizes
+        self.out_bytes = np.frombuffer(b"".join(model.out), dtype=np.uint8)
+        # Verdicts on pairs of tokens: a table by hash, in which a pair may take another's place.
+        self.pairs, self.verdicts = np.full(1 << 20, -1, dtype=np.int64), np.zeros(1 << 20, dtype=bool)
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the memory of parts and of units anew. Row 0 has no ids; -1 stands for no part."""
+        self.ids = IdTable()
+        self.ids.append(np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64))
+        self.seen, self.units = {"": -1}, {}
 
     @staticmethod
     def _keys(codes: np.ndarray) -> np.ndarray:
@@ -168,55 +183,86 @@ class Matcher:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text."""
-        if len(self.seen) > self.most:
-            self.seen.clear()
-        if len(self.units) > self.most:
-            self.units.clear()
-        if len(self.memo) > 500_000:
-            self.memo.clear()
-        seen = self.seen
-        parts = [self._parts(t) for t in texts]
-        missing = {p for x in parts for p in x if p not in seen}
-        if missing:
-            self._learn(list(missing))
-        return [np.frombuffer(b"".join(map(seen.__getitem__, x)), dtype=self.kind) for x in parts]
-
-    def _parts(self, text: str) -> list[str]:
-        if not text:
-            return []
-        s = BLANK + text.replace(" ", BLANK)
-        if BLANK * 2 in s:
-            return [x for x in self.part.findall(s) if x]
-        return [BLANK + x for x in s.split(BLANK)[1:]]
-
-    def _learn(self, missing: list[str]) -> None:
-        """Encode parts: leave out extra leading blanks, cut where no piece can reach across, match what is new."""
-        runs = [len(p) - len(p.lstrip(BLANK)) for p in missing]
-        bodies = [p[n - 1 :] if n > 1 else p for p, n in zip(missing, runs, strict=True)]
+        ids, sizes = self.column(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(sizes)[:-1]) if texts else []
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a column one after the other, number of ids of each)."""
+        if self.ids.rows > self.most:
+            self.forget()
+        texts = texts.fill_null("")
+        if not len(texts):
+            return np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
+        # Parts are known by what follows their blank mark; one that has no mark follows a line end, which no piece has.
+        lines = not self.table[10]
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n") if lines else texts, " ")
+        bounds = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+        coded = lists.flatten().dictionary_encode()
+        words, get = coded.dictionary.to_pylist(), self.seen.get
+        # Texts with neighbouring blanks, with blank marks of their own or with a line end in front are odd.
+        odd = pc.or_(pc.match_substring(texts, BLANK), pc.or_(pc.starts_with(texts, "\n"), pc.equal(texts, ""))).to_numpy(zero_copy_only=False)
+        strange = bool(odd.any())
+        self._learn([w for w, r in zip(words, map(get, words), strict=True) if r is None and not (strange and BLANK in w)], lines)
+        rows = np.fromiter(map(get, words, itertools.repeat(-1)), dtype=np.int64, count=len(words))[coded.indices.to_numpy()]
+        odd = odd | np.logical_or.reduceat(rows < 0, bounds[:-1])
+        if odd.any():
+            rows, bounds = self._mixed(texts, rows, bounds, odd)
+        return self.ids.joined(rows, np.diff(bounds))
+
+    def _mixed(self, texts: pa.Array, rows: np.ndarray, bounds: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and bounds with those of odd texts put right: cut before every run of blanks."""
+        parts = []
+        for i, strange in enumerate(odd.tolist()):
+            if not strange:
+                parts.append(rows[bounds[i] : bounds[i + 1]])
+                continue
+            text = texts[i].as_py()
+            found = [x for x in self.part.findall(BLANK + text.replace(" ", BLANK)) if x] if text else []
+            new = {p for p in found if (BLANK, p) not in self.seen}
+            if new:
+                self._blanks(list(new))
+            parts.append(np.array([self.seen[BLANK, p] for p in found], dtype=np.int64))
+        return np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
+
+    def _learn(self, words: list[str], lines: bool) -> None:
+        """Remember the ids of new words: each behind a blank mark, but those that begin with a line end."""
+        if words:
+            self.seen.update(zip(words, self._rows([w if lines and w[0] == "\n" else BLANK + w for w in words]), strict=True))
+
+    def _blanks(self, parts: list[str]) -> None:
+        """Remember parts that may begin with several blank marks: extra ones are left out and encoded by themselves."""
+        runs = [len(p) - len(p.lstrip(BLANK)) for p in parts]
+        rows = self._rows([p[n - 1 :] if n > 1 else p for p, n in zip(parts, runs, strict=True)])
+        for p, n, row in zip(parts, runs, rows, strict=True):
+            if n > 1:
+                ids, _ = self.ids.gather(np.array([row]))
+                alone = int(ids[0] == self.m.blank_runs[1])
+                ids = np.append(self.run_ids(n if alone else n - 1), ids[alone:]).astype(np.uint32)
+                row = self.ids.append(ids, np.array([len(ids)]))[0]
+            self.seen[BLANK, p] = row
+
+    def _rows(self, bodies: list[str]) -> range:
+        """Rows of new parts: each is cut into units where no piece can reach across, and new units are matched."""
         text = "\0".join(bodies) + "\0"
         codes = self._codes(text)
-        apart = ~self.beside[codes[:-1], codes[1:]]
-        ends = np.append(np.flatnonzero(apart) + 1, len(text)).tolist()
-        units, known, names, start = self.units, self.m.chars, [], 0
-        for e in ends:
-            names.append(text[start:e])
-            start = e
-        self._match(dict.fromkeys(u for u in names if u[0] in known and u not in units))
-        at = 0
-        for p, n in zip(missing, runs, strict=True):
-            ids: list[int] = []
-            # A part ends by its length: its own text may hold the separator.
-            left = len(p) - max(n - 1, 0)
-            while left:
-                u = names[at]
-                ids += units[u] if u[0] in known else [self.m.byte_ids[b] for b in u.encode("utf-8", "surrogatepass")]
-                left -= len(u)
-                at += 1
-            at += 1
-            if n > 1:
-                alone = ids[0] == self.m.blank_runs[1]
-                ids = self.run_ids(n if alone else n - 1) + ids[alone:]
-            self.seen[p] = array(self.kind, ids).tobytes()
+        ends = np.append(np.flatnonzero(~self.beside[codes[:-1], codes[1:]]) + 1, len(text))
+        starts = np.append(0, ends[:-1])
+        names = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        units, get = self.units, self.units.get
+        new = dict.fromkeys(u for u, r in zip(names, map(get, names), strict=True) if r is None)
+        known = [u for u in new if u[0] in self.m.chars]
+        if known:
+            units.update(zip(known, self.ids.append(*self._match(known)), strict=True))
+        if other := [u for u in new if u not in units]:
+            raw = [u.encode("utf-8", "surrogatepass") for u in other]
+            ids = np.array(self.m.byte_ids, dtype=np.uint32)[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+            units.update(zip(other, self.ids.append(ids, np.array([len(x) for x in raw])), strict=True))
+        rows = np.fromiter(map(get, names), dtype=np.int64, count=len(names))
+        # A part ends by its length, as its own text may hold the separator; separators have no ids.
+        seps = np.cumsum([len(x) + 1 for x in bodies]) - 1
+        last = np.searchsorted(starts, seps)
+        rows[last] = 0
+        return self.ids.append(*self.ids.joined(rows, np.diff(last, prepend=-1)))
 
     def _codes(self, text: str) -> np.ndarray:
         """1 and more for the characters of pieces, 0 for others."""
@@ -247,12 +293,9 @@ class Matcher:
             self.runs[n] = got
         return self.runs[n]
 
-    def _match(self, units: dict) -> None:
-        """Fill self.units (text -> ids) for new units: suffix array, occurrence ranges, sorted edges, relaxation."""
-        if not units:
-            return
+    def _match(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids) of units: suffix array, occurrence ranges, sorted edges, relaxation."""
         m = self.m
-        names = list(units)
         # A separator of code 0 stands before each unit and LONGEST of them at the end.
         codes = self._codes("\0".join(["", *names]))
         n = len(codes)
@@ -276,39 +319,76 @@ class Matcher:
         which = np.repeat(hit, count[hit])
         inside = np.arange(len(which)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])
         starts = order[lo[which] + inside]
-        ends = starts + self.lengths[which]
-        kinds = self.searched[which]
         alone = np.flatnonzero(codes[:n])
-        starts, ends, kinds = np.concatenate([starts, alone]), np.concatenate([ends, alone + 1]), np.concatenate([kinds, codes[alone] - 1])
-        by_end = np.lexsort((starts, ends))
-        last: list[int] = [-1] * (n + 1)
-        for s in (np.flatnonzero(codes[:n] == 0) + 1).tolist():
-            last[s] = -2
-        memo, apart = self.memo, m.apart
-        for at in range(0, len(by_end), 1 << 16):
-            part = by_end[at : at + (1 << 16)]
-            for s, e, k in zip(starts[part].tolist(), ends[part].tolist(), kinds[part].tolist(), strict=True):
-                if last[e] >= 0 or (p := last[s]) == -1:
-                    continue
-                if p >= 0:
-                    ok = memo.get(key_ := (p << 20) | k)
-                    if ok is None:
-                        ok = memo[key_] = apart(p, k)
-                    if not ok:
-                        continue
-                last[e] = k
-        sizes, ids = [len(t) for t in m.texts], m.ids.tolist()
-        at = 0
-        for u in names:
-            at += 1
-            end, path = at + len(u), []
-            while end > at:
-                k = last[end]
-                path.append(ids[k])
-                end -= sizes[k]
-            path.reverse()
-            self.units[u] = path
-            at += len(u)
+        starts, ends, kinds = np.concatenate([starts, alone]), np.concatenate([starts + self.lengths[which], alone + 1]), np.concatenate([self.searched[which], codes[alone] - 1])
+        sizes = np.array([len(u) for u in names])
+        begins = np.cumsum(sizes + 1) - sizes
+        last = self._relaxed(starts, ends, kinds, begins, sizes, n)
+        # Paths are walked back from the ends of all units at once.
+        steps = np.zeros(n + 1, dtype=bool)
+        at, stop = begins + sizes, begins
+        while len(at):
+            steps[at] = True
+            at = at - self.sizes[last[at]]
+            at, stop = at[at > stop], stop[at > stop]
+        taken = np.flatnonzero(steps)
+        return m.ids[last[taken]].astype(np.uint32), np.diff(np.searchsorted(taken, np.append(begins, n + 1)))
+
+    def _relaxed(self, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray, begins: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+        """The token that ends at each position. Edges are taken by the distance of their end from the beginning of its
+        unit, in all units at once, the longest edge into a position first; very long units follow by themselves."""
+        last = np.full(n + 1, -1, dtype=np.int64)
+        last[begins] = -2
+        depth = np.zeros(n + 1, dtype=np.int64)
+        unit = np.repeat(np.arange(len(begins)), sizes)
+        places = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begins[unit] + 1
+        depth[places] = places - begins[unit]
+        long = np.zeros(n + 1, dtype=bool)
+        long[places] = (sizes > 200)[unit]
+        order = np.lexsort((starts, ends, depth[ends], long[ends]))
+        starts, ends, kinds = starts[order], ends[order], kinds[order]
+        short = int((~long[ends]).sum())
+        # Edges into one position are neighbours; `nth` counts them.
+        place = np.arange(len(ends))
+        nth = place - np.maximum.accumulate(np.where(np.append(True, ends[1:] != ends[:-1]), place, 0)) if len(ends) else place
+        cuts = np.searchsorted(depth[ends[:short]], np.arange(1, 202))
+        for a, b in itertools.pairwise(cuts.tolist()):
+            if a == b:
+                break
+            some, rank = np.arange(a, b), nth[a:b]
+            for r in range(int(rank.max()) + 1):
+                try_ = some[rank == r]
+                before = last[starts[try_]]
+                try_ = try_[(last[ends[try_]] == -1) & (before != -1)]
+                before = last[starts[try_]]
+                good = before == -2
+                inner = np.flatnonzero(~good)
+                good[inner] = self._apart(before[inner], kinds[try_[inner]])
+                took = try_[good]
+                last[ends[took]] = kinds[took]
+        if short < len(ends):
+            out, apart = last.tolist(), self.m.apart
+            for s, e, k in zip(starts[short:].tolist(), ends[short:].tolist(), kinds[short:].tolist(), strict=True):
+                if out[e] == -1 and out[s] != -1 and (out[s] == -2 or apart(out[s], k)):
+                    out[e] = k
+            last = np.array(out)
+        return last
+
+    def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Model.apart for many pairs: verdicts that the table has, else worked out once for each different pair."""
+        key = (a << 20) | b
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        out = self.verdicts[slot]
+        missing = np.flatnonzero(self.pairs[slot] != key)
+        if len(missing):
+            new, which = np.unique(key[missing], return_inverse=True)
+            apart = self.m.apart
+            found = np.array([apart(k >> 20, k & 0xFFFFF) for k in new.tolist()])
+            out[missing] = found[which]
+            at = ((new.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+            # Of several pairs for one slot the last stays, with its own verdict.
+            self.pairs[at], self.verdicts[at] = new, found
+        return out
 
     @staticmethod
     def _bound(sorted_quads: list[np.ndarray], keys: np.ndarray, upper: bool) -> np.ndarray:
@@ -329,13 +409,47 @@ class Matcher:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the blank that encoding puts in front goes, invalid bytes become U+FFFD."""
-        raw = b"".join(map(self.m.out.__getitem__, ids.tolist()))
-        return raw.removeprefix(b" ").decode("utf-8", "replace")
+        return self.decoded(ids, np.array([len(ids)]))[0].as_py()
+
+    def decoded(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The texts of runs of ids; counts has the number of ids of each."""
+        sizes = self.out_sizes[ids]
+        ends = np.cumsum(sizes)
+        where = np.repeat((self.out_starts[ids] - ends + sizes).astype(np.int32), sizes)
+        where += np.arange(len(where), dtype=np.int32)
+        raw = self.out_bytes[where]
+        bounds = np.append(0, ends)[np.append(0, np.cumsum(counts))]
+        full = np.flatnonzero(np.diff(bounds))
+        blank = full[raw[bounds[full]] == 32]
+        raw = np.delete(raw, bounds[blank])
+        gone = np.zeros(len(counts), dtype=np.int64)
+        gone[blank] = 1
+        bounds = bounds - np.append(0, np.cumsum(gone))
+        whole = raw.tobytes()
+        try:
+            whole.decode()
+            # Each text alone must be valid, too: none may begin inside a character.
+            if not ((raw[bounds[:-1][np.diff(bounds) > 0]] & 0xC0) == 0x80).any():
+                return pa.StringArray.from_buffers(len(counts), pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(whole))
+        except UnicodeDecodeError:
+            pass
+        return pa.array([whole[a:b].decode("utf-8", "replace") for a, b in itertools.pairwise(bounds.tolist())], pa.string())
 
 
 RESULT = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string").add("n_ids", "long").add("ids_crc32", "long").add("round_trip", "boolean").add("decoded_chars", "long")
 
 
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def _matcher(path: str, shared) -> Matcher:
+    """This worker's matcher for a broadcast model, which keeps its memory from task to task."""
+    if path not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[path] = Matcher(shared.value)
+    return _MATCHERS[path]
+
+
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """All columns of docs but text, with ids, decoded (the text of the ids), n_ids, ids_crc32 (of the ids as
     little-endian unsigned 32-bit integers), round_trip (decoding gives the text back; blank marks in the text itself
@@ -349,20 +463,22 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value)
+        matcher = _matcher(model_path, shared)
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for i, j in text_slices(texts, 2 << 20):
-                ids = matcher.encode(texts[i:j])
-                back = [matcher.decode(x) for x in ids]
+            texts = b.column("text").fill_null("")
+            for i, j in arrow_slices(texts, 4 << 20):
+                ids, counts = matcher.column(texts[i:j])
+                back = matcher.decoded(ids, counts)
+                bounds = np.append(0, np.cumsum(counts))
+                raw = memoryview(ids.astype("<u4").tobytes())
                 columns = [b.column(c)[i:j] for c in keep]
                 columns += [
-                    pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())),
-                    pa.array(back, pa.string()),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                    pa.array([x == t.replace(BLANK, " ") for x, t in zip(back, texts[i:j], strict=True)], pa.bool_()),
-                    pa.array([len(x) for x in back], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32))),
+                    back,
+                    pa.array(counts, pa.int64()),
+                    pa.array([zlib.crc32(raw[4 * x : 4 * y]) for x, y in itertools.pairwise(bounds.tolist())], pa.int64()),
+                    pc.equal(back, pc.replace_substring(texts[i:j], BLANK, " ")),
+                    pc.utf8_length(back),
                 ]
                 yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
 
