@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpusloom.llm.common import bounded_batches, stored, text_slices, whole
+from corpusloom.llm.common import bounded_batches, dropped, stored, text_slices, whole
 
 LENGTH = 200
 #: Bytes of anchors: of documents, then of what is left.
@@ -195,14 +195,17 @@ def _runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.select("id", "th", "lo", "full", "raw").mapInArrow(run, _RUN)
 
 
-def _settled(runs: DataFrame, hot: int) -> DataFrame:
+def _settled(runs: DataFrame, hot: int) -> tuple[DataFrame, list[DataFrame]]:
     """Runs that are not unique, with `full` (their context occurs again), many (their anchor has other contexts), rep
-    (they show the context's bytes, for one run or few) and hot (more than `hot` contexts)."""
-    by_context = runs.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.max("full").alias("was"), F.min("id").alias("rep"))
+    (they show the context's bytes, for one run of it) and hot (more than `hot` contexts); and the tables they rest on."""
+    # One run of a context stands for all: that with the smallest hash of its place.
+    runs = stored(runs.withColumn("place", F.xxhash64("id", "th", "lo")), "repeats-runs")
+    by_context = runs.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.max("full").alias("was"), F.min("place").alias("rep"))
     by_anchor = by_context.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("total")).where("total > 1")
     repeated = stored(by_context.join(by_anchor, "anchor").select("anchor", "ctx", (F.col("was") | (F.col("n") > 1)).alias("twice"), F.col("rep").alias("first"), "contexts"), "repeats-contexts")
     many = F.col("contexts") > 1
-    return runs.join(repeated, ["anchor", "ctx"]).select("id", "th", "of", "lo", "k", "anchor", F.col("full").alias("was"), F.col("twice").alias("full"), many.alias("many"), (many & (F.col("first") == F.col("id"))).alias("rep"), (F.col("contexts") > hot).alias("hot")).where(F.col("full") | F.col("many"))
+    out = runs.join(repeated, ["anchor", "ctx"]).select("id", "th", "of", "lo", "k", "anchor", F.col("full").alias("was"), F.col("twice").alias("full"), many.alias("many"), (many & (F.col("first") == F.col("place"))).alias("rep"), (F.col("contexts") > hot).alias("hot")).where(F.col("full") | F.col("many"))
+    return out, [runs, repeated]
 
 
 def _marks(settled: DataFrame, *keys: str) -> DataFrame:
@@ -214,7 +217,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = 512) -> Dat
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(whole(F.col("text"))).alias("th"), F.lit(0).alias("lo"), F.lit(False).alias("full"), whole(F.col("text")).cast("binary").alias("raw"))
-    marks = _marks(_settled(_runs(rows, length, GRAMS[0]), hot), "id", "th")
+    settled, rest = _settled(_runs(rows, length, GRAMS[0]), hot)
+    marks = _marks(settled, "id", "th")
     first = rows.join(marks, ["id", "th"], "left")
 
     kind = docs.schema["doc_id"].dataType
@@ -242,6 +246,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = 512) -> Dat
                 yield pa.RecordBatch.from_pylist(out, schema=mixed_arrow)
 
     parts = stored(first.select("doc_id", "id", "th", "raw", "marks").mapInArrow(settle, mixed), "repeats-parts")
+    dropped(spark, *rest)
     contexts = parts.where("kind = 2").select("context.*")
     context_arrow, found_arrow = to_arrow_schema(_CONTEXT), to_arrow_schema(_FOUND)
 
@@ -270,7 +275,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = 512) -> Dat
     for gram in (*GRAMS[1:], length):
         if contexts.isEmpty():
             break
-        settled = _settled(_runs(contexts, length, gram), hot)
+        settled, _ = _settled(_runs(contexts, length, gram), hot)
         here = settled.where("full and not was").select(*_FOUND.fieldNames())
         if gram < length:
             again = contexts.withColumnRenamed("lo", "of").join(_marks(settled.where("many"), "id", "th", "of"), ["id", "th", "of"])
