@@ -1,12 +1,14 @@
 """Personal data: exact base patterns, and a linear-chain conditional random field that adds what they miss.
 
 The field works on word-shape features of white-space tokens. It is trained on a small labelled table (see
-labelled_table), by gradient ascent on the penalised likelihood, and decoded by Viterbi over padded numpy batches.
-A token without a digit or an at-sign can only be inside a span near one that has; so sequences are the stretches of
-at most REACH tokens around such tokens, and all other tokens of the whole text are outside by definition.
-
-Base spans stay; a decoded span is added if it touches none of them. Null texts are empty. Repeated rows are treated
-one by one. Offsets are code points, ends exclusive.
+labelled_table), by gradient ascent on the penalised likelihood, and decoded by Viterbi in numpy batches. Every token of
+every whole text is scored. Where the field's own weights prove that no tag but O can win, whatever the path, a token is O;
+the stretches between are decoded, which gives the tags that decoding the whole text gives. Stretches longer than WINDOW
+tokens are decoded in windows that reach OVERLAP tokens into their neighbours and keep the tags of their own part; padding
+is bounded by the cells of a batch, not by its longest stretch.
+
+Base spans stay; a decoded span is added if it touches none of them, ties broken towards the earlier tag in TAGS. Null
+texts are empty. Repeated rows are treated one by one. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,13 @@ from corpusloom.llm.common import bounded_batches, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-REACH = 3
+WINDOW, OVERLAP = 192, 24
+#: Padded tokens and windows of a batch.
+CELLS, ROWS = 1 << 16, 4096
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+#: The base pattern of addresses, and chains of numbers, in which it is looked for.
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -48,6 +53,20 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _addresses(text: str) -> Iterator[tuple[str, int, int]]:
+    """Four numbers apart by dots, from the left of each chain of such numbers; one pass, however long a chain is."""
+    for m in NUMBERS.finditer(text):
+        if m[0].count(".") < 3:
+            continue
+        at, parts = m.start(), m[0].split(".")
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(int(x[-4:]) <= 255 and not x[:-4].strip("0") for x in four):
+                yield "ip", at, end
+            at = end + 1
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base patterns: leftmost, non-overlapping by kind; failing matches are dropped."""
     out = []
@@ -65,7 +84,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             else:
                 pos = at + 1
     if DIGIT.search(text):
-        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(int(x[-4:]) <= 255 and not x[:-4].strip("0") for x in m[0].split("."))]
+        out += _addresses(text)
         for m in CARD.finditer(text):
             d = _digits(m[0])
             if 13 <= len(d) <= 19 and luhn(d):
@@ -75,7 +94,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def labelled_table(spark: SparkSession, rows: int = 700, seed: int = 5) -> DataFrame:
+def labelled_table(spark: SparkSession, rows: int = 900, seed: int = 5) -> DataFrame:
     """The labelled table: sentence number, position, token and tag, from written-out patterns of personal data that
     the base rules do not cover, and of numbers that are none."""
     r = random.Random(seed)
@@ -103,9 +122,18 @@ def labelled_table(spark: SparkSession, rows: int = 700, seed: int = 5) -> DataF
             ]
         )()
 
+    def plain() -> str:
+        """A word as running text writes it."""
+        w = word()
+        w = r.choice([w, w, w, w.capitalize(), w.upper()])
+        return w + r.choice(["", "", "", "", ",", ".", "!!", "!", ":", "***", "$$$", "|"])
+
     def negative() -> list[str]:
         return r.choice(
             [
+                lambda: [plain() for _ in range(r.randint(1, 12))],
+                lambda: [plain()] * r.randint(2, 12),
+                lambda: r.choice(["|", "##", "---", "&", "*", "--"]).split() * r.randint(1, 6),
                 lambda: [r.choice(["Version", "version", "BY"]), f"{num(1)}.{num(1)}{r.choice(['', '.', ','])}"],
                 lambda: ["version", f"{num(1)}."],
                 lambda: ["token", "=", f'"{hexes(40)}"'],
@@ -129,13 +157,13 @@ def labelled_table(spark: SparkSession, rows: int = 700, seed: int = 5) -> DataF
 
     table = []
     for s in range(rows):
-        toks = [(word(), "O") for _ in range(r.randint(0, 4))]
+        toks = [(plain(), "O") for _ in range(r.randint(0, 4))]
         if r.random() < 0.5:
             kind, span = positive()
             toks += [(t, ("B-" if i == 0 else "I-") + kind) for i, t in enumerate(span)]
         else:
             toks += [(t, "O") for t in negative()]
-        toks += [(word() + r.choice(["", "", ",", "."]), "O") for _ in range(r.randint(0, 4))]
+        toks += [(plain(), "O") for _ in range(r.randint(0, 4))]
         if r.random() < 0.3:
             # Trailing punctuation clings to tokens.
             i = r.randrange(len(toks))
@@ -151,63 +179,172 @@ def shape(token: str) -> str:
     return re.sub(r"([9aA])\1{4,}", r"\1\1\1\1+", s)
 
 
+def core(token: str) -> str:
+    """A token without punctuation around it."""
+    return token.strip(",;:!?\"'#$%&*|<>").rstrip(".")
+
+
+def described(token: str) -> tuple[list[str], str, str]:
+    """(features of a token by itself, its shape, its shape with runs cut to one)."""
+    c = core(token)
+    full = shape(c)
+    brief = re.sub(r"([9aA])\1+\+?", r"\1", full)
+    own = ["bias", "s=" + full, "b=" + brief, f"d={min(len(_digits(c)), 20)}", f"n={full.count('9')}"]
+    if "[at]" in c or "(at)" in c or "@" in c:
+        own.append("at")
+    if "[.]" in c:
+        own.append("dot")
+    return own, full, brief
+
+
 def features(tokens: list[str]) -> list[list[str]]:
-    """Word-shape features of a sequence."""
-    cores = [t.strip(",;:!?\"'#$%&*|<>") for t in tokens]
-    cores = [c.rstrip(".") for c in cores]
-    full = [shape(c) for c in cores]
-    brief = [re.sub(r"([9aA])\1+\+?", r"\1", s) for s in full]
-    out = []
-    for i, c in enumerate(cores):
-        n = sum(x == "9" for x in full[i])
-        digits = len(_digits(c))
-        f = ["bias", "s=" + full[i], "b=" + brief[i], f"d={min(digits, 20)}", f"n={n}"]
-        if "[at]" in c or "(at)" in c or "@" in c:
-            f.append("at")
-        if "[.]" in c:
-            f.append("dot")
-        f.append("p=" + (brief[i - 1] if i else "^"))
-        f.append("f=" + (brief[i + 1] if i + 1 < len(cores) else "$"))
-        f.append("ps=" + (full[i - 1] if i else "^") + "|" + brief[i])
-        f.append("fs=" + (full[i + 1] if i + 1 < len(cores) else "$") + "|" + brief[i])
-        out.append(f)
-    return out
+    """Word-shape features of a sequence: of each token, and of it beside its neighbours (^ and $ stand at the ends)."""
+    known = [described(t) for t in tokens]
+    before, after = [("^", "^"), *((f, b) for _, f, b in known)], [*((f, b) for _, f, b in known[1:]), ("$", "$")]
+    return [[*own, "p=" + pb, "f=" + fb, f"ps={ps}|{brief}", f"fs={fs}|{brief}"] for (own, _, brief), (ps, pb), (fs, fb) in zip(known, before, after, strict=False)]
 
 
-@dataclass
 class Field:
-    """Weights of features by tag, and of transitions."""
-
-    names: dict[str, int]
-    emit: np.ndarray
-    move: np.ndarray
-
-    def scores(self, sequences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(padded emission scores, lengths) of a batch."""
-        lengths = np.array([len(s) for s in sequences])
-        out = np.zeros((len(sequences), int(lengths.max()), len(TAGS)))
-        for b, s in enumerate(sequences):
-            for t, fs in enumerate(features(s)):
-                ids = [k for f in fs if (k := self.names.get(f)) is not None]
-                out[b, t] = self.emit[ids].sum(axis=0)
-        return out, lengths
+    """Weights of features by tag, and of transitions. A token's score is a sum of rows of dense tables, picked by the
+    numbers of its own and its neighbours' shapes; shapes that training never saw share one row of zeros."""
+
+    def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray):
+        self.names, self.emit, self.move = names, emit, move
+        self.start = np.where([t.startswith("I-") for t in TAGS], -1e3, 0.0)
+        picked = lambda sign: {n[len(sign) :]: k for n, k in names.items() if n.startswith(sign)}
+        pairs = {sign: picked(sign) for sign in ("ps=", "fs=")}
+        single = {sign: picked(sign) for sign in ("p=", "f=")}
+        fulls = sorted({n.rsplit("|", 1)[0] for found in pairs.values() for n in found})
+        briefs = sorted({n.rsplit("|", 1)[1] for found in pairs.values() for n in found} | {n for found in single.values() for n in found})
+        self.fulls, self.briefs = ({n: i for i, n in enumerate(x)} for x in (fulls, briefs))
+        self.beside = {sign: np.zeros((len(briefs) + 1, len(TAGS))) for sign in single}
+        self.both = {sign: np.zeros((len(fulls) + 1, len(briefs) + 1, len(TAGS))) for sign in pairs}
+        for sign, found in single.items():
+            for n, k in found.items():
+                self.beside[sign][self.briefs[n]] = emit[k]
+        for sign, found in pairs.items():
+            for n, k in found.items():
+                full, brief = n.rsplit("|", 1)
+                self.both[sign][self.fulls[full], self.briefs[brief]] = emit[k]
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the memory of tokens anew: the class of each, and of each class its own score and its shapes."""
+        self.seen: dict[str, int] = {}
+        self.classes: dict[tuple, int] = {}
+        self.rows: list[np.ndarray] = []
+        self.shapes: list[tuple[int, int]] = []
+
+    def _class(self, token: str) -> int:
+        own, full, brief = described(token)
+        key = tuple(own)
+        if key not in self.classes:
+            self.classes[key] = len(self.rows)
+            self.rows.append(self.emit[[k for f in own if (k := self.names.get(f)) is not None]].sum(axis=0))
+            self.shapes.append((self.fulls.get(full, len(self.fulls)), self.briefs.get(brief, len(self.briefs))))
+        return self.classes[key]
+
+    def _numbers(self, tokens: list[str], lengths: np.ndarray) -> list[np.ndarray]:
+        """Rows of the five tables for every token: its class, and its neighbours' shapes beside its own."""
+        if len(self.seen) > 300_000:
+            self.forget()
+        seen = self.seen
+        for t in dict.fromkeys(tokens):
+            if t not in seen:
+                seen[t] = self._class(t)
+        which = np.fromiter(map(seen.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        full, brief = np.array(self.shapes, dtype=np.int64).reshape(-1, 2)[which].T
+        ends, out = np.cumsum(lengths), [which]
+        for step, edge, at in ((1, "^", ends - lengths), (-1, "$", ends - 1)):
+            # Texts begin and end beside a shape of their own.
+            near_full, near_brief = np.roll(full, step), np.roll(brief, step)
+            near_full[at], near_brief[at] = self.fulls.get(edge, len(self.fulls)), self.briefs.get(edge, len(self.briefs))
+            out += [near_brief, near_full * (len(self.briefs) + 1) + brief]
+        return out
+
+    def _tables(self) -> list[np.ndarray]:
+        flat = lambda x: x.reshape(-1, len(TAGS))
+        return [np.array(self.rows).reshape(-1, len(TAGS)), self.beside["p="], flat(self.both["ps="]), self.beside["f="], flat(self.both["fs="])]
+
+    def scores(self, tokens: list[str], lengths: np.ndarray) -> np.ndarray:
+        """Emission scores of the tokens of texts, one text after the other."""
+        numbers = self._numbers(tokens, lengths)
+        return sum(x[n] for x, n in zip(self._tables(), numbers, strict=True))
+
+    def _possible(self, tables: list[np.ndarray], numbers: list[np.ndarray], first: np.ndarray) -> np.ndarray:
+        """Which tokens can have another tag than O on a best path.
+
+        A run of other tags gains, over O throughout, at most the sum of its tokens' best gains and what leaving it
+        gains. A token is possible if the best run that holds it may gain anything."""
+        gain = sum((x[:, 1:].max(axis=1) - x[:, 0])[n] for x, n in zip(tables, numbers, strict=True))
+        step = self.move[:, 1:].max() - self.move[0, 0]
+        gain += step
+        gain[first] += max(0.0, -step)
+        sums = np.append(0.0, np.cumsum(gain))
+        until = sums[1:] - np.minimum.accumulate(sums[:-1])
+        since = np.maximum.accumulate(sums[:0:-1])[::-1] - sums[:-1]
+        return until + since - gain >= -max(0.0, self.move[1:, 0].max() - self.move[0, 0]) - 1e-6
+
+    def tags(self, tokens: list[str], lengths: np.ndarray) -> np.ndarray:
+        """The best tag of every token of texts (each of one token or more), one text after the other."""
+        out = np.zeros(len(tokens), dtype=np.int64)
+        if not len(tokens):
+            return out
+        numbers, tables = self._numbers(tokens, lengths), self._tables()
+        opens = np.zeros(len(tokens) + 1, dtype=bool)
+        opens[np.append(0, np.cumsum(lengths))] = True
+        live = np.flatnonzero(self._possible(tables, numbers, np.flatnonzero(opens[:-1])))
+        if not len(live):
+            return out
+        emit = sum(x[n[live]] for x, n in zip(tables, numbers, strict=True))
+        # Stretches of neighbouring tokens of one text; beside them stands O, or the end of the text.
+        cuts = np.flatnonzero(np.append(True, (np.diff(live) != 1) | opens[live[1:]]))
+        ends = np.append(cuts[1:], len(live))
+        emit[cuts] += np.where(opens[live[cuts]][:, None], self.start, self.move[0])
+        emit[ends - 1] += np.where(opens[live[ends - 1] + 1][:, None], 0.0, self.move[:, 0])
+        # Windows as (first token, end, first token kept, end of those kept).
+        windows = [(max(a, k - OVERLAP), min(b, k + WINDOW + OVERLAP), k, min(b, k + WINDOW)) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True) for k in range(a, b, WINDOW)]
+        first, stop, keep, until = np.array(windows, dtype=np.int64).T
+        size = stop - first
+        order = np.argsort(size, kind="stable")
+        found, at = np.zeros(len(live), dtype=np.int64), 0
+        while at < len(order):
+            # Sizes ascend, so the last of a batch is its longest.
+            some = order[at : at + ROWS]
+            some = some[: max(1, int(np.searchsorted(size[some] * np.arange(1, len(some) + 1), CELLS, "right")))]
+            at += len(some)
+            best = self._best(emit, first[some], size[some])
+            place = np.arange(best.shape[1]) + first[some][:, None]
+            kept = (place >= keep[some][:, None]) & (place < until[some][:, None])
+            found[place[kept]] = best[kept]
+        out[live] = found
+        return out
+
+    def _best(self, emit: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Best tags of windows of ascending size: Viterbi for all at once, padded at the end."""
+        steps, rows = int(size.max()), np.arange(len(first))
+        best = emit[first]
+        back = np.empty((steps, len(first), len(TAGS)), dtype=np.int8)
+        for t in range(1, steps):
+            live = int(np.searchsorted(size, t, "right"))
+            through = best[live:, :, None] + self.move[None]
+            choice = through.argmax(axis=1)
+            back[t, live:] = choice
+            best[live:] = np.take_along_axis(through, choice[:, None], axis=1)[:, 0] + emit[first[live:] + t]
+        tags = np.zeros((len(first), steps), dtype=np.int64)
+        last = best.argmax(axis=1)
+        for t in range(steps - 1, -1, -1):
+            live = t < size
+            tags[live, t] = last[live]
+            if t:
+                last = np.where(live, back[t, rows, last], last)
+        return tags
 
     def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
-        """Best tags of each sequence: Viterbi for the whole batch at once."""
-        emit, lengths = self.scores(sequences)
-        best, back = emit[:, 0].copy(), []
-        for t in range(1, emit.shape[1]):
-            through = best[:, :, None] + self.move[None]
-            choice = through.argmax(axis=1)
-            step = np.take_along_axis(through, choice[:, None], axis=1)[:, 0] + emit[:, t]
-            live = (t < lengths)[:, None]
-            back.append(np.where(live, choice, np.arange(len(TAGS))[None]))
-            best = np.where(live, step, best)
-        tags = np.zeros((len(sequences), emit.shape[1]), dtype=np.int64)
-        tags[:, -1] = best.argmax(axis=1)
-        for t in range(emit.shape[1] - 1, 0, -1):
-            tags[:, t - 1] = np.take_along_axis(back[t - 1], tags[:, t : t + 1], axis=1)[:, 0]
-        return [tags[b, :n] for b, n in enumerate(lengths)]
+        """Best tags of each sequence."""
+        full = [s for s in sequences if s]
+        tags = self.tags([t for s in full for t in s], np.array([len(s) for s in full], dtype=np.int64))
+        return np.split(tags, np.cumsum([len(s) for s in sequences])[:-1]) if sequences else []
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -218,7 +355,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 def train(table: DataFrame, rounds: int = 80, rate: float = 0.5, penalty: float = 1e-3, max_rows: int = 100_000) -> Field:
     """Fit a field to a labelled table (sentence, position, token, tag); the table is small and bounded by max_rows."""
     got: dict[int, list[tuple[int, str, str]]] = {}
-    for x in table.limit(max_rows).collect():
+    for x in table.orderBy("sentence", "position").limit(max_rows).collect():
         got.setdefault(x["sentence"], []).append((x["position"], x["token"], x["tag"]))
     data = [sorted(got[k]) for k in sorted(got)]
     sequences = [[t for _, t, _ in s] for s in data]
@@ -275,71 +412,35 @@ def train(table: DataFrame, rounds: int = 80, rate: float = 0.5, penalty: float
 
 
 TOKEN = re.compile(r"\S+")
-TRIGGER = re.compile(r"\S*[0-9@]\S*|\S*[\[(]at[\])]\S*")
-
-
-def stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans of the stretches to decode: tokens with a digit or at-sign and REACH tokens on either side."""
-    out: list[list[tuple[int, int]]] = []
-    done = 0
-    for m in TRIGGER.finditer(text):
-        before, at = [], m.start()
-        while len(before) < REACH and at > done:
-            end = at
-            while end > done and text[end - 1].isspace():
-                end -= 1
-            begin = end
-            while begin > done and not text[begin - 1].isspace():
-                begin -= 1
-            if begin == end:
-                break
-            before.append((begin, end))
-            at = begin
-        joined = bool(out) and not text[done:at].strip() and bool(before or not text[done : m.start()].strip())
-        cluster = [*reversed(before), m.span()]
-        if joined:
-            out[-1] += cluster
-        else:
-            out.append(cluster)
-        done = m.end()
-    for i, s in enumerate(out):
-        stop = out[i + 1][0][0] if i + 1 < len(out) else len(text)
-        at = s[-1][1]
-        for _ in range(REACH):
-            m = TOKEN.search(text, at, stop)
-            if not m:
-                break
-            s.append(m.span())
-            at = m.end()
-    return out
+EDGES = ",;:!?\"'#$%&*|<>"
 
 
 def added_spans(field: Field, texts: list[str], base: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
     """Spans that the field adds to each text's base spans."""
-    zones = [(i, s) for i, t in enumerate(texts) for s in stretches(t)]
+    split = [t.split() for t in texts]
+    lengths = np.array([len(x) for x in split], dtype=np.int64)
+    full = np.flatnonzero(lengths)
+    tags = field.tags([t for i in full.tolist() for t in split[i]], lengths[full])
+    bounds = np.append(0, np.cumsum(lengths))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    zones.sort(key=lambda z: len(z[1]))
-    for at in range(0, len(zones), 512):
-        part = zones[at : at + 512]
-        tags = field.decode([[texts[i][a:b] for a, b in s] for i, s in part])
-        for (i, s), tag in zip(part, tags, strict=True):
-            k = 0
-            while k < len(s):
-                name = TAGS[tag[k]]
-                j = k + 1
-                if name != "O":
-                    while j < len(s) and TAGS[tag[j]] == "I-" + name[2:]:
-                        j += 1
-                    start, end = s[k][0], s[j - 1][1]
-                    while start < end and texts[i][start] in ",;:!?\"'#$%&*|<>":
-                        start += 1
-                    while start < end and texts[i][end - 1] in ",;:!?\"'#$%&*|<>.":
-                        end -= 1
-                    span = texts[i][start:end]
-                    # Numbers have digits and no letters.
-                    if start < end and (name[2:] == "email" or DIGIT.search(span) and not any(map(str.isalpha, span))) and all(end <= a or b <= start for _, a, b in base[i]):
-                        out[i].append((name[2:], start, end))
-                k = j
+    for i in np.unique(np.searchsorted(bounds, np.flatnonzero(tags), "right") - 1).tolist():
+        text, names = texts[i], [TAGS[k] for k in tags[bounds[i] : bounds[i + 1]]]
+        places = [m.span() for m in TOKEN.finditer(text)]
+        for k, name in enumerate(names):
+            if not name.startswith("B-"):
+                continue
+            j = k + 1
+            while j < len(names) and names[j] == "I-" + name[2:]:
+                j += 1
+            start, end = places[k][0], places[j - 1][1]
+            while start < end and text[start] in EDGES:
+                start += 1
+            while start < end and text[end - 1] in EDGES + ".":
+                end -= 1
+            span = text[start:end]
+            # Numbers have digits and no letters.
+            if start < end and (name[2:] == "email" or DIGIT.search(span) and not any(map(str.isalpha, span))) and all(end <= a or b <= start for _, a, b in base[i]):
+                out[i].append((name[2:], start, end))
     return out
 
 
