@@ -5,8 +5,9 @@ its `probes` rarest terms: their posting lists, shifted back by the terms' offse
 and what remains is compared with the whole phrase. Only the test vocabulary and the phrases are ever broadcast, and
 only below a checked size; beyond it the same joins shuffle.
 
-Null texts have no words. Items without a word have no phrase and never match. Repeated rows of documents are counted
-per doc_id: one result row for each row, with equal numbers. A null doc_id has its words counted and no hits.
+Null texts have no words. Items without a word have no phrase and never match. Every row of documents has its own
+result: rows are known by 64 bits of hash of doc_id and text, so rows that share a doc_id, or have none, are told apart,
+and equal rows have equal results.
 """
 
 from __future__ import annotations
@@ -90,16 +91,18 @@ def proximity_matches(index: DataFrame, windows: DataFrame, slop: int = 5, probe
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, probes: int = 2) -> DataFrame:
     """Every row of docs with n_words, n_hit, n_items, items (sorted ids as text) and contaminated."""
+    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), whole(F.col("text"))))
+    texts = keyed.select(F.col("_row").alias("doc_id"), "text")
     windows, owners = phrases(items, size)
     terms = stored(windows.select(F.explode("words").alias("term")).distinct(), "terms")
-    index = build_index(docs, terms)
-    found = stored(exact_matches(docs, windows, index, probes), "matches")
+    index = build_index(texts, terms)
+    found = stored(exact_matches(texts, windows, index, probes), "matches")
     spans = found.groupBy("doc_id", "start").agg(F.max("len").alias("len"))
     hit = spans.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos")).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("_hit"))
     named = found.select("doc_id", "wid").distinct().join(owners, "wid").select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
     named = named.groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("_items"))
-    marks = hit.join(named, "doc_id")
-    out = docs.drop("_hit", "_items").join(marks, "doc_id", "left")
+    marks = hit.join(named, "doc_id").withColumnRenamed("doc_id", "_row")
+    out = keyed.drop("_hit", "_items").join(marks, "_row", "left").drop("_row")
     return out.withColumns(
         {
             "n_words": F.size(words_of(F.col("text"))).cast("long"),
