@@ -28,12 +28,12 @@ from corpusloom.llm.common import bounded_batches, dropped, stored
 RADIUS = 2
 
 
-def fingerprint_of(text: str | None) -> int:
-    """The 64-bit fingerprint of a whole text: majority bits of the XXH64 (seed 42) of its 3-word shingles."""
+def fingerprint_of(text: str | None, size: int = 3) -> int:
+    """The 64-bit fingerprint of a whole text: majority bits of the XXH64 (seed 42) of its shingles of `size` words."""
     words = (text or "").encode().lower().split()
     if not words:
         return 0
-    grams = map(b"%b %b %b".__mod__, zip(words, words[1:], words[2:], strict=False)) if len(words) >= 3 else [b" ".join(words)]
+    grams = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(g, 42) for g in grams), dtype=">u8")
     ones = np.zeros(64, dtype=np.int64)
