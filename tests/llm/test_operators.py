@@ -1,9 +1,11 @@
 """The ten operators against brute force on a small table with nulls, empty and long texts, repeats and ties."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -110,6 +112,15 @@ def test_contamination(spark, docs, rows, empty):
     assert exact.select("doc_id", "wid", "start").exceptAll(near).isEmpty()
 
 
+def test_contamination_by_row(spark):
+    """Rows that share a doc_id, or have none, are judged by their own texts."""
+    passage = " ".join(f"w{i}" for i in range(14))
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    data = [(1, "clean text " * 9), (1, passage + " x"), (1, "y " + passage + " " + passage), (None, passage), (None, "nothing here"), (1, passage + " x"), (2, ("z " * 60_000) + passage)]
+    out = got(contamination.decontaminate(spark.createDataFrame(data, "doc_id long, text string"), items), "doc_id", "n_words", "n_hit", "contaminated")
+    assert out == sorted([(1, 18, 0, False), (1, 15, 14, True), (1, 29, 28, True), (None, 14, 14, True), (None, 2, 0, False), (1, 15, 14, True), (2, 60_014, 14, True)], key=repr)
+
+
 @pytest.mark.parametrize("hot", [64, 1])
 def test_simhash_components(spark, hot):
     r = random.Random(9)
@@ -227,6 +238,50 @@ def test_pii_field_generalises(spark):
     assert pii.added_spans(field, ["call (743) 555-3824 now", "clean text"], [[], []]) == [[("phone", 5, 19)], []]
 
 
+def test_pii_viterbi_by_enumeration(spark):
+    field = pii.train(pii.labelled_table(spark, rows=150))
+    r = random.Random(5)
+    words = ["call", "(743)", "555-3824", "743-555-3824", "x[at]y.com", "0033", "12", "1234", "Version", "2.1", "me", "(at)", "ab.org,", "$$$", "9"]
+    for _ in range(25):
+        s = [r.choice(words) for _ in range(r.randint(1, 4))]
+        emit = np.array([sum((field.emit[field.names[f]] for f in fs if f in field.names), np.zeros(len(pii.TAGS))) for fs in pii.features(s)])
+        assert np.allclose(field.scores(s, np.array([len(s)])), emit)
+
+        def value(path):
+            return field.start[path[0]] + sum(emit[t, k] for t, k in enumerate(path)) + sum(field.move[a, b] for a, b in zip(path, path[1:], strict=False))
+
+        best = max(itertools.product(range(len(pii.TAGS)), repeat=len(s)), key=value)
+        assert math.isclose(value(best), value(field.decode([s])[0].tolist()), abs_tol=1e-9)
+    # Windows give what one pass over the whole sequence gives; batches do not change results.
+    long = [[r.choice(words) for _ in range(n)] for n in (1, 700, 2000, 3)]
+    found = field.decode([*long, []])
+    assert len(found[-1]) == 0
+    for s, tags in zip(long, found, strict=False):
+        emit = field.scores(s, np.array([len(s)]))
+        emit[0] += field.start
+        assert field._best(emit, np.array([0]), np.array([len(s)]))[0].tolist() == tags.tolist()
+        assert not any(pii.TAGS[b].startswith("I-") and (t == 0 or pii.TAGS[tags[t - 1]][2:] != pii.TAGS[b][2:]) for t, b in enumerate(tags))
+
+
+def test_pii_of_very_long_texts(spark):
+    field = pii.train(pii.labelled_table(spark, rows=100))
+    for text in ("x" * 1_000_000, "7" * 1_000_000, "1." * 500_000, "7 " * 500_000, "a@" * 200_000, "+1 " * 200_000, "漢字" * 300_000):
+        began = time.time()
+        base = pii.base_spans(text)
+        pii.added_spans(field, [text], [base])
+        assert time.time() - began < 60
+    assert len(pii.base_spans("1." * 500_000 + "1")) == 125_000
+
+
+def test_pii_other_writings(spark):
+    """Personal data as the labelled table does not write it, and numbers that are none."""
+    field = pii.train(pii.labelled_table(spark))
+    data = ["Reach Ana on (212) 555-0147 after six", "her desk: 415-555-0132, thanks", "mail joan[at]museum.org today", "write to k.lee (at) lab9.net please", "ping 10[.]0[.]3[.]17 first", "card 4539.1488.0343.6467 expired"]
+    clean = ["in 1999 and 2004 we met 12 people", "chapter 3.2, page 114", "on 2021-05-17 at 10:45", "it cost $1,204.50 or 15%", "version 2.0.1 of the code", "the cat sat on a mat"]
+    assert sum(bool(x) for x in pii.added_spans(field, data, [pii.base_spans(t) for t in data])) >= 5
+    assert sum(bool(x) for x in pii.added_spans(field, clean, [pii.base_spans(t) for t in clean])) == 0
+
+
 def lm_by_brute_force(all_rows):
     """(probability of a word after a context, known words, training counts, results of every row) by plain recursion."""
     held = {i for i, *_ in all_rows if i is not None and zlib.crc32(str(i).encode()) % 5 == 1}
@@ -281,8 +336,9 @@ def test_lm_numbers_survive_packing():
     for top in (2, 300, 70_000, 1 << 40):
         x = r.integers(0, top, 1000)
         assert np.array_equal(lm.unpacked(lm.packed(x), 1000), x)
-    k = np.sort(r.integers(0, 1 << 56, 1000, dtype=np.uint64))
-    assert np.array_equal(lm.keys_unpacked(lm.keys_packed(k, 7), 7), k)
+    for top in (1 << 56, (1 << 64) - 1):
+        k = np.sort(r.integers(0, top, 1000, dtype=np.uint64))
+        assert all(np.array_equal(lm.keys_unpacked(lm.keys_packed(k[:n]), n), k[:n]) for n in (0, 1, 2, 1000))
 
 
 def test_token_files(docs, rows, empty):
@@ -332,6 +388,24 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_of_letters_and_of_many_languages(spark):
+    data = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}q{chr(97 + i // 676)} " * 3, f"l{i:04d}") for i in range(1200) for _ in range(2)]
+    data = [(k, t, x) for k, (_, t, x) in enumerate(data)] + [(9000, "² ½ ①", "x"), (9001, "1_2", None), (9002, "\u0301", None), (9003, "l\u0301e", None)]
+    out = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(data, "doc_id long, text string, lang string"), max_rows=600, columns=256).collect()}
+    assert [out[i]["lang_pred"] for i in (9000, 9001, 9002)] == ["und"] * 3 and out[9003]["lang_pred"] != "und"
+    learned = {x for i, _, x in data if x and zlib.crc32(str(i).encode()) % 3 != 1}
+    assert {r["lang_pred"] for r in out.values()} - {"und"} <= learned and len(learned) > 1000
+    one = language.identify(spark.createDataFrame([(i, "le chat", "fr") for i in range(9)], "doc_id long, text string, lang string"))
+    assert {(r["lang_pred"], r["score"]) for r in one.collect()} == {("fr", 1.0)}
+
+
+def test_language_frequencies_cover_all_rows(spark):
+    data = [(i, "ab" if i % 4 else "zz", "en") for i in range(400)]
+    idf = language.inverse_frequencies(spark.createDataFrame(data, "doc_id long, text string, lang string"), 1 << 12)
+    c, _ = language.grams(["zz"], 1 << 12)
+    assert np.allclose(idf[c[0]], math.log(401 / 401) + 1) and math.isclose(max(idf[x] for x in set(c.tolist())), math.log(401 / 101) + 1)
+
+
 def test_warc(spark):
     long = "<p>" + "x" * 1200
     pages = [(1, "http://A.com/x", long), (2, None, long), (3, "http://b.org/y\r\nz", "short"), (4, "http://b.org/", None), (5, "http://a.com/x", "short"), (6, "http://a.com/q", long), (6, "http://a.com/q", long), (7, "u", "é" * 600)]
