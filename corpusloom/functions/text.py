@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -9,9 +10,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space, as stripping and splitting understand it.
+#: White space, as stripping and splitting understand it.
 SPACE = "[\\s\\x1c-\\x1f\\x85\\p{Z}]"
-#: Words and numbers of the lexical index: grouped digits with an optional percent sign, or runs of word characters.
+#: Words and numbers of the lexical index: grouped digits with an optional percent sign, or runs of word characters.
 TOKEN = "\\p{Nd}+(?:[.,]\\p{Nd}+)*%?|[\\p{L}\\p{N}_]+"
 #: Symbols that carry no text in web pages.
 EMOJI = "[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{26FF}\\x{2B50}\\x{2B55}\\x{FE0F}]"
@@ -37,19 +38,26 @@ def rewrite(c: Column, *steps: tuple[str, str]) -> Column:
     return reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, c)
 
 
+#: What a clean line is made by, in order.
+TIDY = (
+    (EMOJI, ""),
+    ("[\\r\\n]", " "),
+    (BLANKS, " "),
+    (f"{SPACE}+([,.;:!?)])", "$1"),
+    (f"\\({SPACE}+", "("),
+    ('[”"“]{3,}', ""),
+    (f"\\[{SPACE}*([^\\[\\]]*?\\(https?://[^)\\s]+\\)){SPACE}*\\]", "$1"),
+)
+
+
 def clean_text(c: Column, compose: bool = True) -> Column:
     """One clean line: no emoji, single blanks, tight punctuation, no stray quotes, links in brackets unwrapped."""
-    c = rewrite(
-        nfc(c) if compose else c,
-        (EMOJI, ""),
-        ("[\\r\\n]", " "),
-        (BLANKS, " "),
-        (f"{SPACE}+([,.;:!?)])", "$1"),
-        (f"\\({SPACE}+", "("),
-        ('[”"“]{3,}', ""),
-        (f"\\[{SPACE}*([^\\[\\]]*?\\(https?://[^)\\s]+\\)){SPACE}*\\]", "$1"),
-    )
-    return strip(c)
+    return strip(rewrite(nfc(c) if compose else c, *TIDY))
+
+
+def in_python(pattern: str) -> str:
+    """A pattern of this module as Python's re reads it."""
+    return re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), pattern.replace(SPACE, "\\s"))
 
 
 def norm(c: Column, compose: bool = True) -> Column:

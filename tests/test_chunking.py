@@ -70,10 +70,10 @@ def test_section_rows_and_tree_agree(spark):
     for r in sections.section_rows(docs).orderBy("doc_id", "sec_idx").collect():
         got.setdefault(r["doc_id"], []).append((r["path"], r["own_text"]))
 
-    def flat(s):
-        return [(s.path, s.own)] + [x for b in s.below for x in flat(b)]
+    def flat(o):
+        return list(zip(o.path, o.own, strict=True))
 
-    assert got == {r["doc_id"]: flat(sections.outline(r["body"])) for r in docs.collect()}
+    assert got == {r["doc_id"]: flat(sections.Outline(r["body"])) for r in docs.collect()}
 
 
 def test_leaf_mode():
@@ -91,14 +91,18 @@ def test_tree_mode_keeps_what_fits_and_groups_small_neighbours():
     assert got == [("A", "a" * 50), ("(mở đầu)", "## B\n\nb\n\n## C\n\nc"), ("D", "d" * 50), ("E", "e")]
 
 
+def list_filled(units, most):
+    return list(sections.filled(units, most))
+
+
 def test_tables_and_lists_are_cut_by_rows_and_items():
     table = "h\nsep".replace("h", "|h|").replace("sep", "|-|") + "\n|r1|\n|r2|\n|r3|"
-    units = list(sections.blocks(table, 10))
+    units = list(sections.units_of(table, 10))
     assert units == ["|h|\n|-|\n|r1|", "|h|\n|-|\n|r2|", "|h|\n|-|\n|r3|"]
-    assert sections.packed(iter(units), 17) == ["|h|\n|-|\n|r1|\n|r2|", "|h|\n|-|\n|r3|"]
-    assert list(sections.blocks("- a\n  - b\n- c", 5)) == ["- a\n  - b", "- c"]
-    assert sections.packed(iter(["- a", "- c"]), 50) == ["- a\n- c"]
-    assert sections.packed(iter(["|h|\n|-|", "|x|\n|-|"]), 50) == ["|h|\n|-|\n\n|x|\n|-|"]
+    assert list_filled(iter(units), 17) == ["|h|\n|-|\n|r1|\n|r2|", "|h|\n|-|\n|r3|"]
+    assert list(sections.units_of("- a\n  - b\n- c", 5)) == ["- a\n  - b", "- c"]
+    assert list_filled(iter(["- a", "- c"]), 50) == ["- a\n- c"]
+    assert list_filled(iter(["|h|\n|-|", "|x|\n|-|"]), 50) == ["|h|\n|-|\n\n|x|\n|-|"]
 
 
 def test_headers_count_parts():
@@ -106,3 +110,12 @@ def test_headers_count_parts():
     got = list(c.split("T", "## A\n" + "\n\n".join("p" * 30 for _ in range(4))))
     assert got[0]["content"].startswith("Tài liệu: T\nMục: A (phần 1/")
     assert [x["part"] for x in got] == list(range(1, len(got) + 1)) and all(len(x["content"]) <= 80 for x in got)
+
+
+def test_outline_is_flat_and_deep():
+    o = sections.Outline("a\n## A\n### B\nx\n###### C\n## D\ny")
+    assert o.end == [5, 4, 4, 4, 5] and [o.length(i, o.end[i]) for i in range(5)] == [len(o.markdown(i, o.end[i])) for i in range(5)]
+    assert o.inner(1) == "### B\n\nx\n\n###### C" and list(o.below(0)) == [1, 4]
+    body = "\n".join(f"{'#' * (2 + i % 5)} s{i}\n{'w ' * (i % 300)}" for i in range(20_000))
+    got = list(sections.StructureChunker().split("T", body))
+    assert len(got) > 1000 and all(len(x["content"]) <= 2202 for x in got)

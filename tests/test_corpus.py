@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,25 +75,53 @@ def test_blocks():
     page = """<div><h2>Fees:</h2><p>a<br>b</p><p><strong>Pseudo</strong></p><ul><li>one<ul><li>two</li></ul></li></ul>
     <p>- x<br>- y<br>lead</p><p>Phone: 1<br>Mail: 2</p><table><tr><th>No.</th><th>N</th></tr><tr><td>1</td><td>v|w</td></tr></table>
     <p>see <a href="http://t.x">here</a></p><script>s</script><p><span data-cfemail="42230220"></span></p></div>"""
-    got = html.page_blocks(page)
-    assert [(b.kind, b.text, b.level) for b in got if b.kind in ("heading", "para")] == [("heading", "Fees", 2), ("para", "a b", 0), ("heading", "Pseudo", 2), ("para", "lead", 0), ("para", "see here (http://t.x)", 0), ("para", "a@b", 0)]
-    assert [b.items for b in got if b.kind == "list"] == [[(0, "one"), (1, "two")], [(0, "x"), (0, "y")], [(0, "Phone: 1"), (0, "Mail: 2")]]
-    text = html.render(html.normalised(got, "Title"), "Title")
+    got = html.page_rows(page)
+    assert [(r.kind, r.text, r.level) for r in got if r.kind in ("heading", "para")] == [("heading", "Fees", 2), ("para", "a b", 0), ("heading", "Pseudo", 2), ("para", "lead", 0), ("para", "see here (http://t.x)", 0), ("para", "a@b", 0)]
+    items = {}
+    for r in got:
+        if r.kind == "item":
+            items.setdefault(r.block, []).append((r.level, r.text))
+    assert list(items.values()) == [[(0, "one"), (1, "two")], [(0, "x"), (0, "y")], [(0, "Phone: 1"), (0, "Mail: 2")]]
+    text = html.markdown(html.settled(got, "Title"), "Title")
     assert "| No. | N |\n|---|---|\n| 1 | v\\|w |" in text and "- one\n  - two" in text and text.startswith("# Title\n\n## Fees")
     with pytest.raises(ValueError):
-        html.page_blocks(page, "p")
-    assert [b.text for b in html.page_blocks(page, "div ul li ul")] == ["two"]
+        html.page_rows(page, "p")
+    assert [r.text for r in html.page_rows(page, "div ul li ul")] == ["two"]
+
+
+def test_rows_of_a_column(spark):
+    pages = spark.createDataFrame([(1, "<div id=a><p>x</p></div>"), (2, "<p>y</p>"), (3, None)], "page_id int, html string")
+    out = {r["page_id"]: r["r"] for r in pages.select("page_id", html.html_rows(F.col("html"), "#a").alias("r")).collect()}
+    assert [r["text"] for r in out[1]["value"]] == ["x"] and out[1]["error"] is None
+    assert out[2]["value"] is None and "found 0" in out[2]["error"] and out[3]["value"] is None and out[3]["error"] is None
+
+
+def test_tabs():
+    page = '<a role="tab" href="#a">One</a><a role="tab" data-bs-target="#b">Two</a><a role="tab" href="#none">No</a><div id="a"><p>x</p></div><div id="b"><h3>y</h3></div>'
+    assert [(r.block, r.kind, r.level, r.text) for r in html.faq_rows(page)] == [(0, "heading", 2, "One"), (1, "para", 0, "x"), (2, "heading", 2, "Two"), (3, "heading", 3, "y")]
+
+
+def test_lists_that_go_on_are_joined():
+    rows = [html.Row(0, "item", 0, 0, "a:"), html.Row(1, "item", 0, 0, "b"), html.Row(2, "item", 1, 0, "c"), html.Row(3, "number", 0, 0, "d"), html.Row(3, "number", 0, 0, "e")]
+    assert html.markdown(html.settled(rows, "T"), "T") == "# T\n\n- a:\n  - b\n  - c\n\n1. d\n2. e\n"
+
+
+@pytest.mark.parametrize("nest", ["<div>", "<ul><li>", "<p><a href=\"http://x\">", "<b>", "<table><tr><td>", "<h1><button>"])
+def test_deep_pages(nest):
+    began = time.time()
+    rows = html.page_rows(nest * 10_000 + "x")
+    assert all(isinstance(r.text, str) for r in rows) and time.time() - began < 20
 
 
 def test_levels_are_clamped():
-    blocks = [html.Block("heading", text=str(i), level=n) for i, n in enumerate((2, 4, 4))]
-    assert [b.level for b in html.normalised(blocks, "T")] == [2, 3, 4]
+    rows = [html.Row(i, "heading", n, 0, str(i)) for i, n in enumerate((2, 4, 4))]
+    assert [r.level for r in html.settled(rows, "T")] == [2, 3, 4]
     assert html.heading_levels(["A. x", "I. y", "1. z", "1.1 w"]) == [2, 3, 4, 5]
 
 
 def test_wide_tables_become_records():
-    out = html.table_lines([["STT", "Tên", "Ghi chú"], ["1", "An", "x" * 200], ["2", "Bo", "a\n- b"]], 2)
-    assert out == ["### 1. An", "", "x" * 200, "", "### 2. Bo", "", "a", "", "- b"]
+    out = html.table_markdown([["STT", "Tên", "Ghi chú"], ["1", "An", "x" * 200], ["2", "Bo", "a\n- b"]], 2)
+    assert out.split("\n") == ["### 1. An", "", "x" * 200, "", "### 2. Bo", "", "a", "", "- b"]
 
 
 def test_overrides():
