@@ -87,10 +87,11 @@ def model_reranker(load: Callable[[], Callable[[list[tuple[str, str]]], list[flo
 class HybridRetriever:
     """Retrieval over the records of a store, for a whole set of questions at once."""
 
-    def __init__(self, store: VectorStore, options: HybridOptions = HybridOptions(), llm: Callable[[Column], Column] | None = None, reranker: Callable[[Column, Column], Column] | None = None, lexical: LexicalIndex | None = None):
+    # Scores of branches are rounded to `digits` places before they are ranked, so that equals are equal everywhere.
+    def __init__(self, store: VectorStore, options: HybridOptions = HybridOptions(), llm: Callable[[Column], Column] | None = None, reranker: Callable[[Column, Column], Column] | None = None, lexical: LexicalIndex | None = None, digits: int = 12):
         if options.use_hyde and llm is None:
             raise ValueError("hypothetical passages need a language model")
-        self.store, self.o, self.llm, self.reranker = store, options, llm, reranker
+        self.store, self.o, self.llm, self.reranker, self.digits = store, options, llm, reranker, digits
         self.languages = hyde_languages(store.records) if options.use_hyde else []
         # Ids may repeat in the store; the last record of an id stands for it.
         last = store.records.groupBy("id").agg(F.max("index").alias("index"))
@@ -106,13 +107,13 @@ class HybridRetriever:
             return df.select("qid", F.lit(name).alias("branch"), F.lit(BRANCHES.index(name)).alias("branch_ord"), "id", "score", "rank")
 
         if self.o.use_dense:
-            out.append(named(nearest(questions.select("qid", embed(F.col("question")).alias("qvec")), rows, k), "dense"))
+            out.append(named(nearest(questions.select("qid", embed(F.col("question")).alias("qvec")), rows, k, digits=self.digits), "dense"))
         for lang in self.languages:
             before, after = HYDE_PROMPTS[lang].split("{question}")
             passage = self.llm(F.concat(F.lit(before), F.col("question"), F.lit(after)))
-            out.append(named(nearest(questions.select("qid", embed(passage).alias("qvec")), rows, k), f"hyde_{lang}"))
+            out.append(named(nearest(questions.select("qid", embed(passage).alias("qvec")), rows, k, digits=self.digits), f"hyde_{lang}"))
         if self.o.use_bm25:
-            out.append(named(bm25_ranking(self.lexical, questions, rows, k), "bm25"))
+            out.append(named(bm25_ranking(self.lexical, questions, rows, k, self.digits), "bm25"))
         return reduce(DataFrame.unionByName, out)
 
     def retrieve(self, questions: DataFrame, top_k: int = 3, metadata_filter: dict | None = None) -> DataFrame:

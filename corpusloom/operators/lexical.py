@@ -47,9 +47,9 @@ def bm25_all(ix: LexicalIndex, queries: DataFrame, candidates: DataFrame, **opti
     return candidates.join(bm25(ix, queries, **options), ["qid", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def bm25_ranking(ix: LexicalIndex, queries: DataFrame, order: DataFrame, candidate_k: int = 20, **options) -> DataFrame:
-    """(qid, id, score, rank) of the candidate_k best with a positive score; order (id, index) holds the rows that pass
-    the filter, and decides between equals."""
-    scored = bm25(ix, queries, **options).where("score > 0").join(order.select("id", "index"), "id")
+def bm25_ranking(ix: LexicalIndex, queries: DataFrame, order: DataFrame, candidate_k: int = 20, digits: int = 12, **options) -> DataFrame:
+    """(qid, id, score, rank) of the candidate_k best with a positive score, rounded to `digits` places; order (id, index)
+    holds the rows that pass the filter, and decides between equals."""
+    scored = bm25(ix, queries, **options).withColumn("score", F.round("score", digits)).where("score > 0").join(order.select("id", "index"), "id")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "index")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= candidate_k).select("qid", "id", "score", "rank")

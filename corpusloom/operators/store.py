@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from corpusloom.functions.vector import cosine, mock_embed_text, mock_embedding
 
@@ -106,21 +111,82 @@ class VectorStore:
         return VectorStore(self.spark, self.records.where(~gone), self.embedder), found
 
 
-def nearest(queries: DataFrame, rows: DataFrame, top_k: int, query_bytes: int = 64 << 20, score: Column | None = None) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, top_k: int, query_bytes: int = 64 << 20, digits: int = 12) -> DataFrame:
     """The top_k rows (id, embedding, index) for each of a set of queries (qid, qvec): (qid, id, score, rank).
 
-    A stated query set is scored against all rows; its size is checked, and a set above query_bytes is run in blocks
-    of that size, so what each task holds does not grow with the set. Each task keeps its best top_k by query before
-    the shuffle."""
-    width = queries.limit(1).select(F.size("qvec")).first()
-    per_block = max(1, query_bytes // (8 * (width[0] if width else 1) + 64))
-    total = queries.count()
-    out = None
-    for b in range(max(1, -(-total // per_block))):
-        n_blocks = -(-total // per_block)
-        part = queries if n_blocks <= 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b)
-        pairs = rows.crossJoin(F.broadcast(part)).select("qid", "id", "index", (score if score is not None else cosine(F.col("embedding"), F.col("qvec"))).alias("score"))
-        w = Window.partitionBy("qid").orderBy(F.desc("score"), "index")
-        best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select("qid", "id", "score", "rank")
-        out = best if out is None else out.unionByName(best)
+    Scores are cosines, rounded to `digits` places; earlier rows go first among equals. Every query is computed once and
+    streams to the driver, which holds them in blocks of query_bytes that go to the tasks. Rows meet a block in matrix
+    products, an Arrow batch at a time, and each task sends its best top_k for every query into the shuffle."""
+    kinds = {"qid": queries.schema["qid"].dataType, "id": rows.schema["id"].dataType}
+    out_type = StructType([StructField("qid", kinds["qid"]), StructField("id", kinds["id"]), StructField("index", LongType()), StructField("score", DoubleType())])
+    schema = to_arrow_schema(out_type)
+
+    def best_of(ids: list, vectors: np.ndarray):
+        unit = _unit(vectors)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            score = np.full((len(ids), 0), 0.0)
+            index, name = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0), dtype=object)
+            for b in batches:
+                have = b.filter(pc.is_valid(b.column(1)))
+                if not have.num_rows:
+                    continue
+                m = _unit(_matrix(have.column(1)))
+                width = min(m.shape[1], unit.shape[1])
+                new = np.round(unit[:, :width] @ m[:, :width].T, digits) + 0.0
+                shape = (len(ids), have.num_rows)
+                score = np.concatenate([score, new], axis=1)
+                index = np.concatenate([index, np.broadcast_to(have.column(2).to_numpy(), shape)], axis=1)
+                name = np.concatenate([name, np.broadcast_to(np.array(have.column(0).to_pylist(), dtype=object), shape)], axis=1)
+                keep = np.lexsort((index, -score), axis=1)[:, :top_k]
+                score, index, name = (np.take_along_axis(x, keep, axis=1) for x in (score, index, name))
+            n = score.shape[1]
+            if n:
+                columns = ([i for i in ids for _ in range(n)], name.ravel().tolist(), index.ravel(), score.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+        return run
+
+    local = queries.select("qid", "qvec").where("qvec is not null")
+    found = None
+    for ids, vectors in _blocks(local, query_bytes):
+        part = rows.select("id", "embedding", F.col("index").cast("long").alias("index")).mapInArrow(best_of(ids, vectors), out_type)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = rows.sparkSession.createDataFrame([], out_type)
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "index")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select("qid", "id", "score", "rank")
+
+
+def _blocks(queries: DataFrame, most: int) -> Iterator[tuple[list, np.ndarray]]:
+    """(ids, vectors) of a set of queries in blocks of about `most` bytes; every query is computed once."""
+    held, size = [], 0
+    for r in queries.toLocalIterator():
+        held.append(r)
+        size += 8 * len(r["qvec"]) + 64
+        if size >= most:
+            yield [x["qid"] for x in held], _padded([x["qvec"] for x in held])
+            held, size = [], 0
+    if held:
+        yield [x["qid"] for x in held], _padded([x["qvec"] for x in held])
+
+
+def _padded(vectors: list) -> np.ndarray:
+    """Vectors as rows of a matrix; shorter ones end in zeros, which products do not feel."""
+    out = np.zeros((len(vectors), max(map(len, vectors), default=0)))
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = v
     return out
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    if len(sizes) and (sizes == sizes[0]).all() and not column.flatten().null_count:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), sizes[0])
+    return _padded([[x or 0.0 for x in v] for v in column.to_pylist()])
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows over their norms; a row of zeros stays, so its cosines are 0."""
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(norm == 0, 1.0, norm)

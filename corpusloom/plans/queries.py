@@ -116,7 +116,7 @@ def _bm25_hits(t, k: int) -> DataFrame:
 
 def _branches(t) -> DataFrame:
     r = _store(t).records
-    dense = store.nearest(_questions(t).select("qid", mock_embedding(F.col("question")).alias("qvec")), r, 20, score=F.round(cosine(F.col("embedding"), F.col("qvec")), 9))
+    dense = store.nearest(_questions(t).select("qid", mock_embedding(F.col("question")).alias("qvec")), r, 20, digits=9)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("id").cast("long"))
     sparse = _bm25_scores(t).withColumn("rank", F.row_number().over(w)).where("rank <= 20")
     named = lambda df, n: df.select("qid", F.lit(n).alias("branch"), F.lit(hybrid.BRANCHES.index(n)).alias("branch_ord"), "id", "rank")
@@ -218,7 +218,7 @@ FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHE
 
 def _knn(t, rows: DataFrame, k: int = 5) -> DataFrame:
     q = _vectors(t).where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
-    near = store.nearest(q, rows.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("index"), "embedding"), k, score=F.round(cosine(F.col("embedding"), F.col("qvec")), 7))
+    near = store.nearest(q, rows.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("index"), "embedding"), k, digits=7)
     return near.select("qid", F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -233,11 +233,11 @@ def knn_filtered(t):
     return _knn(t, v.where(store.matches(F.col("metadata"), {"label": [3, 7]})))
 
 
-@query(f"SELECT f.qid, f.vec_id AS with_filter, u.vec_id AS without_filter FROM ({_knn_sql('r.label = 3', 1)}) f JOIN ({_knn_sql('true', 1)}) u USING (qid)")
+@query(f"SELECT f.qid, f.score AS score_filtered, f.vec_id AS first_filtered, u.score AS score_unfiltered, u.vec_id AS first_unfiltered FROM ({_knn_sql('r.label = 3', 1)}) f JOIN ({_knn_sql('true', 1)}) u USING (qid)")
 def filter_ab(t):
     v = _vectors(t).withColumn("metadata", F.create_map(F.lit("label"), F.col("label").cast("string")))
-    a, b = _knn(t, v.where(store.matches(F.col("metadata"), {"label": 3})), 1), _knn(t, v, 1)
-    return a.select("qid", F.col("vec_id").alias("with_filter")).join(b.select("qid", F.col("vec_id").alias("without_filter")), "qid")
+    best = lambda rows: _knn(t, rows, 1).withColumnRenamed("vec_id", "first_relevant")
+    return evaluate.filter_effect(best(v.where(store.matches(F.col("metadata"), {"label": 3}))), best(v))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,16 +255,16 @@ def store_search(t):
     docs = t("documents").select("doc_id", F.col("text").alias("body"), F.create_map(F.lit("language"), F.coalesce("lang", F.lit(""))).alias("metadata"))
     cut = chunking.chunk_corpus(docs).withColumn("ord", F.col("doc_id") * 1_000_000 + F.col("chunk_index"))
     s = store.VectorStore(docs.sparkSession).add(cut.drop("doc_id", "chunk_index", "strategy"))
-    question = t("benchmark").orderBy("item_id").limit(1).select(mock_embedding(F.col("text")).alias("q"))
-    rows = s.records.where(store.matches(F.col("metadata"), {"language": "en"})).crossJoin(F.broadcast(question))
-    # The question is a single row.
-    return rows.select("id", F.round(cosine(F.col("embedding"), F.col("q")), 7).alias("score"), "index").orderBy(F.desc("score"), "index").limit(5).drop("index")
+    # One question, as the call has it; knn_* and hybrid_* run whole sets.
+    question = t("benchmark").orderBy("item_id").first()["text"]
+    return s.search(question, 5, {"language": "en"}).select("id", F.round("score", 7).alias("score"))
 
 
-@query("SELECT lang, count(*) AS records, count(DISTINCT text) AS texts FROM documents GROUP BY lang")
+@query("SELECT count(*) AS records, count(*) FILTER (lang = 'en') AS english FROM documents")
 def store_size(t):
-    r = _records(t)
-    return r.groupBy(r["metadata"]["language"].alias("lang")).agg(F.count(F.lit(1)).alias("records"), F.count_distinct("content").alias("texts"))
+    s = store.VectorStore(t("documents").sparkSession, _records(t).withColumn("embedding", F.array().cast("array<double>")))
+    english = store.VectorStore(s.spark, s.records.where(store.matches(F.col("metadata"), {"language": "en"})))
+    return s.spark.createDataFrame([(s.size(), english.size())], "records long, english long")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id <> 7")
@@ -312,9 +312,9 @@ def rerank_pool(t):
     f"WITH {_BM25}, {_DENSE}, {_FUSED} SELECT item_id AS qid, doc_id, fused_rank AS rank, round(fused, 9) AS score, CAST(dense_rank AS DOUBLE) AS dense, CAST(bm25_rank AS DOUBLE) AS bm25, round(fused, 4) AS rrf FROM fr WHERE fused_rank <= 3"
 )
 def hybrid_retrieve(t):
-    f = hybrid.fuse(_branches(t)).where("fused_rank <= 3")
-    get = lambda k: F.try_element_at("ranks", F.lit(k)).alias(k)
-    return f.select("qid", F.col("id").cast("long").alias("doc_id"), F.col("fused_rank").cast("long").alias("rank"), F.round("fused", 9).alias("score"), get("dense"), get("bm25"), F.round("fused", 4).alias("rrf"))
+    r = hybrid.HybridRetriever(_store(t), hybrid.HybridOptions(use_bm25=True), digits=9).retrieve(_questions(t), 3)
+    get = lambda k: F.try_element_at("signals", F.lit(k)).alias(k)
+    return r.select("qid", F.col("id").cast("long").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"), get("dense"), get("bm25"), get("rrf"))
 
 
 @query()
@@ -428,9 +428,14 @@ def markdown_document(t):
     return d.select("doc_id", corpus.markdown_document(F.create_map(F.lit("title"), F.col("source")), F.col("text")).alias("document"))
 
 
-@query("SELECT count(*) AS only_documents FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels)")
+@query(
+    """WITH a AS (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels), b AS (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents)
+SELECT (SELECT count(*) FROM a) AS only_documents, true AS same_docs, (SELECT count(*) FROM a) = 0 AND (SELECT count(*) FROM b) = 0 AS same_labels"""
+)
 def manifest_diff(t):
-    return t("documents").select("doc_id").exceptAll(t("labels").select("doc_id")).agg(F.count(F.lit(1)).alias("only_documents"))
+    docs, labelled = t("documents").select("doc_id"), t("labels").select("doc_id")
+    with_itself, with_labels = corpus.same_bag(docs, docs.orderBy(F.desc("doc_id"))), corpus.same_bag(docs, labelled)
+    return docs.exceptAll(labelled).agg(F.count(F.lit(1)).alias("only_documents")).select("only_documents", F.lit(with_itself).alias("same_docs"), F.lit(with_labels).alias("same_labels"))
 
 
 @query("SELECT coalesce(lang, '?') AS audience, count(*) AS files FROM documents GROUP BY 1")
@@ -496,7 +501,7 @@ def html_text(t):
 
 @query()
 def html_blocks(t):
-    return t("pages").select("page_id", F.posexplode(html.html_blocks(F.col("html"))).alias("pos", "b")).select("page_id", "pos", "b.kind", "b.level", "b.text", F.size("b.items").alias("n_items"))
+    return t("pages").select("page_id", F.explode(html.html_rows(F.col("html"))["value"]).alias("r")).select("page_id", "r.*")
 
 
 @query()

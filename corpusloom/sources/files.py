@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.functions.text import strip
 from corpusloom.operators.corpus import load_documents, upsert
@@ -53,15 +55,24 @@ def read_existing(spark: SparkSession, path: str, schema: DataFrame | None = Non
 
 
 def read_cache(spark: SparkSession, path: str, value: str = "array<double>") -> DataFrame:
-    """(key, value) of a cache of JSON lines [key, value]; later lines win."""
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), F.from_json("value", "array<string>").alias("p"))
+    """(key, value) of a cache of JSON lines [key, value]: one file, or what append_cache wrote; later lines win, and
+    later batches over earlier ones."""
+    lines = spark.read.text(path)
+    batch = F.col("batch").cast("string") if "batch" in lines.columns else F.lit("")
+    raw = lines.select(F.struct(batch.alias("b"), F.monotonically_increasing_id().alias("n")).alias("n"), F.from_json("value", "array<string>").alias("p"))
     last = raw.where(F.size("p") == 2).groupBy(F.col("p")[0].alias("key")).agg(F.max_by(F.col("p")[1], "n").alias("raw"))
     return last.select("key", (F.col("raw") if value == "string" else F.from_json("raw", value)).alias("value"))
 
 
 def append_cache(rows: DataFrame, path: str) -> None:
-    """New rows (key, value) at the end of a cache table."""
-    rows.write.mode("append").parquet(path)
+    """New rows (key, value) at the end of a cache of JSON lines [key, value], as read_cache reads them; a key that is
+    there already gets the new value. Each write adds files whose names sort behind those of earlier ones."""
+    value = rows.schema["value"].dataType
+    raw = F.to_json(F.array("value")) if isinstance(value, StringType) else F.to_json(F.struct("value"))
+    inner = F.regexp_extract(raw, "^\\[(.*)\\]$", 1) if isinstance(value, StringType) else F.regexp_extract(raw, "^\\{\"value\":(.*)\\}$", 1)
+    key = F.regexp_extract(F.to_json(F.array(F.col("key").cast("string"))), "^\\[(.*)\\]$", 1)
+    lines = rows.where("key is not null and value is not null").select(F.concat(F.lit("["), key, F.lit(","), inner, F.lit("]")).alias("value"))
+    lines.write.mode("append").text(f"{path.rstrip('/')}/batch={time.time_ns():020d}")
 
 
 def write_markdown(files: DataFrame, folder: str) -> None:
@@ -87,9 +98,11 @@ def merge_sources(spark: SparkSession, path: str, new: DataFrame, target: str) -
     write_sources(new if old is None else upsert(old, new), target)
 
 
-def write_fetch_log(old: DataFrame | None, new: DataFrame, path: str) -> None:
-    """The fetch log as JSON lines, newer entries winning."""
-    (new if old is None else upsert(old, new)).write.mode("overwrite").json(path)
+def write_fetch_log(old: DataFrame | None, new: DataFrame, target: str) -> None:
+    """The fetch log as JSON lines, newer entries winning. The target must not be where old is read from."""
+    if old is not None and any(f.startswith(target.rstrip("/")) or f.removeprefix("file:").lstrip("/").startswith(target.strip("/")) for f in old.inputFiles()):
+        raise ValueError("a log cannot be written over the one that it is made from")
+    (new if old is None else upsert(old, new)).write.mode("overwrite").json(target)
 
 
 def read_overrides(spark: SparkSession, folder: str) -> DataFrame:
