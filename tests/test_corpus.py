@@ -150,6 +150,49 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in files.read_manifest(spark, str(tmp_path / "s2")).collect()] == [("a", "9"), ("b", "2")]
 
 
+def test_caches_read_back_what_was_appended(spark, tmp_path):
+    vectors, answers = str(tmp_path / "v"), str(tmp_path / "a")
+    kind = "key string, value array<double>"
+    files.append_cache(spark.createDataFrame([("k", [1.0, 2.5]), ("say \"x\", ]", [0.0]), (None, [1.0])], kind), vectors)
+    files.append_cache(spark.createDataFrame([("k", [3.0]), ("n", None)], kind), vectors)
+    assert {r["key"]: r["value"] for r in files.read_cache(spark, vectors).collect()} == {"k": [3.0], 'say "x", ]': [0.0]}
+    files.append_cache(spark.createDataFrame([("p", 'line\n"two" ] é'), ("q", "")], "key string, value string"), answers)
+    assert {r["key"]: r["value"] for r in files.read_cache(spark, answers, "string").collect()} == {"p": 'line\n"two" ] é', "q": ""}
+
+
+def test_fetch_log_is_not_written_over_itself(spark, tmp_path):
+    first, second = str(tmp_path / "l1"), str(tmp_path / "l2")
+    files.write_fetch_log(None, spark.createDataFrame([("a", 1), ("b", 2)], "doc_id string, bytes int"), first)
+    old, new = spark.read.schema("doc_id string, bytes int").json(first), spark.createDataFrame([("a", 9)], "doc_id string, bytes int")
+    with pytest.raises(ValueError):
+        files.write_fetch_log(old, new, first)
+    files.write_fetch_log(old, new, second)
+    assert sorted(tuple(r) for r in spark.read.schema("doc_id string, bytes int").json(second).collect()) == [("a", 9), ("b", 2)]
+
+
+HEAD = "---\ndoc_id: good\ntitle: t\nsource_url: u\nretrieved_at: 2026-01-02\ndocument_version: v\naudience: student\nlanguage: vi\n---\n"
+BROKEN = {
+    "good.md": "# T\n\n## A\n\nx\n",
+    "jump.md": "# T\n\n#### deep\n\nx\n",
+    "empty.md": "# T\n\n## A\n\n## B\n\nx\n",
+    "twice.md": "# T\n\n## A\n\nx\n\n# U\n",
+    "ragged.md": "# T\n\n## A\n\n| a | b |\n|---|---|\n| 1 |\n",
+    "gaps.md": "# T\n\n\n\n## A\n\nx\n",
+}
+
+
+def test_every_rule_of_the_contract_fires(spark):
+    df = spark.createDataFrame([(f, HEAD + t) for f, t in BROKEN.items()] + [("bare.md", "# T\n")], "file_name string, text string")
+    found = {}
+    for r in corpus.problems(df).collect():
+        found.setdefault(r["file_name"], set()).add(r["problem"].split(":")[0].split(" h1->")[0])
+    assert not any(p in found.get("good.md", set()) for p in ("heading level jump", "empty section", "must have exactly one H1, first", "ragged table", "more than one blank line", "doc_id differs from the file name"))
+    want = {"jump.md": "heading level jump", "empty.md": "empty section", "twice.md": "must have exactly one H1, first", "ragged.md": "ragged table", "gaps.md": "more than one blank line"}
+    assert {f: p for f, p in want.items() if p not in found[f]} == {}
+    assert all("doc_id differs from the file name" in found[f] for f in want)
+    assert "needs one more field to filter by" in found["bare.md"] and any(p.startswith("missing metadata") for p in found["bare.md"])
+
+
 def test_verdicts(spark):
     gold = spark.createDataFrame([("q1", ["d1"], [["fee"], ["x"]], [["yes"]]), ("q2", ["d9"], [["fee"]], [["yes"]])], "qid string, gold_docs array<string>, context_keys array<array<string>>, answer_keys array<array<string>>")
     hits = spark.createDataFrame([("s", "q1", 1, "FEE", "d1"), ("s", "q1", 2, "n", "d2"), ("s", "q2", 1, "fee", "d1")], "strategy string, qid string, rank int, content string, doc_id string")
