@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from corpusloom.functions.text import tokens
 
 
 @dataclass
 class LexicalIndex:
-    """postings (id, term, tf), lengths (id, len), idf (term, df, idf), and one row of totals (n, avg_len)."""
+    """tokens (id, t), postings (id, term, tf), lengths (id, len), idf (term, df, idf), and one row of totals (n, avg_len)."""
 
+    tokens: DataFrame
     postings: DataFrame
     lengths: DataFrame
     idf: DataFrame
     totals: DataFrame
 
 
+def weight(n: Column, df: Column) -> Column:
+    """Inverse document frequency."""
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
 def index(docs: DataFrame, compose: bool = False) -> LexicalIndex:
     """The index of docs (id, content). All statistics cover all docs, whatever is searched later."""
     toks = docs.select("id", tokens(F.col("content"), compose).alias("t"))
@@ -28,8 +41,8 @@ def index(docs: DataFrame, compose: bool = False) -> LexicalIndex:
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # One row of totals.
-    idf = df.crossJoin(F.broadcast(totals)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    return LexicalIndex(postings, lengths, idf, totals)
+    idf = df.crossJoin(F.broadcast(totals)).select("term", "df", weight(F.col("n"), F.col("df")).alias("idf"))
+    return LexicalIndex(toks, postings, lengths, idf, totals)
 
 
 def bm25(ix: LexicalIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.75, compose: bool = False) -> DataFrame:
@@ -47,9 +60,77 @@ def bm25_all(ix: LexicalIndex, queries: DataFrame, candidates: DataFrame, **opti
     return candidates.join(bm25(ix, queries, **options), ["qid", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def bm25_ranking(ix: LexicalIndex, queries: DataFrame, order: DataFrame, candidate_k: int = 20, digits: int = 12, **options) -> DataFrame:
-    """(qid, id, score, rank) of the candidate_k best with a positive score, rounded to `digits` places; order (id, index)
-    holds the rows that pass the filter, and decides between equals."""
-    scored = bm25(ix, queries, **options).withColumn("score", F.round("score", digits)).where("score > 0").join(order.select("id", "index"), "id")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "index")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= candidate_k).select("qid", "id", "score", "rank")
+def bm25_ranking(ix: LexicalIndex, queries: DataFrame, rows: DataFrame, candidate_k: int = 20, digits: int = 12, k1: float = 1.5, b: float = 0.75, compose: bool = False, query_bytes: int = 16 << 20) -> DataFrame:
+    """(qid, id, score, rank) of the candidate_k best with a positive score; rows (id, index, content) are those that pass
+    the filter. Scores that are equal to `digits` places are equals, and index decides between them.
+
+    No postings move. Queries (qid, question) stream to the driver in blocks of query_bytes; a block's terms get their
+    frequencies from one pass over the index, and every task scores its own rows against the block and sends its best
+    for each query into the shuffle. What is shuffled grows with tasks and queries, not with their matches."""
+    kinds = {"qid": queries.schema["qid"].dataType, "id": rows.schema["id"].dataType}
+    out_type = StructType([StructField("qid", kinds["qid"]), StructField("id", kinds["id"]), StructField("index", LongType()), StructField("score", DoubleType())])
+    totals, found = None, None
+    tokenised = rows.select("id", F.col("index").cast("long").alias("index"), tokens(F.col("content"), compose).alias("t"))
+    for ids, terms in _blocks(queries.select("qid", F.array_distinct(tokens(F.col("question"), compose)).alias("t")), query_bytes):
+        totals = totals or ix.totals.first()
+        vocabulary = sorted({x for t in terms for x in t})
+        wanted = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in vocabulary], "term string"))
+        counts = ix.tokens.select(F.explode(F.array_distinct("t")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        df = {r["term"]: r["df"] for r in counts.collect()}
+        part = tokenised.mapInArrow(_scorer(ids, terms, df, totals["n"], totals["avg_len"], candidate_k, digits, k1, b, to_arrow_schema(out_type)), out_type)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = rows.sparkSession.createDataFrame([], out_type)
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", digits)), "index")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= candidate_k).select("qid", "id", "score", "rank")
+
+
+def _blocks(queries: DataFrame, most: int) -> Iterator[tuple[list, list[list[str]]]]:
+    """(ids, terms) of a set of queries in blocks of about `most` bytes of terms."""
+    held, size = [], 0
+    for r in queries.toLocalIterator():
+        held.append((r["qid"], r["t"] or []))
+        size += 64 + sum(64 + len(x) for x in r["t"] or [])
+        if size >= most:
+            yield tuple(map(list, zip(*held, strict=True)))
+            held, size = [], 0
+    if held:
+        yield tuple(map(list, zip(*held, strict=True)))
+
+
+def _scorer(ids: list, terms: list[list[str]], df: dict[str, int], n: int, avg_len: float, k: int, digits: int, k1: float, b: float, schema: pa.Schema):
+    """A function of batches of (id, index, tokens) that gives the best k for each query."""
+    known = sorted(df)
+    number = {x: i for i, x in enumerate(known)}
+    idf = np.array([math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) for x in known])
+    asks = np.zeros((len(ids), len(known)))
+    for q, t in enumerate(terms):
+        asks[q, [number[x] for x in t if x in number]] = 1.0
+
+    def scored(tokens_: pa.Array) -> np.ndarray:
+        """Scores of all queries for the rows of a column of token lists."""
+        sizes = pc.list_value_length(tokens_).fill_null(0).to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        which = pc.index_in(pc.list_flatten(tokens_), value_set=pa.array(known, pa.string()))
+        hit = which.is_valid().to_numpy(zero_copy_only=False)
+        pair, tf = np.unique(of[hit] * len(known) + which.drop_null().to_numpy(), return_counts=True)
+        row, term = np.divmod(pair, len(known))
+        here, column = np.unique(term, return_inverse=True)
+        part = np.zeros((len(here), len(sizes)))
+        part[column, row] = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[row] / avg_len))
+        return asks[:, here] @ part
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, index, name = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0), dtype=object)
+        for batch in batches if known else ():
+            shape = (len(ids), batch.num_rows)
+            score = np.concatenate([score, scored(batch.column(2))], axis=1)
+            index = np.concatenate([index, np.broadcast_to(batch.column(1).to_numpy(), shape)], axis=1)
+            name = np.concatenate([name, np.broadcast_to(np.array(batch.column(0).to_pylist(), dtype=object), shape)], axis=1)
+            keep = np.lexsort((index, -np.round(score, digits)), axis=1)[:, :k]
+            score, index, name = (np.take_along_axis(x, keep, axis=1) for x in (score, index, name))
+        q, at = np.nonzero(score > 0)
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([ids[i] for i in q], name[q, at].tolist(), index[q, at], score[q, at]), schema.types, strict=True)], schema=schema)
+
+    return run

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions.vector import LCG, cosine, lcg_steps, mock_embedding
 from corpusloom.operators import chunking, corpus, crawl, evaluate, generate, html, hybrid, lexical, sections, store
 from corpusloom.session import configure
+from corpusloom.tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -102,23 +103,21 @@ def _vectors(t) -> DataFrame:
     return t("embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
 
 
-def _bm25_scores(t) -> DataFrame:
+def _bm25_ranking(t, k: int) -> DataFrame:
+    """(qid, id, score, rank): the k best documents of each item."""
     r = _records(t)
-    return lexical.bm25(lexical.index(r.select("id", "content")), _questions(t)).withColumn("raw", F.col("score")).withColumn("score", F.round("score", 9))
+    return lexical.bm25_ranking(lexical.index(r.select("id", "content")), _questions(t), r, k, digits=9)
 
 
 def _bm25_hits(t, k: int) -> DataFrame:
-    """(qid, rank, id, content, metadata, score): the k best documents of each item."""
-    s = _bm25_scores(t).join(_records(t), "id")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "index")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """(qid, rank, id, content, metadata, score): the k best documents of each item, written once for whoever reads them."""
+    return stored(_bm25_ranking(t, k).join(_records(t), "id"), "bm25-hits")
 
 
 def _branches(t) -> DataFrame:
     r = _store(t).records
     dense = store.nearest(_questions(t).select("qid", mock_embedding(F.col("question")).alias("qvec")), r, 20, digits=9)
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("id").cast("long"))
-    sparse = _bm25_scores(t).withColumn("rank", F.row_number().over(w)).where("rank <= 20")
+    sparse = _bm25_ranking(t, 20)
     named = lambda df, n: df.select("qid", F.lit(n).alias("branch"), F.lit(hybrid.BRANCHES.index(n)).alias("branch_ord"), "id", "rank")
     return named(dense, "dense").unionByName(named(sparse, "bm25"))
 
@@ -289,7 +288,7 @@ def bm25_idf(t):
 
 @query(f"WITH {_BM25} SELECT item_id AS qid, doc_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 10")
 def bm25_topk(t):
-    return _bm25_hits(t, 10).select("qid", F.col("index").alias("doc_id"), F.round("raw", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return _bm25_ranking(t, 10).select("qid", F.col("id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 # ---- hybrid
