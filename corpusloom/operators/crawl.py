@@ -69,3 +69,15 @@ def noise_profile(pages: DataFrame) -> DataFrame:
     """(page_id, cf_email, img, empty_p) counts of noise in html."""
     n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
     return pages.select("page_id", n("data-cfemail").alias("cf_email"), n("<img\\b").alias("img"), n("<p[^>]*>\\s*(&nbsp;)?\\s*</p>").alias("empty_p"))
+
+
+def block_profile(rows: DataFrame) -> DataFrame:
+    """(kind, level, blocks, widest, longest) of rows of blocks (page_id, block, kind, level, place, text): how many blocks
+    of each kind there are, headings by level; of tables the most columns and rows."""
+    each = rows.groupBy("page_id", "block").agg(F.first("kind").alias("kind"), F.max("level").alias("level"), F.max("place").alias("place"))
+    heading, cell = F.col("kind") == "heading", F.col("kind") == "cell"
+    return each.groupBy("kind", F.when(heading, F.col("level")).otherwise(F.lit(0)).alias("level")).agg(
+        F.count(F.lit(1)).alias("blocks"),
+        F.coalesce(F.max(F.when(cell, F.col("place") + 1)), F.lit(0)).cast("long").alias("widest"),
+        F.coalesce(F.max(F.when(cell, F.col("level") + 1)), F.lit(0)).cast("long").alias("longest"),
+    )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,22 +9,23 @@ from corpusloom.functions.text import has_any, norm
 from corpusloom.operators.hybrid import HybridOptions
 
 
-def _normed(groups: str, compose: bool) -> Column:
-    return F.transform(groups, lambda g: F.transform(g, lambda a: norm(a, compose)))
+def _normed(groups: str) -> Column:
+    return F.transform(groups, lambda g: F.transform(g, lambda a: norm(a, False)))
 
 
-def verdicts(hits: DataFrame, answers: DataFrame, gold: DataFrame, compose: bool = False) -> DataFrame:
+def verdicts(hits: DataFrame, answers: DataFrame, gold: DataFrame) -> DataFrame:
     """One row for each key of gold (keys, gold_docs, context_keys, answer_keys): score, first_relevant, doc_hit,
     coverage and answer_ok.
 
     hits (keys, rank, content, doc_id) and answers (keys, answer) have the same key columns, qid and possibly strategy.
     A hit is relevant if it is of a gold document and has a phrase of the first group; coverage is the share of groups
-    that occur in the hits together; 2 points are for a relevant first hit and a right answer, 1 for any relevant."""
+    that occur in the hits together; 2 points are for a relevant first hit and a right answer, 1 for any relevant. Texts
+    and phrases are compared as they are composed (see nfc)."""
     keys = [c for c in ("strategy", "qid") if c in hits.columns]
-    g = gold.withColumns({"_ck": _normed("context_keys", False), "_ak": _normed("answer_keys", False)})
+    g = gold.withColumns({"_ck": _normed("context_keys"), "_ak": _normed("answer_keys")})
     joined = hits.join(g, [k for k in keys if k in g.columns])
     of_gold = F.array_contains("gold_docs", F.col("doc_id"))
-    relevant = of_gold & has_any(norm(F.col("content"), compose), F.get("_ck", 0))
+    relevant = of_gold & has_any(norm(F.col("content"), False), F.get("_ck", 0))
     seen = joined.select(*keys, "rank", "content", of_gold.alias("of_gold"), relevant.alias("relevant"))
     by = seen.groupBy(*keys).agg(
         F.bool_or("of_gold").alias("doc_hit"),
@@ -35,7 +34,7 @@ def verdicts(hits: DataFrame, answers: DataFrame, gold: DataFrame, compose: bool
     )
     base = answers.join(g, [k for k in keys if k in g.columns])
     out = base.join(by, keys, "left")
-    context, answer = norm(F.coalesce("context", F.lit("")), compose), norm(F.coalesce("answer", F.lit("")), compose)
+    context, answer = norm(F.coalesce("context", F.lit("")), False), norm(F.coalesce("answer", F.lit("")), False)
     covered = F.size(F.filter("_ck", lambda k: has_any(context, k))) / F.greatest(F.size("_ck"), F.lit(1))
     ok = F.forall("_ak", lambda k: has_any(answer, k))
     first = F.col("first_relevant")
@@ -82,7 +81,7 @@ def report(rows: DataFrame) -> DataFrame:
 def strategy_matrix(rerankers: dict | None = None) -> dict[str, tuple[str, HybridOptions, object]]:
     """name -> (chunk strategy, options, reranker): the chunkers with dense search, then further branches on the
     structure chunks, and one entry for each reranker on top of all."""
-    dense, both = HybridOptions(), HybridOptions(use_bm25=True)
+    dense, both, all_ = HybridOptions(), HybridOptions(use_bm25=True), HybridOptions(use_bm25=True, use_hyde=True)
     out = {f"{c} + dense": (c, dense, None) for c in ("fixed_size", "by_sentences", "recursive", "structure_leaf", "structure_aware")}
-    out |= {"structure_aware + hybrid": ("structure_aware", both, None), "structure_aware + hybrid + hyde": ("structure_aware", HybridOptions(use_bm25=True, use_hyde=True), None)}
-    return out | {f"structure_aware + hybrid + {n}": ("structure_aware", both, r) for (n, r), _ in product((rerankers or {}).items(), (0,))}
+    out |= {"structure_aware + hybrid": ("structure_aware", both, None), "structure_aware + hybrid + hyde": ("structure_aware", all_, None)}
+    return out | {f"structure_aware + hybrid + hyde + {n}": ("structure_aware", all_, r) for n, r in (rerankers or {}).items()}

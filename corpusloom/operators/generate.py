@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -11,9 +12,19 @@ from pyspark.sql import functions as F
 #: Answers where nothing was found, of the agent and of the pipeline.
 AGENT_NOT_FOUND = "Không tìm thấy thông tin liên quan trong cơ sở tri thức."
 PIPELINE_NOT_FOUND = "Không tìm thấy thông tin trong tài liệu được cung cấp."
+#: What a prompt says before context and question; callers may give their own.
 RULES = "Chỉ dùng thông tin trong NGỮ CẢNH và trích dẫn số đoạn nguồn dạng [1], [2]. Nếu ngữ cảnh không đủ, hãy nói rõ: "
 
 
+TEMPLATE = RULES + '"{not_found}"\n\nNGỮ CẢNH:\n{context}\n\nCÂU HỎI: {question}\n\nTRẢ LỜI:'
+
+
+def filled(template: str, **columns: Column) -> Column:
+    """A template with columns in place of their names in braces; all else stands as it is."""
+    parts = re.split(r"\{(" + "|".join(columns) + r")\}", template)
+    return F.concat(*[columns[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
 def demo_llm(prompt: Column) -> Column:
     """The offline model: says what it was asked, first 400 characters on one line."""
     return F.concat(F.lit("[DEMO LLM] Generated answer from prompt preview: "), F.replace(F.substring(prompt, 1, 400), F.lit("\n"), F.lit(" ")), F.lit("..."))
@@ -49,9 +60,10 @@ def pipeline_context(hits: DataFrame) -> DataFrame:
     )
 
 
-def prompts(questions: DataFrame, context: DataFrame, not_found: str) -> DataFrame:
-    """(qid, question, prompt); the prompt is null where there is no context."""
-    text = F.concat(F.lit(f'{RULES}"{not_found}"\n\nNGỮ CẢNH:\n'), F.col("context"), F.lit("\n\nCÂU HỎI: "), F.col("question"), F.lit("\n\nTRẢ LỜI:"))
+def prompts(questions: DataFrame, context: DataFrame, not_found: str, template: str = TEMPLATE) -> DataFrame:
+    """(qid, question, prompt) by a template of {context}, {question} and {not_found}; the prompt is null where there is
+    no context."""
+    text = filled(template, context=F.col("context"), question=F.col("question"), not_found=F.lit(not_found))
     return questions.join(context, "qid", "left").select("qid", "question", text.alias("prompt"))
 
 
@@ -75,15 +87,15 @@ def call_missing(asked: DataFrame, cache: DataFrame, call: Callable[[list[str]],
     return missing.select("key", "text").mapInPandas(run, f"key string, value {kind}")
 
 
-def run_agent(store, questions: DataFrame, llm: Callable[[Column], Column] = demo_llm, top_k: int = 3) -> DataFrame:
+def run_agent(store, questions: DataFrame, llm: Callable[[Column], Column] = demo_llm, top_k: int = 3, template: str = TEMPLATE) -> DataFrame:
     """(qid, answer): the agent's answers to questions (qid, question) from the nearest records of a store."""
     from corpusloom.operators.hybrid import HybridOptions, HybridRetriever
 
     hits = HybridRetriever(store, HybridOptions(candidate_k=max(top_k, 0))).retrieve(questions, top_k)
-    return answers(prompts(questions, agent_context(hits), AGENT_NOT_FOUND), llm, AGENT_NOT_FOUND)
+    return answers(prompts(questions, agent_context(hits), AGENT_NOT_FOUND, template), llm, AGENT_NOT_FOUND)
 
 
-def run_pipeline(retriever, questions: DataFrame, llm: Callable[[Column], Column] = demo_llm, top_k: int = 3, metadata_filter: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def run_pipeline(retriever, questions: DataFrame, llm: Callable[[Column], Column] = demo_llm, top_k: int = 3, metadata_filter: dict | None = None, template: str = TEMPLATE) -> tuple[DataFrame, DataFrame]:
     """((qid, answer), hits) of a retriever's pipeline."""
     hits = retriever.retrieve(questions, top_k, metadata_filter)
-    return answers(prompts(questions, pipeline_context(hits), PIPELINE_NOT_FOUND), llm), hits
+    return answers(prompts(questions, pipeline_context(hits), PIPELINE_NOT_FOUND, template), llm), hits

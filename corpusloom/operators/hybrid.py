@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import tokens
+from corpusloom.operators.generate import filled
 from corpusloom.operators.lexical import LexicalIndex, bm25_ranking, index
 from corpusloom.operators.store import VectorStore, matches, nearest
 
@@ -27,6 +28,7 @@ class HybridOptions:
     rerank_top_n: int = 20
     branch_pool: int = 5
     rrf_k: int = 60
+    hyde_prompts: dict[str, str] | None = None
 
 
 #: Passage that a language model writes for a question, by language. Invented numbers are to be left out as [X].
@@ -36,10 +38,10 @@ HYDE_PROMPTS = {
 }
 
 
-def hyde_languages(records: DataFrame) -> list[str]:
+def hyde_languages(records: DataFrame, prompts: dict[str, str] = HYDE_PROMPTS) -> list[str]:
     """Languages to write passages in: those of the records (none means vi) that have a prompt, in order; else vi."""
     lang = F.coalesce(F.try_element_at("metadata", F.lit("language")), F.lit("vi"))
-    found = [r[0] for r in records.select(lang.alias("l")).where(F.col("l").isin(sorted(HYDE_PROMPTS))).distinct().collect()]
+    found = [r[0] for r in records.select(lang.alias("l")).where(F.col("l").isin(sorted(prompts))).distinct().collect()]
     return sorted(found) or ["vi"]
 
 
@@ -92,7 +94,8 @@ class HybridRetriever:
         if options.use_hyde and llm is None:
             raise ValueError("hypothetical passages need a language model")
         self.store, self.o, self.llm, self.reranker, self.digits = store, options, llm, reranker, digits
-        self.languages = hyde_languages(store.records) if options.use_hyde else []
+        self.hyde = options.hyde_prompts or HYDE_PROMPTS
+        self.languages = hyde_languages(store.records, self.hyde) if options.use_hyde else []
         # Ids may repeat in the store; the last record of an id stands for it.
         last = store.records.groupBy("id").agg(F.max("index").alias("index"))
         self.by_id = store.records.join(last, ["id", "index"])
@@ -109,8 +112,7 @@ class HybridRetriever:
         if self.o.use_dense:
             out.append(named(nearest(questions.select("qid", embed(F.col("question")).alias("qvec")), rows, k, digits=self.digits), "dense"))
         for lang in self.languages:
-            before, after = HYDE_PROMPTS[lang].split("{question}")
-            passage = self.llm(F.concat(F.lit(before), F.col("question"), F.lit(after)))
+            passage = self.llm(filled(self.hyde[lang], question=F.col("question")))
             out.append(named(nearest(questions.select("qid", embed(passage).alias("qvec")), rows, k, digits=self.digits), f"hyde_{lang}"))
         if self.o.use_bm25:
             out.append(named(bm25_ranking(self.lexical, questions, rows, k, self.digits), "bm25"))

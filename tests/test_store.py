@@ -108,3 +108,30 @@ def test_cached_calls_are_made_once(spark):
 
 def test_unknown_provider_falls_back():
     assert store.choose_embedder("none", {}) is store.MOCK
+
+
+def test_prompt_templates(spark):
+    q, c = spark.createDataFrame([(1, "why {x}?"), (2, "none")], "qid int, question string"), spark.createDataFrame([(1, "ctx")], "qid int, context string")
+    out = {r["qid"]: r["prompt"] for r in generate.prompts(q, c, "nothing", "A {context} B {question} C {not_found} {other}").collect()}
+    assert out == {1: "A ctx B why {x}? C nothing {other}", 2: None}
+
+
+def test_bm25_ranking_is_the_join(spark):
+    docs = spark.createDataFrame([(str(i), i, t) for i, t in enumerate(["a b c", "a a d", "", "x y", "a b c", "c c c c d"])], "id string, index long, content string").repartition(3)
+    queries = spark.createDataFrame([(1, "a b zz"), (2, "c c d"), (3, "nothing"), (4, "")], "qid int, question string")
+    ix = lexical.index(docs.select("id", "content"))
+    want = {(r["qid"], r["id"]): r["score"] for r in lexical.bm25(ix, queries).collect()}
+    for size in (1 << 20, 1):
+        got = {(r["qid"], r["id"]): (r["score"], r["rank"]) for r in lexical.bm25_ranking(ix, queries, docs, 10, query_bytes=size).collect()}
+        assert set(got) == set(want) and all(abs(got[k][0] - want[k]) < 1e-9 for k in want)
+        assert [got[1, i][1] for i in ("0", "4")] == [1, 2]
+    assert lexical.bm25_ranking(ix, queries.limit(0), docs).count() == 0
+
+
+def test_nearest_blocks_and_odd_vectors(spark):
+    rows = spark.createDataFrame([("a", [1.0, 0.0], 2), ("b", [1.0, 0.0], 1), ("c", [0.0, 0.0], 3), ("d", [0.0, 1.0, 5.0], 4), ("e", None, 5)], "id string, embedding array<double>, index long")
+    queries = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 3.0]), (3, None)], "qid int, qvec array<double>")
+    for size in (1 << 20, 1):
+        out = sorted((r["qid"], r["rank"], r["id"], round(r["score"], 6)) for r in store.nearest(queries, rows, 3, size).collect())
+        assert out == [(1, 1, "b", 1.0), (1, 2, "a", 1.0), (1, 3, "c", 0.0), (2, 1, "d", round(1 / 26**0.5, 6)), (2, 2, "b", 0.0), (2, 3, "a", 0.0)]
+    assert store.nearest(queries.limit(0), rows, 3).count() == 0
