@@ -36,6 +36,8 @@ BLANK = "▁"
 NORMAL, BYTE = 1, 6
 LONGEST = 16
 CHAR_BITS = 15
+#: Characters of new units that are matched at once.
+MATCHED = 300_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -155,12 +157,12 @@ class Matcher:
         self.part = re.compile(f"{BLANK}*[^{BLANK}]*")
         # Pieces as four keys of four characters each; absent characters are 0, or the largest code for the upper end.
         codes = np.zeros((len(model.searched), LONGEST), dtype=np.int64)
-        self.lengths = np.array([len(model.texts[k]) for k in model.searched])
+        self.lengths = np.array([len(model.texts[k]) for k in model.searched], dtype=np.int32)
         for row, k in enumerate(model.searched):
             codes[row, : self.lengths[row]] = [model.chars[c] + 1 for c in model.texts[k]]
         top = np.where(np.arange(LONGEST) < self.lengths[:, None], codes, (1 << CHAR_BITS) - 1)
         self.low, self.high = self._keys(codes), self._keys(top)
-        self.searched = np.array(model.searched)
+        self.searched = np.array(model.searched, dtype=np.int32)
         self.sizes = np.array([len(t) for t in model.texts])
         # What each id decodes to, in one array.
         self.out_sizes = np.array([len(x) for x in model.out], dtype=np.int64)
@@ -251,8 +253,11 @@ class Matcher:
         units, get = self.units, self.units.get
         new = dict.fromkeys(u for u, r in zip(names, map(get, names), strict=True) if r is None)
         known = [u for u in new if u[0] in self.m.chars]
-        if known:
-            units.update(zip(known, self.ids.append(*self._match(known)), strict=True))
+        # Edges are several times as many as characters, so what is matched at once is bounded.
+        lots = np.cumsum([len(u) + 1 for u in known]) // MATCHED
+        for _, some in itertools.groupby(zip(lots.tolist(), known, strict=True), key=lambda x: x[0]):
+            part = [u for _, u in some]
+            units.update(zip(part, self.ids.append(*self._match(part)), strict=True))
         if other := [u for u in new if u not in units]:
             raw = [u.encode("utf-8", "surrogatepass") for u in other]
             ids = np.array(self.m.byte_ids, dtype=np.uint32)[np.frombuffer(b"".join(raw), dtype=np.uint8)]
@@ -316,11 +321,12 @@ class Matcher:
         lo, hi = self._bound(sorted_quads, self.low, False), self._bound(sorted_quads, self.high, True)
         count = np.maximum(hi - lo, 0)
         hit = np.flatnonzero(count)
-        which = np.repeat(hit, count[hit])
-        inside = np.arange(len(which)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])
-        starts = order[lo[which] + inside]
-        alone = np.flatnonzero(codes[:n])
-        starts, ends, kinds = np.concatenate([starts, alone]), np.concatenate([starts + self.lengths[which], alone + 1]), np.concatenate([self.searched[which], codes[alone] - 1])
+        which = np.repeat(hit.astype(np.int32), count[hit])
+        # Where each occurrence stands in the suffix array.
+        inside = np.arange(len(which), dtype=np.int32) + np.repeat((lo[hit] - np.cumsum(count[hit]) + count[hit]).astype(np.int32), count[hit])
+        starts = order[inside].astype(np.int32)
+        alone = np.flatnonzero(codes[:n]).astype(np.int32)
+        starts, ends, kinds = np.concatenate([starts, alone]), np.concatenate([starts + self.lengths[which], alone + 1]), np.concatenate([self.searched[which], (codes[alone] - 1).astype(np.int32)])
         sizes = np.array([len(u) for u in names])
         begins = np.cumsum(sizes + 1) - sizes
         last = self._relaxed(starts, ends, kinds, begins, sizes, n)
@@ -376,7 +382,7 @@ class Matcher:
 
     def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Model.apart for many pairs: verdicts that the table has, else worked out once for each different pair."""
-        key = (a << 20) | b
+        key = (a.astype(np.int64) << 20) | b
         slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
         out = self.verdicts[slot]
         missing = np.flatnonzero(self.pairs[slot] != key)
@@ -466,7 +472,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
         matcher = _matcher(model_path, shared)
         for b in batches:
             texts = b.column("text").fill_null("")
-            for i, j in arrow_slices(texts, 4 << 20):
+            for i, j in arrow_slices(texts, 3 << 20):
                 ids, counts = matcher.column(texts[i:j])
                 back = matcher.decoded(ids, counts)
                 bounds = np.append(0, np.cumsum(counts))
