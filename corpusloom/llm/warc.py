@@ -60,13 +60,18 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def records(segment: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of every member of a segment; blocks are cut by their stated length."""
-    at = 0
-    while at < len(segment):
-        member = zlib.decompressobj(31)
-        raw = member.decompress(segment[at:])
-        start, at = at, len(segment) - len(member.unused_data)
-        head, _, body = raw.partition(b"\r\n\r\n")
+    """(offset, headers, block) of every member of a segment, in one pass; blocks are cut by their stated length."""
+    view, at = memoryview(segment), 0
+    while at < len(view):
+        member, parts, pos = zlib.decompressobj(31), [], at
+        while not member.eof:
+            if pos >= len(view):
+                raise ValueError("a record is cut short")
+            piece = view[pos : pos + (1 << 14)]
+            parts.append(member.decompress(piece))
+            pos += len(piece)
+        start, at = at, pos - len(member.unused_data)
+        head, _, body = b"".join(parts).partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record")
@@ -188,7 +193,7 @@ class LoserTree:
             self.winner = w
 
 
-def merge_index(runs: DataFrame, range_rows: int = 200_000) -> DataFrame:
+def merge_index(runs: DataFrame, range_rows: int = 100_000) -> DataFrame:
     """The capture history: all entries with `position`, their place in the order of (url_key, captured, page_id)."""
     spark = runs.sparkSession
     bounded_batches(spark, 10_000)
@@ -198,15 +203,17 @@ def merge_index(runs: DataFrame, range_rows: int = 200_000) -> DataFrame:
     names = [f.name for f in _ENTRY.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[dict]] = {}
+        # A piece of a run arrives in its order; where the order breaks or another run begins, a new piece does.
+        pieces, last = [], None
         for b in batches:
             for r in b.to_pylist():
-                by.setdefault(r["run"], []).append(r)
-        for x in by.values():
-            # A shuffle may bring a run's pieces in any order; each piece is sorted already.
-            x.sort(key=_order)
+                key = (r["run"], _order(r))
+                if last is None or key[0] != last[0] or key[1] < last[1]:
+                    pieces.append([])
+                pieces[-1].append(r)
+                last = key
         part, place, out = TaskContext.get().partitionId(), 0, []
-        for r in LoserTree([iter(by[k]) for k in sorted(by)], _order):
+        for r in LoserTree([iter(x) for x in pieces], _order):
             out.append(r | {"part": part, "place": place})
             place += 1
             if len(out) >= 10_000:

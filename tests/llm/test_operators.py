@@ -1,5 +1,6 @@
 """The ten operators against brute force on a small table with nulls, empty and long texts, repeats and ties."""
 
+import gzip
 import hashlib
 import itertools
 import math
@@ -423,6 +424,23 @@ def test_warc(spark):
     assert warc.merge_index(warc.index_runs(warc.write_archives(df.limit(0)))).count() == 0
 
 
+def test_segments_open_with_gzip_and_read_in_one_pass(spark):
+    pages = [(i, f"http://h/{i % 7}", f"<p>{i}" + "é" * (i % 400)) for i in range(300)] + [(900, "http://h/long", "z" * 3_000_000), (None, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").select("page_id", "url", "html", F.lit("x").alias("digest"), F.lit(1).alias("run"))
+    out = warc.write_archives(df)
+    for r in out.collect():
+        plain = gzip.decompress(bytes(r["content"]))
+        assert plain.startswith(b"WARC/1.1\r\n") and plain.count(b"WARC/1.1\r\nWARC-Type: ") == len(list(warc.records(bytes(r["content"]))))
+    history = warc.merge_index(warc.index_runs(out), range_rows=40)
+    rows = sorted(((r["url_key"], r["captured"], r["page_id"] is not None, r["page_id"] or 0), r["position"]) for r in history.collect())
+    assert [p for _, p in rows] == list(range(len(pages)))
+    many = b"".join(gzip.compress(warc.record(i, "http://h/", b"x" * 50, "d", None), 1, mtime=0) for i in range(20_000))
+    began = time.time()
+    assert sum(1 for _ in warc.records(many)) == 20_000 and time.time() - began < 20
+    with pytest.raises(ValueError):
+        list(warc.records(many[:-4]))
+
+
 def test_loser_tree():
     r = random.Random(0)
     for k in range(0, 9):
