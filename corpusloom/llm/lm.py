@@ -11,7 +11,7 @@ Counts meet texts without a table of the model that one machine must hold. Texts
 A slice asks for the counts of its distinct words, pairs and triples in blocks, one for each bucket of hashes, and says
 how often training has them in the slice; a bucket adds up and answers every block; a slice's part of the automaton is
 then complete, and one pass from left to right scores its texts. Buckets and slices follow the number of tokens; a word
-of any frequency is asked for once a slice. Words are known by 64 bits of hash, pairs and triples by 56.
+of any frequency is asked for once a slice. Words are known by 64 bits of hash, pairs and triples by GRAM_BITS.
 
 Null and blank texts consist of the end token alone. Repeated rows are scored one by one. A null doc_id is not held out.
 With no training text every word is unknown and has probability one. A text longer than a slice is a slice of its own,
@@ -38,6 +38,8 @@ from corpusloom.llm.common import arrow_slices, bounded_batches, crc_mod, droppe
 END = b"\xff"
 #: Observations that the shorter context is worth.
 MASS = 4.0
+#: Bits of hash by which pairs and triples are told apart.
+GRAM_BITS = 52
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -137,7 +139,7 @@ class Window:
         # Where the last word of each pair and triple stands; grams do not cross texts.
         self.at2 = np.flatnonzero(self.text[1:] == self.text[:-1]) + 1
         self.at3 = np.flatnonzero(self.text[2:] == self.text[:-2]) + 2
-        keys = np.concatenate([pairs[self.at2 - 1], combined(pairs[self.at3 - 2], pairs[self.at3 - 1])]) >> np.uint64(8)
+        keys = np.concatenate([pairs[self.at2 - 1], combined(pairs[self.at3 - 2], pairs[self.at3 - 1])]) >> np.uint64(64 - GRAM_BITS)
         self.order = np.argsort(keys)
         ranked = keys[self.order]
         self.first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, dtype=np.int64)
@@ -155,7 +157,7 @@ class Window:
         """(bucket, number of words and of grams, word keys and counts, gram keys and counts); keys are in order within and
         across buckets."""
         words, grams = self.training(train)
-        cuts = [np.searchsorted((k >> np.uint64(s)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64)).tolist() for k, s in ((self.words, 32), (self.grams, 24))]
+        cuts = [np.searchsorted((k >> np.uint64(s)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64)).tolist() for k, s in ((self.words, 32), (self.grams, GRAM_BITS - 32))]
         for k in range(buckets):
             (a, b), (c, d) = cuts[0][k : k + 2], cuts[1][k : k + 2]
             if b > a or d > c:
@@ -254,7 +256,7 @@ def answered(blocks: DataFrame, buckets: int) -> DataFrame:
     return stored(blocks.repartition(buckets, "bucket").mapInArrow(run, _ANSWER), "lm-answers", compression="zstd")
 
 
-def lm_scores(docs: DataFrame, held_out_mod: tuple[int, int] = (5, 1), tokens_per_bucket: int = 700_000, slice_bytes: int = 5 << 20, window: int = 1 << 20) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out_mod: tuple[int, int] = (5, 1), tokens_per_bucket: int = 700_000, slice_bytes: int = 8 << 20, window: int = 3 << 19) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     mod, rest = held_out_mod
