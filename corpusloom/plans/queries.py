@@ -44,6 +44,25 @@ def _fixed_sql(table: str = "documents", size: int = 500, overlap: int = 50) ->
     return _FIXED.format(size=size, overlap=overlap, step=size - overlap, table=table)
 
 
+def _recursive_sql(size: int = 500, source: str = "", key: str = "doc_id") -> str:
+    """Recursive chunks: one step for each separator, which splits pieces that are still too long and folds neighbours
+    together while they fit; `place` is where a piece stands, a number for each step. A source has key, piece and the size of its pieces."""
+    source = source or f"SELECT doc_id, text AS piece, {size} AS size FROM documents WHERE text IS NOT NULL"
+    step = """{name} AS (SELECT {key}, size, list_append(place, nth) AS place, p[nth] AS piece FROM (SELECT {key}, size, place, p, unnest(range(1, len(p) + 1)) AS nth FROM (
+  SELECT {key}, size, place, CASE WHEN length(piece) <= size OR NOT contains(piece, {sep}) THEN [piece] ELSE list_concat(f.done, CASE WHEN f.held = '' THEN CAST([] AS VARCHAR[]) ELSE [f.held] END) END AS p FROM (
+    SELECT *, list_reduce(list_prepend({{'done': CAST([] AS VARCHAR[]), 'held': ''}}, list_transform(string_split(piece, {sep}), lambda x: {{'done': CAST([] AS VARCHAR[]), 'held': x}})), lambda a, b:
+      CASE WHEN length(a.held) + CASE WHEN a.held = '' THEN 0 ELSE length({sep}) END + length(b.held) <= size
+        THEN {{'done': a.done, 'held': CASE WHEN a.held = '' THEN b.held ELSE a.held || {sep} || b.held END}}
+        ELSE {{'done': list_concat(list_concat(a.done, CASE WHEN a.held = '' THEN CAST([] AS VARCHAR[]) ELSE [a.held] END), CASE WHEN length(b.held) > size THEN [b.held] ELSE CAST([] AS VARCHAR[]) END), 'held': CASE WHEN length(b.held) > size THEN '' ELSE b.held END}} END) AS f FROM {before}))))"""
+    seps = ("chr(10) || chr(10)", "chr(10)", "'. '", "' '")
+    steps = ",\n".join(step.format(name=f"s{k + 1}", before=f"s{k}", sep=f"({x})", key=key) for k, x in enumerate(seps))
+    return f"""WITH s0 AS (SELECT *, CAST([] AS BIGINT[]) AS place FROM ({source})),
+{steps},
+cut AS (SELECT {key}, list_append(place, nth) AS place, substr(piece, nth * size + 1, size) AS piece FROM (SELECT *, unnest(range(greatest(1, CAST(ceil(length(piece) / CAST(size AS DOUBLE)) AS BIGINT)))) AS nth FROM s4)),
+bare AS (SELECT {key}, place, regexp_replace(piece, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS content FROM cut)
+SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY place) - 1 AS chunk_index, content FROM bare WHERE content <> ''"""
+
+
 def _embedding_sql(text: str, dim: int = 64) -> str:
     steps = ", ".join(f"{{'a': {a}, 'c': {c}}}" for a, c in lcg_steps(dim))
     raw = f"list_transform([{steps}], lambda t: CAST((CAST(t.a AS HUGEINT) * CAST(('0x' || substr(md5({text}), 25, 8)) AS BIGINT) + t.c) % {LCG[2]} AS DOUBLE) / {LCG[2] - 1}.0 * 2 - 1)"
@@ -144,14 +163,19 @@ def chunk_sentence(t):
     return t("documents").select("doc_id", F.posexplode(chunking.sentences(F.col("text"))).alias("chunk_index", "content")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
-@query()
+@query(_recursive_sql())
 def chunk_recursive(t):
-    return t("documents").select("doc_id", F.posexplode(chunking.recursive(F.col("text"))).alias("chunk_index", "content"))
+    return t("documents").select("doc_id", F.posexplode(chunking.recursive(F.col("text"))).alias("chunk_index", "content")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
-@query()
+@query(
+    f"""WITH c AS (SELECT doc_id, 'fixed_size' AS strategy, content FROM ({_fixed_sql(size=200, overlap=20)}) UNION ALL
+  SELECT doc_id, 'by_sentences', array_to_string(s[chunk_index * 3 + 1 : chunk_index * 3 + 3], ' ') FROM ({_SENTENCES}) UNION ALL
+  SELECT doc_id, 'recursive', content FROM ({_recursive_sql(200)}))
+SELECT doc_id, strategy, count(content) AS count, round(coalesce(avg(length(content)), 0), 6) AS avg_length FROM documents CROSS JOIN (SELECT unnest(['fixed_size', 'by_sentences', 'recursive']) AS strategy) LEFT JOIN c USING (doc_id, strategy) GROUP BY doc_id, strategy"""
+)
 def chunk_compare(t):
-    return chunking.compare(t("documents")).drop("chunks")
+    return chunking.compare(t("documents")).select("doc_id", "strategy", F.col("count").cast("long").alias("count"), F.round("avg_length", 6).alias("avg_length"))
 
 
 @query(
@@ -178,10 +202,22 @@ def structure_chunks(t):
     return sections.structure_chunks(docs).drop("metadata")
 
 
-@query()
+_MARKED_SECTIONS = """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(len(w))) AS i, w FROM l),
+s AS (SELECT doc_id, i, CASE WHEN i % 3 = 0 THEN 'Part ' ELSE 'Point ' END || (i + 1) AS title, trim(w[i + 1], ' ' || chr(9) || chr(10) || chr(13)) AS own_text, 'Part ' || (i - i % 3 + 1) AS part FROM p)
+SELECT doc_id, i, title, own_text, CASE WHEN i % 3 = 0 THEN title ELSE part || ' > ' || title END AS path, CASE WHEN i % 3 = 0 THEN 2 ELSE 3 END AS level FROM s"""
+_LEAF_SOURCE = f"SELECT doc_id, i, own_text AS piece, 1200 - (length('Tài liệu: Document ' || doc_id || chr(10) || 'Mục: ' || path || ' (phần 9/9)') + 2) AS size FROM ({_MARKED_SECTIONS}) WHERE own_text <> ''"
+
+
+@query(
+    f"""WITH leaf AS (SELECT *, count(*) OVER (PARTITION BY doc_id, i) AS n_parts, row_number() OVER (PARTITION BY doc_id ORDER BY i, chunk_index) - 1 AS k FROM ({_recursive_sql(source=_LEAF_SOURCE, key='doc_id, i')}))
+SELECT 'd' || doc_id AS doc_id, k AS chunk_index, 'd' || doc_id || '#' || k AS id, 'Tài liệu: Document ' || doc_id || chr(10) || 'Mục: ' || path || CASE WHEN n_parts > 1 THEN ' (phần ' || (chunk_index + 1) || '/' || n_parts || ')' ELSE '' END || chr(10) || chr(10) || content AS content,
+  path AS section_path, title AS section_title, level AS heading_level, chunk_index + 1 AS part, n_parts, 'structure_leaf' AS strategy FROM leaf JOIN ({_MARKED_SECTIONS}) USING (doc_id, i)"""
+)
 def structure_leaf_chunks(t):
     docs = corpus.load_documents(_marked(t).drop("doc_id"))
-    return sections.structure_chunks(docs, sections.StructureChunker(max_chars=1200, mode="leaf")).drop("metadata")
+    cut = sections.structure_chunks(docs, sections.StructureChunker(max_chars=1200, mode="leaf")).drop("metadata")
+    return cut.withColumns({c: F.col(c).cast("long") for c in ("chunk_index", "part", "n_parts")})
 
 
 @query(
@@ -503,6 +539,12 @@ def html_blocks(t):
     return t("pages").select("page_id", F.explode(html.html_rows(F.col("html"))["value"]).alias("r")).select("page_id", "r.*")
 
 
+@query()
+def html_profile(t):
+    rows = t("pages").select("page_id", F.explode(html.html_rows(F.col("html"))["value"]).alias("r")).select("page_id", "r.*")
+    return crawl.block_profile(rows).withColumn("level", F.col("level").cast("long"))
+
+
 @query()
 def html_markdown(t):
     return t("pages").select("page_id", html.markdown_of(F.col("html"), F.col("url")).alias("markdown"))
