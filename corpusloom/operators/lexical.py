@@ -69,15 +69,15 @@ def bm25_ranking(ix: LexicalIndex, queries: DataFrame, rows: DataFrame, candidat
     for each query into the shuffle. What is shuffled grows with tasks and queries, not with their matches."""
     kinds = {"qid": queries.schema["qid"].dataType, "id": rows.schema["id"].dataType}
     out_type = StructType([StructField("qid", kinds["qid"]), StructField("id", kinds["id"]), StructField("index", LongType()), StructField("score", DoubleType())])
-    totals, found = None, None
+    found = None
     tokenised = rows.select("id", F.col("index").cast("long").alias("index"), tokens(F.col("content"), compose).alias("t"))
     for ids, terms in _blocks(queries.select("qid", F.array_distinct(tokens(F.col("question"), compose)).alias("t")), query_bytes):
-        totals = totals or ix.totals.first()
         vocabulary = sorted({x for t in terms for x in t})
-        wanted = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in vocabulary], "term string"))
-        counts = ix.tokens.select(F.explode(F.array_distinct("t")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        df = {r["term"]: r["df"] for r in counts.collect()}
-        part = tokenised.mapInArrow(_scorer(ids, terms, df, totals["n"], totals["avg_len"], candidate_k, digits, k1, b, to_arrow_schema(out_type)), out_type)
+        # A row for each term that occurs, and two for the number of documents and of all their tokens.
+        counts = {r["term"]: r["n"] for r in ix.tokens.select("t").mapInArrow(_counter(vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        n, total = counts.pop(-1, 0), counts.pop(-2, 0)
+        df = {vocabulary[k]: c for k, c in counts.items()}
+        part = tokenised.mapInArrow(_scorer(ids, terms, df, n, total / max(n, 1), candidate_k, digits, k1, b, to_arrow_schema(out_type)), out_type)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = rows.sparkSession.createDataFrame([], out_type)
@@ -98,6 +98,32 @@ def _blocks(queries: DataFrame, most: int) -> Iterator[tuple[list, list[list[str
         yield tuple(map(list, zip(*held, strict=True)))
 
 
+def _found(column: pa.Array, known: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of each row, rows, terms, occurrences) of those tokens of a column of lists that are among known."""
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    which = pc.index_in(pc.list_flatten(column), value_set=pa.array(known, pa.string()))
+    hit = which.is_valid().to_numpy(zero_copy_only=False)
+    pair, tf = np.unique(of[hit] * max(len(known), 1) + which.drop_null().to_numpy(), return_counts=True)
+    return sizes, *np.divmod(pair, max(len(known), 1)), tf
+
+
+def _counter(vocabulary: list[str]):
+    """A function of batches of (tokens) that gives (term number, documents with it), and the number of documents (-1)
+    and of tokens (-2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(len(vocabulary), dtype=np.int64), 0, 0
+        for batch in batches:
+            sizes, _, term, _ = _found(batch.column(0), vocabulary)
+            df += np.bincount(term, minlength=len(vocabulary))
+            n, total = n + len(sizes), total + int(sizes.sum())
+        full = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *full.tolist()], pa.int32()), pa.array([n, total, *df[full].tolist()], pa.int64())], names=["term", "n"])
+
+    return run
+
+
 def _scorer(ids: list, terms: list[list[str]], df: dict[str, int], n: int, avg_len: float, k: int, digits: int, k1: float, b: float, schema: pa.Schema):
     """A function of batches of (id, index, tokens) that gives the best k for each query."""
     known = sorted(df)
@@ -109,12 +135,7 @@ def _scorer(ids: list, terms: list[list[str]], df: dict[str, int], n: int, avg_l
 
     def scored(tokens_: pa.Array) -> np.ndarray:
         """Scores of all queries for the rows of a column of token lists."""
-        sizes = pc.list_value_length(tokens_).fill_null(0).to_numpy(zero_copy_only=False)
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        which = pc.index_in(pc.list_flatten(tokens_), value_set=pa.array(known, pa.string()))
-        hit = which.is_valid().to_numpy(zero_copy_only=False)
-        pair, tf = np.unique(of[hit] * len(known) + which.drop_null().to_numpy(), return_counts=True)
-        row, term = np.divmod(pair, len(known))
+        sizes, row, term, tf = _found(tokens_, known)
         here, column = np.unique(term, return_inverse=True)
         part = np.zeros((len(here), len(sizes)))
         part[column, row] = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[row] / avg_len))
