@@ -415,10 +415,12 @@ def eval_summary(t):
     return evaluate.summary(_verdicts(t)).withColumn("mrr", F.round("mrr", 9))
 
 
-@query(f"{_VERDICTS} SELECT strategy, " + ", ".join(f'CAST(max(CASE WHEN qid = {i} THEN score END) AS BIGINT) AS q{i}' for i in range(5)) + " FROM vs GROUP BY strategy")
+@query(f"{_VERDICTS} SELECT s.strategy, 'q' || item_id AS qid, CAST(max(score) AS BIGINT) AS score FROM (SELECT DISTINCT strategy FROM vs) s CROSS JOIN (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN vs ON vs.strategy = s.strategy AND vs.qid = item_id GROUP BY s.strategy, item_id")
 def eval_pivot(t):
+    # A column for each item, read back as rows, since the number of items differs from table to table.
+    items = [f"q{r[0]}" for r in t("benchmark").select("item_id").distinct().orderBy("item_id").collect()]
     v = _verdicts(t).withColumn("qid", F.concat(F.lit("q"), F.col("qid").cast("string"))).withColumn("score", F.col("score").cast("long"))
-    return evaluate.score_matrix(v, [f"q{i}" for i in range(5)])
+    return evaluate.score_matrix(v, items).unpivot("strategy", items, "qid", "score")
 
 
 @query("SELECT conv_id, string_agg('[' || turn || '] ' || role || ': ' || text, chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
