@@ -256,7 +256,7 @@ def answered(blocks: DataFrame, buckets: int) -> DataFrame:
     return stored(blocks.repartition(buckets, "bucket").mapInArrow(run, _ANSWER), "lm-answers", compression="zstd")
 
 
-def lm_scores(docs: DataFrame, held_out_mod: tuple[int, int] = (5, 1), tokens_per_bucket: int = 700_000, slice_bytes: int = 8 << 20, window: int = 3 << 19) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out_mod: tuple[int, int] = (5, 1), tokens_per_bucket: int = 700_000, slice_bytes: int = 6 << 20, window: int = 5 << 18) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     mod, rest = held_out_mod
