@@ -97,8 +97,34 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.infill import fill_back, fill_in_middle
+
+    out = fill_back(fill_in_middle(_read(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (
+  SELECT doc_id, t, u, len(u) AS n, CAST('0x' || s[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || s[9:16] AS BIGINT) % (len(u) + 1) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || s[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+      WHEN CAST('0x' || s[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (
+  SELECT doc_id, n, t, form, array_to_string(u[1:least(a, b)], '') AS pre, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS mid,
+    array_to_string(u[greatest(a, b) + 1:n], '') AS suf FROM h)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN length(pre) END AS BIGINT) AS prefix_chars,
+  CAST(CASE WHEN form <> 'plain' THEN length(mid) END AS BIGINT) AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_lm_scores, op3_token_files, op4_quality_rules, op5_language, op6_warc, op7_decontamination, op8_simhash, op9_sentencepiece, op10_repeats)
+    for f in (op1_pii, op2_lm_scores, op3_token_files, op4_quality_rules, op5_language, op6_warc, op7_decontamination, op8_simhash, op9_sentencepiece, op10_repeats, op11_fill_in_middle)
 }
-ORACLE = {"op7_decontamination": OP7_SQL}
+ORACLE = {"op7_decontamination": OP7_SQL, "op11_fill_in_middle": OP11_SQL}
