@@ -123,8 +123,14 @@ FROM p
 """
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.spelling import spelling_variants
+
+    return spelling_variants(_read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_lm_scores, op3_token_files, op4_quality_rules, op5_language, op6_warc, op7_decontamination, op8_simhash, op9_sentencepiece, op10_repeats, op11_fill_in_middle)
+    for f in (op1_pii, op2_lm_scores, op3_token_files, op4_quality_rules, op5_language, op6_warc, op7_decontamination, op8_simhash, op9_sentencepiece, op10_repeats, op11_fill_in_middle, op13_spelling_variants)
 }
 ORACLE = {"op7_decontamination": OP7_SQL, "op11_fill_in_middle": OP11_SQL}
