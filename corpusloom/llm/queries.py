@@ -123,6 +123,27 @@ FROM p
 """
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.minhash import minhash_components
+
+    return minhash_components(_read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i : i + 3], ' '))) AS g FROM d WHERE len(w) > 0),
+g AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n_both FROM g a JOIN g b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o WHERE 100 * n_both >= 80 * (na + nb - n_both)),
+r AS (SELECT a AS doc_id, b AS reach FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a),
+c AS (SELECT doc_id, min(reach) AS lowest FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(s.g), 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(c.lowest, d.doc_id)) AS component_id, d.doc_id <= coalesce(c.lowest, d.doc_id) AS kept
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.spelling import spelling_variants
 
@@ -164,6 +185,6 @@ FROM forms f JOIN chain c ON f.word = c.word JOIN forms e ON c.place = e.word AN
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_lm_scores, op3_token_files, op4_quality_rules, op5_language, op6_warc, op7_decontamination, op8_simhash, op9_sentencepiece, op10_repeats, op11_fill_in_middle, op13_spelling_variants)
+    for f in (op1_pii, op2_lm_scores, op3_token_files, op4_quality_rules, op5_language, op6_warc, op7_decontamination, op8_simhash, op9_sentencepiece, op10_repeats, op11_fill_in_middle, op12_minhash, op13_spelling_variants)
 }
-ORACLE = {"op7_decontamination": OP7_SQL, "op11_fill_in_middle": OP11_SQL, "op13_spelling_variants": OP13_SQL}
+ORACLE = {"op7_decontamination": OP7_SQL, "op11_fill_in_middle": OP11_SQL, "op12_minhash": OP12_SQL, "op13_spelling_variants": OP13_SQL}
