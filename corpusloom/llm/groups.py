@@ -1,13 +1,11 @@
 """Links between members of many overlapping groups, without all pairs of a group.
 
-Whoever may be linked shares a key. A key's members first meet one of them, its head; verified links make components, and
-pairs within a component need no link of their own. What is left to look at are pairs of members of one key that lie in
-different components. They are counted before any is made: while there are more than `dense` of them for each member, the
-members that are not in the component of another head, drawn anew for each key, meet that one. Then the rest is paired
-exactly, so no link between components is missed. A group of n near copies takes n pairs and not n * n.
-
-Keys that still have more than `crowded` such pairs after all turns can be handed to another way (`other`) of finding the
-links among their members.
+Whoever may be linked shares a key. A key's members first meet one of them, its head. Pairs of members that verified links
+already join need no link of their own, so what is left to look at are pairs of a key whose members have different labels
+(the smallest member they are known to be joined with). They are counted before any is made. Keys with more than `crowded`
+of them can be handed to another way (`other`) of finding the links among their members. Without one, while there are more
+than `dense` of them for each member, members meet a further head of each key, drawn at random. Then the rest is paired
+exactly, so no link between components is missed. A group of n near copies takes about n pairs and not n * n.
 """
 
 from __future__ import annotations
@@ -18,50 +16,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import dropped, stored
-from corpusloom.llm.hashing import components
 
 
 def _ordered(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, turns: int = 3, dense: int = 8, crowded: int = 10_000, other: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _labels(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, label): the smallest label among a member and those it is linked with."""
+    held = members.groupBy("id").agg(F.min("label").alias("own")) if "label" in members.columns else None
+    ends = found.select(F.col("a").alias("id"), F.col("b").alias("with")).unionByName(found.select(F.col("b").alias("id"), F.col("a").alias("with")))
+    if held is not None:
+        ends = ends.join(held.withColumnRenamed("id", "with"), "with", "left").select("id", F.coalesce("own", "with").alias("with"))
+    least = ends.groupBy("id").agg(F.min("with").alias("least"))
+    own = F.col("label") if held is not None else F.col("id")
+    return members.join(least, "id", "left").select("key", "id", F.least(own, F.col("least")).alias("label"))
+
+
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, crowded: int = 1000, other: Callable[[DataFrame], DataFrame] | None = None, turns: int = 3, dense: int = 8) -> DataFrame:
     """Links (a, b) among members (key, id) that give the components of all pairs that share a key and that `verify`, of
     distinct pairs (a, b) with a < b, returns."""
     heads = stored(members.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head"), f"{name}-heads")
     members = stored(members.join(heads, "key"), f"{name}-members")
     tested = stored(members.where("id <> head").select(*_ordered("head", "id")).distinct(), f"{name}-pairs")
     found = stored(verify(tested), f"{name}-links")
-    members = members.select("key", "id")
-    turn = 0
+    label, turn = members.select("key", "id"), 0
     while True:
-        label = stored(members.join(components(found), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")), f"{name}-labels")
-        sizes = label.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.col("n").cast("double") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("kinds"))
+        label = stored(_labels(label, found), f"{name}-labels")
+        sizes = label.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.col("n").cast("double") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("kinds"))
         mixed = stored(sizes.where("kinds > 1").select("key", "all", ((F.col("all").cast("double") * F.col("all") - F.col("same")) / 2).alias("cross")), f"{name}-mixed")
-        cross, held = mixed.agg(F.sum("cross"), F.sum("all")).first()
+        full, cross, held = mixed.agg(F.count(F.when(F.col("cross") > crowded, 1)), F.sum("cross"), F.sum("all")).first()
         if not cross:
             return found
-        label = stored(label.join(mixed.select("key"), "key", "left_semi"), f"{name}-labels")
-        if cross <= dense * held or turn == turns:
+        if other is not None or turn == turns or cross <= dense * held:
             break
-        drawn = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp"))
-        heads = stored(label.groupBy("key").agg(drawn.alias("x")).select("key", F.col("x.id").alias("head"), F.col("x.comp").alias("at")), f"{name}-heads")
-        pairs = label.join(heads, "key").where("comp <> at").select(*_ordered("head", "id")).distinct()
+        drawn = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "label"))
+        heads = stored(label.join(mixed, "key", "left_semi").groupBy("key").agg(drawn.alias("x")).select("key", F.col("x.id").alias("head"), F.col("x.label").alias("at")), f"{name}-heads")
+        pairs = label.join(heads, "key").where("label <> at").select(*_ordered("head", "id")).distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), f"{name}-pairs")
         found = stored(found.unionByName(verify(pairs)), f"{name}-links")
         tested = tested.unionByName(pairs)
         turn += 1
-    if other is not None:
-        full = stored(mixed.where(F.col("cross") > crowded).select("key"), f"{name}-crowded")
-        if not full.isEmpty():
-            found = found.unionByName(other(stored(label.join(full, "key", "left_semi").select("id").distinct(), f"{name}-crowd")))
-            label = label.join(full, "key", "left_anti")
+    if other is not None and full:
+        crowd = label.join(mixed.where(F.col("cross") > crowded).select("key"), "key", "left_semi").select("id").distinct()
+        found = found.unionByName(other(stored(crowd, f"{name}-crowd")))
+        mixed = mixed.where(F.col("cross") <= crowded)
+    label = stored(label.join(mixed.select("key"), "key", "left_semi"), f"{name}-labels")
     one, two = label.alias("one"), label.alias("two")
-    rest = one.join(two, "key").where((F.col("one.id") < F.col("two.id")) & (F.col("one.comp") != F.col("two.comp")))
+    rest = one.join(two, "key").where((F.col("one.id") < F.col("two.id")) & (F.col("one.label") != F.col("two.label")))
     rest = rest.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")).distinct()
     rest = stored(rest.join(tested, ["a", "b"], "left_anti"), f"{name}-rest")
     out = found.unionByName(stored(verify(rest), f"{name}-links"))
-    dropped(members.sparkSession, rest, label, mixed)
+    dropped(label.sparkSession, rest, label)
     return out
 
 

@@ -6,9 +6,9 @@ for what MinHash keeps in 64. Texts with equal sets are one class and are sketch
 
 Banding: five registers are a band, and classes that agree on one (not all of it empty) share a key. A pair of the
 similarity asked for, 0.8, agrees on none of the 51 bands with a probability of about 2e-9, and less the more alike.
-Keys with many members are no reason to pair them all: `groups.linked` lets them meet heads, joins what is verified into
-components and pairs only what is left between components; classes that are still crowded then meet by the rarest members
-of their sets, exactly.
+Keys with many members are no reason to pair them all: `groups.linked` lets them meet heads and pairs only what is not
+joined by then; members of keys that are still crowded (a passage that many texts share) meet by the rarest shingles of
+their sets instead, which misses no pair.
 
 Of every pair that meets, the registers first give an estimate: the share of equal registers among those that either has,
 less the collisions that sets of these sizes give by chance. A pair goes on unless the estimate is so far below the bound
@@ -162,7 +162,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int = 4) -> DataFrame:
     return made.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
 
-def minhash_components(docs: DataFrame, size: int = 4, share: tuple[int, int] = SHARE, turns: int = 3, dense: int = 8, crowded: int = 10_000) -> DataFrame:
+def minhash_components(docs: DataFrame, size: int = 4, share: tuple[int, int] = SHARE, crowded: int = 1000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over pairs of similarity `share` or more, itself
     included) and kept (whether it is its own) of every row of docs."""
     rows = stored(sketches(docs, size), "minhash-rows")
@@ -182,9 +182,9 @@ def minhash_components(docs: DataFrame, size: int = 4, share: tuple[int, int] =
         each = stored(whole.select("id", F.explode("hs").alias("h")), "minhash-members")
         often = stored(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "minhash-often")
         heads, held = prefix_heads(stored(each.join(often, "h"), "minhash-shared"), whole.select("id", "s"), share, "minhash-prefix")
-        return linked(heads, lambda pairs: similar_sets(pairs, held, share), "minhash-crowd", turns, dense)
+        return linked(heads, lambda pairs: similar_sets(pairs, held, share), "minhash-crowd")
 
-    found = components(linked(bands(classes), verify, "minhash", turns, dense, crowded, by_prefix))
+    found = components(linked(bands(classes), verify, "minhash", crowded, by_prefix))
     named = classes.select("id", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     labels = stored(named.join(least, "component").select(F.col("id").alias("sig"), "component_id"), "minhash-labels")
