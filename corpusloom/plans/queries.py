@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions.vector import LCG, cosine, lcg_steps, mock_embedding
-from corpusloom.operators import chunking, corpus, crawl, evaluate, generate, html, hybrid, lexical, sections, store
+from corpusloom.operators import chunking, corpus, crawl, evaluate, generate, html, hybrid, impact, lexical, partitions, sections, store
 from corpusloom.session import configure
 from corpusloom.tables import stored
 
@@ -262,6 +262,16 @@ def knn_topk(t):
     return _knn(t, _vectors(t))
 
 
+@query(_knn_sql())
+def knn_partitioned(t):
+    """knn_topk from vectors stored in partitions with exact bounds."""
+    v = _vectors(t)
+    vp = partitions.build(v.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("index"), "embedding"))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    near, _ = partitions.nearest(vp, q, 5, digits=7)
+    return near.select("qid", F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query(_knn_sql("r.label IN (3, 7)"))
 def knn_filtered(t):
     v = _vectors(t).withColumn("metadata", F.create_map(F.lit("label"), F.col("label").cast("string")))
@@ -327,6 +337,14 @@ def bm25_topk(t):
     return _bm25_ranking(t, 10).select("qid", F.col("id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {_BM25} SELECT item_id AS qid, doc_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 10")
+def bm25_pruned(t):
+    """bm25_topk from a stored index ordered by impact."""
+    ix = impact.build(_records(t).where("index is not null").select("id", "index", "content"))
+    best = impact.ranking(ix, _questions(t), 10, digits=9)
+    return best.select("qid", F.col("id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 # ---- hybrid
 
 
