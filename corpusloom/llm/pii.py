@@ -412,6 +412,8 @@ def train(table: DataFrame, rounds: int = 80, rate: float = 0.5, penalty: float
 
 
 TOKEN = re.compile(r"\S+")
+#: The at-sign of an address, plain or written out in brackets.
+AT = re.compile(r"@|[\[({]\s*at\s*[\])}]", re.IGNORECASE)
 EDGES = ",;:!?\"'#$%&*|<>"
 
 
@@ -438,8 +440,8 @@ def added_spans(field: Field, texts: list[str], base: list[list[tuple[str, int,
             while start < end and text[end - 1] in EDGES + ".":
                 end -= 1
             span = text[start:end]
-            # Numbers have digits and no letters.
-            if start < end and (name[2:] == "email" or DIGIT.search(span) and not any(map(str.isalpha, span))) and all(end <= a or b <= start for _, a, b in base[i]):
+            # Addresses have an at-sign in some form, numbers have digits and no letters.
+            if start < end and (AT.search(span) if name[2:] == "email" else DIGIT.search(span) and not any(map(str.isalpha, span))) and all(end <= a or b <= start for _, a, b in base[i]):
                 out[i].append((name[2:], start, end))
     return out
 
