@@ -3,15 +3,18 @@
 Whoever may be linked shares a key. A key's members first meet one of them, its head. Pairs of members that verified links
 already join need no link of their own, so what is left to look at are pairs of a key whose members have different labels
 (the smallest member they are known to be joined with). They are counted before any is made. Keys with more than `crowded`
-of them can be handed to another way (`other`) of finding the links among their members. Without one, while there are more
+of them can be handed to another way (`other`) of finding the links among their members, and the rest to one that looks at
+them in place (`within`), so that pairs which fail never become rows. Without these, while there are more
 than `dense` of them for each member, members meet a further head of each key, drawn at random. Then the rest is paired
 exactly, so no link between components is missed. A group of n near copies takes about n pairs and not n * n.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +36,10 @@ def _labels(members: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(least, "id", "left").select("key", "id", F.least(own, F.col("least")).alias("label"))
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, crowded: int = 1000, other: Callable[[DataFrame], DataFrame] | None = None, turns: int = 3, dense: int = 8) -> DataFrame:
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, crowded: int = 1000, other: Callable[[DataFrame], DataFrame] | None = None, within: Callable[[DataFrame], DataFrame] | None = None, turns: int = 3, dense: int = 8) -> DataFrame:
     """Links (a, b) among members (key, id) that give the components of all pairs that share a key and that `verify`, of
-    distinct pairs (a, b) with a < b, returns."""
+    distinct pairs (a, b) with a < b, returns. `within` gets the rest (key, id, label, all: the key's members) of keys that
+    were not handed to `other` and returns the links that it finds in it; without, the rest is paired by a join."""
     heads = stored(members.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head"), f"{name}-heads")
     members = stored(members.join(heads, "key"), f"{name}-members")
     tested = stored(members.where("id <> head").select(*_ordered("head", "id")).distinct(), f"{name}-pairs")
@@ -48,7 +52,7 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: s
         full, cross, held = mixed.agg(F.count(F.when(F.col("cross") > crowded, 1)), F.sum("cross"), F.sum("all")).first()
         if not cross:
             return found
-        if other is not None or turn == turns or cross <= dense * held:
+        if other is not None or within is not None or turn == turns or cross <= dense * held:
             break
         drawn = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "label"))
         heads = stored(label.join(mixed, "key", "left_semi").groupBy("key").agg(drawn.alias("x")).select("key", F.col("x.id").alias("head"), F.col("x.label").alias("at")), f"{name}-heads")
@@ -62,6 +66,8 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: s
         found = found.unionByName(other(stored(crowd, f"{name}-crowd")))
         mixed = mixed.where(F.col("cross") <= crowded)
     label = stored(label.join(mixed.select("key"), "key", "left_semi"), f"{name}-labels")
+    if within is not None:
+        return found.unionByName(stored(within(label.join(mixed.select("key", "all"), "key")), f"{name}-links"))
     one, two = label.alias("one"), label.alias("two")
     rest = one.join(two, "key").where((F.col("one.id") < F.col("two.id")) & (F.col("one.label") != F.col("two.label")))
     rest = rest.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")).distinct()
@@ -82,6 +88,59 @@ def similar_sets(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> D
     return both.where(fit).where((p + q) * F.size(F.array_intersect("ha", "hb")) >= p * (F.col("sa") + F.col("sb"))).select("a", "b")
 
 
+def similar_within(rest: DataFrame, sets: DataFrame, share: tuple[int, int], most: int = 1500) -> DataFrame:
+    """Pairs (a, b), a < b, of one key and different labels in rest (key, id, label, all) whose sets (id, s, hs) are that
+    similar. Sets of a key meet in a task and are compared by matrix products. A key with more than `most` members is cut
+    into blocks of about that many, and every two blocks meet in a task of their own."""
+    p, q = share
+    blocks = F.ceil(F.col("all") / most).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    dealt = rest.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumns({"x": F.least("own", "with"), "y": F.greatest("own", "with")}).select("key", "x", "y", "own", "id", "label")
+
+    def compared(own: np.ndarray, ids: np.ndarray, label: np.ndarray, s: np.ndarray, hs: list[np.ndarray], cross: bool) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(h) for h in hs])
+        _, code, n = np.unique(np.concatenate(hs), return_inverse=True, return_counts=True)
+        row, shared = np.repeat(np.arange(len(hs)), sizes), n[code] > 1
+        row, code = row[shared], (np.cumsum(n > 1) - 1)[code[shared]]
+        both = np.zeros((len(hs), len(hs)), dtype=np.float32)
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        for k in range(0, int(code[-1]) + 1 if len(code) else 0, 2048):
+            i, j = np.searchsorted(code, (k, k + 2048))
+            part = np.zeros((len(hs), 2048), dtype=np.float32)
+            part[row[i:j], code[i:j] - k] = 1
+            both += part @ part.T
+        # o / (sa + sb - o) >= p / q
+        near = (p + q) * both.astype(np.int64) >= p * (s[:, None] + s[None])
+        near &= (label[:, None] != label[None]) & (ids[:, None] < ids[None])
+        if cross:
+            near &= own[:, None] != own[None]
+        a, b = np.nonzero(near)
+        return ids[a], ids[b]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, at = [], None
+
+        def found() -> Iterator[pa.RecordBatch]:
+            own, ids, label, s = (np.array([g[k] for g in group], dtype=np.int64) for k in range(4))
+            if len(group) > 1 and (label != label[0]).any():
+                a, b = compared(own, ids, label, s, [g[4] for g in group], at[1] != at[2])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in range(7)]
+            for k, (key, x, y, *rest_of) in enumerate(zip(*columns, strict=True)):
+                if (key, x, y) != at:
+                    yield from found()
+                    group, at = [], (key, x, y)
+                group.append((*rest_of, batch.column(7)[k].values.to_numpy()))
+        yield from found()
+
+    both = dealt.join(sets, "id").select("key", "x", "y", "own", "id", "label", "s", "hs")
+    return both.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
 def prefix_heads(shared: DataFrame, sizes: DataFrame, share: tuple[int, int], name: str) -> tuple[DataFrame, DataFrame]:
     """(heads, sets) of sets whose members that several of them hold are shared (id, h, df); sizes (id, s) are of whole sets.
 

@@ -6,9 +6,9 @@ for what MinHash keeps in 64. Texts with equal sets are one class and are sketch
 
 Banding: five registers are a band, and classes that agree on one (not all of it empty) share a key. A pair of the
 similarity asked for, 0.8, agrees on none of the 51 bands with a probability of about 2e-9, and less the more alike.
-Keys with many members are no reason to pair them all: `groups.linked` lets them meet heads and pairs only what is not
-joined by then; members of keys that are still crowded (a passage that many texts share) meet by the rarest shingles of
-their sets instead, which misses no pair.
+Keys with many members are no reason to pair them all: `groups.linked` lets them meet heads; what is not joined by then is
+compared in place, in the task that holds the key's members; members of keys that are still crowded (a passage that many
+texts share) meet by the rarest shingles of their sets instead, which misses no pair.
 
 Of every pair that meets, the registers first give an estimate: the share of equal registers among those that either has,
 less the collisions that sets of these sizes give by chance. A pair goes on unless the estimate is so far below the bound
@@ -22,6 +22,7 @@ columns of the table are not read. Two different sets are taken for equal if the
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.common import bounded_batches, stored
-from corpusloom.llm.groups import linked, prefix_heads, similar_sets
+from corpusloom.llm.groups import linked, prefix_heads, similar_sets, similar_within
 from corpusloom.llm.hashing import components
 from corpusloom.llm.near import Shingler, _sig
 
@@ -144,6 +145,46 @@ def estimated(pairs: DataFrame, classes: DataFrame, share: tuple[int, int] = SHA
     return both.select("a", "b", "sa", "sb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
+def _pairs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j), i < j, of all pairs within runs [start, end)."""
+    sizes = ends - starts
+    # Position i meets those behind it in its run.
+    behind = np.repeat(ends, sizes) - np.arange(sizes.sum()) - 1
+    first = np.repeat(np.arange(len(behind)), behind)
+    return first, first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(behind) - behind, behind)
+
+
+def estimated_within(rest: DataFrame, classes: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
+    """(a, b), a < b: pairs of one key and different labels in rest (key, id, label) that registers do not rule out. The
+    members of a key arrive together and are compared in place, so only what passes becomes a row."""
+    p, q = share
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in itertools.chain(batches, [None]):
+            table = held if b is None else pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if table is None or not len(table):
+                continue
+            key, ids, label, s = (table.column(c).to_numpy() for c in range(4))
+            # The last key may go on in the next batch.
+            stop = len(key) if b is None else int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
+            held = table.slice(stop)
+            r = _matrix(table.column(4).slice(0, stop))
+            starts = np.flatnonzero(np.append(True, key[1:stop] != key[: stop - 1])) if stop else np.empty(0, dtype=np.int64)
+            ends = np.append(starts[1:], stop)
+            first, second = _pairs(starts, ends)
+            fit = (label[first] != label[second]) & (s[first] * q >= s[second] * p) & (s[second] * q >= s[first] * p)
+            first, second = first[fit], second[fit]
+            for k in range(0, len(first), 4096):
+                i, j = first[k : k + 4096], second[k : k + 4096]
+                keep = promising(*estimates(r[i], r[j], s[i], s[j]), share)
+                x, y = ids[i[keep]], ids[j[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    both = rest.join(classes.select("id", "s", "registers"), "id").select("key", "id", "label", "s", "registers")
+    return both.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int = 4) -> DataFrame:
     """(id, s, hs): the whole sets of classes wanted (id, first: a doc_id that has it), computed from the texts again."""
     bounded_batches(docs.sparkSession)
@@ -182,9 +223,13 @@ def minhash_components(docs: DataFrame, size: int = 4, share: tuple[int, int] =
         each = stored(whole.select("id", F.explode("hs").alias("h")), "minhash-members")
         often = stored(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "minhash-often")
         heads, held = prefix_heads(stored(each.join(often, "h"), "minhash-shared"), whole.select("id", "s"), share, "minhash-prefix")
-        return linked(heads, lambda pairs: similar_sets(pairs, held, share), "minhash-crowd")
+        return linked(heads, lambda pairs: similar_sets(pairs, held, share), "minhash-crowd", within=lambda rest: similar_within(rest, held, share))
+
+    def within(rest: DataFrame) -> DataFrame:
+        left = stored(estimated_within(rest, classes, share), "minhash-left")
+        return similar_sets(left, sets(left.select(F.explode(F.array("a", "b")).alias("id")).distinct()), share)
 
-    found = components(linked(bands(classes), verify, "minhash", crowded, by_prefix))
+    found = components(linked(bands(classes), verify, "minhash", crowded, by_prefix, within))
     named = classes.select("id", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     labels = stored(named.join(least, "component").select(F.col("id").alias("sig"), "component_id"), "minhash-labels")

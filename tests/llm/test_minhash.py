@@ -130,3 +130,18 @@ def test_groups_of_copies_take_few_pairs(spark, options):
     found = {(x["id"], x["component"]) for x in components(groups.linked(members, verify, "t", **options)).collect()}
     assert found == {(i, 0) for i in range(400)} | {(1000, 0), (1001, 0)}
     assert sum(asked) < 500
+
+
+@pytest.mark.parametrize("most", [1500, 4])
+def test_sets_of_a_key_compared_in_place(spark, most):
+    """By one matrix product, and by blocks that meet pairwise."""
+    r = random.Random(4)
+    base = [r.getrandbits(40) for _ in range(60)]
+    sets = {i: sorted({x for x in base if r.random() < 0.93} | {r.getrandbits(40) for _ in range(r.randint(0, 6))}) for i in range(30)}
+    sets[30] = sets[3]
+    df = spark.createDataFrame([(i, len(x), x) for i, x in sets.items()], "id long, s long, hs array<long>")
+    rest = [(7, i, i // 2, len(sets)) for i in sets] + [(9, 1, 1, 2), (9, 30, 1, 2)]
+    got = groups.similar_within(spark.createDataFrame(rest, "key long, id long, label long, all long").repartition(3), df, (4, 5), most).collect()
+    near = lambda a, b: 5 * len({*a} & {*b}) >= 4 * len({*a} | {*b})
+    want = {(i, j) for i in sets for j in sets if i < j and i // 2 != j // 2 and near(sets[i], sets[j])}
+    assert {tuple(x) for x in got} == want and len(got) == len(want) > 20
