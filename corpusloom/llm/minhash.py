@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,7 +181,12 @@ def estimated_within(rest: DataFrame, classes: DataFrame, share: tuple[int, int]
                 x, y = ids[i[keep]], ids[j[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    both = rest.join(classes.select("id", "s", "registers"), "id").select("key", "id", "label", "s", "registers")
+    # Registers travel only for members that have one of a size within the bound next to them in order of size.
+    by = Window.partitionBy("key").orderBy("s")
+    sized = rest.select("key", "id", "label").join(classes.select("id", "s"), "id")
+    sized = sized.withColumns({"below": F.lag("s").over(by), "above": F.lead("s").over(by)})
+    sized = sized.where((F.col("below") * q >= F.col("s") * p) | (F.col("s") * q >= F.col("above") * p)).select("key", "id", "label")
+    both = sized.join(classes.select("id", "s", "registers"), "id").select("key", "id", "label", "s", "registers")
     return both.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
