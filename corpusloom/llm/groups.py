@@ -88,10 +88,11 @@ def similar_sets(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> D
     return both.where(fit).where((p + q) * F.size(F.array_intersect("ha", "hb")) >= p * (F.col("sa") + F.col("sb"))).select("a", "b")
 
 
-def similar_within(rest: DataFrame, sets: DataFrame, share: tuple[int, int], most: int = 1500) -> DataFrame:
+def similar_within(rest: DataFrame, sets: DataFrame, share: tuple[int, int], most: int = 1500, once: bool = False) -> DataFrame:
     """Pairs (a, b), a < b, of one key and different labels in rest (key, id, label, all) whose sets (id, s, hs) are that
     similar. Sets of a key meet in a task and are compared by matrix products. A key with more than `most` members is cut
-    into blocks of about that many, and every two blocks meet in a task of their own."""
+    into blocks of about that many, and every two blocks meet in a task of their own. With `once`, keys are members of the
+    sets, whose hs are in one order: a pair that shares several keys is returned by the first only."""
     p, q = share
     blocks = F.ceil(F.col("all") / most).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
@@ -126,6 +127,10 @@ def similar_within(rest: DataFrame, sets: DataFrame, share: tuple[int, int], mos
             own, ids, label, s = (np.array([g[k] for g in group], dtype=np.int64) for k in range(4))
             if len(group) > 1 and (label != label[0]).any():
                 a, b = compared(own, ids, label, s, [g[4] for g in group], at[1] != at[2])
+                if once and len(a):
+                    hs = {g[1]: g[4] for g in group}
+                    first = np.array([hs[x][np.isin(hs[x], hs[y]).argmax()] == at[0] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+                    a, b = a[first], b[first]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:

@@ -228,7 +228,7 @@ def minhash_components(docs: DataFrame, size: int = 4, share: tuple[int, int] =
         each = stored(whole.select("id", F.explode("hs").alias("h")), "minhash-members")
         often = stored(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "minhash-often")
         heads, held = prefix_heads(stored(each.join(often, "h"), "minhash-shared"), whole.select("id", "s"), share, "minhash-prefix")
-        return linked(heads, lambda pairs: similar_sets(pairs, held, share), "minhash-crowd", within=lambda rest: similar_within(rest, held, share))
+        return linked(heads, lambda pairs: similar_sets(pairs, held, share), "minhash-crowd", within=lambda rest: similar_within(rest, held, share, once=True))
 
     def within(rest: DataFrame) -> DataFrame:
         left = stored(estimated_within(rest, classes, share), "minhash-left")
