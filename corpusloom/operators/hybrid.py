@@ -14,6 +14,7 @@ from corpusloom.functions.text import tokens
 from corpusloom.operators.generate import filled
 from corpusloom.operators.lexical import LexicalIndex, bm25_ranking, index
 from corpusloom.operators.store import VectorStore, matches, nearest
+from corpusloom.tables import stored
 
 #: Branch order decides between equal fused scores.
 BRANCHES = ("dense", "hyde_en", "hyde_vi", "bm25")
@@ -96,9 +97,6 @@ class HybridRetriever:
         self.store, self.o, self.llm, self.reranker, self.digits = store, options, llm, reranker, digits
         self.hyde = options.hyde_prompts or HYDE_PROMPTS
         self.languages = hyde_languages(store.records, self.hyde) if options.use_hyde else []
-        # Ids may repeat in the store; the last record of an id stands for it.
-        last = store.records.groupBy("id").agg(F.max("index").alias("index"))
-        self.by_id = store.records.join(last, ["id", "index"])
         self.lexical = lexical or (index(store.records.select("id", "content")) if options.use_bm25 else None)
 
     def branches(self, questions: DataFrame, metadata_filter: dict | None = None) -> DataFrame:
@@ -118,18 +116,25 @@ class HybridRetriever:
             out.append(named(bm25_ranking(self.lexical, questions, rows, k, self.digits), "bm25"))
         return reduce(DataFrame.unionByName, out)
 
+    def contents(self, pool: DataFrame) -> DataFrame:
+        """pool with content and metadata of its ids. Ids may repeat in the store; the last record of an id stands for it.
+        The store meets the pool's ids before anything of it is shuffled."""
+        some = self.store.records.select("id", "content", "metadata", "index").join(pool.select("id").distinct(), "id", "left_semi")
+        last = some.groupBy("id").agg(F.max_by(F.struct("content", "metadata"), "index").alias("r")).select("id", "r.*")
+        return pool.join(last, "id")
+
     def retrieve(self, questions: DataFrame, top_k: int = 3, metadata_filter: dict | None = None) -> DataFrame:
         """(qid, rank, id, content, metadata, score, signals) for questions (qid, question).
 
         The score is the reranker's, else the cosine if there is only the dense branch, null for another single
         branch, else the fused one. signals holds each branch's rank, rrf and rerank, rounded to four places."""
-        branches = self.branches(questions, metadata_filter)
+        branches = stored(self.branches(questions, metadata_filter), "hybrid-branches")
         n_branches = int(self.o.use_dense) + len(self.languages) + int(self.o.use_bm25)
         fused = fuse(branches, self.o.rrf_k)
         rrf = F.create_map(F.lit("rrf"), F.round("fused", 4))
         if self.reranker:
             pool = rerank_pool(fused, self.o.rerank_top_n, self.o.branch_pool)
-            pool = pool.join(questions, "qid").join(self.by_id.select("id", "content", "metadata"), "id")
+            pool = self.contents(pool.join(questions, "qid"))
             pool = pool.withColumn("score", self.reranker(F.col("question"), F.col("content")))
             order, signals = (F.desc("score"), F.col("pool_ord")), F.map_concat("ranks", rrf, F.create_map(F.lit("rerank"), F.round("score", 4)))
         else:
@@ -139,7 +144,7 @@ class HybridRetriever:
                 pool = pool.join(own, ["qid", "id"])
             else:
                 pool = pool.withColumn("score", F.col("fused"))
-            pool = pool.join(self.by_id.select("id", "content", "metadata"), "id")
+            pool = self.contents(pool)
             order, signals = (F.col("fused_rank"),), F.map_concat("ranks", rrf)
         w = Window.partitionBy("qid").orderBy(*order)
         ranked = pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from urllib.error import URLError
+from http.client import HTTPException
 from urllib.parse import urlsplit
 from urllib.request import Request, urlopen
 from urllib.robotparser import RobotFileParser
@@ -19,6 +19,9 @@ ACCEPT = "text/html,text/plain;q=0.9,*/*;q=0.1"
 LEAST_DELAY = 1.0
 PAGE = "url string, final_url string, content_type string, status string, error string, body binary, html string"
 
+#: What a request may end in that concerns its page alone; URLError is an OSError.
+FAILURES = (OSError, ValueError, HTTPException)
+
 #: A response: (body, content type with its parameters, final URL).
 Response = tuple[bytes, str, str]
 
@@ -54,7 +57,10 @@ class Politeness:
 
     def allowed(self, url: str) -> bool:
         """Whether a web address may be fetched; rules that cannot be read allow nothing."""
-        parts = urlsplit(url)
+        try:
+            parts = urlsplit(url)
+        except ValueError:
+            return False
         if parts.scheme not in ("http", "https") or not parts.netloc:
             return False
         host = f"{parts.scheme}://{parts.netloc}"
@@ -64,7 +70,7 @@ class Politeness:
                 parser = RobotFileParser()
                 parser.parse(self.get(f"{host}/robots.txt")[0].decode("utf-8", "replace").splitlines())
                 self.rules[host] = parser
-            except (URLError, OSError, ValueError):
+            except FAILURES:
                 self.rules[host] = None
         rules = self.rules[host]
         return rules is not None and rules.can_fetch(self.agent, url)
@@ -77,8 +83,8 @@ class Politeness:
         self.wait(f"{parts.scheme}://{parts.netloc}")
         try:
             body, kind, final = self.get(url)
-        except (URLError, OSError, ValueError) as e:
-            return out | {"status": "failed", "error": str(e)}
+        except FAILURES as e:
+            return out | {"status": "failed", "error": str(e) or type(e).__name__}
         out |= {"final_url": final, "content_type": kind}
         if kind.split(";")[0].strip().lower() not in TYPES:
             return out | {"status": "wrong type"}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from functools import reduce
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -100,7 +101,8 @@ def merge_sources(spark: SparkSession, path: str, new: DataFrame, target: str) -
 
 def write_fetch_log(old: DataFrame | None, new: DataFrame, target: str) -> None:
     """The fetch log as JSON lines, newer entries winning. The target must not be where old is read from."""
-    if old is not None and any(f.startswith(target.rstrip("/")) or f.removeprefix("file:").lstrip("/").startswith(target.strip("/")) for f in old.inputFiles()):
+    own = urlsplit(target).path.rstrip("/")
+    if old is not None and any(f"{urlsplit(f).path}/".startswith(f"{own}/") for f in old.inputFiles()):
         raise ValueError("a log cannot be written over the one that it is made from")
     (new if old is None else upsert(old, new)).write.mode("overwrite").json(target)
 

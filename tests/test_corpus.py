@@ -89,6 +89,12 @@ def test_blocks():
     assert [r.text for r in html.page_rows(page, "div ul li ul")] == ["two"]
 
 
+def test_addresses_that_hide_nothing_stay(spark):
+    pages = [(f'<main><p>a <span data-cfemail="{hidden}">seen</span> b</p><h2><button data-cfemail="{hidden}">x</button> c</h2></main>', "t") for hidden in ("zz", "4", "", "42z", "é0")]
+    out = [r[0] for r in spark.createDataFrame(pages, "html string, title string").select(html.markdown_of(F.col("html"), F.col("title"))).collect()]
+    assert len(out) == 5 and all("seen" in m and "c" in m for m in out[:3] + out[4:])
+
+
 def test_rows_of_a_column(spark):
     pages = spark.createDataFrame([(1, "<div id=a><p>x</p></div>"), (2, "<p>y</p>"), (3, None)], "page_id int, html string")
     out = {r["page_id"]: r["r"] for r in pages.select("page_id", html.html_rows(F.col("html"), "#a").alias("r")).collect()}
@@ -161,7 +167,8 @@ def test_caches_read_back_what_was_appended(spark, tmp_path):
 
 
 def test_fetch_log_is_not_written_over_itself(spark, tmp_path):
-    first, second = str(tmp_path / "l1"), str(tmp_path / "l2")
+    # A name that the other begins with is another place.
+    first, second = str(tmp_path / "l12"), str(tmp_path / "l1")
     files.write_fetch_log(None, spark.createDataFrame([("a", 1), ("b", 2)], "doc_id string, bytes int"), first)
     old, new = spark.read.schema("doc_id string, bytes int").json(first), spark.createDataFrame([("a", 9)], "doc_id string, bytes int")
     with pytest.raises(ValueError):

@@ -1,5 +1,6 @@
 import json
 import time
+from http.client import IncompleteRead
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,16 +27,18 @@ def test_fetch_pages(spark):
             return b"User-agent: *\nDisallow: /private", "text/plain", url
         if url.endswith("gone"):
             raise OSError("404")
+        if url.endswith("cut"):
+            raise IncompleteRead(b"half")
         return "<p>é</p>".encode("latin-1"), "application/pdf" if url.endswith("pdf") else "text/html; charset=latin-1", url.replace("/old", "/new")
 
-    urls = ["http://a/x", "http://a/private/y", "http://a/gone", "http://b/f.pdf", "http://b/old", "http://down/x", "ftp://c/x", "nonsense"]
+    urls = ["http://a/x", "http://a/private/y", "http://a/gone", "http://b/f.pdf", "http://b/old", "http://down/x", "ftp://c/x", "nonsense", "http://a/cut", "http://[bad/x"]
     began = time.time()
     out = {r["url"]: r for r in fetch.fetch_pages(spark.createDataFrame([(u,) for u in urls], "url string").coalesce(1), "test", 1.0, get=pages).collect()}
-    assert {u: r["status"] for u, r in out.items()} == dict(zip(urls, ["ok", "denied", "failed", "wrong type", "ok", "denied", "denied", "denied"], strict=True))
+    assert {u: r["status"] for u, r in out.items()} == dict(zip(urls, ["ok", "denied", "failed", "wrong type", "ok", "denied", "denied", "denied", "failed", "denied"], strict=True))
     assert out["http://a/x"]["html"] == "<p>é</p>" and out["http://b/old"]["final_url"] == "http://b/new" and "404" in out["http://a/gone"]["error"]
-    # Host a is asked three times: rules, x and gone.
-    assert time.time() - began > 2
-    assert {r["status"]: r["urls"] for r in crawl.fetch_summary(spark.createDataFrame(list(out.values()))).collect()} == {"ok": 2, "denied": 4, "failed": 1, "wrong type": 1}
+    # Host a is asked four times: rules, x, gone and cut.
+    assert time.time() - began > 3
+    assert {r["status"]: r["urls"] for r in crawl.fetch_summary(spark.createDataFrame(list(out.values()))).collect()} == {"ok": 2, "denied": 5, "failed": 2, "wrong type": 1}
     with pytest.raises(ValueError):
         fetch.fetch_pages(spark.createDataFrame([("http://a/x",)], "url string"), "test", 0.1)
     assert fetch.decoded(b"\xe9\xff", "text/html; charset=nope") == "��"
