@@ -30,8 +30,8 @@ from corpusloom.llm.common import bounded_batches, crc_mod, stored, text_slices
 
 COLUMNS = 1 << 16
 ORDERS = (1, 2, 3)
-#: All that is neither a letter nor a mark on one.
-NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+|(?<!\p{L}\p{M}*)\p{M}+")
+#: Runs of what is neither a letter nor a mark on one. Nothing is read twice, however many marks a text has.
+NOT_LETTERS = regex.compile(r"\A\p{M}++|(?:[^\p{L}\p{M}]++\p{M}*+)++")
 UNKNOWN = "und"
 
 
