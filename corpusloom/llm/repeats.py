@@ -41,7 +41,8 @@ GRAMS = (40, 160, 190)
 FIRST = 50
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
-_POSITION = np.uint64((1 << 30) - 1)
+#: Bits of a packed gram that hold its place, at least; a slice of more bytes takes more.
+_PLACE_BITS = 30
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -94,8 +95,9 @@ def runs_of(raws: list[bytes], length: int, gram: int, hashers: tuple[Hasher, Ha
     for h in hashers:
         h.read(data)
     grams = hashers[0].grams(gram)
-    packed = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
-    anchor = (sliding_min(packed, length - gram + 1) & _POSITION).astype(np.int64)
+    place = np.uint64((1 << max(_PLACE_BITS, len(grams).bit_length())) - 1)
+    packed = (grams & ~place) | np.arange(len(grams), dtype=np.uint64)
+    anchor = (sliding_min(packed, length - gram + 1) & place).astype(np.int64)
     doc = np.repeat(np.arange(len(raws)), sizes)[: len(anchor)]
     start = np.arange(len(anchor))
     # Strings that would reach into the next document are none.
