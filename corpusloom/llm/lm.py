@@ -11,7 +11,7 @@ Counts meet texts without a table of the model that one machine must hold. Texts
 A slice asks for the counts of its distinct words, pairs and triples in blocks, one for each bucket of hashes, and says
 how often training has them in the slice; a bucket adds up and answers every block; a slice's part of the automaton is
 then complete, and one pass from left to right scores its texts. Buckets and slices follow the number of tokens; a word
-of any frequency is asked for once a slice. Words are known by 64 bits of hash, pairs and triples by GRAM_BITS.
+of any frequency is asked for once a slice. Words, pairs and triples are known by 64 bits of hash.
 
 Null and blank texts consist of the end token alone. Repeated rows are scored one by one. A null doc_id is not held out.
 With no training text every word is unknown and has probability one. A text longer than a slice is a slice of its own,
@@ -38,8 +38,6 @@ from corpusloom.llm.common import arrow_slices, bounded_batches, crc_mod, droppe
 END = b"\xff"
 #: Observations that the shorter context is worth.
 MASS = 4.0
-#: Bits of hash by which pairs and triples are told apart.
-GRAM_BITS = 52
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -70,14 +68,20 @@ def unpacked(raw: bytes, n: int) -> np.ndarray:
 
 
 def keys_packed(k: np.ndarray) -> bytes:
-    """Sorted keys: the first one, then the steps from each to the next in the fewest whole bytes, first bytes first."""
-    return k[:1].astype("<u8").tobytes() + packed(np.diff(k)) if len(k) else b""
+    """Sorted keys: the first one, then the steps from each to the next in the fewest whole bytes, first bytes first. Steps
+    are mostly far below the largest, so their last byte has few values and is compressed; the others are noise."""
+    if len(k) < 2:
+        return k.astype("<u8").tobytes()
+    raw, n = packed(np.diff(k)), len(k) - 1
+    return k[:1].astype("<u8").tobytes() + bytes([len(raw) // n]) + raw[:-n] + pa.Codec("zstd").compress(raw[-n:], asbytes=True)
 
 
 def keys_unpacked(raw: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, dtype=np.uint64)
-    return np.cumsum(np.append(np.frombuffer(raw[:8], dtype="<u8"), unpacked(raw[8:], n - 1).astype(np.uint64)), dtype=np.uint64)
+    if n < 2:
+        return np.frombuffer(raw, dtype="<u8").astype(np.uint64)
+    last = 9 + (raw[8] - 1) * (n - 1)
+    steps = raw[9:last] + pa.Codec("zstd").decompress(raw[last:], n - 1, asbytes=True)
+    return np.cumsum(np.append(np.frombuffer(raw[:8], dtype="<u8"), unpacked(steps, n - 1).astype(np.uint64)), dtype=np.uint64)
 
 
 def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +143,7 @@ class Window:
         # Where the last word of each pair and triple stands; grams do not cross texts.
         self.at2 = np.flatnonzero(self.text[1:] == self.text[:-1]) + 1
         self.at3 = np.flatnonzero(self.text[2:] == self.text[:-2]) + 2
-        keys = np.concatenate([pairs[self.at2 - 1], combined(pairs[self.at3 - 2], pairs[self.at3 - 1])]) >> np.uint64(64 - GRAM_BITS)
+        keys = np.concatenate([pairs[self.at2 - 1], combined(pairs[self.at3 - 2], pairs[self.at3 - 1])])
         self.order = np.argsort(keys)
         ranked = keys[self.order]
         self.first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, dtype=np.int64)
@@ -157,7 +161,7 @@ class Window:
         """(bucket, number of words and of grams, word keys and counts, gram keys and counts); keys are in order within and
         across buckets."""
         words, grams = self.training(train)
-        cuts = [np.searchsorted((k >> np.uint64(s)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64)).tolist() for k, s in ((self.words, 32), (self.grams, GRAM_BITS - 32))]
+        cuts = [np.searchsorted((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64)).tolist() for k in (self.words, self.grams)]
         for k in range(buckets):
             (a, b), (c, d) = cuts[0][k : k + 2], cuts[1][k : k + 2]
             if b > a or d > c:

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -180,6 +181,15 @@ def test_fingerprints(docs, rows, empty):
     assert hashing.simhash_components(empty).count() == 0
 
 
+def test_runs_of_slices_of_any_size(monkeypatch):
+    """Places take as many bits as they need."""
+    raws = [np.random.default_rng(k).integers(97, 123, 3000, dtype=np.uint8).tobytes() for k in range(3)]
+    want = [x.tolist() for x in repeats.runs_of(raws, 200, 40, (repeats.Hasher(1), repeats.Hasher(2)))]
+    monkeypatch.setattr(repeats, "_PLACE_BITS", 1)
+    have = [x.tolist() for x in repeats.runs_of(raws, 200, 40, (repeats.Hasher(1), repeats.Hasher(2)))]
+    assert have[:4] == want[:4] and sum(have[2]) == 3 * (3000 - 199)
+
+
 @pytest.mark.parametrize("hot", [512, 1])
 def test_repeats(spark, docs, rows, empty, hot):
     raws, seen = [(t or "").encode() for _, t, _ in rows], Counter()
@@ -337,9 +347,9 @@ def test_lm_numbers_survive_packing():
     for top in (2, 300, 70_000, 1 << 40):
         x = r.integers(0, top, 1000)
         assert np.array_equal(lm.unpacked(lm.packed(x), 1000), x)
-    for top in (1 << 56, (1 << 64) - 1):
-        k = np.sort(r.integers(0, top, 1000, dtype=np.uint64))
-        assert all(np.array_equal(lm.keys_unpacked(lm.keys_packed(k[:n]), n), k[:n]) for n in (0, 1, 2, 1000))
+    for top in (2000, 1 << 20, 1 << 56, (1 << 64) - 1):
+        k = np.unique(r.integers(0, top, 1000, dtype=np.uint64))
+        assert all(np.array_equal(lm.keys_unpacked(lm.keys_packed(k[:n]), n), k[:n]) for n in (0, 1, 2, len(k)))
 
 
 def test_token_files(docs, rows, empty):
@@ -400,6 +410,18 @@ def test_language_of_letters_and_of_many_languages(spark):
     assert {(r["lang_pred"], r["score"]) for r in one.collect()} == {("fr", 1.0)}
 
 
+def test_language_cleans_in_one_pass():
+    slow = regex.compile(r"[^\p{L}\p{M}]+|(?<!\p{L}\p{M}*)\p{M}+")
+    r = np.random.default_rng(5)
+    for _ in range(2000):
+        t = "".join(r.choice(list("ab\u0301\u0302 1!"), r.integers(0, 12)))
+        assert language.NOT_LETTERS.sub(" ", t).split() == slow.sub(" ", t).split() and "  " not in language.NOT_LETTERS.sub(" ", t).strip()
+    began = time.time()
+    assert len(language.NOT_LETTERS.sub(" ", "e" + "\u0301" * 1_000_000)) == 1_000_001
+    assert language.NOT_LETTERS.sub(" ", "1" + "\u0301" * 1_000_000) == language.NOT_LETTERS.sub(" ", "\u0301" * 1_000_000) == " "
+    assert time.time() - began < 5
+
+
 def test_language_frequencies_cover_all_rows(spark):
     data = [(i, "ab" if i % 4 else "zz", "en") for i in range(400)]
     idf = language.inverse_frequencies(spark.createDataFrame(data, "doc_id long, text string, lang string"), 1 << 12)
