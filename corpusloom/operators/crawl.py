@@ -9,8 +9,9 @@ from corpusloom.functions.text import strip
 
 
 def robots_rules(files: DataFrame) -> DataFrame:
-    """(host, is_allow, pattern, len, ord) of robots files (host, text): rules of groups whose last agent line is '*'.
-    '*' in a rule stands for anything and a final '$' for the end of the path."""
+    """(host, is_allow, pattern, prefix, plain, len, ord) of robots files (host, text): rules of groups whose last agent line
+    is '*'. '*' in a rule stands for anything and a final '$' for the end of the path; prefix is what comes before either,
+    and a plain rule has neither."""
     lines = files.select("host", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("ord", "line"))
     line = strip(F.regexp_replace("line", "#.*$", ""))
     parts = lines.withColumn("line", line).where(F.contains("line", F.lit(":"))).select("host", "ord", F.lower(strip(F.regexp_extract("line", "^([^:]*):", 1))).alias("key"), strip(F.regexp_extract("line", "^[^:]*:(.*)$", 1)).alias("value"))
@@ -20,7 +21,17 @@ def robots_rules(files: DataFrame) -> DataFrame:
     ends = F.col("value").endswith("$")
     body = F.when(ends, F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
     quoted = F.replace(F.regexp_replace(body, "([\\\\.\\[\\]{}()+?^$|])", "\\\\$1"), F.lit("*"), F.lit(".*"))
-    return rules.select("host", (F.col("key") == "allow").alias("is_allow"), F.concat(F.lit("^"), quoted, F.when(ends, F.lit("$")).otherwise(F.lit(""))).alias("pattern"), F.length("value").alias("len"), "ord")
+    pattern = F.concat(F.lit("^"), quoted, F.when(ends, F.lit("$")).otherwise(F.lit("")))
+    plain = ~(ends | F.contains("value", F.lit("*")))
+    return rules.select("host", (F.col("key") == "allow").alias("is_allow"), pattern.alias("pattern"), F.substring_index(body, "*", 1).alias("prefix"), plain.alias("plain"), F.length("value").alias("len"), "ord")
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """(host, prefix, plain, others): of the rules with a prefix the plain one that decides, and all that must be compared
+    with a path, the deciding ones first."""
+    each = rules.groupBy("host", "prefix", "plain", "pattern", "len", "is_allow").agg(F.min("ord").alias("ord"))
+    rule = F.struct("len", (-F.col("ord")).alias("ord"), "is_allow", "pattern")
+    return each.groupBy("host", "prefix").agg(F.max(F.when(F.col("plain"), rule)).alias("plain"), F.sort_array(F.collect_list(F.when(~F.col("plain"), rule)), False).alias("others"))
 
 
 def path_of(url: Column) -> Column:
@@ -29,12 +40,22 @@ def path_of(url: Column) -> Column:
     return F.concat(path, F.coalesce(F.concat(F.lit("?"), F.nullif(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))), F.lit("")))
 
 
+def candidates(urls: DataFrame, index: DataFrame) -> DataFrame:
+    """(url, rule): for each of urls (url, host, path) the rule that decides among those with one prefix of its path. A path
+    has a row for each length that prefixes of its host have, and meets them by equality."""
+    lengths = index.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    cut = urls.join(lengths, "host").withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))))
+    met = cut.withColumn("prefix", F.expr("substring(path, 1, n)")).join(index, ["host", "prefix"])
+    # Compared in order, so the first that fits decides.
+    fits = F.get(F.filter("others", lambda x: F.rlike(F.col("path"), x["pattern"])), 0)
+    return met.select("url", F.array_max(F.array("plain", fits)).alias("rule")).where("rule is not null")
+
+
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (url) with host, allowed and pattern: the longest matching rule decides, the first among equals; without
     one, a page may be fetched. Each different URL is decided once."""
     u = urls.select("url").distinct().select("url", F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")).alias("host"), path_of(F.col("url")).alias("path"))
-    hit = u.join(rules, "host").where("rlike(path, pattern)")
-    best = hit.groupBy("url").agg(F.max_by(F.struct("is_allow", "pattern"), F.struct("len", -F.col("ord"))).alias("b"))
+    best = candidates(u, rule_index(rules)).groupBy("url").agg(F.max("rule").alias("b"))
     return urls.join(u.select("url", "host").join(best, "url", "left"), "url", "left").select("url", "host", F.coalesce("b.is_allow", F.lit(True)).alias("allowed"), F.col("b.pattern").alias("pattern"))
 
 

@@ -66,6 +66,35 @@ def test_robots(spark):
     assert [got[u] for u in urls] == [True, False, False, False, True, True, False, True, True]
 
 
+def test_robots_against_every_rule(spark):
+    """The index by prefix decides as a comparison with every rule does."""
+    import itertools
+    import re
+
+    parts = ["/", "/a", "/a/b", "/a*", "/*b", "*b", "/a/b$", "/*$", "/a?x", "/a/*/c", "*", "$", "/a/b/c/d/e", "/A"]
+    lines = [f"{'Allow' if i % 3 else 'Disallow'}: {r}" for i, r in enumerate(parts + parts[::-1])]
+    files = [(f"h{k}", "User-agent: *\n" + "\n".join(lines[k::3] + lines[k : k + 2])) for k in range(3)] + [("none", ""), ("empty", "User-agent: *\nDisallow:")]
+    rules = crawl.robots_rules(spark.createDataFrame(files, "host string, text string"))
+    paths = ["", "/", "/a", "/a/b", "/a/b/c", "/a/b/c/d/e/f", "/a?x=1", "/b", "/A/b", "/a/x/c", "/$", "/a*"]
+    urls = [f"http://{h}{p}" for h, p in itertools.product(["h0", "h1", "h2", "none", "empty", "unknown"], paths)] + ["not a url", None]
+    got = {r["url"]: (r["allowed"], r["pattern"]) for r in crawl.allowed(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()}
+    known = rules.collect()
+    for h, p in itertools.product(["h0", "h1", "h2", "none", "empty", "unknown"], paths):
+        fits = [r for r in known if r["host"] == h and re.match(r["pattern"], p or "/")]
+        best = max(fits, key=lambda r: (r["len"], -r["ord"]), default=None)
+        assert got[f"http://{h}{p}"] == ((best["is_allow"], best["pattern"]) if best else (True, None)), (h, p)
+    assert got["not a url"] == (True, None)
+
+
+def test_robots_candidates_are_bounded(spark):
+    """A path meets one row for each length of prefixes of its host, however many rules there are."""
+    text = "User-agent: *\n" + "\n".join(f"Disallow: /{i:04d}" for i in range(500)) + "\n" + "\n".join(f"Allow: /*{i}" for i in range(50))
+    index = crawl.rule_index(crawl.robots_rules(spark.createDataFrame([("h", text)], "host string, text string")))
+    urls = spark.createDataFrame([(f"http://h/{i:04d}/x", "h", f"/{i:04d}/x") for i in range(0, 1000, 7)], "url string, host string, path string")
+    n = crawl.candidates(urls, index).groupBy("url").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    assert n == 2
+
+
 def test_html_text():
     assert html.page_text("<title>T</title><body><nav>n</nav><p>a<br>b</p></body>") == ("T", "T\na\nb")
     assert html.page_text("<p>x &amp; y</p><script>s</script>") == ("", "x & y")
