@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions.vector import LCG, cosine, lcg_steps, mock_embedding
-from corpusloom.operators import chunking, corpus, crawl, evaluate, generate, html, hybrid, impact, lexical, partitions, sections, store
+from corpusloom.operators import chunking, corpus, crawl, evaluate, generate, html, hybrid, impact, lexical, partitions, sections, segments, store
 from corpusloom.session import configure
-from corpusloom.tables import stored
+from corpusloom.tables import shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -318,6 +319,36 @@ def store_delete(t):
     return s.delete("7")[0].records.select(F.col("index").alias("doc_id"))
 
 
+@query(
+    """WITH bad AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0), toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+v AS (SELECT d.doc_id, coalesce(d.text, '') AS text, d.doc_id IN (SELECT doc_id FROM bad) AS bad, d.doc_id IN (SELECT doc_id FROM toxic) AS toxic FROM documents d),
+tops AS (SELECT max(doc_id) + 1 AS one, max(doc_id) + 1 + coalesce(max(doc_id + 1) FILTER (toxic), 0) AS two FROM v),
+r AS (SELECT doc_id, CASE WHEN toxic THEN 'withheld ' || doc_id ELSE text END AS content, CASE WHEN toxic THEN one ELSE 0 END + doc_id + 1 AS place FROM v, tops WHERE toxic OR NOT bad
+  UNION ALL SELECT doc_id, text || ' again', two + doc_id + 1 FROM v, tops WHERE bad)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, content, CAST(length(content) AS DOUBLE) AS embedded, CAST(place AS BIGINT) AS place, (SELECT count(*) FROM v WHERE bad) AS deleted FROM r"""
+)
+def store_log(t):
+    """Documents added to a store on disk, bad ones deleted, toxic ones replaced, the deleted ones added again, and all that
+    is dead removed."""
+    d, labels = t("documents"), t("labels")
+    ident = F.col("doc_id").cast("string")
+    length = store.Embedder(lambda c: F.array(F.length(c).cast("double")), lambda text: [float(len(text))], "length")
+    s = segments.SegmentStore(d.sparkSession, f"{shared_dir(d.sparkSession)}/store-log-{uuid.uuid4().hex}", length)
+    none = F.create_map().cast("map<string,string>").alias("metadata")
+    as_docs = lambda df, content: df.select(ident.alias("id"), content.alias("content"), none, F.col("doc_id").alias("ord"))
+    text = F.coalesce("text", F.lit(""))
+    bad = d.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    toxic = d.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    s.add(as_docs(d, text))
+    deleted = s.delete(bad.select(ident.alias("doc_id")))
+    s.replace(as_docs(toxic, F.concat(F.lit("withheld "), ident)))
+    s.compact()
+    s.add(as_docs(bad, F.concat(text, F.lit(" again"))))
+    s.compact(everything=True)
+    s.vacuum()
+    return s.rows().select("doc_id", "content", F.col("embedding")[0].alias("embedded"), F.col("index").alias("place"), F.lit(deleted).cast("long").alias("deleted"))
+
+
 # ---- lexical
 
 
@@ -490,6 +521,38 @@ def corpus_problems(t):
     return corpus.problems(_marked(t).drop("doc_id"))
 
 
+def _broken(t) -> DataFrame:
+    """Documents as Markdown files that meet the format contract but for one rule, chosen by doc_id."""
+    d = t("documents").where("doc_id is not null")
+    ident, rule = F.col("doc_id").cast("string"), F.pmod("doc_id", F.lit(8))
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[#|]", ""), "\n+", "\n"), "^\n|\n\\z", "")
+    line = lambda k, x: F.when(rule == k, F.lit(x)).otherwise(F.lit(""))
+    meta = "\ntitle: T\nsource_url: http://a.example\nretrieved_at: 2024-01-31\ndocument_version: v1\naudience: all\nlanguage: en\n---\n"
+    title = F.concat(F.when(rule == 1, F.lit("")).otherwise(F.lit("# ")), F.lit("Document "), ident, F.lit("\n\n"))
+    before = F.concat(line(4, "## Empty\n\n"), F.when(rule == 2, F.lit("")).otherwise(F.lit("## Part\n\n")), line(3, "#### Deep\n\n"), line(6, "| a | b |\n| c |\n"), line(7, "one\n\n\ntwo\n"))
+    body = F.concat(F.lit("\n"), title, before, F.coalesce(F.nullif(clean, F.lit("")), F.lit("-")), line(5, "\nCookie settings"), F.lit("\n"))
+    return d.select(F.concat(F.lit("d"), ident, F.lit(".md")).alias("file_name"), F.concat(F.lit("---\ndoc_id: d"), ident, F.lit(meta), body).alias("text"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, doc_id % 8 AS rule, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[#|]', '', 'g'), '\n+', '\n', 'g'), '^\n|\n\\z', '', 'g'), ''), '-') AS x FROM documents),
+b AS (SELECT *, string_split(chr(10) || CASE rule WHEN 1 THEN '' ELSE '# ' END || 'Document ' || doc_id || chr(10) || chr(10)
+  || CASE rule WHEN 2 THEN '' WHEN 4 THEN '## Empty' || chr(10) || chr(10) || '## Part' || chr(10) || chr(10) ELSE '## Part' || chr(10) || chr(10) END
+  || CASE rule WHEN 3 THEN '#### Deep' || chr(10) || chr(10) WHEN 6 THEN '| a | b |' || chr(10) || '| c |' || chr(10) WHEN 7 THEN 'one' || chr(10) || chr(10) || chr(10) || 'two' || chr(10) ELSE '' END
+  || x || CASE rule WHEN 5 THEN chr(10) || 'Cookie settings' ELSE '' END || chr(10), chr(10)) AS lines FROM d),
+p AS (SELECT doc_id, 'boilerplate on line ' || unnest(list_filter(range(1, len(lines) + 1), lambda i: regexp_matches(lines[i], '(?i)(trang chủ|chuyển đến nội dung|\\[email[^\\]]*protected\\]|đăng ký ngay|xem thêm tin|cookie)'))) AS problem FROM b
+  UNION ALL SELECT doc_id, 'must have exactly one H1, first' FROM b WHERE rule = 1
+  UNION ALL SELECT doc_id, 'no H2 sections' FROM b WHERE rule = 2 AND length(array_to_string(lines, chr(10))) >= 1500
+  UNION ALL SELECT doc_id, 'heading level jump h2->h4' FROM b WHERE rule = 3
+  UNION ALL SELECT doc_id, 'empty section: Empty' FROM b WHERE rule = 4
+  UNION ALL SELECT doc_id, 'ragged table: | a | b |' || chr(10) || '| c |' || chr(10) FROM b WHERE rule = 6
+  UNION ALL SELECT doc_id, 'more than one blank line' FROM b WHERE rule = 7)
+SELECT 'd' || doc_id || '.md' AS file_name, problem FROM p"""
+)
+def corpus_broken(t):
+    return corpus.problems(_broken(t))
+
+
 @query("SELECT '---' || chr(10) || 'doc_id: \"' || doc_id || '\"' || chr(10) || 'title: \"a: ' || source || '\"' || chr(10) || 'language: ' || lang || chr(10) || '---' || chr(10) || chr(10) AS head FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
 def render_frontmatter(t):
     m = F.create_map(F.lit("doc_id"), F.col("doc_id").cast("string"), F.lit("language"), F.col("lang"), F.lit("title"), F.concat(F.lit("a: "), "source"), F.lit("category"), F.lit(""))
@@ -609,6 +672,30 @@ def robots(t):
     return pages.join(out.select("url", "host", "allowed").distinct(), "url").select("page_id", "host", "allowed")
 
 
+def _host_files(t) -> DataFrame:
+    """A robots file (host, text) of each host of pages, its rules taken from the first and last of the host's paths."""
+    u = t("pages").select(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")).alias("host"), crawl.path_of(F.col("url")).alias("path"))
+    ends = u.groupBy("host").agg(F.min("path").alias("a"), F.max("path").alias("z"))
+    rules = ("'Disallow: ' || substr(a, 1, 5)", "'Allow: ' || a || '$'", "'Disallow: ' || substr(z, 1, length(z) - 1)", "'Disallow: /*' || right(z, 1)", "'Allow: ' || substr(z, 1, 6)")
+    return ends.select("host", F.expr(f"concat_ws('\\n', 'User-agent: *', {', '.join(rules)})").alias("text"))
+
+
+@query(
+    f"""WITH u AS (SELECT page_id, {_URL_PARTS} FROM pages), e AS (SELECT host, min(path) AS a, max(path) AS z FROM u GROUP BY host),
+r AS (SELECT host, 1 AS ord, false AS ok, 'start' AS kind, substr(a, 1, 5) AS lit, length(substr(a, 1, 5)) AS n FROM e
+  UNION ALL SELECT host, 2, true, 'whole', a, length(a) + 1 FROM e
+  UNION ALL SELECT host, 3, false, 'start', substr(z, 1, length(z) - 1), length(z) - 1 FROM e WHERE length(z) > 1
+  UNION ALL SELECT host, 4, false, 'within', right(z, 1), 3 FROM e
+  UNION ALL SELECT host, 5, true, 'start', substr(z, 1, 6), length(substr(z, 1, 6)) FROM e),
+m AS (SELECT page_id, arg_max(ok, n * 10 - ord) AS ok FROM u JOIN r USING (host) WHERE CASE kind WHEN 'start' THEN starts_with(path, lit) WHEN 'whole' THEN path = lit ELSE contains(substr(path, 2), lit) END GROUP BY page_id)
+SELECT page_id, host, coalesce(ok, true) AS allowed FROM u LEFT JOIN m USING (page_id)"""
+)
+def robots_hosts(t):
+    pages = t("pages").select("page_id", "url")
+    out = crawl.allowed(pages, crawl.robots_rules(_host_files(t)))
+    return pages.join(out.select("url", "host", "allowed").distinct(), "url").select("page_id", "host", "allowed")
+
+
 @query("SELECT page_id, octet_length(encode(html)) AS bytes, sha256(html) AS sha256 FROM pages")
 def fetch_log(t):
     fetched = t("pages").select(F.col("page_id").alias("doc_id"), "url", F.lit("html").alias("kind"), F.lit("text/html").alias("content_type"), F.col("html").cast("binary").alias("body"))
