@@ -73,10 +73,11 @@ def answers(asked: DataFrame, llm: Callable[[Column], Column] = demo_llm, not_fo
     return with_prompt.unionByName(asked.where(F.col("prompt").isNull()).select("qid", F.lit(not_found).alias("answer")))
 
 
-def call_missing(asked: DataFrame, cache: DataFrame, call: Callable[[list[str]], list], kind: str, batch: int = 96) -> DataFrame:
+def call_missing(asked: DataFrame, cache: DataFrame | None, call: Callable[[list[str]], list], kind: str, batch: int = 96) -> DataFrame:
     """New rows (key, value) for a cache (key, value): keys and texts (key, text) that it lacks, each once, through an
-    external call in batches. Append them to the cache table, then read values by joining on the key."""
-    missing = asked.dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
+    external call in batches. Append them to the cache table, then read values by joining on the key. Without a cache,
+    asked are different keys that are known to be missing."""
+    missing = asked if cache is None else asked.dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
 
     def run(parts: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for p in parts:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions.vector import LCG, cosine, lcg_steps, mock_embedding
-from corpusloom.operators import chunking, corpus, crawl, evaluate, generate, html, hybrid, impact, lexical, partitions, sections, segments, store
+from corpusloom.operators import cache, chunking, corpus, crawl, evaluate, generate, html, hybrid, impact, lexical, partitions, sections, segments, store
 from corpusloom.session import configure
 from corpusloom.tables import shared_dir, stored
 
@@ -730,3 +730,14 @@ def cache_miss(t):
     asked = t("documents").where("text is not null").select(key.alias("key"), "text")
     cached = t("documents").where("text is not null").join(t("labels").select("doc_id"), "doc_id", "left_semi").select(key.alias("key"))
     return generate.call_missing(asked, cached, lambda texts: [len(x) for x in texts], "long").select("key")
+
+
+@query("SELECT d.doc_id, sha256('mock' || chr(10) || d.text) AS key, CAST(CASE WHEN sha256('mock' || chr(10) || d.text) IN (SELECT sha256('mock' || chr(10) || text) FROM documents SEMI JOIN labels USING (doc_id) WHERE text IS NOT NULL) THEN -1 ELSE length(d.text) END AS BIGINT) AS value FROM documents d WHERE d.text IS NOT NULL")
+def cache_filled(t):
+    """Values of all documents from a bucketed cache that has those of labelled ones (-1) and is filled with the rest."""
+    d = t("documents").where("text is not null").select("doc_id", tx.cache_key(F.lit("mock"), F.col("text")).alias("key"), "text")
+    c = cache.BucketedCache(d.sparkSession, f"{shared_dir(d.sparkSession)}/cache-{uuid.uuid4().hex}", "bigint", 16)
+    known = d.join(t("labels").select("doc_id"), "doc_id", "left_semi").select("key", F.lit(-1).alias("value")).distinct()
+    c.append(known)
+    c.fill(d, lambda texts: [len(x) for x in texts])
+    return c.get(d.select("doc_id", "key")).select("doc_id", "key", "value")
