@@ -120,7 +120,9 @@ class SegmentStore:
         name = f"s-{uuid.uuid4().hex}"
         folder = f"{self.path}/segments/segment={name}"
         bucket = F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
-        rows.select(*ROWS.fieldNames(), bucket.alias("bucket")).write.partitionBy("bucket").parquet(folder)
+        # Otherwise every task would write a file to every bucket; hot buckets are split again.
+        dealt = rows.select(*ROWS.fieldNames(), bucket.alias("bucket")).hint("rebalance", "bucket")
+        dealt.write.partitionBy("bucket").parquet(folder)
         kept = self.spark.read.schema("doc_id string, index long, bucket int").parquet(folder)
         sums = kept.groupBy("bucket").agg(F.max("index").alias("top"), F.sum(F.coalesce(F.octet_length("doc_id"), F.lit(0)) + 16).alias("bytes")).collect()
         return {"name": name, "holds": sorted(r["bucket"] for r in sums), "count": max((r["top"] or 0 for r in sums), default=0), "bytes": sum(r["bytes"] for r in sums)}
