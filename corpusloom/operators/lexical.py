@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from corpusloom.functions.text import tokens
+from corpusloom.operators.best import CELLS, Best
 
 
 @dataclass
@@ -129,29 +130,41 @@ def _scorer(ids: list, terms: list[list[str]], df: dict[str, int], n: int, avg_l
     known = sorted(df)
     number = {x: i for i, x in enumerate(known)}
     idf = np.array([math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) for x in known])
-    asks = np.zeros((len(ids), len(known)))
-    for q, t in enumerate(terms):
-        asks[q, [number[x] for x in t if x in number]] = 1.0
-
-    def scored(tokens_: pa.Array) -> np.ndarray:
-        """Scores of all queries for the rows of a column of token lists."""
+    # The queries of each term, one after the other.
+    asked = np.array([(number[x], q) for q, t in enumerate(terms) for x in t if x in number], dtype=np.int64).reshape(-1, 2)
+    asked = asked[np.lexsort((asked[:, 1], asked[:, 0]))]
+    first = np.searchsorted(asked[:, 0], np.arange(len(known) + 1))
+    many, who = np.diff(first), asked[:, 1]
+
+    def scored(tokens_: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """(first row, scores of all queries) for the rows of a column of token lists, some rows at a time. The parts of a
+        score are added in the order of terms, so documents with the same counts have the same score to the last bit."""
         sizes, row, term, tf = _found(tokens_, known)
-        here, column = np.unique(term, return_inverse=True)
-        part = np.zeros((len(here), len(sizes)))
-        part[column, row] = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[row] / avg_len))
-        return asks[:, here] @ part
+        part = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[row] / avg_len))
+        step = max(1, CELLS // len(ids))
+        for start in range(0, len(sizes), step):
+            rows = min(step, len(sizes) - start)
+            total = np.zeros(len(ids) * rows)
+            i, end = np.searchsorted(row, (start, start + rows))
+            here = many[term[i:end]]
+            pairs = np.cumsum(here)
+            # Pairs of a term and a query that asks for it, about CELLS at a time.
+            cuts = np.searchsorted(pairs, np.arange(CELLS, pairs[-1], CELLS)) if len(pairs) else []
+            for x, y in zip([0, *cuts], [*cuts, end - i], strict=True):
+                n_asked, hit = here[x:y], slice(i + x, i + y)
+                at = np.repeat(first[term[hit]] - np.cumsum(n_asked) + n_asked, n_asked) + np.arange(n_asked.sum())
+                np.add.at(total, who[at] * rows + np.repeat(row[hit] - start, n_asked), np.repeat(part[hit], n_asked))
+            yield start, total.reshape(len(ids), rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score, index, name = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0), dtype=object)
+        best = Best(len(ids), k)
         for batch in batches if known else ():
-            shape = (len(ids), batch.num_rows)
-            score = np.concatenate([score, scored(batch.column(2))], axis=1)
-            index = np.concatenate([index, np.broadcast_to(batch.column(1).to_numpy(), shape)], axis=1)
-            name = np.concatenate([name, np.broadcast_to(np.array(batch.column(0).to_pylist(), dtype=object), shape)], axis=1)
-            keep = np.lexsort((index, -np.round(score, digits)), axis=1)[:, :k]
-            score, index, name = (np.take_along_axis(x, keep, axis=1) for x in (score, index, name))
-        q, at = np.nonzero(score > 0)
-        if len(q):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([ids[i] for i in q], name[q, at].tolist(), index[q, at], score[q, at]), schema.types, strict=True)], schema=schema)
+            for start, score in scored(batch.column(2)):
+                part = batch.slice(start, score.shape[1])
+                name = np.empty(part.num_rows, dtype=object)
+                name[:] = part.column(0).to_pylist()
+                # No score, no hit.
+                best.add(0, np.where(score > 0, score, -np.inf), part.column(1).to_numpy(), name, digits)
+        yield from best.rows(ids, schema)
 
     return run
