@@ -4,21 +4,16 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.session import bounded_batches  # noqa: F401  the operators take it from here
 from corpusloom.tables import dropped, shared_dir, stored  # noqa: F401  the operators take them from here
 
 #: Separators of words: space and \x09-\x0D.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound Arrow batches, so a run of long documents cannot fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, every other character kept."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
