@@ -18,23 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import tokens
-from corpusloom.operators.lexical import weight
+from corpusloom.operators.lexical import term_counts, weight
 from corpusloom.tables import stored
 
 #: Folders of the stored blocks; a question reads only those of its terms.
 BUCKETS = 64
 
 
-def term_counts(t: Column) -> Column:
-    """Of an array of terms, an array of (term, tf), by run lengths of the sorted array."""
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return F.element_at(F.transform(F.array(starts), lambda st: F.transform(st, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(st, k + 1), F.size(s)) - i).alias("tf")))), 1)
-
-    return F.when(F.size(t) > 0, F.element_at(F.transform(F.array(F.array_sort(t)), runs), 1))
-
-
 @dataclass
 class ImpactIndex:
     """rows (id, index), blocks (bucket, shard, block, term, n, top, at, impact), terms (term, df, idf) and how the index

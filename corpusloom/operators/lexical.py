@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,17 +16,51 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from corpusloom.functions.text import tokens
 from corpusloom.operators.best import CELLS, Best
+from corpusloom.tables import stored
 
 
-@dataclass
 class LexicalIndex:
-    """tokens (id, t), postings (id, term, tf), lengths (id, len), idf (term, df, idf), and one row of totals (n, avg_len)."""
+    """tokens (id, t), postings (id, term, tf), lengths (id, len), idf (term, df, idf), and one row of totals (n, avg_len)
+    of docs (id, content)."""
 
-    tokens: DataFrame
-    postings: DataFrame
-    lengths: DataFrame
-    idf: DataFrame
-    totals: DataFrame
+    def __init__(self, docs: DataFrame, compose: bool = False):
+        self.docs, self.compose = docs, compose
+        self.tokens = self._tokens(docs)
+        self.lengths = self.tokens.select("id", F.coalesce(F.size("t"), F.lit(0)).cast("long").alias("len"))
+        self.totals = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"))
+
+    def _tokens(self, docs: DataFrame) -> DataFrame:
+        return docs.select("id", tokens(F.col("content"), self.compose).alias("t"))
+
+    @functools.cached_property
+    def postings(self) -> DataFrame:
+        """Terms are counted row by row, so no posting is shuffled; only what rows of one id have is added up."""
+
+        def counted(docs: DataFrame) -> DataFrame:
+            each = self._tokens(docs).select("id", F.explode(term_counts(F.col("t"))).alias("p"))
+            return each.select("id", "p.term", F.col("p.tf").cast("long").alias("tf"))
+
+        again = stored(self.docs.groupBy(F.col("id").alias("again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("again"), "lexical-again")
+        if again.isEmpty():
+            return counted(self.docs)
+        of = lambda how: self.docs.join(again, F.col("id").eqNullSafe(F.col("again")), how)
+        return counted(of("left_anti")).unionByName(counted(of("left_semi")).groupBy("id", "term").agg(F.sum("tf").alias("tf")))
+
+    @functools.cached_property
+    def idf(self) -> DataFrame:
+        df = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        # One row of totals.
+        return df.crossJoin(F.broadcast(self.totals)).select("term", "df", weight(F.col("n"), F.col("df")).alias("idf"))
+
+
+def term_counts(t: Column) -> Column:
+    """Of an array of terms, an array of (term, tf), by run lengths of the sorted array."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.element_at(F.transform(F.array(starts), lambda st: F.transform(st, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(st, k + 1), F.size(s)) - i).alias("tf")))), 1)
+
+    return F.when(F.size(t) > 0, F.element_at(F.transform(F.array(F.array_sort(t)), runs), 1))
 
 
 def weight(n: Column, df: Column) -> Column:
@@ -36,14 +70,7 @@ def weight(n: Column, df: Column) -> Column:
 
 def index(docs: DataFrame, compose: bool = False) -> LexicalIndex:
     """The index of docs (id, content). All statistics cover all docs, whatever is searched later."""
-    toks = docs.select("id", tokens(F.col("content"), compose).alias("t"))
-    lengths = toks.select("id", F.coalesce(F.size("t"), F.lit(0)).cast("long").alias("len"))
-    postings = toks.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # One row of totals.
-    idf = df.crossJoin(F.broadcast(totals)).select("term", "df", weight(F.col("n"), F.col("df")).alias("idf"))
-    return LexicalIndex(toks, postings, lengths, idf, totals)
+    return LexicalIndex(docs, compose)
 
 
 def bm25(ix: LexicalIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.75, compose: bool = False) -> DataFrame:
