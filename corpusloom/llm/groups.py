@@ -88,16 +88,101 @@ def similar_sets(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> D
     return both.where(fit).where((p + q) * F.size(F.array_intersect("ha", "hb")) >= p * (F.col("sa") + F.col("sb"))).select("a", "b")
 
 
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(id, s, n: members in hs, bits) of sets (id, s, hs): a bit for each member's hash modulo the length of bits, a power
+    of two of at least four bits a member. A bit that only one of two sets has is a member that the other lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, out = [], []
+            for x in b.column(2):
+                h = x.values.to_numpy().view(np.uint64)
+                full = np.zeros(max(64, 1 << (4 * len(h) - 1).bit_length()) if len(h) else 64, dtype=bool)
+                full[h & np.uint64(len(full) - 1)] = True
+                sizes.append(len(h))
+                out.append(np.packbits(full, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["id", "s", "n", "bits"])
+
+    return sets.select("id", F.col("s").cast("long").alias("s"), "hs").mapInArrow(run, "id long, s long, n long, bits binary")
+
+
+def _possible(own: np.ndarray, label: np.ndarray, s: np.ndarray, n: np.ndarray, bits: list[bytes], share: tuple[int, int], cross: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of all pairs of different labels that sizes and bitmaps do not rule out; with `cross`, of different
+    own only. Of two bitmaps the longer is folded to the length of the other."""
+    p, q = share
+    words = np.array([len(x) // 8 for x in bits])
+    out = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))]
+    for width in np.unique(words).tolist():
+        at = np.flatnonzero((words >= width) & (words <= width * 2 * q // p))
+        at = at[np.argsort(s[at], kind="stable")]
+        rows = np.empty((len(at), width), dtype=np.uint64)
+        for i, k in enumerate(at.tolist()):
+            rows[i] = np.bitwise_or.reduce(np.frombuffer(bits[k], dtype=np.uint64).reshape(-1, width), axis=0)
+        size, lost, here = s[at], n[at] - np.bitwise_count(rows).sum(axis=1, dtype=np.int64), words[at] == width
+        step = max(1, (1 << 20) // max(1, len(at) * width))
+        for i in range(0, len(at), step):
+            one = slice(i, i + step)
+            # Sizes ascend, so those within the bound are one run.
+            two = slice(i, int(np.searchsorted(size * p, size[one][-1] * q, "right")))
+            fit = (size[one, None] * q >= size[None, two] * p) & (label[at[one], None] != label[None, at[two]]) & (here[one, None] | here[None, two])
+            fit &= np.arange(i, i + fit.shape[0])[:, None] < np.arange(i, i + fit.shape[1])[None]
+            if cross:
+                fit &= own[at[one], None] != own[None, at[two]]
+            x, y = np.nonzero(fit)
+            x, y = x + i, y + i
+            for k in range(0, len(x), max(1, (1 << 20) // width)):
+                u, v = (z[k : k + max(1, (1 << 20) // width)] for z in (x, y))
+                most = np.bitwise_count(rows[u] & rows[v]).sum(axis=1, dtype=np.int64) + np.minimum(lost[u], lost[v])
+                left = (p + q) * most >= p * (size[u] + size[v])
+                out.append((at[u[left]], at[v[left]]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def possible_within(dealt: DataFrame, sets: DataFrame, share: tuple[int, int], dense: int = 8) -> DataFrame:
+    """What is left of dealt (key, x, y, own, id, label), with `with`: of a group (key, x, y) in which bitmaps leave at most
+    `dense` pairs for each member, a row for each pair; of others, a row without `with` for each member of a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, at = [], None
+
+        def left() -> Iterator[pa.RecordBatch]:
+            own, ids, label, s, n = (np.array([g[k] for g in group], dtype=np.int64) for k in range(5))
+            if len(group) > 1 and (label != label[0]).any():
+                i, j = _possible(own, label, s, n, [g[5] for g in group], share, at[1] != at[2])
+                many = len(i) > dense * len(group)
+                if many:
+                    i = np.unique(np.concatenate([i, j]))
+                key, x, y = (pa.array(np.full(len(i), v, dtype=np.int64)) for v in at)
+                partner = pa.nulls(len(i), pa.int64()) if many else pa.array(ids[j])
+                yield pa.RecordBatch.from_arrays([key, x, y, pa.array(own[i]), pa.array(ids[i]), pa.array(label[i]), partner], names=["key", "x", "y", "own", "id", "label", "with"])
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for key, x, y, *rest_of in zip(*columns, strict=True):
+                if (key, x, y) != at:
+                    yield from left()
+                    group, at = [], (key, x, y)
+                group.append(rest_of)
+        yield from left()
+
+    both = dealt.join(bitmaps(sets), "id").select("key", "x", "y", "own", "id", "label", "s", "n", "bits")
+    return both.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "key long, x long, y long, own long, id long, label long, with long")
+
+
 def similar_within(rest: DataFrame, sets: DataFrame, share: tuple[int, int], most: int = 1500, once: bool = False) -> DataFrame:
     """Pairs (a, b), a < b, of one key and different labels in rest (key, id, label, all) whose sets (id, s, hs) are that
-    similar. Sets of a key meet in a task and are compared by matrix products. A key with more than `most` members is cut
-    into blocks of about that many, and every two blocks meet in a task of their own. With `once`, keys are members of the
-    sets, whose hs are in one order: a pair that shares several keys is returned by the first only."""
+    similar. A key with more than `most` members is cut into blocks of about that many, and every two blocks meet in a task
+    of their own. Bitmaps of the sets meet first and rule out pairs by an upper bound of what two sets share. The few pairs
+    left are compared one by one; where many are, their sets meet in a task and are compared by matrix products. With
+    `once`, keys are members of the sets, whose hs are in one order: a pair that shares several keys is returned by the
+    first only."""
     p, q = share
     blocks = F.ceil(F.col("all") / most).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = rest.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.withColumns({"x": F.least("own", "with"), "y": F.greatest("own", "with")}).select("key", "x", "y", "own", "id", "label")
+    left = stored(possible_within(dealt, sets, share), "within-left")
+    pairs = left.where(F.col("with").isNotNull()).select(*_ordered("id", "with")).distinct()
 
     def compared(own: np.ndarray, ids: np.ndarray, label: np.ndarray, s: np.ndarray, hs: list[np.ndarray], cross: bool) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(h) for h in hs])
@@ -142,8 +227,9 @@ def similar_within(rest: DataFrame, sets: DataFrame, share: tuple[int, int], mos
                 group.append((*rest_of, batch.column(7)[k].values.to_numpy()))
         yield from found()
 
-    both = dealt.join(sets, "id").select("key", "x", "y", "own", "id", "label", "s", "hs")
-    return both.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    both = left.where(F.col("with").isNull()).join(sets, "id").select("key", "x", "y", "own", "id", "label", "s", "hs")
+    exact = both.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
+    return exact.unionByName(similar_sets(pairs, sets, share)).distinct()
 
 
 def prefix_heads(shared: DataFrame, sizes: DataFrame, share: tuple[int, int], name: str) -> tuple[DataFrame, DataFrame]:

@@ -145,3 +145,25 @@ def test_sets_of_a_key_compared_in_place(spark, most):
     near = lambda a, b: 5 * len({*a} & {*b}) >= 4 * len({*a} | {*b})
     want = {(i, j) for i in sets for j in sets if i < j and i // 2 != j // 2 and near(sets[i], sets[j])}
     assert {tuple(x) for x in got} == want and len(got) == len(want) > 20
+
+
+def test_sets_ruled_out_by_bitmaps_do_not_travel(spark):
+    """Of a key's members whose sets are unlike none is left to compare, near copies leave a row each and not one for each
+    pair, and what is similar is found whatever the sizes."""
+    r = random.Random(6)
+    unlike = {i: sorted(r.getrandbits(63) for _ in range(r.randint(60, 300))) for i in range(120)}
+    base = [r.getrandbits(63) for _ in range(100)]
+    alike = {1000 + i: sorted({*base[: 100 - i % 3]} | {r.getrandbits(63)}) for i in range(60)}
+    mixed = {2000 + i: sorted(base[: r.randint(1, 100)]) for i in range(60)}
+    sets = unlike | alike | mixed
+    df = spark.createDataFrame([(i, len(x), x) for i, x in sets.items()], "id long, s long, hs array<long>")
+    dealt = lambda part, key: spark.createDataFrame([(key, 0, 0, 0, i, i) for i in part], "key long, x int, y int, own int, id long, label long")
+    assert groups.possible_within(dealt(unlike, 1), df, (4, 5)).count() == 0
+    left = groups.possible_within(dealt(alike, 2), df, (4, 5)).collect()
+    assert sorted(x["id"] for x in left) == sorted(alike) and {x["with"] for x in left} == {None}
+    rest = [(3, i, i, len(sets)) for i in sets]
+    near = lambda a, b: 5 * len({*a} & {*b}) >= 4 * len({*a} | {*b})
+    want = {(i, j) for i in sets for j in sets if i < j and near(sets[i], sets[j])}
+    for most in (1500, 50):
+        got = groups.similar_within(spark.createDataFrame(rest, "key long, id long, label long, all long"), df, (4, 5), most).collect()
+        assert {tuple(x) for x in got} == want and len(got) == len(want) > 1770
