@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip, yaml_value
+from corpusloom.tables import stored
 
 #: Metadata of the corpus format.
 REQUIRED = ("doc_id", "title", "source_url", "retrieved_at", "document_version", "audience")
@@ -84,15 +85,26 @@ def markdown_document(metadata: Column, content: Column) -> Column:
     return F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n\n# "), F.try_element_at(metadata, F.lit("title")), F.lit("\n\n"), content, F.lit("\n"))
 
 
+def _heads(docs: DataFrame) -> DataFrame:
+    """docs (body) with heads, an array of (pos, line, next): its heading lines, each with the next non-blank line. Found
+    within the row, so no other line leaves it."""
+    lines = F.transform(F.split("body", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+    full = docs.withColumn("_full", F.filter(lines, lambda s: strip(s["line"]) != ""))
+    both = F.transform("_full", lambda s, i: F.struct(s["pos"].alias("pos"), s["line"].alias("line"), F.get("_full", i + 1)["line"].alias("next")))
+    return full.withColumn("heads", F.filter(both, lambda s: s["line"].rlike("^#{1,6} .+$"))).drop("_full")
+
+
+def _headings(docs: DataFrame) -> DataFrame:
+    """headings of docs (doc_id, heads)."""
+    nxt = docs.select("doc_id", F.inline("heads"))
+    first = F.first("next").over(Window.partitionBy("doc_id", "line").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return nxt.select("doc_id", "pos", F.length(F.regexp_extract("line", "^(#{1,6}) ", 1)).alias("level"), F.regexp_extract("line", "^#{1,6} (.+)$", 1).alias("title"), first.alias("next"))
+
+
 def headings(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, level, title, next) of all heading lines of docs (doc_id, body); next is the next non-blank line
     after the first line that reads the same."""
-    lines = docs.select("doc_id", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
-    full = lines.where(strip(F.col("line")) != "")
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    nxt = full.withColumn("next", F.lead("line").over(w)).where(F.col("line").rlike("^#{1,6} .+$"))
-    first = F.first("next").over(Window.partitionBy("doc_id", "line").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return nxt.select("doc_id", "pos", F.length(F.regexp_extract("line", "^(#{1,6}) ", 1)).alias("level"), F.regexp_extract("line", "^#{1,6} (.+)$", 1).alias("title"), first.alias("next"))
+    return _headings(_heads(docs.select("doc_id", "body")))
 
 
 def problems(files: DataFrame) -> DataFrame:
@@ -117,13 +129,15 @@ def problems(files: DataFrame) -> DataFrame:
         F.transform(bad_lines, lambda s: F.concat(F.lit("boilerplate on line "), s["i"].cast("string"))),
         F.transform(ragged, lambda t: F.concat(F.lit("ragged table: "), F.substring(t, 1, 40))),
     )
-    flat = df.select("file_name", F.explode(lists).alias("problem"))
-    h = headings(df.select(F.col("file_name").alias("doc_id"), "body")).withColumnRenamed("doc_id", "file_name")
+    # Every text is read once; what the checks below need of it is small.
+    read = stored(_heads(df).select("file_name", F.length("body").alias("n"), lists.alias("lists"), "heads"), "corpus-read")
+    flat = read.select("file_name", F.explode("lists").alias("problem"))
+    h = _headings(read.withColumnRenamed("file_name", "doc_id")).withColumnRenamed("doc_id", "file_name")
     w = Window.partitionBy("file_name").orderBy("pos")
     seq = h.select("*", F.lag("level", 1, 1).over(w).alias("prev"), F.lead("level").over(w).alias("after"))
     jumps = seq.where("level > prev + 1").select("file_name", F.format_string("heading level jump h%d->h%d", "prev", "level").alias("problem"))
     empty = seq.where(F.col("after").isNotNull() & (F.col("after") <= F.col("level")) & F.col("next").startswith("#")).select("file_name", F.concat(F.lit("empty section: "), F.substring("title", 1, 40)).alias("problem"))
-    shape = df.select("file_name", F.length("body").alias("n")).join(h.groupBy("file_name").agg(F.count_if(F.col("level") == 1).alias("ones"), F.count_if(F.col("level") == 2).alias("twos"), F.min_by("level", "pos").alias("first")), "file_name", "left")
+    shape = read.select("file_name", "n").join(h.groupBy("file_name").agg(F.count_if(F.col("level") == 1).alias("ones"), F.count_if(F.col("level") == 2).alias("twos"), F.min_by("level", "pos").alias("first")), "file_name", "left")
     ones = shape.where("coalesce(ones, 0) <> 1 or first <> 1").select("file_name", F.lit("must have exactly one H1, first").alias("problem"))
     twos = shape.where(f"coalesce(twos, 0) = 0 and n >= {SHORT_DOCUMENT}").select("file_name", F.lit("no H2 sections").alias("problem"))
     return reduce(DataFrame.unionByName, [flat, jumps, empty, ones, twos])

@@ -251,3 +251,15 @@ def test_stream_ingest(spark, tmp_path, sf_dir):
         ingest(spark.readStream.schema(src.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.select("doc_id").distinct().count() == 20 and out.count() == out.select("id").distinct().count()
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    """All checks stand on one pass; what they read later holds heading lines and no texts. A heading that comes again is
+    followed by what follows the first."""
+    text = "---\ndoc_id: a\n---\n# T\n\n## P\n\nplain\n\n## P\n\n## Q\n\nplain\n"
+    spark.createDataFrame([("a.md", text), ("b.md", None)], "file_name string, text string").write.parquet(f"{tmp_path}/files")
+    found = corpus.problems(spark.read.parquet(f"{tmp_path}/files"))
+    assert not [f for f in found.inputFiles() if str(tmp_path) in f]
+    assert [x["problem"] for x in found.collect() if x["problem"].startswith("empty section")] == []
+    lines = corpus.headings(spark.createDataFrame([("a", text), ("b", None)], "doc_id string, body string")).orderBy("pos").collect()
+    assert [tuple(x) for x in lines] == [("a", 3, 1, "T", "## P"), ("a", 5, 2, "P", "plain"), ("a", 9, 2, "P", "plain"), ("a", 11, 2, "Q", "plain")]
