@@ -10,63 +10,111 @@ top k have all their postings in blocks that are read, so their scores are whole
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import tokens
 from corpusloom.operators.lexical import term_counts, weight
+from corpusloom.session import bounded_batches
 from corpusloom.tables import stored
 
 #: Folders of the stored blocks; a question reads only those of its terms.
 BUCKETS = 64
+#: Terms that may be sent to every task; more are joined by a shuffle.
+SENT = 100_000
 
 
 @dataclass
 class ImpactIndex:
-    """rows (id, index), blocks (bucket, shard, block, term, n, top, at, impact), terms (term, df, idf) and how the index
+    """rows (id, index), blocks (bucket, shard, block, term, n, top, at, impact), the number of documents and how the index
     was made. at has the documents' indexes."""
 
     rows: DataFrame
     blocks: DataFrame
-    terms: DataFrame
+    n: int
     compose: bool
 
     def asked(self, queries: DataFrame) -> DataFrame:
         """(qid, term, idf) of the different terms of queries (qid, question) that the index knows."""
         words = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("question"), self.compose))).alias("term"))
-        return words.join(self.terms, "term").select("qid", "term", "idf")
+        words = stored(words, "impact-words")
+        # Terms are counted when they are asked for; all others stay in their folders.
+        df = self.of_terms(words, "term", "n").groupBy("term").agg(F.sum("n").alias("df"))
+        return words.join(df, "term").select("qid", "term", weight(F.lit(self.n), F.col("df")).alias("idf"))
 
     def of_terms(self, asked: DataFrame, *columns: str) -> DataFrame:
         """Blocks of the terms asked for; only their folders are read."""
-        held = sorted(r["b"] for r in asked.select(_bucket(F.col("term")).alias("b")).distinct().collect())
-        return self.blocks.where(F.col("bucket").isin(held)).select(*columns).join(asked.select("term").distinct(), "term", "left_semi")
+        terms = asked.select("term").distinct()
+        found = terms.groupBy(_bucket(F.col("term")).alias("b")).count().collect()
+        few = sum(r["count"] for r in found) <= SENT
+        return self.blocks.where(F.col("bucket").isin(sorted(r["b"] for r in found))).select(*columns).join(F.broadcast(terms) if few else terms, "term", "left_semi")
 
 
 def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def build(docs: DataFrame, per_shard: int = 5_000, block: int = 128, k1: float = 1.5, b: float = 0.75, compose: bool = False) -> ImpactIndex:
-    """Index docs (id, index, content) and store it; indexes must differ. Statistics cover all docs. A document without
+def build(docs: DataFrame, per_shard: int = 5_000, block: int = 128, k1: float = 1.5, b: float = 0.75, compose: bool = False, most: int = 2_000_000) -> ImpactIndex:
+    """Index docs (id, index, content) and store it; indexes must differ. Statistics cover all docs. A shard has at most
+    `per_shard` documents and ends once it has `most` postings. A document without
     content counts with no terms."""
-    toks = stored(docs.select("id", F.col("index").cast("long").alias("index"), tokens(F.col("content"), compose).alias("t")), "impact-tokens")
+    toks = stored(docs.select("id", F.col("index").cast("long").alias("index"), tokens(F.col("content"), compose).alias("t")), "impact-tokens", compression="zstd")
     size = F.coalesce(F.size("t"), F.lit(0))
     n, avg_len = toks.agg(F.count(F.lit(1)), F.coalesce(F.avg(size), F.lit(0.0))).first()
-    shard = F.pmod(F.xxhash64("index"), F.lit(max(1, -(-n // per_shard)))).cast("int")
-    each = toks.select("index", shard.alias("shard"), size.alias("len"), F.explode(term_counts(F.col("t"))).alias("p")).select("index", "shard", "len", "p.*")
-    tf = F.col("tf")
-    impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.lit(float(avg_len) or 1.0)))
-    # A shard has a bounded number of documents, so a term's list in it is bounded, however frequent the term.
-    ordered = each.select("shard", "term", "index", impact.alias("impact")).withColumn("nth", F.row_number().over(Window.partitionBy("shard", "term").orderBy(F.desc("impact"), "index")))
-    blocks = ordered.groupBy("shard", "term", F.floor((F.col("nth") - 1) / block).cast("int").alias("block")).agg(F.count(F.lit(1)).alias("n"), F.max("impact").alias("top"), F.collect_list("index").alias("at"), F.collect_list("impact").alias("impact"))
-    blocks = stored(blocks.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket"), "impact-blocks", partitionBy=["bucket"])
-    df = blocks.groupBy("term").agg(F.sum("n").alias("df"))
-    terms = stored(df.select("term", "df", weight(F.lit(n), F.col("df")).alias("idf")), "impact-terms")
-    return ImpactIndex(toks.select("id", "index"), blocks, terms, compose)
+    bounded_batches(docs.sparkSession)
+    avg = float(avg_len) or 1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, postings, made, task = [], 0, 0, 0, TaskContext.get().partitionId()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            terms = pa.concat_arrays([x[0] for x in held]).dictionary_encode()
+            index, tf, size = (np.concatenate([x[c] for x in held]) for c in (1, 2, 3))
+            impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / avg))
+            code = terms.indices.to_numpy()
+            order = np.lexsort((index, -impact, code))
+            code, index, impact = code[order], index[order], impact[order]
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            nth = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
+            starts = np.flatnonzero(nth % block == 0)
+            ends = np.append(starts[1:], len(code))
+            for i in range(0, len(starts), 20_000):
+                u, v = starts[i : i + 20_000], ends[i : i + 20_000]
+                part, cuts = slice(u[0], v[-1]), pa.array(np.append(u, v[-1]) - u[0], pa.int32())
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x[part])) for x in (index, impact)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), (task << 32) + made)), terms.dictionary.take(pa.array(code[u])), pa.array((nth[u] // block).astype(np.int32)), pa.array(v - u), pa.array(impact[u]), *lists], names=["shard", "term", "block", "n", "top", "at", "impact"])
+
+        for batch in batches:
+            # A shard has a bounded number of documents and of postings, so what a task holds is bounded.
+            i = 0
+            while i < len(batch):
+                part = batch.slice(i, max(1, min(per_shard - rows, len(batch) - i)))
+                i += len(part)
+                sizes = pc.list_value_length(part.column(2)).fill_null(0).to_numpy(zero_copy_only=False)
+                flat = part.column(2).flatten()
+                if len(flat):
+                    held.append((flat.field("term"), np.repeat(part.column(0).to_numpy(), sizes), flat.field("tf").to_numpy().astype(np.int64), np.repeat(part.column(1).to_numpy(), sizes)))
+                rows, postings = rows + len(part), postings + len(flat)
+                if rows >= per_shard or postings >= most:
+                    if held:
+                        yield from out()
+                    held, rows, postings, made = [], 0, 0, made + 1
+        if held:
+            yield from out()
+
+    # Documents of a shard are those that lie together, so no posting moves before it is in its block.
+    counted = toks.select("index", size.cast("long").alias("len"), term_counts(F.col("t")).alias("p"))
+    blocks = counted.mapInArrow(run, "shard long, term string, block int, n long, top double, at array<long>, impact array<double>")
+    blocks = stored(blocks.withColumn("bucket", _bucket(F.col("term"))), "impact-blocks", partitionBy=["bucket"], compression="zstd")
+    return ImpactIndex(toks.select("id", "index"), blocks, n, compose)
 
 
 def bounds(ix: ImpactIndex, asked: DataFrame, k: int, seeds: int = 8) -> DataFrame:

@@ -87,3 +87,18 @@ def test_empty_partitions(spark):
     vp = partitions.build(rows)
     got, _ = partitions.nearest(vp, spark.createDataFrame([(1, [1.0, 0.0])], "qid long, qvec array<double>"), 3)
     assert got.count() == 0 and math.isinf(vp.radii[0])
+
+
+def test_postings_are_in_blocks_before_anything_moves(spark, docs):
+    """No posting is shuffled when the index is made: a shard's documents are those of one task, and its blocks are whole."""
+    ix = impact.build(docs, per_shard=100, block=4)
+    made = ix.blocks.select("shard", "term", "block", "n", F.size("at").alias("at"), "top", F.array_max("impact").alias("most")).collect()
+    assert len({(x["shard"], x["term"], x["block"]) for x in made}) == len(made)
+    assert all(x["n"] == x["at"] <= 4 and x["top"] == x["most"] for x in made)
+    per = ix.blocks.select("shard", F.explode("at").alias("i")).distinct().groupBy("i").count().agg(F.max("count")).first()[0]
+    assert per == 1
+    tasks = {x["shard"] >> 32 for x in made}
+    size = ix.blocks.select("shard", F.explode("at").alias("i")).distinct().groupBy("shard").count().agg(F.max("count")).first()[0]
+    assert len(tasks) > 1 and size <= 100
+    asked = {x["term"]: x["idf"] for x in ix.asked(spark.createDataFrame([(1, "w1 zebra unknown")], "qid long, question string")).collect()}
+    assert asked.keys() == {"w1", "zebra"} and asked["zebra"] > asked["w1"]
