@@ -169,13 +169,37 @@ def possible_within(dealt: DataFrame, sets: DataFrame, share: tuple[int, int], d
     return both.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "key long, x long, y long, own long, id long, label long, with long")
 
 
-def similar_within(rest: DataFrame, sets: DataFrame, share: tuple[int, int], most: int = 1500, once: bool = False) -> DataFrame:
+def joining(near: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of pairs of a symmetric matrix that join all labels that its pairs join: a link for each label but
+    one of what is joined."""
+    code = np.unique(label, return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    members = np.split(order, np.flatnonzero(np.diff(code[order])) + 1)
+    seen, out = np.zeros(len(members), dtype=bool), ([], [])
+    for k in np.unique(code[near.any(axis=1)]).tolist():
+        if seen[k]:
+            continue
+        seen[k], queue = True, members[k].tolist()
+        for i in queue:
+            at = np.flatnonzero(near[i] & ~seen[code])
+            if not len(at):
+                continue
+            reached, first = np.unique(code[at], return_index=True)
+            seen[reached] = True
+            out[0].extend([i] * len(reached))
+            out[1].extend(at[first].tolist())
+            for m in reached.tolist():
+                queue.extend(members[m].tolist())
+    return np.array(out[0], dtype=np.int64), np.array(out[1], dtype=np.int64)
+
+
+def similar_within(rest: DataFrame, sets: DataFrame, share: tuple[int, int], most: int = 1500, joined: bool = False) -> DataFrame:
     """Pairs (a, b), a < b, of one key and different labels in rest (key, id, label, all) whose sets (id, s, hs) are that
     similar. A key with more than `most` members is cut into blocks of about that many, and every two blocks meet in a task
     of their own. Bitmaps of the sets meet first and rule out pairs by an upper bound of what two sets share. The few pairs
     left are compared one by one; where many are, their sets meet in a task and are compared by matrix products. With
-    `once`, keys are members of the sets, whose hs are in one order: a pair that shares several keys is returned by the
-    first only."""
+    `joined` these return links enough to join the labels that their pairs join, fewer than there are labels, not all
+    pairs."""
     p, q = share
     blocks = F.ceil(F.col("all") / most).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
@@ -199,11 +223,11 @@ def similar_within(rest: DataFrame, sets: DataFrame, share: tuple[int, int], mos
             both += part @ part.T
         # o / (sa + sb - o) >= p / q
         near = (p + q) * both.astype(np.int64) >= p * (s[:, None] + s[None])
-        near &= (label[:, None] != label[None]) & (ids[:, None] < ids[None])
+        near &= label[:, None] != label[None]
         if cross:
             near &= own[:, None] != own[None]
-        a, b = np.nonzero(near)
-        return ids[a], ids[b]
+        a, b = joining(near, label) if joined else np.nonzero(near & (ids[:, None] < ids[None]))
+        return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, at = [], None
@@ -212,10 +236,6 @@ def similar_within(rest: DataFrame, sets: DataFrame, share: tuple[int, int], mos
             own, ids, label, s = (np.array([g[k] for g in group], dtype=np.int64) for k in range(4))
             if len(group) > 1 and (label != label[0]).any():
                 a, b = compared(own, ids, label, s, [g[4] for g in group], at[1] != at[2])
-                if once and len(a):
-                    hs = {g[1]: g[4] for g in group}
-                    first = np.array([hs[x][np.isin(hs[x], hs[y]).argmax()] == at[0] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
-                    a, b = a[first], b[first]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:

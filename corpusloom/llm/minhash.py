@@ -4,8 +4,10 @@ A document is the set of its shingles, as 64-bit hashes. The first bits of a has
 smallest rest in a bucket its register keeps the number of leading zeros and the ten bits behind the first one: 16 bits
 for what MinHash keeps in 64. Texts with equal sets are one class and are sketched into one row.
 
-Banding: five registers are a band, and classes that agree on one (not all of it empty) share a key. A pair of the
-similarity asked for, 0.8, agrees on none of the 51 bands with a probability of about 2e-9, and less the more alike.
+Banding: five registers are a band, and classes that agree on one (not all of it empty) share a key. Keys are made from
+registers whose mantissa is not cut at ten bits: a short text fills one register of a band, and with 16 bits its key would
+be that of many unlike texts, more with every text. A pair of the similarity asked for, 0.8, agrees on none of the 51 bands
+with a probability of about 2e-9, and less the more alike.
 Keys with many members are no reason to pair them all: `groups.linked` lets them meet heads; what is not joined by then is
 compared in place, in the task that holds the key's members; members of keys that are still crowded (a passage that many
 texts share) meet by the rarest shingles of their sets instead, which misses no pair.
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 from corpusloom.llm.common import bounded_batches, stored
 from corpusloom.llm.groups import linked, prefix_heads, similar_sets, similar_within
 from corpusloom.llm.hashing import components
-from corpusloom.llm.near import Shingler, _sig
+from corpusloom.llm.near import Shingler, _sig, shared_members
 
 SHARE = (4, 5)
 BUCKET_BITS, MANTISSA, ROWS = 8, 10, 5
@@ -46,13 +48,18 @@ DOUBT = 20.0
 FETCHED = 1_000_000
 
 
-def registers(h: np.ndarray) -> np.ndarray:
-    """The registers of a set of sorted 64-bit hashes; 0 is an empty bucket."""
-    out = np.zeros(BUCKETS, dtype=np.uint16)
+def smallest(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets that are not empty, smallest rest of each) of a set of sorted 64-bit hashes."""
     starts = np.searchsorted(h, np.arange(BUCKETS, dtype=np.uint64) << np.uint64(REST))
     full = np.flatnonzero(starts < np.append(starts[1:], len(h)))
     # Hashes are sorted, so the first of a bucket is its smallest.
-    low = h[starts[full]] & np.uint64((1 << REST) - 1)
+    return full, h[starts[full]] & np.uint64((1 << REST) - 1)
+
+
+def registers(h: np.ndarray) -> np.ndarray:
+    """The registers of a set of sorted 64-bit hashes; 0 is an empty bucket."""
+    out = np.zeros(BUCKETS, dtype=np.uint16)
+    full, low = smallest(h)
     high = low >> np.uint64(16)  # few enough bits to be exact as a float
     bits = np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 16, np.frexp(low.astype(np.float64))[1])
     shift = np.minimum(64 - bits, 63).astype(np.uint64)
@@ -61,6 +68,21 @@ def registers(h: np.ndarray) -> np.ndarray:
     return out
 
 
+#: What the registers of a key are multiplied by, one row for each band.
+FACTORS = np.random.default_rng(12).integers(1 << 62, 1 << 63, (BUCKETS // ROWS, ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """The keys of the bands of a set of sorted 64-bit hashes that are not empty."""
+    full, low = smallest(h)
+    r = np.zeros(BUCKETS, dtype=np.uint64)
+    r[full] = low + np.uint64(1)
+    r = r[: FACTORS.size].reshape(FACTORS.shape)
+    x = (r + np.uint64(1)) * FACTORS
+    x = (x ^ (x >> np.uint64(31))).sum(axis=1) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29)))[r.any(axis=1)]
+
+
 @functools.lru_cache(maxsize=4096)
 def chance(quarter: int) -> float:
     """Probability that the registers of one bucket of two disjoint sets of 2 ** (quarter / 4) members are equal, given that
@@ -92,7 +114,8 @@ def promising(similarity: np.ndarray, n: np.ndarray, share: tuple[int, int] = SH
 
 
 def sketches(docs: DataFrame, size: int = 4) -> DataFrame:
-    """doc_id, sig (of the set; null if it is empty), s (members) and registers of every row of docs (doc_id, text)."""
+    """doc_id, sig (of the set; null if it is empty), s (members), registers and keys of bands of every row of docs (doc_id,
+    text)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,10 +124,10 @@ def sketches(docs: DataFrame, size: int = 4) -> DataFrame:
             sets = [shingles(t.as_py()) for t in b.column(1)]
             sigs = np.array([_sig(h) for h in sets], dtype=np.uint64).view(np.int64)
             sizes = np.array([len(h) for h in sets], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, mask=sizes == 0), pa.array(sizes), pa.array([registers(h).tobytes() for h in sets], pa.binary())], names=["doc_id", "sig", "s", "registers"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, mask=sizes == 0), pa.array(sizes), pa.array([registers(h).tobytes() for h in sets], pa.binary()), pa.array([band_keys(h).tobytes() for h in sets], pa.binary())], names=["doc_id", "sig", "s", "registers", "keys"])
 
     kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)])
-    return docs.select("doc_id", "text").mapInArrow(run, kind.add("sig", "long").add("s", "long").add("registers", "binary"))
+    return docs.select("doc_id", "text").mapInArrow(run, kind.add("sig", "long").add("s", "long").add("registers", "binary").add("keys", "binary"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -112,21 +135,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(key, id): the keys of the bands of classes (id, registers) that are not empty."""
-    n = BUCKETS // ROWS
-    factors = np.random.default_rng(12).integers(1 << 62, 1 << 63, (n, ROWS), dtype=np.uint64) | np.uint64(1)
+    """(key, id): the keys of the bands of classes (id, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r = _matrix(b.column(1))[:, : n * ROWS].reshape(-1, n, ROWS).astype(np.uint64)
-            x = (r + np.uint64(1)) * factors
-            x = (x ^ (x >> np.uint64(31))).sum(axis=2) * np.uint64(0x9E3779B97F4A7C15)
-            x ^= x >> np.uint64(29)
-            row, band = np.nonzero(r.any(axis=2))
-            ids = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(x[row, band].view(np.int64)), pa.array(ids[row])], names=["key", "id"])
+            keys = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(b.column(0).to_numpy(), [len(k) for k in keys]))], names=["key", "id"])
 
-    return classes.select("id", "registers").mapInArrow(run, "key long, id long")
+    return classes.select("id", "keys").mapInArrow(run, "key long, id long")
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -213,7 +229,7 @@ def minhash_components(docs: DataFrame, size: int = 4, share: tuple[int, int] =
     included) and kept (whether it is its own) of every row of docs."""
     rows = stored(sketches(docs, size), "minhash-rows")
     known = rows.where("doc_id is not null and sig is not null")
-    classes = stored(known.groupBy(F.col("sig").alias("id")).agg(F.min("doc_id").alias("first"), F.max("s").alias("s"), F.first("registers").alias("registers")), "minhash-classes")
+    classes = stored(known.groupBy(F.col("sig").alias("id")).agg(F.min("doc_id").alias("first"), F.max("s").alias("s"), F.first("registers").alias("registers"), F.first("keys").alias("keys")), "minhash-classes")
 
     def sets(ids: DataFrame) -> DataFrame:
         return stored(sets_of(docs, stored(classes.join(ids, "id", "left_semi").select("id", "first"), "minhash-wanted"), size), "minhash-sets")
@@ -225,10 +241,9 @@ def minhash_components(docs: DataFrame, size: int = 4, share: tuple[int, int] =
     def by_prefix(ids: DataFrame) -> DataFrame:
         """Links among crowded classes, by the rarest members of their sets."""
         whole = sets(ids)
-        each = stored(whole.select("id", F.explode("hs").alias("h")), "minhash-members")
-        often = stored(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "minhash-often")
-        heads, held = prefix_heads(stored(each.join(often, "h"), "minhash-shared"), whole.select("id", "s"), share, "minhash-prefix")
-        return linked(heads, lambda pairs: similar_sets(pairs, held, share), "minhash-crowd", within=lambda rest: similar_within(rest, held, share, once=True))
+        total = whole.agg(F.sum("s")).first()[0] or 0
+        heads, held = prefix_heads(stored(shared_members(whole, total), "minhash-shared"), whole.select("id", "s"), share, "minhash-prefix")
+        return linked(heads, lambda pairs: similar_sets(pairs, held, share), "minhash-crowd", within=lambda rest: similar_within(rest, held, share, joined=True))
 
     def within(rest: DataFrame) -> DataFrame:
         left = stored(estimated_within(rest, classes, share), "minhash-left")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import groups, minhash
+from corpusloom.llm import groups, minhash, near
 from corpusloom.llm.hashing import components
 
 
@@ -167,3 +167,35 @@ def test_sets_ruled_out_by_bitmaps_do_not_travel(spark):
     for most in (1500, 50):
         got = groups.similar_within(spark.createDataFrame(rest, "key long, id long, label long, all long"), df, (4, 5), most).collect()
         assert {tuple(x) for x in got} == want and len(got) == len(want) > 1770
+
+
+def test_short_texts_without_a_common_shingle_share_no_key(spark):
+    """A short text fills one register of a band; unlike ones must not meet because that register is small."""
+    r = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(f"{r.getrandbits(40):x}" for _ in range(12))) for i in range(4000)], "doc_id long, text string")
+    keys = minhash.bands(minhash.sketches(docs).withColumnRenamed("sig", "id"))
+    assert keys.count() > 20_000
+    assert keys.groupBy("key").count().where("count > 1").count() == 0
+
+
+def test_copies_of_a_key_return_links_and_not_pairs(spark):
+    """Near copies of several keys, in one block or many: a link for each label at most, and the same components."""
+    r = random.Random(9)
+    base = [[r.getrandbits(63) for _ in range(60)] for _ in range(3)]
+    sets = {i: sorted({*base[i % 3][: 60 - i % 4]} | {r.getrandbits(63)}) for i in range(120)}
+    df = spark.createDataFrame([(i, len(x), x) for i, x in sets.items()], "id long, s long, hs array<long>")
+    rest = spark.createDataFrame([(7, i, i - i % 6 if i % 6 == 3 else i, len(sets)) for i in sets], "key long, id long, label long, all long")
+    for most in (1500, 40):
+        got = groups.similar_within(rest, df, (4, 5), most, joined=True)
+        known = rest.where("label <> id").select(F.col("label").alias("a"), F.col("id").alias("b"))
+        assert {(x["id"], x["component"]) for x in components(got.unionByName(known)).collect()} == {(i, i % 3) for i in sets}
+        assert most < 1500 or got.count() < 120
+
+
+def test_members_that_several_sets_hold(spark):
+    r = random.Random(10)
+    sets = {i: sorted({r.randrange(-300, 300) for _ in range(r.randint(0, 40))}) for i in range(60)}
+    df = spark.createDataFrame([*sets.items()], "id long, hs array<long>").repartition(3)
+    often = {h: sum(h in x for x in sets.values()) for x in sets.values() for h in x}
+    got = sorted((x["id"], x["h"], x["df"]) for x in near.shared_members(df, 100, per_bucket=10).collect())
+    assert got == sorted((i, h, often[h]) for i, x in sets.items() for h in x if often[h] > 1)
