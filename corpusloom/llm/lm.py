@@ -10,7 +10,8 @@ and the model grows with the corpus.
 Counts meet texts without a table of the model that one machine must hold. Texts are stored as slices of token numbers.
 A slice asks for the counts of its distinct words, pairs and triples in blocks, one for each bucket of hashes, and says
 how often training has them in the slice; a bucket adds up and answers every block; a slice's part of the automaton is
-then complete, and one pass from left to right scores its texts. Buckets and slices follow the number of tokens; a word
+then complete, and one pass from left to right scores its texts. Blocks are the largest thing on disk, and noise that cannot be
+compressed; buckets are therefore asked in turns, and a turn's blocks are gone before the next one's are made. Buckets and slices follow the number of tokens; a word
 of any frequency is asked for once a slice. Words, pairs and triples are known by 64 bits of hash.
 
 Null and blank texts consist of the end token alone. Repeated rows are scored one by one. A null doc_id is not held out.
@@ -20,6 +21,7 @@ and is scored in windows that carry the state. Other columns of docs are not rea
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -157,12 +159,12 @@ class Window:
         flags = np.concatenate([flag[self.at2], flag[self.at3]])[self.order].astype(np.int64)
         return words, np.add.reduceat(flags, self.first) if len(flags) else flags
 
-    def blocks(self, train: np.ndarray, buckets: int) -> Iterator[tuple]:
-        """(bucket, number of words and of grams, word keys and counts, gram keys and counts); keys are in order within and
-        across buckets."""
+    def blocks(self, train: np.ndarray, buckets: int, turns: int = 1, turn: int = 0) -> Iterator[tuple]:
+        """(bucket, number of words and of grams, word keys and counts, gram keys and counts) of the buckets of a turn; keys
+        are in order within and across buckets."""
         words, grams = self.training(train)
         cuts = [np.searchsorted((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64)).tolist() for k in (self.words, self.grams)]
-        for k in range(buckets):
+        for k in range(turn, buckets, turns):
             (a, b), (c, d) = cuts[0][k : k + 2], cuts[1][k : k + 2]
             if b > a or d > c:
                 yield k, b - a, d - c, keys_packed(self.words[a:b]), packed(words[a:b]), keys_packed(self.grams[c:d]), packed(grams[c:d])
@@ -203,8 +205,8 @@ def _opened(words: bytes, numbers: bytes, lengths: np.ndarray) -> tuple[np.ndarr
     return np.frombuffer(words, dtype="<u8").astype(np.uint64), unpacked(numbers, len(text)).astype(np.int64), text
 
 
-def asked(parts: DataFrame, buckets: int, window: int) -> DataFrame:
-    """Blocks of keys and training counts, one for each window of a slice and bucket."""
+def asked(parts: DataFrame, buckets: int, window: int, turns: int = 1, turn: int = 0) -> DataFrame:
+    """Blocks of keys and training counts, one for each window of a slice and bucket of a turn."""
     schema = to_arrow_schema(_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +215,9 @@ def asked(parts: DataFrame, buckets: int, window: int) -> DataFrame:
                 hashes, numbers, text = _opened(words, numbers, np.array(lengths))
                 train = ~np.array(held, dtype=bool)
                 for w, at in enumerate(range(0, len(numbers), window)):
-                    got = [*Window(hashes, numbers, text, at, min(at + window, len(numbers))).blocks(train, buckets)]
+                    got = [*Window(hashes, numbers, text, at, min(at + window, len(numbers))).blocks(train, buckets, turns, turn)]
+                    if not got:
+                        continue
                     columns = list(zip(*got, strict=True))
                     n = len(got)
                     yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([number] * n, pa.int64()), pa.array([w] * n, pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[3:])], schema=schema)
@@ -260,15 +264,17 @@ def answered(blocks: DataFrame, buckets: int) -> DataFrame:
     return stored(blocks.repartition(buckets, "bucket").mapInArrow(run, _ANSWER), "lm-answers", compression="zstd")
 
 
-def lm_scores(docs: DataFrame, held_out_mod: tuple[int, int] = (5, 1), tokens_per_bucket: int = 700_000, slice_bytes: int = 6 << 20, window: int = 5 << 18) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text)."""
+def lm_scores(docs: DataFrame, held_out_mod: tuple[int, int] = (5, 1), tokens_per_bucket: int = 700_000, slice_bytes: int = 6 << 20, window: int = 5 << 18, turns: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text). Every
+    bucket is asked in one of `turns` turns."""
     spark = docs.sparkSession
     mod, rest = held_out_mod
     out_of = F.coalesce(crc_mod(F.col("doc_id"), mod) == rest, F.lit(False))
     parts = slices(docs, out_of, slice_bytes)
     size = parts.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(32, size // tokens_per_bucket)
-    answers = answered(asked(parts, buckets, window), buckets)
+    every = [answered(asked(parts, buckets, window, turns, k), -(-buckets // turns)) for k in range(turns)]
+    answers = functools.reduce(DataFrame.unionByName, every)
     n, v = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("different")).first())
     scale = n + 0.5 * (v + 1)
     out = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
@@ -316,5 +322,5 @@ def lm_scores(docs: DataFrame, held_out_mod: tuple[int, int] = (5, 1), tokens_pe
     both = first.unionByName(answers.drop("tokens", "different"), allowMissingColumns=True)
     bounded_batches(spark, 256)
     scored = stored(both.repartition("slice").sortWithinPartitions("slice", "window", "bucket").mapInArrow(run, out), "lm-scores")
-    dropped(spark, parts, answers)
+    dropped(spark, parts, *every)
     return scored
