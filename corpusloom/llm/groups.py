@@ -252,15 +252,6 @@ def similar_within(rest: DataFrame, sets: DataFrame, share: tuple[int, int], mos
     return exact.unionByName(similar_sets(pairs, sets, share)).distinct()
 
 
-def prefix_heads(shared: DataFrame, sizes: DataFrame, share: tuple[int, int], name: str) -> tuple[DataFrame, DataFrame]:
-    """(heads, sets) of sets whose members that several of them hold are shared (id, h, df); sizes (id, s) are of whole sets.
-
-    heads (key, id): two sets of the similarity asked for have at least `share` of the larger one in common, so both hold a
-    common member among the first s - ceil(share * s) + 1 of their own, rarest first. sets (id, s, hs)."""
-    p, q = share
-    need = F.expr(f"({p} * s + {q - 1}) div {q}")
-    # Members of one set come first in its order, so a set with fewer shared ones than `need` has no prefix left.
-    left = shared.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(sizes, "id").withColumn("k", F.col("n") - need + 1).where("k > 0").select("id", "s", "k")
-    lists = shared.join(left.select("id"), "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))
-    sets = stored(left.join(lists, "id").select("id", "s", "k", F.transform("x", lambda e: e["h"]).alias("hs")), f"{name}-sets")
-    return sets.select(F.explode(F.slice("hs", F.lit(1), F.col("k").cast("int"))).alias("key"), "id"), sets.select("id", "s", "hs")
+def prefix_heads(sets: DataFrame) -> DataFrame:
+    """(key, id): the first k members of sets (id, k, hs: rarest first), one of which two similar sets have in common."""
+    return sets.select(F.explode(F.slice("hs", F.lit(1), F.col("k").cast("int"))).alias("key"), "id")

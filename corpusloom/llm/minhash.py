@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from corpusloom.llm.common import bounded_batches, stored
 from corpusloom.llm.groups import linked, prefix_heads, similar_sets, similar_within
 from corpusloom.llm.hashing import components
-from corpusloom.llm.near import Shingler, _sig, shared_members
+from corpusloom.llm.near import Shingler, _sig, members_answered, prefix_sets
 
 SHARE = (4, 5)
 BUCKET_BITS, MANTISSA, ROWS = 8, 10, 5
@@ -242,8 +242,8 @@ def minhash_components(docs: DataFrame, size: int = 4, share: tuple[int, int] =
         """Links among crowded classes, by the rarest members of their sets."""
         whole = sets(ids)
         total = whole.agg(F.sum("s")).first()[0] or 0
-        heads, held = prefix_heads(stored(shared_members(whole, total), "minhash-shared"), whole.select("id", "s"), share, "minhash-prefix")
-        return linked(heads, lambda pairs: similar_sets(pairs, held, share), "minhash-crowd", within=lambda rest: similar_within(rest, held, share, joined=True))
+        held = stored(prefix_sets(members_answered(whole, total), share), "minhash-prefix-sets")
+        return linked(prefix_heads(held), lambda pairs: similar_sets(pairs, held, share), "minhash-crowd", within=lambda rest: similar_within(rest, held, share, joined=True))
 
     def within(rest: DataFrame) -> DataFrame:
         left = stored(estimated_within(rest, classes, share), "minhash-left")

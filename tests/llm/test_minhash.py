@@ -199,3 +199,48 @@ def test_members_that_several_sets_hold(spark):
     often = {h: sum(h in x for x in sets.values()) for x in sets.values() for h in x}
     got = sorted((x["id"], x["h"], x["df"]) for x in near.shared_members(df, 100, per_bucket=10).collect())
     assert got == sorted((i, h, often[h]) for i, x in sets.items() for h in x if often[h] > 1)
+
+
+def test_a_crowd_with_a_common_passage_makes_no_row_for_each_shingle(spark, monkeypatch):
+    """What texts share is counted and answered in blocks: no table between has a row for each shingle of each text."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(400))
+    rows = [(i, passage + " " + " ".join(word() for _ in range(300))) for i in range(150)]
+    rows += [(200 + i, rows[i][1] + " an end of its own") for i in range(30)]
+    made = {}
+    for module in (minhash, groups, near):
+
+        def stored(df, name, real=module.stored, **options):
+            out = real(df, name, **options)
+            made[name] = max(made.get(name, 0), out.count())
+            return out
+
+        monkeypatch.setattr(module, "stored", stored)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(x) for x in minhash.minhash_components(docs, crowded=0).collect()), key=repr)
+    assert got == brute(rows) and sum(not x[3] for x in got) == 30
+    # 51 bands for each text, and not the 397 shingles that it shares.
+    assert "minhash-crowd" in made and max(made.values()) <= 60 * len(rows), made
+
+
+@pytest.mark.parametrize("most", [1_000_000, 40])
+def test_prefixes_of_sets_by_plain_counts(spark, most):
+    """In one part and in many, with sets that several parts have: each set that has a prefix once, its members rarest first."""
+    r = random.Random(12)
+    word = lambda: r.choice("abcdefghijklmnop")
+    texts = [" ".join(word() for _ in range(r.randint(1, 12))) for _ in range(60)]
+    texts += [t + " " + word() for t in texts[:40]] + texts[:30] + ["", None]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(5)
+    sets = {near._sig(h): set(h.tolist()) for h in map(near.Shingler(2), texts) if len(h)}
+    often = {h: sum(h in x for x in sets.values()) for x in sets.values() for h in x}
+    answers = near.texts_answered(docs, 100, 2, per_bucket=2, most=most)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    want = []
+    for key, x in sets.items():
+        held = sorted((often[h], signed(h)) for h in x if often[h] > 1)
+        k = len(held) - (4 * len(x) + 4) // 5 + 1
+        if k > 0:
+            want.append((signed(key), len(x), k, [h for _, h in held]))
+    assert sorted(tuple(x) for x in near.prefix_sets(answers, (4, 5)).collect()) == sorted(want)
+    assert 20 < len(want) < len(sets)
