@@ -94,11 +94,11 @@ def _heads(docs: DataFrame) -> DataFrame:
     return full.withColumn("heads", F.filter(both, lambda s: s["line"].rlike("^#{1,6} .+$"))).drop("_full")
 
 
-def _headings(docs: DataFrame) -> DataFrame:
-    """headings of docs (doc_id, heads)."""
-    nxt = docs.select("doc_id", F.inline("heads"))
+def _headings(docs: DataFrame, *more: str) -> DataFrame:
+    """headings of docs (doc_id, heads), with more of their columns."""
+    nxt = docs.select("doc_id", *more, F.inline("heads"))
     first = F.first("next").over(Window.partitionBy("doc_id", "line").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return nxt.select("doc_id", "pos", F.length(F.regexp_extract("line", "^(#{1,6}) ", 1)).alias("level"), F.regexp_extract("line", "^#{1,6} (.+)$", 1).alias("title"), first.alias("next"))
+    return nxt.select("doc_id", *more, "pos", F.length(F.regexp_extract("line", "^(#{1,6}) ", 1)).alias("level"), F.regexp_extract("line", "^#{1,6} (.+)$", 1).alias("title"), first.alias("next"))
 
 
 def headings(docs: DataFrame) -> DataFrame:
@@ -108,7 +108,8 @@ def headings(docs: DataFrame) -> DataFrame:
 
 
 def problems(files: DataFrame) -> DataFrame:
-    """(file_name, problem): every violation of the format contract by files (file_name, text)."""
+    """(file_name, problem): every violation of the format contract by files (file_name, text). Each row is a file of its
+    own, also where names repeat or are null."""
     df = files.withColumn("f", frontmatter_strict(F.col("text"))).select("file_name", F.regexp_replace("file_name", "\\.[^.]*$", "").alias("stem"), "f.*")
     meta = lambda k: F.coalesce(F.try_element_at("metadata", F.lit(k)), F.lit(""))
     missing = F.filter(F.array(*[F.when(meta(k) == "", F.lit(k)) for k in REQUIRED]), lambda x: x.isNotNull())
@@ -130,14 +131,14 @@ def problems(files: DataFrame) -> DataFrame:
         F.transform(ragged, lambda t: F.concat(F.lit("ragged table: "), F.substring(t, 1, 40))),
     )
     # Every text is read once; what the checks below need of it is small.
-    read = stored(_heads(df).select("file_name", F.length("body").alias("n"), lists.alias("lists"), "heads"), "corpus-read")
+    read = stored(_heads(df).select(F.monotonically_increasing_id().alias("doc_id"), "file_name", F.length("body").alias("n"), lists.alias("lists"), "heads"), "corpus-read")
     flat = read.select("file_name", F.explode("lists").alias("problem"))
-    h = _headings(read.withColumnRenamed("file_name", "doc_id")).withColumnRenamed("doc_id", "file_name")
-    w = Window.partitionBy("file_name").orderBy("pos")
+    h = _headings(read, "file_name")
+    w = Window.partitionBy("doc_id").orderBy("pos")
     seq = h.select("*", F.lag("level", 1, 1).over(w).alias("prev"), F.lead("level").over(w).alias("after"))
     jumps = seq.where("level > prev + 1").select("file_name", F.format_string("heading level jump h%d->h%d", "prev", "level").alias("problem"))
     empty = seq.where(F.col("after").isNotNull() & (F.col("after") <= F.col("level")) & F.col("next").startswith("#")).select("file_name", F.concat(F.lit("empty section: "), F.substring("title", 1, 40)).alias("problem"))
-    shape = read.select("file_name", "n").join(h.groupBy("file_name").agg(F.count_if(F.col("level") == 1).alias("ones"), F.count_if(F.col("level") == 2).alias("twos"), F.min_by("level", "pos").alias("first")), "file_name", "left")
+    shape = read.select("doc_id", "file_name", "n").join(h.groupBy("doc_id").agg(F.count_if(F.col("level") == 1).alias("ones"), F.count_if(F.col("level") == 2).alias("twos"), F.min_by("level", "pos").alias("first")), "doc_id", "left")
     ones = shape.where("coalesce(ones, 0) <> 1 or first <> 1").select("file_name", F.lit("must have exactly one H1, first").alias("problem"))
     twos = shape.where(f"coalesce(twos, 0) = 0 and n >= {SHORT_DOCUMENT}").select("file_name", F.lit("no H2 sections").alias("problem"))
     return reduce(DataFrame.unionByName, [flat, jumps, empty, ones, twos])
